@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe, simhash
+from . import crf_language, kd_shards, sentencepiece_bpe, simhash
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -15,6 +16,22 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(modulus: int) -> Column:
+    """The fold of a document: CRC-32 of its id's decimal digits, modulo."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = crf_language.train(documents, remainder(4) != 2)
+    return crf_language.predict(documents, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "n_words")
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -26,6 +43,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_crf_language": op1_crf_language,
+        "op3_kd_shards": op3_kd_shards,
         "op7_simhash": op7_simhash,
         "op10_sentencepiece": op10_sentencepiece,
     }
