@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, kd_shards, sentencepiece_bpe, simhash
+from . import crf_language, html_text, kd_shards, knn_quality, lattice_dedup, sentencepiece_bpe, simhash
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -27,15 +27,30 @@ def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.predict(documents, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op2_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = knn_quality.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
+    scored = knn_quality.score(documents, model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(documents, tokenizer()))
@@ -44,8 +59,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_crf_language": op1_crf_language,
+        "op2_knn_quality": op2_knn_quality,
         "op3_kd_shards": op3_kd_shards,
+        "op6_html_text": op6_html_text,
         "op7_simhash": op7_simhash,
+        "op8_lattice_dedup": op8_lattice_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
