@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, html_text, kd_shards, knn_quality, lattice_dedup, sentencepiece_bpe, simhash, suffix_dedup
+from . import crf_language, html_text, kd_shards, kneser_ney, knn_quality, lattice_dedup, sentencepiece_bpe, simhash, suffix_dedup
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -39,6 +39,12 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = kneser_ney.train(documents, remainder(10) != 0)
+    return kneser_ney.score(documents, model).withColumn("held_out", remainder(10) == 0)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), depth=200))
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_crf_language": op1_crf_language,
         "op2_knn_quality": op2_knn_quality,
         "op3_kd_shards": op3_kd_shards,
+        "op4_kneser_ney": op4_kneser_ney,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_html_text": op6_html_text,
         "op7_simhash": op7_simhash,
