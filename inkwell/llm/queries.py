@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, html_text, kd_shards, kneser_ney, knn_quality, lattice_dedup, sentencepiece_bpe, simhash, suffix_dedup
+from . import crf_language, html_text, kd_shards, kneser_ney, knn_quality, latent_leaks, lattice_dedup, sentencepiece_bpe, simhash, suffix_dedup
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -61,6 +61,10 @@ def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
 
 
+def op9_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_leaks.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(documents, tokenizer()))
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_text": op6_html_text,
         "op7_simhash": op7_simhash,
         "op8_lattice_dedup": op8_lattice_dedup,
+        "op9_latent_leaks": op9_latent_leaks,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
