@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import mix64, narrow, text_chunks
+from .shared import sampled
 
 BITS, LEXICON_BITS = 16, 14
 SEGMENT = 64
@@ -179,6 +180,20 @@ class Model:
         return out / out.sum(1, keepdims=True)
 
 
+    def languages_of(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words, np.ndarray]:
+        """Language (the number of languages if none), its share and the words of each row; the words and their marginals."""
+        whole, cut, k = raw.tobytes(), offsets.tolist(), len(self.languages)
+        n = len(cut) - 1
+        w = words_of([whole[a:b].decode() for a, b in zip(cut, cut[1:], strict=False)])
+        count = np.bincount(w.row, minlength=n)
+        p = self.marginals(self.emissions(w), w.row) if k else np.zeros((len(w.row), 0))
+        sums = np.stack([np.bincount(w.row, p[:, j], n) for j in range(k)], 1) if k else np.zeros((n, 1))
+        known = (count > 0) & (k > 0)
+        best = sums.argmax(1)
+        score = np.where(known, sums[np.arange(n), best] / np.maximum(sums.sum(1), 1e-300), 0.0)
+        return np.where(known, best, k), np.minimum(score, 1.0), count, w, p
+
+
 def sequences(docs: list[tuple[Words, int]], length: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word, label) of training sequences: half of one text, half switched between texts."""
     pieces = [(d, i) for d, (w, _) in enumerate(docs) for i in range(0, len(w.row), length)]
@@ -270,8 +285,7 @@ def fit(texts: list[str], langs: list[str], length: int = 16, lexicon_words: int
 def train(df: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 250, excerpt: int = 1000, most_languages: int = 64) -> Model:
     """Fit on a bounded sample of the labelled rows where ``trainable`` holds."""
     ids = df.where(trainable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.distinct().withColumn("n", F.row_number().over(turn)).where(F.col("n") <= rows_per_language).orderBy("n", "lang").limit(rows_per_language * most_languages).select("id", "lang").collect()
+    chosen = sampled(ids, "lang", rows_per_language, most_languages).collect()
     if not chosen:
         return fit([], [])
     small = df.sparkSession.createDataFrame([(r["id"],) for r in chosen], ["id"])
@@ -287,17 +301,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offsets, raw, _ in text_chunks(batches):
-            whole, cut = raw.tobytes(), offsets.tolist()
-            n = len(cut) - 1
-            w = words_of([whole[a:b].decode() for a, b in zip(cut, cut[1:], strict=False)])
-            count = np.bincount(w.row, minlength=n)
-            p = model.marginals(model.emissions(w), w.row) if k else np.zeros((len(w.row), 0))
-            sums = np.stack([np.bincount(w.row, p[:, j], n) for j in range(k)], 1) if k else np.zeros((n, 1))
-            known = (count > 0) & (k > 0)
-            best = sums.argmax(1)
-            score = np.where(known, sums[np.arange(n), best] / np.maximum(sums.sum(1), 1e-300), 0.0)
+            best, score, count, w, p = model.languages_of(raw, offsets)
+            n = len(best)
             names = np.array([*model.languages, "und"], object)
-            columns = [rows.column(0), pa.array(names[np.where(known, best, k)], pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(count)]
+            columns = [rows.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(count)]
             if runs:
                 label = p.argmax(1) if k else np.zeros(len(w.row), int)
                 change = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (w.row[1:] != w.row[:-1])]) if len(label) else np.zeros(0, int)
@@ -308,3 +315,18 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "n_words", "runs"][: len(columns)])
 
     return narrow(df, id_col, text_col).mapInArrow(run, schema)
+
+
+def accepted(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows whose text has a language with at least that share of its words, with all their columns."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for rows, offsets, raw, _ in text_chunks(iter([pa.RecordBatch.from_arrays([batch.column(place)], ["text"])])):
+                keep = model.languages_of(raw, offsets)[1] >= least
+                yield batch.slice(at, len(rows)).filter(pa.array(keep))
+                at += len(rows)
+
+    return df.mapInArrow(run, df.schema)

@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Poly, mix64, narrow, text_chunks, words
+from .shared import sampled
 
 TERMS = 4096
 #: Words said again within this many words make the terms of repetition.
@@ -141,9 +142,8 @@ def fit(texts: list[str], labels: list[int], dimensions: int = 48, neighbours: i
 
 def train(documents: DataFrame, labels: DataFrame, learnable: Column, label_col: str = "quality", rows: int = 4000, excerpt: int = 20_000, **options) -> Model:
     """Fit on at most ``rows`` of the labelled documents where ``learnable`` holds, ``excerpt`` characters of each."""
-    marked = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & learnable).distinct()
-    turn = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= rows // 2).select("doc_id", "label")
+    marked = labels.where(learnable).select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    chosen = sampled(marked, "label", rows // 2, 2).withColumnRenamed("id", "doc_id")
     texts = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, excerpt).alias("text"))
     # at most ``rows`` small rows are broadcast
     found = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label").collect()

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import Poly, narrow, text_chunks
 
@@ -247,6 +248,13 @@ class Bpe:
         gone[cut[:-1][size > 0]] = False  # the space put in front
         return out, at, decoded[gone], cut - np.r_[0, np.cumsum(size > 0)]
 
+    def encode_columns(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded texts of a chunk as Arrow columns."""
+        whole, cut = raw.tobytes(), offsets.tolist()
+        ids, at, decoded, to = self.encode_block([whole[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+        text = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(decoded.tobytes()))
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32())), text
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
@@ -262,15 +270,29 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(model_path)
         for rows, offsets, raw, _ in text_chunks(batches):
-            whole, cut = raw.tobytes(), offsets.tolist()
-            ids, at, decoded, to = bpe.encode_block([whole[a:b] for a, b in zip(cut, cut[1:], strict=False)])
-            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
-            text = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(decoded.tobytes()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), ids, text], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *bpe.encode_columns(raw, offsets)], ["doc_id", "ids", "decoded"])
 
     return narrow(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def encode_rows(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """All columns of every row, and ids and decoded behind them (in the place of columns of these names)."""
+    df = df.drop("ids", "decoded")
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe(model_path)
+        for batch in batches:
+            at = 0
+            for rows, offsets, raw, _ in text_chunks(iter([pa.RecordBatch.from_arrays([batch.column(place)], ["text"])])):
+                ids, decoded = bpe.encode_columns(raw, offsets)
+                part = batch.slice(at, len(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, decoded], [*batch.schema.names, "ids", "decoded"])
+                at += len(rows)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *T._parse_datatype_string("ids array<int>, decoded string").fields]))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """Token counts and SHA-256 digests of what ``encode_decode`` returns."""
     return encoded.select(

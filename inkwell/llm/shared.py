@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,21 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def sampled(ids: DataFrame, kind: str, rows: int, most: int) -> DataFrame:
+    """The first ``rows`` by hash of each of the ``most`` most frequent kinds of ``ids`` (id and kind).
+
+    A threshold on the hash, from the kinds' counts, leaves about twice as many
+    rows as are wanted before these are ranked.
+    """
+    counts = ids.where(F.col(kind).isNotNull()).groupBy(kind).count().orderBy(F.desc("count"), kind).limit(most).collect()
+    turn = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    limit = F.lit(-1)
+    for r in counts:
+        limit = F.when(F.col(kind) == F.lit(r[kind]), F.lit(min(1.0, (2 * rows + 100) / r["count"]) * (1 << 30))).otherwise(limit)
+    order = Window.partitionBy(kind).orderBy(F.xxhash64("id"), "id")
+    return ids.where(turn <= limit).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: (node, label), label the smallest node of the component.
 

@@ -138,6 +138,7 @@ def listed(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found["row"]), *[pa.array(found[f].astype(np.int64)) for f in ("lo", "hi")], pa.array(found["kind"].astype(np.int32))], ["row", "lo", "hi", "kind"])
 
 
+NAMES = ["doc_id", "n_bytes", "spans", "kept", "text", "rest"]
 SENT = "part int, answered boolean, packed binary"
 FOUND = "row long, lo long, hi long, kind int"
 
@@ -222,9 +223,11 @@ def meet(sent: DataFrame, kind: np.dtype, reduce, depth: int, parts: int) -> Dat
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with a key that depends on id and text; rows of one key are copies of each other, id and all."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    """Rows with a key that depends on id and text; rows of one key are copies of each other, id and all. ``rest`` holds the other columns."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "rest")
 
 
 MARKS = 1 << 24
@@ -304,7 +307,10 @@ def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | N
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 200, digit: int = 100, parts: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, spans (lo, hi: the maximal removed ranges of bytes) and kept (the other bytes) of every row."""
+    """doc_id, n_bytes, spans (lo, hi: the maximal removed ranges of bytes), kept (the other bytes), text and rest of every row.
+
+    ``text`` is what is kept without the bytes of characters that were cut in two; ``rest`` is a struct of the other columns.
+    """
     rows = keyed(df, id_col, text_col)
     ranges = kept(repeated(rows, depth, digit, parts).groupBy("row").agg(F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("ranges")))
     some, others = marked(rows, kept(marks(ranges)))
@@ -326,12 +332,13 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
                 spans.append([{"lo": x, "hi": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
                 rest.append(text[~gone].tobytes())
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(rest, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            whole = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(rest, pa.binary()), whole, batch.column(3)], NAMES)
 
-    schema = "doc_id long, n_bytes long, spans array<struct<lo: bigint, hi: bigint>>, kept binary"
+    schema = "doc_id long, n_bytes long, spans array<struct<lo: bigint, hi: bigint>>, kept binary, text string, rest " + rows.schema["rest"].dataType.simpleString()
     empty = F.array().cast("array<struct<lo: int, hi: int>>")
-    touched = some.join(ranges, "row", "left").select("doc_id", "text", F.coalesce("ranges", empty).alias("ranges")).mapInArrow(run, schema)
-    return touched.unionAll(others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<lo: bigint, hi: bigint>>").alias("spans"), F.encode("text", "UTF-8").alias("kept")))
+    touched = some.join(ranges, "row", "left").select("doc_id", "text", F.coalesce("ranges", empty).alias("ranges"), "rest").mapInArrow(run, schema)
+    return touched.unionAll(others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<lo: bigint, hi: bigint>>").alias("spans"), F.encode("text", "UTF-8").alias("kept"), "text", "rest"))
 
 
 def digests(removed: DataFrame) -> DataFrame:
