@@ -39,7 +39,7 @@ from .arrowtext import Poly, mix64, run_starts, string_parts
 from .shared import kept
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
-BLOCK, FLUSH, HOT = 1 << 21, 1 << 20, 512
+BLOCK, FLUSH, HOT = 1 << 19, 1 << 18, 512
 POSITION_BITS = 23
 RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("row", "<i8"), ("lo", "<u4"), ("width", "<u2"), ("flag", "u1")])
 WINDOW = np.dtype([("key", "<u8"), ("row", "<i8"), ("lo", "<u4"), ("flag", "u1")])
