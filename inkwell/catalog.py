@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from inkwell.plans import files, live, records, runs, scores
 
+REGISTERS = [scores.Q, runs.Q, records.Q, files.Q, live.Q]
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {name: f for q in REGISTERS for name, f in q.functions.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: s for q in REGISTERS for name, s in q.sql.items()}

@@ -1,0 +1,100 @@
+"""Sources over HTTP: a data source of JSON pages, bounded downloads, model lists."""
+
+from __future__ import annotations
+
+import json
+import os
+import urllib.request
+from collections.abc import Iterator
+from urllib.parse import urlencode
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+MOST_TEXT, MOST_BYTES, TIMEOUT = 100_000, 50 << 20, 30
+EXTENSIONS = {"application/pdf": ".pdf", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png"}
+
+
+def get(url: str, parameters: dict[str, str | None] | None = None, token: str | None = None) -> tuple[int, str, bytes]:
+    """Status, content type and body; parameters that are None are left out, empty ones are sent."""
+    query = urlencode({k: v for k, v in (parameters or {}).items() if v is not None})
+    request = urllib.request.Request(f"{url}{'&' if '?' in url else '?'}{query}" if query else url)
+    if token:
+        request.add_header("Authorization", f"Bearer {token}")
+    with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
+        return answer.status, answer.headers.get_content_type(), answer.read(MOST_BYTES + 1)
+
+
+class Page(InputPartition):
+    def __init__(self, number: int) -> None:
+        super().__init__(number)
+        self.number = number
+
+
+class JsonPages(DataSource):
+    """``spark.read.format("json_pages")``: options url, pages (a partition each), page_name (parameter) and token_variable.
+
+    A row for each page: page, status, kind and body, a text of at most 100 000 characters. An error is a row, not a failed task.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "json_pages"
+
+    def schema(self) -> str:
+        return "page int, status int, kind string, body string, error string"
+
+    def reader(self, schema) -> JsonPagesReader:
+        return JsonPagesReader(dict(self.options))
+
+
+class JsonPagesReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+
+    def partitions(self) -> list[Page]:
+        return [Page(i) for i in range(1, int(self.options.get("pages", "1")) + 1)]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        o = self.options
+        try:
+            status, kind, body = get(o["url"], {o.get("page_name", "page"): str(partition.number)}, os.environ.get(o.get("token_variable", "")))
+            text = body.decode("utf-8", "replace")[:MOST_TEXT] if kind.startswith("text/") or "json" in kind else None
+            yield partition.number, status, kind, text, None
+        except OSError as e:
+            yield partition.number, None, None, None, f"{type(e).__name__}: {e}"
+
+
+def json_pages(spark: SparkSession, url: str, pages: int = 1, **options: str) -> DataFrame:
+    spark.dataSource.register(JsonPages)
+    return spark.read.format("json_pages").options(url=url, pages=pages, **options).load()
+
+
+def download(url: str, target: str) -> str:
+    """A document of a supported type, at most 50 MiB, written under another name first."""
+    with urllib.request.urlopen(url, timeout=TIMEOUT) as answer:
+        extension = EXTENSIONS.get(answer.headers.get_content_type())
+        if extension is None:
+            raise ValueError(f"unsupported type: {answer.headers.get_content_type()}")
+        path, size = target + extension, 0
+        try:
+            with open(path + ".part", "wb") as f:
+                while piece := answer.read(1 << 20):
+                    size += len(piece)
+                    if size > MOST_BYTES:
+                        raise ValueError("the document is too large")
+                    f.write(piece)
+            os.replace(path + ".part", path)
+        finally:
+            if os.path.exists(path + ".part"):
+                os.unlink(path + ".part")
+    return path
+
+
+def model_names(spark: SparkSession, host: str) -> DataFrame:
+    """The models a host offers; none if it can't be asked."""
+    try:
+        names = [m["name"] for m in json.loads(get(f"{host.rstrip('/')}/api/tags")[2])["models"]]
+    except (OSError, ValueError, KeyError, TypeError):
+        names = []
+    return spark.createDataFrame([(n,) for n in names], "name string")
