@@ -32,7 +32,7 @@ def traces(spark: SparkSession, d: str) -> DataFrame:
     return live.to_table(spark, trace.select("seq", "timing"), "append", fresh_folder(spark, "stream"))
 
 
-@Q.add("stream_running_summary", "SELECT event_type AS model, count(*) AS documents, count_if(value <= 100) AS success, CAST(sum(CASE WHEN value <= 100 THEN json_extract_string(props, '$.k')::BIGINT END) / 100 AS DOUBLE) AS score FROM events GROUP BY event_type")
+@Q.add("stream_running_summary", "SELECT event_type AS model, count(*) AS documents, count(*) FILTER (WHERE value <= 100) AS success, CAST(sum(CASE WHEN value <= 100 THEN json_extract_string(props, '$.k')::BIGINT END) / 100 AS DOUBLE) AS score FROM events GROUP BY event_type")
 def running(spark: SparkSession, d: str) -> DataFrame:
     scored, _ = live.split_late(answers(spark, d), 100.0)
     return live.to_table(spark, live.running_summary(scored), "complete", fresh_folder(spark, "stream")).withColumn("score", F.col("score").cast("double"))

@@ -103,7 +103,7 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return views.queue_counts(queue(spark, d))
 
 
-@add_sql("a13_scan_counts", "SELECT count_if(status = 'ready') AS ready, count_if(label_status = 'label_materialized') AS labels, count_if(status = 'ready' AND label_status <> 'label_materialized') AS unlabeled FROM clients", frames.CLIENTS_SQL)
+@add_sql("a13_scan_counts", "SELECT count(*) FILTER (WHERE status = 'ready') AS ready, count(*) FILTER (WHERE label_status = 'label_materialized') AS labels, count(*) FILTER (WHERE status = 'ready' AND label_status <> 'label_materialized') AS unlabeled FROM clients", frames.CLIENTS_SQL)
 def a13(spark: SparkSession, d: str) -> DataFrame:
     return views.scan_counts(frames.clients(spark, d))
 
@@ -132,7 +132,7 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return frames.results(spark, d).groupBy("model").agg(F.min("seq").alias("first"))
 
 
-@add_sql("a17_failed_counters", "SELECT model, count(*) AS processed, count_if(status = 'success') AS success, count_if(status <> 'success') AS errors FROM results GROUP BY model")
+@add_sql("a17_failed_counters", "SELECT model, count(*) AS processed, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status <> 'success') AS errors FROM results GROUP BY model")
 def a17(spark: SparkSession, d: str) -> DataFrame:
     return frames.results(spark, d).groupBy("model").agg(F.count("*").alias("processed"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") != "success").alias("errors"))
 
