@@ -99,6 +99,22 @@ class Index:
     answer_words: int = 5
     poly: Poly = field(default_factory=Poly)
 
+    def __post_init__(self) -> None:
+        self.rows = np.concatenate((self.basis, np.zeros((1, self.basis.shape[1]), np.float32)))  # the last one is for words that are no terms
+        #: Each term's place among an item's different words, and how often the item has each of these.
+        self.places, self.counts = [], []
+        for w in self.words:
+            own, count = np.unique(np.array(w, np.uint64), return_counts=True)
+            place = np.full(len(self.terms) + 1, len(own))
+            place[np.searchsorted(self.terms, own)] = np.arange(len(own))
+            self.places.append(place)
+            self.counts.append(count)
+
+    def common_words(self, item: int, terms: np.ndarray) -> float:
+        """The share of the item's words that stand among the terms in any order: no subsequence is longer."""
+        count = self.counts[item]
+        return np.minimum(np.bincount(self.places[item][terms], minlength=len(count) + 1)[: len(count)], count).sum() / len(self.words[item])
+
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """The term of each word, -1 if it is none."""
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
@@ -114,16 +130,16 @@ class Index:
         within = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
         head = np.flatnonzero(within % STRIDE == 0)  # where each block of words starts
         block_row = row[head]
-        known = np.flatnonzero(term >= 0)
-        block = np.searchsorted(head, known, "right") - 1
+        spare = len(self.terms)
+        size = np.diff(np.r_[head, len(row)])
         sums = np.zeros((len(head), self.basis.shape[1]), np.float32)
-        if len(known):
-            start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            sums[block[start]] = np.add.reduceat(self.basis[term[known]], start, axis=0)
+        for j in range(STRIDE):  # word by word of all blocks
+            at = np.minimum(head + j, len(term) - 1)
+            sums += self.rows[np.where((j < size) & (term[at] >= 0), term[at], spare)]
         passage = sums.copy()
         for d in range(1, SPAN):  # a passage is a block and the blocks behind it, in its row
-            passage[:-d] += np.where((block_row[d:] == block_row[:-d])[:, None], sums[d:], 0)
-        size = np.sqrt((passage * passage).sum(1))
+            passage[:-d] += sums[d:] * (block_row[d:] == block_row[:-d])[:, None]
+        size = np.sqrt(np.einsum("ij,ij->i", passage, passage))
         near: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for i in range(0, len(passage), 4096):
             some = slice(i, i + 4096)
@@ -143,6 +159,8 @@ class Index:
                 else:
                     regions.append([lo, hi])
             for lo, hi in regions:
+                if self.common_words(item, term[lo:hi]) < min(self.lcs, self.answered_lcs):
+                    continue
                 text = hashes[lo:hi].tolist()
                 share = common_subsequence(words, text) / len(words)
                 if share > best:
