@@ -3,10 +3,12 @@
 The benchmark's words are the terms. Their document frequencies are counted over
 all documents; the benchmark's passages become TF-IDF rows, and a distributed
 randomised SVD of that matrix gives the latent space: the tasks hold the rows and
-send products with a thin matrix, which are summed. A document is cut into
-overlapping passages; each passage's cosine with every item of the benchmark is
-computed, in blocks, and passages from ``cosine`` on are candidates. Around a
-candidate the longest common subsequence of words decides: a share of at least
+send products with a thin matrix, which are summed. A space is made for at most
+``SPACE`` items and has as many dimensions as items, so it loses nothing of them. A
+document is cut into overlapping passages; each passage's cosine with every item of
+the benchmark is computed, in blocks, and passages from ``cosine`` on are candidates.
+So is every place where ``GRAM`` words of an item (all words of a shorter one) stand
+in a row, by exact look-up. Around a candidate the longest common subsequence of words decides: a share of at least
 ``lcs`` of the item's words is a leak, and from ``answered_lcs`` on it is one if
 the item's answer (its last sentence, or what follows its last question mark)
 stands there word for word.
@@ -28,16 +30,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, Poly, narrow, text_chunks
+from .arrowtext import LOWER, Poly, mix64, narrow, text_chunks
 from .shared import kept
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Words of a block of a document, and blocks of a passage.
 STRIDE, SPAN = 12, 4
+#: Items of a latent space, which is also its greatest dimension, and words of a run that is looked up.
+SPACE, GRAM = 256, 5
 CHUNK = 1 << 20
 
 
@@ -82,14 +86,44 @@ def contains(a: list[int], b: list[int]) -> bool:
     return any(a[i : i + len(b)] == b for i, w in enumerate(a[: len(a) - len(b) + 1]) if w == b[0]) if b else False
 
 
+def runs_of(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    total = np.full(max(0, len(words) - size + 1), np.uint64(size))
+    for d in range(size):
+        total = total * np.uint64(Poly.BASE) + words[d : d + len(total)]
+    return mix64(total)
+
+
 @dataclass
-class Index:
-    """A block of the benchmark in latent space."""
+class Space:
+    """Some items of a block, in their latent space."""
 
     terms: np.ndarray  # sorted word hashes
-    idf: np.ndarray
     basis: np.ndarray  # (terms, dimensions), times idf
     vectors: np.ndarray  # (items, dimensions), unit length
+    first: int  # the first item's place in its block
+
+    def passages(self, hashes: np.ndarray, head: np.ndarray, size: np.ndarray, block_row: np.ndarray) -> np.ndarray:
+        """The latent vector of every passage, of unit length: a block and the blocks behind it, in its row."""
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        term = np.where(self.terms[at] == hashes, at, len(self.terms))
+        rows = np.concatenate((self.basis, np.zeros((1, self.basis.shape[1]), np.float32)))  # the last one is for words that are no terms
+        sums = np.zeros((len(head), self.basis.shape[1]), np.float32)
+        for j in range(STRIDE):  # word by word of all blocks
+            at = np.minimum(head + j, len(term) - 1)
+            own = np.flatnonzero((j < size) & (term[at] < len(self.terms)))
+            sums[own] += rows[term[at[own]]]
+        passage = sums.copy()
+        for d in range(1, SPAN):
+            passage[:-d] += sums[d:] * (block_row[d:] == block_row[:-d])[:, None]
+        return passage / np.maximum(np.sqrt(np.einsum("ij,ij->i", passage, passage)), 1e-9)[:, None]
+
+
+@dataclass
+class Index:
+    """A block of the benchmark: its latent spaces, and its runs of words."""
+
+    spaces: list[Space]
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
@@ -100,74 +134,78 @@ class Index:
     poly: Poly = field(default_factory=Poly)
 
     def __post_init__(self) -> None:
-        self.rows = np.concatenate((self.basis, np.zeros((1, self.basis.shape[1]), np.float32)))  # the last one is for words that are no terms
-        #: Each term's place among an item's different words, and how often the item has each of these.
-        self.places, self.counts = [], []
-        for w in self.words:
-            own, count = np.unique(np.array(w, np.uint64), return_counts=True)
-            place = np.full(len(self.terms) + 1, len(own))
-            place[np.searchsorted(self.terms, own)] = np.arange(len(own))
-            self.places.append(place)
-            self.counts.append(count)
-
-    def common_words(self, item: int, terms: np.ndarray) -> float:
-        """The share of the item's words that stand among the terms in any order: no subsequence is longer."""
-        count = self.counts[item]
-        return np.minimum(np.bincount(self.places[item][terms], minlength=len(count) + 1)[: len(count)], count).sum() / len(self.words[item])
-
-    def place(self, hashes: np.ndarray) -> np.ndarray:
-        """The term of each word, -1 if it is none."""
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
+        #: Each item's different words, sorted, and how often the item has each of these.
+        self.counts = [np.unique(np.array(w, np.uint64), return_counts=True) for w in self.words]
+        #: By their number of words: the sorted hashes of the items' runs, each one's item, and its place there.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(GRAM, len(w)) for w in self.words} - {0}):
+            own = [(i, runs_of(np.array(w, np.uint64), size)) for i, w in enumerate(self.words) if min(GRAM, len(w)) == size]
+            runs = np.concatenate([x for _, x in own])
+            order = np.argsort(runs, kind="stable")
+            item, place = np.repeat([i for i, _ in own], [len(x) for _, x in own]), np.concatenate([np.arange(len(x)) for _, x in own])
+            self.runs[size] = runs[order], item[order], place[order]
+
+    def common_words(self, item: int, words: np.ndarray) -> float:
+        """The share of the item's words that stand among the words in any order: no subsequence is longer."""
+        own, count = self.counts[item]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        return np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), count).sum() / len(self.words[item])
+
+    def shared_runs(self, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(word, item, place) of every run of an item's words: where it starts in the text and in the item."""
+        for size, (runs, items, places) in self.runs.items():
+            found = runs_of(hashes, size)
+            at = np.searchsorted(runs, found)
+            hit = np.flatnonzero((runs[np.minimum(at, len(runs) - 1)] == found) & (row[: len(found)] == row[size - 1 :]))
+            for w, lo, hi in zip(hit.tolist(), at[hit].tolist(), np.searchsorted(runs, found[hit], "right").tolist(), strict=True):
+                for k in range(lo, hi):
+                    yield w, int(items[k]), int(places[k])
 
     def leaks(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
         """(row, item, cosine, share of the item's words in order, answer found) of every leak."""
         hashes, row = hashed_words(raw, offsets, self.poly)
-        if not len(hashes) or not len(self.ids):
+        if not len(hashes) or not self.spaces:
             return []
-        term = self.place(hashes)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         within = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
         head = np.flatnonzero(within % STRIDE == 0)  # where each block of words starts
         block_row = row[head]
-        spare = len(self.terms)
         size = np.diff(np.r_[head, len(row)])
-        sums = np.zeros((len(head), self.basis.shape[1]), np.float32)
-        for j in range(STRIDE):  # word by word of all blocks
-            at = np.minimum(head + j, len(term) - 1)
-            sums += self.rows[np.where((j < size) & (term[at] >= 0), term[at], spare)]
-        passage = sums.copy()
-        for d in range(1, SPAN):  # a passage is a block and the blocks behind it, in its row
-            passage[:-d] += sums[d:] * (block_row[d:] == block_row[:-d])[:, None]
-        size = np.sqrt(np.einsum("ij,ij->i", passage, passage))
-        near: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i in range(0, len(passage), 4096):
-            some = slice(i, i + 4096)
-            c = passage[some] @ self.vectors.T / np.maximum(size[some], 1e-9)[:, None]
-            for p, item in zip(*(x.tolist() for x in np.nonzero(c >= self.cosine)), strict=True):
-                near.setdefault((int(block_row[i + p]), item), []).append((i + p, float(c[p, item])))
+        runs: dict[int, list[tuple[int, int, int]]] = {}
+        for w, item, place in self.shared_runs(hashes, row):
+            runs.setdefault(item // SPACE, []).append((w, item, place))
+        near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}  # from and to which word, cosine
+        for space in self.spaces:
+            passage = space.passages(hashes, head, size, block_row)
+            for i in range(0, len(passage), 4096):
+                c = passage[i : i + 4096] @ space.vectors.T
+                for p, item in zip(*(x.tolist() for x in np.nonzero(c >= self.cosine)), strict=True):
+                    margin = len(self.words[space.first + item]) // 2
+                    at = int(head[i + p])
+                    near.setdefault((int(block_row[i + p]), space.first + item), []).append((at - margin, at + STRIDE * SPAN + margin, float(c[p, item])))
+            for w, item, place in runs.get(space.first // SPACE, ()):
+                words, p = len(self.words[item]), int(np.searchsorted(head, w, "right")) - 1
+                near.setdefault((int(row[w]), item), []).append((w - place - words // 2, w - place + words + words // 2, float(passage[p] @ space.vectors[item - space.first])))
         out = []
         for (r, item), found in near.items():
-            words, best, answered = self.words[item], 0.0, False
+            words, best = self.words[item], (False, 0.0, False)
             a, b = int(np.searchsorted(row, r)), int(np.searchsorted(row, r, "right"))
-            margin = len(words) // 2
             regions: list[list[int]] = []
-            for p, _ in found:
-                lo, hi = max(a, int(head[p]) - margin), min(b, int(head[p]) + STRIDE * SPAN + margin)
-                if regions and lo <= regions[-1][1] and hi - regions[-1][0] <= 4 * len(words) + 4 * STRIDE * SPAN:
-                    regions[-1][1] = hi
+            for lo, hi, _ in sorted(found):
+                lo, hi = max(a, lo), min(b, hi)
+                if regions and lo <= regions[-1][1] and max(hi, regions[-1][1]) - regions[-1][0] <= 4 * len(words) + 4 * STRIDE * SPAN:
+                    regions[-1][1] = max(hi, regions[-1][1])
                 else:
                     regions.append([lo, hi])
             for lo, hi in regions:
-                if self.common_words(item, term[lo:hi]) < min(self.lcs, self.answered_lcs):
+                if self.common_words(item, hashes[lo:hi]) < min(self.lcs, self.answered_lcs):
                     continue
-                text = hashes[lo:hi].tolist()
+                text, answer = hashes[lo:hi].tolist(), self.answers[item]
                 share = common_subsequence(words, text) / len(words)
-                if share > best:
-                    answer = self.answers[item]
-                    best, answered = share, len(answer) >= self.answer_words and contains(text, answer)
-            if best >= self.lcs or best >= self.answered_lcs and answered:
-                out.append((r, item, max(c for _, c in found), best, answered))
+                answered = share >= self.answered_lcs and len(answer) >= self.answer_words and contains(text, answer)
+                best = max(best, (share >= self.lcs or answered, share, answered))
+            if best[0]:
+                out.append((r, item, max(c for *_, c in found), *best[1:]))
         return out
 
 
@@ -221,29 +259,38 @@ def document_frequencies(documents: DataFrame, terms: np.ndarray) -> tuple[np.nd
     return np.array([by_term.get(i, 0) for i in range(len(terms))]), by_term.get(-1, 0)
 
 
-def build(documents: DataFrame, items: list[tuple[int, str]], dimensions: int = 128, **options) -> Index:
+def build(documents: DataFrame, items: list[tuple[int, str]], **options) -> Index:
     """The index of one block of the benchmark, with frequencies from ``documents`` (doc_id, text)."""
-    spark = documents.sparkSession
     words = [words_of(t) for _, t in items]
     terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
     if not len(terms):
-        return Index(terms, np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1)), [], [], [], **options)
+        return Index([], [], [], [], **options)
     there, n = document_frequencies(documents, terms)
     idf = np.log(1 + n / (1 + there))
+    spaces = [space_of(documents.sparkSession, terms, idf, words[i : i + SPACE], i) for i in range(0, len(words), SPACE)]
+    return Index([s for s in spaces if len(s.terms)], [i for i, _ in items], [w.tolist() for w in words], [answer_of(t).tolist() for _, t in items], **options)
+
+
+def space_of(spark: SparkSession, terms: np.ndarray, idf: np.ndarray, words: list[np.ndarray], first: int) -> Space:
+    """The latent space of a few items, of as many dimensions."""
+    own = np.unique(np.concatenate(words))
+    idf = idf[np.searchsorted(terms, own)]
+    if not len(own):
+        return Space(own, np.zeros((0, 1), np.float32), np.zeros((len(words), 1), np.float32), first)
     rows = []
     for w in words:
-        at, count = np.unique(np.searchsorted(terms, w), return_counts=True)
+        at, count = np.unique(np.searchsorted(own, w), return_counts=True)
         x = count * idf[at]
         rows.append((at.tolist(), (x / max(np.sqrt((x * x).sum()), 1e-12)).tolist()))
     table = kept(spark.createDataFrame(rows, "places array<long>, weights array<double>"))
-    space = latent_space(table, len(terms), len(items), dimensions)
+    space = latent_space(table, len(own), len(words), len(words))
     vectors = np.array([np.array(x) @ space[np.array(at, np.int64)] for at, x in rows])
     size = np.sqrt((vectors * vectors).sum(1, keepdims=True))
     vectors = np.where(size > 1e-9, vectors / np.maximum(size, 1e-9), 0)
-    return Index(terms, idf, (space * idf[:, None]).astype(np.float32), vectors.astype(np.float32), [i for i, _ in items], [w.tolist() for w in words], [answer_of(t).tolist() for _, t in items], **options)
+    return Space(own, (space * idf[:, None]).astype(np.float32), vectors.astype(np.float32), first)
 
 
-def indexes(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, **options) -> Iterator[Index]:
+def indexes(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20, **options) -> Iterator[Index]:
     """The benchmark's blocks, each of about ``block_bytes`` of text at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

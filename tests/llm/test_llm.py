@@ -526,3 +526,26 @@ def test_pipeline_drops_what_is_similar(spark, documents):
     label = plain_components({r.doc_id: r.text for r in documents.collect()})
     assert set(left) == {i for i in label if label[i] == i}
     assert {145, 177}.isdisjoint(left)  # at 0.83 of 6 and 1, but 7 and 11 bits away
+
+
+def test_leaks_of_a_large_benchmark(spark):
+    r = random.Random(15)
+    words = [f"v{min(int(r.paretovariate(0.35)), 40_000)}" for _ in range(120_000)]
+    items = [words[i * 30 : i * 30 + r.randint(15, 30)] for i in range(3000)]
+    texts, want = [], set()
+    for n, item in enumerate(r.sample(range(3000), 240)):
+        copy = list(items[item])
+        for k in r.sample(range(len(copy)), [0, len(copy) // 5, len(copy) * 7 // 20][n % 3]):
+            copy[k] = f"other{r.randrange(9999)}"
+        pad = [[r.choice(words) for _ in range(60)] for _ in range(2)]
+        texts.append(" ".join(pad[0] + copy + pad[1]))
+        row = [0] * (len(texts[-1].split()) + 1)
+        for x in items[item]:
+            row = next_row(row, x, texts[-1].split())
+        if row[-1] >= 0.6 * len(items[item]):
+            want.add((n, item, n % 3))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in latent_leaks.find(docs(spark, texts), benchmark).collect()}
+    assert len(want) == 240
+    lost = [sum(p == part and (d, i) not in got for d, i, p in want) for part in range(3)]
+    assert lost[0] == lost[1] == 0 and lost[2] <= 1, lost
