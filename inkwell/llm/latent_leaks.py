@@ -11,7 +11,8 @@ So is every place where ``GRAM`` words of an item (all words of a shorter one) s
 in a row, by exact look-up. Around a candidate the longest common subsequence of words decides: a share of at least
 ``lcs`` of the item's words is a leak, and from ``answered_lcs`` on it is one if
 the item's answer (its last sentence, or what follows its last question mark)
-stands there word for word.
+stands there word for word; an answer of under ``answer_words`` words is taken with
+the words before it.
 
 The benchmark is taken in blocks of at most ``block_bytes`` of text; what a task
 gets is bounded by that, not by the size of benchmark or corpus. Documents are
@@ -134,6 +135,7 @@ class Index:
     poly: Poly = field(default_factory=Poly)
 
     def __post_init__(self) -> None:
+        self.answers = [w[-self.answer_words :] if 0 < len(a) < self.answer_words else a for w, a in zip(self.words, self.answers, strict=True)]
         #: Each item's different words, sorted, and how often the item has each of these.
         self.counts = [np.unique(np.array(w, np.uint64), return_counts=True) for w in self.words]
         #: By their number of words: the sorted hashes of the items' runs, each one's item, and its place there.
@@ -202,7 +204,7 @@ class Index:
                     continue
                 text, answer = hashes[lo:hi].tolist(), self.answers[item]
                 share = common_subsequence(words, text) / len(words)
-                answered = share >= self.answered_lcs and len(answer) >= self.answer_words and contains(text, answer)
+                answered = share >= self.answered_lcs and contains(text, answer)
                 best = max(best, (share >= self.lcs or answered, share, answered))
             if best[0]:
                 out.append((r, item, max(c for *_, c in found), *best[1:]))

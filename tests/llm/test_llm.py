@@ -549,3 +549,18 @@ def test_leaks_of_a_large_benchmark(spark):
     assert len(want) == 240
     lost = [sum(p == part and (d, i) not in got for d, i, p in want) for part in range(3)]
     assert lost[0] == lost[1] == 0 and lost[2] <= 1, lost
+
+
+def test_short_answers_count_with_the_words_before_them():
+    item = "one two three four five six seven eight nine ten is it so? Yes indeed."
+    words, answer = latent_leaks.words_of(item), latent_leaks.answer_of(item)
+    space = latent_leaks.Space(np.unique(words), np.zeros((15, 1), np.float32), np.zeros((1, 1), np.float32), 0)
+    index = latent_leaks.Index([space], [7], [words.tolist()], [answer.tolist()])
+
+    def leaks(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [(x[1], x[4]) for x in index.leaks(raw, np.array([0, len(raw)]))]
+
+    assert len(answer) == 2 and len(index.answers[0]) == 5
+    assert leaks("a one b two c three d is it so yes indeed") == [(0, True)]  # 8 of 15 words
+    assert leaks("one two three four five is yes indeed") == []  # as many, the answer not word for word
