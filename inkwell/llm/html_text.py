@@ -1,19 +1,24 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat blocks of text at its block-level tags. Each block has
-its word count and link density, those of its neighbours, its kind of tag and
-the containers it stands in. A decision tree (Gini splits), trained on the small
-labelled pages below, says which blocks belong to the article.
+its word count, link density and text density, those of both neighbours, its
+kind of tag, and what its containers hold. A decision tree (Gini splits),
+trained on the small labelled table below, says which blocks belong to the
+article. A class name alone never decides: it counts with the share of the page
+that the element of this name holds.
 
 Defined cases: a null or empty page, and one without an article block, gives an
-empty text; a page may have any size and is read whole; unclosed tags, comments
-and scripts run to where HTML ends them or to the end of the page; repeated rows
-give repeated results.
+empty text; a page may have any size and is read whole, in time in proportion;
+a block without a neighbour has its own values in the neighbour's place;
+comments, scripts and tags that are never closed run to the end of the page, as
+in HTML; a "<" that opens no tag is text; character references beyond Unicode
+become U+FFFD; repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -23,109 +28,213 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: What may end a tag or open a quoted value in it, and the name of a tag.
+STOP, NAME = re.compile(r">|=\s*[\"']"), re.compile(r"/?([a-zA-Z][^\s/>]*)")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+#: Elements whose content is no text of the page; the first ones hold no markup either.
+RAW = frozenset("script style textarea iframe xmp noembed noframes".split())
+SKIPPED = RAW | frozenset("noscript template svg math object canvas select audio video".split())
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in SKIPPED}
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BLOCKS = HEADINGS | frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody tfoot thead title tr ul".split())
+LISTS = frozenset("li dt dd tr caption figcaption".split())
+PROSE = HEADINGS | LISTS | frozenset("p blockquote pre".split())
+BLOCKS = PROSE | frozenset("address article aside body button center details dialog div dl fieldset figure footer form head header hgroup hr html label legend main menu nav ol option search section summary table tbody tfoot thead title ul".split())
+#: Tags whose content belongs to the container around them.
+CARRIERS = frozenset("ul ol dl table tbody thead tfoot hgroup".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
-AROUND = frozenset("nav footer aside form menu dialog head title button fieldset".split())
-INSIDE = frozenset("article main".split())
-#: Words of class names, ids and roles that mark what stands around an article.
-AROUND_MARKS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer foot gdpr header headerbar masthead legal login menu modal nav navbar navigation newsletter notice notification overlay paywall popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget alert warning pagination pager".split())
-INSIDE_MARKS = frozenset("article content entry main post story text".split())
+#: Tags that by their meaning hold no article text.
+BESIDE = frozenset("nav footer aside form menu dialog head title button fieldset label search".split())
+#: Words of class names, ids and roles; those in SOFT don't count beside one of OWN.
+HARD = frozenset("ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe".split())
+SOFT = frozenset("banner copyright footer header masthead notice overlay toolbar widget".split())
+OWN = frozenset("article body content entry main post story text title".split())
+
+NAMES = (
+    "words", "links", "density", "words_before", "words_after", "links_before", "links_after", "density_before", "density_after",
+    "sentence", "heading", "list", "prose", "in_core", "has_core", "beside", "page_header", "container_share", "marked_share",
+)
+COLUMNS = 80
 
-NAMES = ("words", "link_density", "heading", "paragraph", "item", "inside", "around", "marked_inside", "marked_around", "header", "words_before", "words_after", "links_before", "links_after")
+
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    marked: bool = False
+    words: int = 0
+    plain: int = 0  # words outside links, not those of elements inside that are containers
 
 
 @dataclass
 class Block:
+    element: int = 0
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     words: int = 0
-    tag: str = ""
-    state: tuple[int, ...] = (0, 0, 0, 0, 0)
     text: str = ""
 
 
-def marks_of(attributes: str) -> set[str]:
-    return {p.lower() for m in MARKS.findall(attributes) for p in PARTS.findall("".join(m))}
+def is_marked(tag: str, attributes: str) -> bool:
+    """Whether a class name, id or role speaks against the element; one of a paragraph or the like must do so with every word."""
+    words = [p.lower() for m in MARKS.findall(attributes) for p in PARTS.findall("".join(m))]
+    if not words or tag in ("html", "body", "main"):
+        return False
+    if tag in PROSE:
+        return all(w in HARD or w in SOFT for w in words)
+    if tag == "article":
+        return any(w in HARD for w in words) and not any(w in OWN for w in words)
+    return any(w in HARD for w in words) or any(w in SOFT for w in words) and not any(w in OWN for w in words)
+
+
+def tag_end(html: str, at: int) -> int:
+    """The position behind the tag that begins before ``at``, -1 if it is never closed."""
+    while m := STOP.search(html, at):
+        if m[0] == ">":
+            return m.end()
+        at = html.find(m[0][-1], m.end()) + 1
+        if not at:
+            break
+    return -1
+
 
+def clean(text: str) -> str:
+    """Character references decoded, white space as single spaces."""
+    if "&#" in text:
+        text = HUGE.sub("�", ZEROS.sub("&#", text))
+    return " ".join(unescape(text).split())
 
-def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page, in order, with what stands around them."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
-    state, now, link, at = (0, 0, 0, 0, 0), Block(), False, 0
+
+def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
+    """The text blocks of a page, in order, and its block-level elements; an element comes after its parent."""
+    blocks: list[Block] = []
+    elements, stack, opened = [Element("", -1)], [0], Counter()
+    now, link, at, unclosed = Block(), 0, 0, set()  # link: how deep the stack was where a link began, 0 outside of links
 
     def put(text: str) -> None:
         if text:
             now.pieces.append(text)
-            if text.strip():
-                n = len(text.split())
-                now.words += n
-                now.linked += n * link
+            n = len(text.split())
+            now.words += n
+            now.linked += n * bool(link)
 
     def end() -> None:
-        nonlocal now, link
-        text = " ".join(unescape("".join(now.pieces)).split())
-        if text:
-            now.text, now.state = text, state
-            now.tag = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-            out.append(now)
-        now, link = Block(), False
-
-    for m in TOKEN.finditer(html):
-        put(html[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
+        nonlocal now
+        if now.words:
+            now.text, now.element = clean("".join(now.pieces)), stack[-1]
+            if now.text:
+                blocks.append(now)
+            now = Block()
+        else:
+            now.pieces.clear()
+
+    def pop() -> None:
+        nonlocal link
+        opened[elements[stack.pop()].tag] -= 1
+        if len(stack) < link:
+            link = 0
+
+    while (i := html.find("<", at)) >= 0:
+        m = NAME.match(html, i + 1)
+        if not m and html[i + 1 : i + 2] not in ("!", "?"):
+            put(html[at : i + 1])
+            at = i + 1
+            continue
+        put(html[at:i])
+        if html.startswith("<!--", i):
+            at = html.find("-->", i + 4) + 3
+            if at == 2:
+                at = len(html)
+            continue
+        if not m:
+            at = html.find(">", i) + 1 or len(html)
             continue
-        if name == "a":
-            link = not m[2]
+        at = tag_end(html, m.end())
+        if at < 0:
+            at = len(html)
+            break
+        name, closes = m[1].lower(), html[i + 1] == "/"
+        if name in SKIPPED:
+            if closes or name in unclosed or name in ("svg", "math") and html[at - 2] == "/":
+                continue
+            if (over := CLOSING[name].search(html, at)) is not None:
+                at = tag_end(html, over.end())
+            elif name in RAW:
+                at = -1
+            else:
+                unclosed.add(name)
+            if at < 0:
+                at = len(html)
+        elif name == "a":
+            link = 0 if closes else len(stack)
         elif name in ("br", "td", "th", "img", "input"):
             put(" ")
-        elif name in BLOCKS and m[2]:
+        elif name in BLOCKS and closes:
             end()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    state = stack[i][1]
-                    del stack[i:]
-                    break
+            if opened[name]:
+                while elements[stack[-1]].tag != name:
+                    pop()
+                pop()
         elif name in BLOCKS:
             end()
-            if stack and stack[-1][0] == "p" or stack and name == stack[-1][0] in ("li", "dt", "dd", "tr", "option"):
-                state = stack.pop()[1]
+            top = elements[stack[-1]].tag
+            if top == "p" or name == top and name in ("li", "dt", "dd", "tr", "option"):
+                pop()
             if name not in VOID:
-                stack.append((name, state))
-                marks = marks_of(m[4]) if m[4] else set()
-                inside, around, marked_inside, marked_around, header = state
-                state = (
-                    inside + (name in INSIDE),
-                    around + (name in AROUND),
-                    marked_inside + bool(marks & INSIDE_MARKS),
-                    marked_around + (name not in ("body", "html", "article", "main") and bool(marks & AROUND_MARKS)),
-                    header + (name == "header" and not inside),
-                )
+                elements.append(Element(name, stack[-1], is_marked(name, html[m.end() : at])))
+                stack.append(len(elements) - 1)
+                opened[name] += 1
     put(html[at:])
     end()
-    return out
-
+    return blocks, elements
+
+
+def features(blocks: list[Block], elements: list[Element]) -> np.ndarray:
+    """A row of NAMES for each block, in time in proportion to blocks and elements."""
+    for b in blocks:
+        elements[b.element].words += b.words
+    for e in reversed(elements):
+        if e.parent >= 0:
+            elements[e.parent].words += e.words
+    # from parents to children: containers, and what the tags and names around say
+    beside, header, marked, container = [False], [False], [False], [0]
+    for i, e in enumerate(elements[1:], 1):
+        p = e.parent
+        beside.append(beside[p] or e.tag in BESIDE)
+        marked.append(marked[p] or e.marked)
+        container.append(container[p] if e.tag in PROSE or e.tag in CARRIERS else i)
+    for b in blocks:
+        elements[container[b.element]].plain += b.words - b.linked
+    most = max([e.plain for e in elements] + [1])
+    clear = max((e.plain for e, x, y in zip(elements, beside, marked, strict=True) if not (x or y)), default=0)
+    share, articles = [1.0], {"article": [], "main": []}
+    for i, e in enumerate(elements[1:], 1):
+        share.append(min(share[e.parent], e.words / max(e.words + clear, 1)) if e.marked else share[e.parent])
+        if e.tag in articles and e.words and not beside[i]:
+            articles[e.tag].append(i)
+    # the articles without a mark are the core, else main, else the articles that hold most of the page
+    for found in ([i for i in articles["article"] if not marked[i]], articles["main"], [i for i in articles["article"] if share[i] > 0.8]):
+        if found:
+            break
+    core, found = [False], set(found)
+    for i, e in enumerate(elements[1:], 1):
+        core.append(core[e.parent] or i in found)
+        header.append(header[e.parent] or e.tag == "header" and not core[i])
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """A row of NAMES for each block."""
     out = np.zeros((len(blocks), len(NAMES)))
     for x, b in zip(out, blocks, strict=True):
-        x[:10] = b.words, b.linked / max(b.words, 1), b.tag in HEADINGS, b.tag == "p", b.tag == "li", *(min(v, 1) for v in b.state)
-    out[1:, 10], out[:-1, 11] = out[:-1, 0], out[1:, 0]
-    out[1:, 12], out[:-1, 13] = out[:-1, 1], out[1:, 1]
+        e = elements[b.element]
+        x[:3] = b.words, b.linked / b.words, b.words / max(1.0, len(b.text) / COLUMNS)
+        x[9:13] = b.text[-1] in ".!?…:;\"”»)。！？", e.tag in HEADINGS, e.tag in LISTS, e.tag in PROSE
+        x[13:17] = core[b.element], bool(found), beside[b.element], header[b.element]
+        x[17:] = elements[container[b.element]].plain / most, share[b.element]
+    before, after = np.r_[0, : len(out) - 1], np.r_[1 : len(out), len(out) - 1]
+    if len(out):
+        x = out[:, :3].copy()
+        out[:, [3, 5, 7]], out[:, [4, 6, 8]] = x[before], x[after]
     return out
 
 
@@ -146,88 +255,131 @@ class Tree:
             at = np.where(inner, np.where(go, self.left[at], self.right[at]), at)
         return self.label[at]
 
+    def rules(self, node: int = 0, depth: int = 0) -> str:
+        """The tree as text."""
+        if self.column[node] < 0:
+            return "  " * depth + ("article" if self.label[node] else "other") + "\n"
+        head = f"{'  ' * depth}{NAMES[self.column[node]]} <= {self.cut[node]:.3g}\n"
+        return head + self.rules(self.left[node], depth + 1) + self.rules(self.right[node], depth + 1)
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
-    """Best Gini split at each node until it is pure or ``depth`` is reached."""
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> Tree:
+    """Best Gini split at each node until it is pure, ``depth`` is reached, or a side would hold under ``least`` rows; of equal splits the earlier column."""
     nodes: list[list] = []
 
-    def gini(left: np.ndarray) -> float:
-        return sum(len(s) * 2 * s.mean() * (1 - s.mean()) for s in (y_now[left], y_now[~left]) if len(s))
+    def best_split(x: np.ndarray, y: np.ndarray) -> tuple[float, int, float] | None:
+        best = None
+        for c in range(x.shape[1]):
+            order = np.argsort(x[:, c], kind="stable")
+            v, ones, n = x[order, c], np.cumsum(y[order]), np.arange(1, len(y) + 1)
+            cuts = np.flatnonzero(v[1:] > v[:-1])
+            cuts = cuts[(cuts + 1 >= least) & (cuts + 1 <= len(y) - least)]
+            if not len(cuts):
+                continue
+            a, k = ones[cuts], n[cuts]
+            b, m = ones[-1] - a, len(y) - k
+            impurity = a * (k - a) / k + b * (m - b) / m
+            i = int(np.argmin(impurity))
+            if best is None or impurity[i] < best[0] - 1e-9:
+                best = float(impurity[i]), c, float(v[cuts[i]] + v[cuts[i] + 1]) / 2
+        return best
 
     def build(rows: np.ndarray, left_over: int) -> int:
-        nonlocal y_now
         i = len(nodes)
         nodes.append([-1, 0.0, 0, 0, int(y[rows].mean() >= 0.5)])
-        if left_over and 0 < y[rows].mean() < 1:
-            y_now, best = y[rows], None
-            for c in range(x.shape[1]):
-                values = np.unique(x[rows, c])
-                for cut in (values[1:] + values[:-1]) / 2:
-                    found = gini(x[rows, c] <= cut)
-                    if best is None or found < best[0] - 1e-12:
-                        best = found, c, cut
-            if best:
-                go = x[rows, best[1]] <= best[2]
-                nodes[i][:2] = best[1], best[2]
-                nodes[i][2] = build(rows[go], left_over - 1)
-                nodes[i][3] = build(rows[~go], left_over - 1)
+        if left_over and 0 < y[rows].mean() < 1 and (best := best_split(x[rows], y[rows])):
+            go = x[rows, best[1]] <= best[2]
+            nodes[i][:2] = best[1], best[2]
+            nodes[i][2] = build(rows[go], left_over - 1)
+            nodes[i][3] = build(rows[~go], left_over - 1)
         return i
 
-    y_now = y
     build(np.arange(len(y)), depth)
     return Tree(*(np.array(c) for c in zip(*nodes, strict=True)))
 
 
-#: The labelled pages. A block of the article begins with +, any other with -.
+#: The labelled table: pages in which a sign and a number stand for a block of so many words: + is of the article, - is not,
+#: = goes on with the block; a full stop ends a sentence.
 LABELLED = (
-    """<html><head><title>-The long road home</title></head><body><header class="site-header"><h1>-Daily Gazette</h1><p>-News since nineteen ten for everyone in town</p></header>
-    <nav><ul><li><a href="/">-Home</a></li><li><a href="/w">-World</a></li><li><a href="/s">-Sport and games</a></li></ul></nav>
-    <div class="ad">-Buy two pairs of shoes and get the third one free today.</div>
-    <article><h1>+The long road home</h1><p>+It had rained all night and the road was deep in mud when they set out for home again.</p><p>+Nobody spoke.</p>
-    <p>+They walked past the <a href="/mill">old mill</a> and over the bridge, and by noon they saw the church tower.</p><h2>+Evening</h2><p>+Rest.</p><ul><li>+Bread and cheese for everyone</li><li>+Warm milk</li></ul></article>
-    <aside><h3>-Most read</h3><p>-A storm is coming to the coast this week, say the people who know.</p></aside>
-    <footer>-All rights reserved by the owners of this paper and its printers.</footer></body></html>""",
-    """<body><div id="cookie-notice"><p>-We use cookies to make this site work better for you and for our partners.</p></div><div class="menu"><a href="/a">-Start</a><a href="/b">News</a></div>
-    <div class="content"><h2>+How bees find flowers</h2><p>+Bees see colours that we do not see, and flowers wear them like signs beside a road.</p><p>+A bee that has found a good field dances for the others when it comes back to the hive.</p><blockquote>+They never forget a field, said the keeper, who has had hives for thirty years.</blockquote><p>+It is so.</p></div>
-    <div class="sidebar"><p>-Our shop has new jars of honey from the hills in the north, order now.</p></div>
-    <section id="comments"><h3>-Comments</h3><div class="comment"><p>-I have watched bees in my garden for years and this is all true, thank you.</p></div><form><label>-Your name</label><p>-Please be kind when you write to other readers here.</p><button>-Send</button></form></section>
-    <div class="footer"><p>-Write to us at any time, we read every letter that you send.</p></div></body>""",
-    """<body><ul><li><a href="/1">-Index</a></li><li><a href="/2">-Archive of all the years</a></li></ul><h1>+A note on clocks</h1><p>+Clocks were once set by the sun, and each town had a time of its own until the railways came.</p><p>+Then one hour held for all the land, and the town clocks were set by wire every morning.</p>
-    <p><a href="/3">-Next page</a> <a href="/4">Last page</a></p><p><a href="/5">-See also how the calendar was changed in one night</a></p></body>""",
-    """<body><nav>-You are here</nav><main><h1>+Soup for a cold day</h1><p>+Cut the roots small and let them stew with salt for as long as you like.</p><table><tr><td>+Roots</td><td>one pound</td></tr><tr><td>+Salt</td><td>a spoon</td></tr></table><div class="share"><p>-Tell your friends about this page and let them cook it as well</p></div><p>+Serve hot.</p><div class="related"><h3>-More recipes</h3><ul><li><a href="/r">-Bread soup with onions</a></li></ul></div></main><footer><p>-Made with love in a small kitchen by two people.</p><ul><li><a href="/i">-Imprint</a></li></ul></footer></body>""",
-    """<body><div class="banner">-Sale</div><article><header><h1>+Notes from the harbour</h1></header><section><p>+Four ships came in.</p><p>+One left with the tide before anyone was awake to see it go.</p><pre>+Tide table of the week</pre></section><div class="ad">-Sail with us to the islands, cabins from ten a night.</div><form><p>-Enter your address and we will send you a letter each week.</p></form><p>+The others stay.</p><footer>-Filed under harbour and ships</footer></article><div class="notice">-This page was moved here from our old site last spring.</div></body>""",
-    """<body><p>-Log in</p><ul><li>-Weather</li></ul><article><p>+Go.</p><p>+<a href="/q">The whole of this report is found at our partner, who wrote it</a></p><p>+No.</p><p>+<a href="/m">Map</a></p></article><div><p>-Off</p></div></body>""",
-    """<body><p>-Log in</p><div><p>+On the third day the wind turned and the snow began to melt on the southern slopes.</p><p>+By the end of the week there was grass again, and the herds were driven up to it.</p></div><p><a href="/x">-Top</a></p></body>""",
-)
+    # tags tell: articles with short and long blocks, advertisements and forms beside and inside
+    "<head><title>-5</title></head><body><header><h1>-2</h1><p>-8.</header><nav><ul><li><a>-1</a><li><a>-1</a><li><a>-4</a></ul></nav><div class=ad>-11.</div><article><h1>+4</h1><p>+17.<p>+2.<p>+9 <a>=2</a> =9.<h2>+1</h2><p>+1.<ul><li>+5<li>+2</ul></article><aside><h3>-2</h3><p>-14.</aside><footer>-12.</footer>",
+    "<body><nav>-3</nav><div>-7.</div><article><h1>+9</h1><p>+61.<p>+1.<p>+120.<blockquote>+14.</blockquote><p>+1</article><footer>-9</footer>",
+    "<title>-6</title><nav><a>-1</a> <a>=2</a></nav><div class=ad>-30.</div><article><h1>+12</h1><p>+1.<p>+3.</article><footer>-15.</footer>",
+    "<article><h1>+2</h1><p>+1<p>+1<p>+1</article>",
+    "<div><a>-2</a><a>-3</a></div><article><h1>+3</h1><p>+2.<p>+6.</article><div><p>-34.<p>-47.</div><div>-9.</div>",
+    "<section><p>-25.<p>-6.</section><article><p>+14.<p>+1.<p>+3.</article><section><p>-61.<p>-19.<p>-3.</section>",
+    "<div>-16.</div><article><h1>+5</h1><p>+4.</article><div>-22.</div><p>-38.<p>-2.",
+    "<p>-11.<main><h1>+2</h1><p>+8.<p>+2.</main><p>-29.<p>-31.<ul><li>-4<li>-2</ul>",
+    "<article><h1>+6</h1><p>+20 <a>=3</a>.<p><a>+5</a><p><a>+14.</a><ul><li><a>+2</a><li><a>+7</a></ul><p>+26.</article>",
+    "<article><p><a>+3</a><p>+4.<p><a>+8</a><p><a>+1</a></article><footer><p><a>-3</a></footer>",
+    "<nav>-2</nav><article><h1>+4</h1><section><h2>+2</h2><p>+60.<p>+18.</section><section><h2>+3</h2><p>+2.<p>+9.</section><div><p>+1.<p>+25.</div><div>+12.</div><div>+2</div><section><p><a>+3</a><p><a>+11</a></section></article><div>-3</div><div><p>-40.<p>-2.</div>",
+    "<div>-5</div><article><div><h1>+7</h1><p>+3</div><div><p>+140.<p>+2.<p>+95.<p>+64.</div><div><p>+1.<ul><li><a>+2</a><li><a>+6</a><li>+3</ul></div><div><h3>+2</h3><p>+15.</div></article><div><p>-52.<p>-33.<p>-1.</div><div><a>-2</a></div>",
+    "<article><div><p>+2.</div><div><p>+88.</div><div><p>+1</div><figure><figcaption>+8.</figcaption></figure><div><p>+70.<p>+5.</div></article><section><h2>-2</h2><p>-30.<p>-48.<p>-2.</section>",
+    "<main><section><h1>+3</h1><p>+4.</section><section><p>+75.<p>+1.<p>+66.</section><section><h2>+1</h2><p>+3.<p><a>+4</a></section><div>+2.</div></main><div><p>-28.<p>-36.</div>",
+    "<title>-3</title><article><h2>+3</h2><p>+2.<p>+6<p>+4.</article>",
+    "<body><article><header><h1>+3</h1><p>+4</header><section><p>+3.<p>+13.<pre>+5</pre></section><div class=ad>-9.</div><form><p>-13.</form><p>+3.<footer>-5</footer></article><div class=notice>-10.</div>",
+    "<body><p>-2<ul><li>-1</ul><article><p>+1.<p><a>+12.</a><p>+1.<p class=lead-banner>+18.<p><a>+1</a></article><div><p>-1</div>",
+    "<article><h1>+5</h1><p>+33.<div class=related><h3>-2</h3><ul><li><a>-5</a><li><a>-4</a></ul></div><p>+41.<div class='ad box'>-4</div><p>+2.</article><section class=comments><h3>-1</h3><article class=comment><p>-26.</article><article class=comment><p>-44.</article></section>",
+    "<article><h1>+4</h1><div>+35.</div><div>+28.</div><div>+3.</div></article><div>-20.</div>",
+    "<article><p class=cookie-notice>-9.<h1>+6</h1><p>+22.<table><tr><td>+2<td>=3<tr><td>+1<td>=2</table><p>+8.</article>",
+    "<main><nav><a>-2</a></nav><h1>+5</h1><p>+19.<table><tr><td>+1<td>=2<tr><td>+2<td>=1</table><div class=share><p>-13.</div><p>+2.<div class=related><h3>-2</h3><ul><li><a>-4</a></ul></div></main><footer><p>-9.<ul><li><a>-1</a></ul></footer>",
+    "<main><div class='post-content'><h1>+7</h1><p>+25.<p>+3.<ul><li>+12.<li>+3</ul></div><aside><article><p>-21.</article></aside><div class=sidebar><p>-18.<p>-2</div></main><div>-6</div>",
+    "<body><header class=site-header><p>-7.</header><main><header><h1>+6</h1></header><p>+48.<p>+31.<button>-1</button><p>+1.</main><p>-16.",
+    # names tell, with the share of the page that the named element holds
+    "<body><div id=cookie-notice><p>-15.</div><div class=menu><a>-1</a><a>=1</a></div><div class=content><h2>+4</h2><p>+16.<p>+20.<blockquote>+13.</blockquote><p>+3.</div><div class=sidebar><p>-16.</div><section id=comments><h3>-1</h3><div class=comment><p>-16.</div><form><label>-2</label><p>-11.<button>-1</button></form></section><div class=footer><p>-13.</div>",
+    "<body><div class=navbar>-4</div><div class='story promo'><h1>+6</h1><p>+37.<p>+52.<p>+2.<p>+29.</div><div class=promo>-6.</div>",
+    "<body><div class=story><h1>+5</h1><p>+24.<p>+30.</div><div class=comments><p>-35.<p>-41.<p>-18.<p>-2.</div>",
+    "<div class=header><a>-2</a> =5</div><div id=text><h1>+8</h1><p>+90.<ul><li>+7<li>+9.<li>+1</ul><p>+1.<p>+70.</div><div class=newsletter><p>-12.</div><div class=copyright>-6.</div>",
+    "<div class=masthead>-3</div><div><p>+40.<p>+36.<div class=advert><p>-17.</div><p>+28.<p>+4.</div><div class=subscribe>-21.</div><div class=footer><ul><li>-2<li>-3</ul></div>",
+    "<div class=page><div class=modal><p>-31.</div><div class=entry><h1>+3</h1><p>+55.<p class=comment-note>+19.<p class=note>+6.<h3>+2</h3><p>+44.</div></div>",
+    "<div class='banner story'><h1>+4</h1><p>+60.<p>+45.</div><div class=banner>-5</div>",
+    # neither tags nor names: words and links of a block, its neighbours and its container
+    "<body><ul><li><a>-1</a><li><a>-5</a></ul><h1>+4</h1><p>+17.<p>+18.<p><a>-2</a> <a>=2</a><p><a>-9</a>",
+    "<body><p>-2<div><p>+17.<p>+19.</div><p><a>-1</a>",
+    "<body><div>-3</div><div>-3.</div><div><h1>+5</h1><p>+44.<p>+2.<ul><li>+4<li>+2<li>+9</ul><p>+27.<p>+1.</div><div>-3</div><div>-5.</div>",
+    "<div>-4</div><div><a>-1</a> <a>=1</a> <a>=2</a></div><div><h1>+6</h1></div><div><p>+38.</div><div><p>+41.</div><div><p>+29.</div><div>-4</div><div>-6.</div>",
+    "<div>-2</div><div>-9.</div><div>+52.</div><div>+61.</div><div>+45.</div><div>-3</div>",
+    "<div><div>-2</div><div><p>+23.<h2>+3</h2><p>+34.<p>+4.<p>+21 <a>=6</a> =9.</div><div><p><a>-7</a><p><a>-6</a><p><a>-8</a></div></div><div>-7.</div>",
+    "<div><h1>+4</h1><p>+50.<p>+33.</div><div><h2>+2</h2><p>+41.<p>+2.<p>+27.</div><div><h2>+3</h2><p>+38.</div><div><p>-4</div><div>-3.</div>",
+    "<section><h2>+5</h2><p>+22.<p>+70.</section><section><h2>+1</h2><p>+31.<p>+1.<ul><li>+3<li>+12.</ul><p>+19.</section><section><ul><li><a>-3</a><li><a>-4</a></ul></section>",
+    "<div><p>-4</div><div><p>+18.<p>+24.<p>+11.<p>+2.<p>+30.</div><div><p>-5.</div><div>-2</div>",
+    "<div>-6</div><div>-2</div><div><p>+100.</div><div><p>+72.</div><div>-5.</div><div>-3</div>",
+    "<div>-8.</div><div>+66.</div><div>+20.</div><div>+31.</div><div>-7</div><div><a>-4</a></div>",
+    "<p><a>-1</a><p><a>-3</a><h2>+4</h2><p>+12.<p>+9 <a>=1</a>.<p>+1.<p>+24.<p><a>-5</a>",
+    "<div><h2>+6</h2><p>+36.<p><a>-4</a><p>+27.<p>+3.<p><a>-7</a></div>",
+    "<ul><li><a>-2</a><li><a>-2</a><li><a>-1</a></ul><p>+55.<p>+2.<ul><li>+6<li>+11.</ul><p>+48.<ul><li><a>-5</a><li><a>-3</a></ul>",
+    "<div><p>-3.</div><div><h1>+7</h1><p>+80.<p>+1.<p>+3.<p>+95.</div><div><h3>-2</h3><ul><li><a>-6</a><li><a>-4</a><li><a>-5</a></ul></div>",
+    "<table><tr><td><p><a>-1</a><p><a>-2</a></td><td><h1>+5</h1><p>+31.<p>+26.<p>+2.</td></tr></table><div>-4</div>",
+    "<p>+46.<p>+3.<p>+52.<h2>+2</h2><p>+1.<ol><li>+4.<li>+2.</ol><p>+38.",
+    "<h1>+3</h1><p>+20.<p>+2.<ul><li><a>-2</a><li><a>-3</a></ul><p>+35.<ul><li>+3<li>+8</ul>",
+    "<h1>+6</h1>+25.<h2>+2</h2>+30.<div><a>-2</a> <a>=1</a></div>",
+    "<div>-4</div><div><h1>+5</h1><div>+33.</div><div>+27.</div><ul><li>+3<li>+4</ul></div><div><p>-4<p>-6</div><div>-8.</div>",
+    "<div>-1</div><div>-2</div><div>-3</div><div><p>+64.<p>+5.<dl><dt>+2<dd>+11.</dl></div><div>-5.</div><div>-2</div>",
+    "<div><ul><li>-1<li>-2<li>-1</ul></div><div><h1>+4</h1><p>+58.<p>+49.</div><div><h3>-2</h3><p>-5</div>",
+    "<nav><a>-2</a></nav><h1>+4</h1><p>+2.<p>+33.<p>+1.<form><p>-9.</form><aside>-22.</aside><footer>-19.</footer>",
+    "<header>-6.</header><div><h2>+5</h2><p>+30.<p>+3.</div><footer><p>-4<p>-25.</footer>",
+    "<header><h1>-2</h1></header><section><h1>+4</h1><p>+29.<p>+1.<p>+32.</section><section><h2>+3</h2><p>+40.<p>+26.</section><footer>-8</footer>",
+    "<div><a>-3</a></div><div><a>-2</a></div><nav>-8.</nav><div class=sidebar>-40.</div><p>+15.<p>+22.",
+)
+FILL = re.compile(r"([-+=])(\d+)(\.?)")
 
 
 def labelled_tree() -> Tree:
-    """The tree trained on the labelled pages.
-
-    Where a container tells a block's label, the block's and its neighbours'
-    lengths don't: such rows of the table are repeated with other lengths.
-    """
+    """The tree trained on the labelled table."""
+    fill = lambda m: m[1].strip("=") + " ".join(["words"] * int(m[2])) + m[3]
     x, y = [], []
     for page in LABELLED:
-        found = blocks_of(page)
-        rows = features(found)
-        labels = [b.text.startswith("+") for b in found]
-        x.append(rows)
-        y += labels
-        told = np.flatnonzero(rows[:, 5:10].any(1))
-        for i, n in enumerate((1, 6, 25, 120)):
-            more = rows[told].copy()
-            more[:, [0, 10, 11]] = np.stack([np.full(len(told), n), np.roll((1, 25, 120, 6), i)[told % 4], np.roll((25, 6, 1, 120), i)[told % 4]], 1)
-            x.append(more)
-            y += [labels[j] for j in told]
+        blocks, elements = blocks_of(FILL.sub(fill, page))
+        x.append(features(blocks, elements))
+        y += [b.text.startswith("+") for b in blocks]
     return grow(np.concatenate(x), np.array(y, float))
 
 
 def main_text(html: str, tree: Tree) -> str:
-    blocks = blocks_of(html)
+    blocks, elements = blocks_of(html)
     if not blocks:
         return ""
-    return "\n\n".join(b.text for b, y in zip(blocks, tree.predict(features(blocks)), strict=True) if y)
+    return "\n\n".join(b.text for b, y in zip(blocks, tree.predict(features(blocks, elements)), strict=True) if y)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

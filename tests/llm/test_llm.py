@@ -1,4 +1,4 @@
-"""Every operator against brute force, and its defined cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+"""The operators against brute force or plain forms of their parts (pages are tested in test_html), and their defined cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import collections
 import hashlib
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from inkwell.llm import crf_language, html_text, kd_shards, kneser_ney, knn_quality, latent_leaks, lattice_dedup, queries, sentencepiece_bpe, shared, shingle_sets, simhash, suffix_dedup
+from inkwell.llm import crf_language, kd_shards, kneser_ney, knn_quality, latent_leaks, lattice_dedup, queries, sentencepiece_bpe, shared, shingle_sets, simhash, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, ids string, row long, key string"
@@ -271,22 +271,6 @@ def test_repeated_windows_match_brute_force(spark, monkeypatch, small):
     assert suffix_dedup.remove(nothing(spark), depth=30, digit=12).count() == 0
 
 
-# 6
-
-
-def test_article_text(spark):
-    page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies on every page of this site today.</div><article><h1>A &amp; B&am</h1><p>One\n <b>two</b><br>three<script>"</p>"</script><p>Four &lt;p&gt;.</article><aside>More</aside><section class="comments"><p>I agree with all that is said here, well done.</p></section><footer>&copy; us</footer>'
-    df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "plain < text", "x"), (5, "u", "<p>" * 3000, "x"), (6, "u", "<!-- open", "x")], "page_id long, url string, html string, text string")
-    rows = {r.page_id: r for r in html_text.extract(df).collect()}
-    assert rows[1].text == "A & B&am\n\nOne two three\n\nFour <p>." and rows[1].n_chars == len(rows[1].text)
-    assert rows[2].text == rows[3].text == rows[5].text == rows[6].text == "" and rows[2].url is None
-    assert html_text.extract(df.limit(0)).count() == 0
-    tree = html_text.labelled_tree()
-    for page in html_text.LABELLED:
-        found = html_text.blocks_of(page)
-        assert [bool(y) for y in tree.predict(html_text.features(found))] == [b.text.startswith("+") for b in found]
-
-
 # 7
 
 
