@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: Bytes of text handled at once inside an Arrow batch; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -78,10 +79,70 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Poly:
-    """Polynomial hashes of byte spans modulo 2**64, over bytes first mapped to random odd-ish words."""
-
-    BASE = 0x9E3779B97F4A7C15 | 1
+#: Masks that leave the first 0 to 8 bytes of eight.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 256
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number, zeros behind the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, eight at a time, scrambled after each step.
+
+    Equal spans have equal hashes; that different ones differ is only likely,
+    so whoever needs certainty compares (``distinct_spans``).
+    """
+    lane, size = eights(raw), ends - starts
+    out = mix64(size.astype(np.uint64) + STEP)
+    on = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = starts[on], size[on]
+    while len(on):
+        out[on] = mix64((out[on] ^ (lane[at] & FIRST_BYTES[np.minimum(left, 8)])) * STEP)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), 42)
+    return out
+
+
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One position of each different span, and which of these every span equals: told by hash, decided by bytes."""
+    first, which = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+    size, model = ends - starts, starts[first][which]
+    wrong = size != size[first][which]
+    lane = eights(raw)
+    on = np.flatnonzero(~wrong & (size <= LONG_SPAN) & (model != starts))
+    at, other, left = starts[on], model[on], size[on]
+    while len(on):
+        wrong[on] |= ((lane[at] ^ lane[other]) & FIRST_BYTES[np.minimum(left, 8)]) != 0
+        more = left > 8
+        on, at, other, left = on[more], at[more] + 8, other[more] + 8, left[more] - 8
+    for i in np.flatnonzero(~wrong & (size > LONG_SPAN) & (model != starts)).tolist():
+        wrong[i] = not np.array_equal(raw[starts[i] : ends[i]], raw[model[i] : model[i] + size[i]])
+    if wrong.any():
+        own: dict[bytes, int] = {}
+        extra = []
+        for i in np.flatnonzero(wrong).tolist():
+            text = raw[starts[i] : ends[i]].tobytes()
+            if text not in own:
+                own[text] = len(first) + len(extra)
+                extra.append(i)
+            which[i] = own[text]
+        first = np.r_[first, extra]
+    return first, which
+
+
+class Rolling:
+    """Hashes of all spans of one length, from prefix sums modulo 2**64: equal spans agree, different ones may, so they only filter."""
+
+    BASE = int(STEP)
 
     def __init__(self) -> None:
         self.table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -91,24 +152,19 @@ class Poly:
     def grow(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 1 << 16)
-            inverse = np.uint64(pow(self.BASE, -1, 1 << 64))
-            ones = np.full(n, np.uint64(self.BASE))
+            ones = np.full(n, STEP)
             ones[0] = 1
             self.up = np.multiply.accumulate(ones)
-            ones[1:] = inverse
+            ones[1:] = np.uint64(pow(self.BASE, -1, 1 << 64))
             self.down = np.multiply.accumulate(ones)
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """n + 1 prefix sums of the mapped bytes times powers of the base."""
-        self.grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(self.table[values] * self.up[: len(values)], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of each span that depends on its bytes alone (and, through the last step, its length)."""
-        raw = (prefix[ends] - prefix[starts]) * self.down[starts]
-        return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    def spans(self, raw: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the ``size`` bytes from each byte on, as far as they go."""
+        self.grow(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.table[raw] * self.up[: len(raw)], out=total[1:])
+        n = max(0, len(raw) - size + 1)
+        return mix64((total[size:] - total[:n]) * self.down[:n])
 
 
 #: White space of the word rules: 0x20 and 0x09-0x0D.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import mix64, narrow, text_chunks
+from .arrowtext import distinct_spans, mix64, narrow, span_hashes, text_chunks
 from .shared import sampled
 
 BITS, LEXICON_BITS = 16, 14
@@ -67,12 +67,10 @@ def words_of(texts: list[str]) -> Words:
     ends = np.flatnonzero(letter & edge[1:]) + 1
     row = np.searchsorted(bounds, starts, "right") - 1
 
-    powers = np.ones((2, len(codes) + 1), np.uint64)
-    for j, x in enumerate((int(LETTER_A), pow(int(LETTER_A), -1, 1 << 64))):
-        powers[j, 1:] = np.multiply.accumulate(np.full(len(codes), np.uint64(x)))
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix64(np.arange(1, len(table) + 1, dtype=np.uint64))[codes] * powers[0, :-1], out=total[1:])
-    key, first, which = np.unique(mix64((total[ends] - total[starts]) * powers[1][starts]), return_index=True, return_inverse=True)
+    raw = codes.view(np.uint8)
+    hashes = span_hashes(raw, 4 * starts, 4 * ends)
+    first, which = distinct_spans(raw, 4 * starts, 4 * ends, hashes)
+    key = hashes[first]
 
     # the distinct words one behind another, a 0 before each and after the last
     at, size = starts[first], (ends - starts)[first]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrayfiles
-from .arrowtext import LOWER, Poly, mix64, text_chunks, words
+from .arrowtext import LOWER, mix64, span_hashes, text_chunks, words
 from .shared import fresh_path, kept
 
 #: The hash of the end token, the id before a text's first word, the id of unknown words.
@@ -42,12 +42,12 @@ HOT, FLUSH = 1024, 3_000_000
 BLOCKS = "part int, packed binary"
 
 
-def tokens_of(raw: np.ndarray, offsets: np.ndarray, poly: Poly) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every token: the words of a row, then its end."""
     lowered = LOWER[raw]
     starts, ends, row = words(lowered, offsets)
     n = len(offsets) - 1
-    hashes = poly.spans(poly.prefix(lowered), starts, ends)
+    hashes = span_hashes(lowered, starts, ends)
     at = np.cumsum(np.bincount(row, minlength=n) + 1) - 1  # where each row's end stands
     out, rows = np.full(len(hashes) + n, END), np.zeros(len(hashes) + n, np.int64)
     word = np.ones(len(out), bool)
@@ -210,7 +210,7 @@ class Scorer:
     """Looks probabilities up in the mapped files."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.vocabulary, self.poly = model, Vocabulary(model.folder, model.word_offsets), Poly()
+        self.m, self.vocabulary = model, Vocabulary(model.folder, model.word_offsets)
         self.files: dict[str, dict[str, np.ndarray] | None] = {}
 
     def file(self, name: str) -> dict[str, np.ndarray] | None:
@@ -259,7 +259,7 @@ class Scorer:
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Tokens, known tokens, base score and model score of each row."""
         m, n = self.m, len(offsets) - 1
-        hashes, rows = tokens_of(raw, offsets, self.poly)
+        hashes, rows = tokens_of(raw, offsets)
         distinct, which = np.unique(hashes, return_inverse=True)
         ids, counts = self.vocabulary.look_up(distinct)
         low = self.continuation(ids)
@@ -283,14 +283,14 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
     texts = df.where(trainable).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, gather = Poly(), Gather()
+        gather = Gather()
 
         def flush() -> pa.RecordBatch:
             keys, counts = gather.take()
             return block_rows([(p, arrayfiles.pack({"hash": keys[some], **small_counts(counts[some])})) for p, some in parted(hash_part(keys, parts))])
 
         for _, offsets, raw, _ in text_chunks(batches):
-            if gather.add(tokens_of(raw, offsets, poly)[0]):
+            if gather.add(tokens_of(raw, offsets)[0]):
                 yield flush()
         if gather.held:
             yield flush()
@@ -310,7 +310,7 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
     hot = np.array(sorted([offsets[r["part"]] + r["place"] for r in top] + [BEGIN]), np.uint64)
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, gather, vocabulary = Poly(), Gather(), Vocabulary(folder, offsets)
+        gather, vocabulary = Gather(), Vocabulary(folder, offsets)
 
         def flush() -> pa.RecordBatch:
             pairs, counts = gather.take()
@@ -322,7 +322,7 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
             return block_rows(blocks)
 
         for _, offs, raw, _ in text_chunks(batches):
-            hashes, rows = tokens_of(raw, offs, poly)
+            hashes, rows = tokens_of(raw, offs)
             distinct, which = np.unique(hashes, return_inverse=True)
             if gather.add(pairs_of(vocabulary.look_up(distinct)[0][which], rows)):
                 yield flush()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Poly, mix64, narrow, text_chunks, words
+from .arrowtext import mix64, narrow, span_hashes, text_chunks, words
 from .shared import sampled
 
 TERMS = 4096
@@ -43,7 +43,7 @@ CLASSES[97:123] = CLASSES[128:] = 2
 CLASSES[48:58] = 3
 
 
-def term_counts(raw: np.ndarray, offsets: np.ndarray, poly: Poly) -> np.ndarray:
+def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How often each hashed term occurs, per row."""
     n = len(offsets) - 1
     starts, ends, row = words(raw, offsets)
@@ -56,8 +56,8 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray, poly: Poly) -> np.ndarray:
     first[starts] = True
     at = np.r_[0, np.cumsum(first)]
     runs = kind[first]
-    shape = poly.spans(poly.prefix(runs), at[starts], at[ends])
-    word = poly.spans(poly.prefix(raw), starts, ends)
+    shape = span_hashes(runs, at[starts], at[ends])
+    word = span_hashes(raw, starts, ends)
     inner = row[1:] == row[:-1]
     pair = mix64(shape[1:] * np.uint64(3) + shape[:-1] + np.uint64(1))[inner]
     again = np.zeros(len(word), np.int64)
@@ -128,10 +128,10 @@ def fit(texts: list[str], labels: list[int], dimensions: int = 48, neighbours: i
     if not texts:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), neighbours, power)
     raw = [t.encode() for t in texts]
-    poly, counts = Poly(), []
+    counts = []
     for i in range(0, len(raw), 256):
         some = raw[i : i + 256]
-        counts.append(term_counts(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]), poly))
+        counts.append(term_counts(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])))
     counts = np.concatenate(counts)
     idf = np.log(1 + len(counts) / (1 + (counts > 0).sum(0))).astype(np.float32)
     basis = randomised_svd(weigh(counts) * idf, dimensions)
@@ -154,9 +154,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """doc_id and score of every row, over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly = Poly()
         for rows, offsets, raw, _ in text_chunks(batches):
-            found = [model.score(term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], poly)) for i, j in zip(range(0, len(rows), BLOCK), [*range(BLOCK, len(rows), BLOCK), len(rows)], strict=True)]
+            found = [model.score(term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in zip(range(0, len(rows), BLOCK), [*range(BLOCK, len(rows), BLOCK), len(rows)], strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.concatenate(found))], ["doc_id", "score"])
 
     return narrow(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")

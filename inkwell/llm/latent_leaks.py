@@ -27,14 +27,14 @@ repeatedly; an empty benchmark or corpus gives no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, Poly, mix64, narrow, text_chunks
+from .arrowtext import LOWER, STEP, mix64, narrow, span_hashes, text_chunks
 from .shared import kept
 
 IN_WORD = np.zeros(256, bool)
@@ -46,7 +46,7 @@ SPACE, GRAM = 256, 5
 CHUNK = 1 << 20
 
 
-def hashed_words(raw: np.ndarray, offsets: np.ndarray, poly: Poly) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word."""
     lowered, solid = LOWER[raw], IN_WORD[raw]
     edge = np.ones(len(raw) + 1, bool)
@@ -54,12 +54,12 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray, poly: Poly) -> tuple[np.n
     edge[offsets] = True
     starts = np.flatnonzero(solid & edge[:-1])
     ends = np.flatnonzero(solid & edge[1:]) + 1
-    return poly.spans(poly.prefix(lowered), starts, ends), np.searchsorted(offsets, starts, "right") - 1
+    return span_hashes(lowered, starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
 
 def words_of(text: str | None) -> np.ndarray:
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    return hashed_words(raw, np.array([0, len(raw)]), Poly())[0]
+    return hashed_words(raw, np.array([0, len(raw)]))[0]
 
 
 def answer_of(text: str | None) -> np.ndarray:
@@ -91,7 +91,7 @@ def runs_of(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of ``size`` words."""
     total = np.full(max(0, len(words) - size + 1), np.uint64(size))
     for d in range(size):
-        total = total * np.uint64(Poly.BASE) + words[d : d + len(total)]
+        total = total * STEP + words[d : d + len(total)]
     return mix64(total)
 
 
@@ -132,7 +132,6 @@ class Index:
     lcs: float = 0.6
     answered_lcs: float = 0.45
     answer_words: int = 5
-    poly: Poly = field(default_factory=Poly)
 
     def __post_init__(self) -> None:
         self.answers = [w[-self.answer_words :] if 0 < len(a) < self.answer_words else a for w, a in zip(self.words, self.answers, strict=True)]
@@ -165,7 +164,7 @@ class Index:
 
     def leaks(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
         """(row, item, cosine, share of the item's words in order, answer found) of every leak."""
-        hashes, row = hashed_words(raw, offsets, self.poly)
+        hashes, row = hashed_words(raw, offsets)
         if not len(hashes) or not self.spaces:
             return []
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -246,9 +245,9 @@ def document_frequencies(documents: DataFrame, terms: np.ndarray) -> tuple[np.nd
     """In how many documents each term occurs, and how many documents there are: all are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, count, n = Poly(), np.zeros(len(terms), np.int64), 0
+        count, n = np.zeros(len(terms), np.int64), 0
         for _, offsets, raw, _ in text_chunks(batches, CHUNK):
-            hashes, row = hashed_words(raw, offsets, poly)
+            hashes, row = hashed_words(raw, offsets)
             n += len(offsets) - 1
             at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
             hit = terms[at] == hashes

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import Poly, narrow, text_chunks
+from .arrowtext import distinct_spans, narrow, span_hashes, text_chunks
 
 SPACE = "▁"
 #: Segments of more symbols than this take the priority queue: rounds would cost their length squared.
@@ -90,7 +90,6 @@ class Bpe:
         inner = [p for p in self.ids if SPACE in p.lstrip(SPACE) or "\n" in p]
         #: No piece holds a space mark behind another character, or a line feed: texts part there.
         self.parts = not inner
-        self.poly = Poly()
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged piece of each pair, -1 where there is none."""
@@ -227,8 +226,7 @@ class Bpe:
             start[1:] |= (space[1:] & ~space[:-1]) | (line[1:] != line[:-1])
         starts = np.flatnonzero(start)
         stops = np.r_[starts[1:], len(buf)]
-        keys = self.poly.spans(self.poly.prefix(buf), starts, stops)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        first, which = distinct_spans(buf, starts, stops, span_hashes(buf, starts, stops))
 
         lengths = (stops - starts)[first]
         chosen = buf[spread(starts[first], lengths)]
@@ -241,8 +239,6 @@ class Bpe:
 
         width = self.text_sizes[out]
         decoded = self.text_pool[spread(self.text_starts[out], width)]
-        if self.byte_ids and not np.array_equal(decoded, buf):  # two segments of one key
-            raise AssertionError("a segment's hash stands for two texts")
         gone = np.ones(len(decoded), bool)
         cut = np.r_[0, np.cumsum(width)][at]
         gone[cut[:-1][size > 0]] = False  # the space put in front

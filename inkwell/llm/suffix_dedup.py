@@ -1,29 +1,42 @@
 """Repeated byte windows by a depth-limited radix sort of suffixes.
 
 Suffixes are ordered only through ``depth`` bytes, by most-significant-digit
-passes; a group of one suffix leaves after the pass that isolates it, and the
-groups of the last pass are exactly the repeated windows.
-
-First digit: each window's minimizer, its smallest ``digit``-byte gram by hash
-(the leftmost of equal ones). Windows that share a minimizer in place lie next to
-each other and form a run; equal windows have equal minimizers at equal offsets.
-A run whose gram occurs nowhere else leaves.
-Second digit: all bytes of a run. Runs that occur again whole are repeated whole.
-Third digit: all bytes of a window, for runs whose gram occurs in different runs,
-and for one of each whole repeated run among these. Equal windows are repeated.
-
-Digits are compared by 64-bit polynomial hashes, the second and third ones inside
-or together with the first.
-
-Passes travel as packed blocks of records, dealt by digit. A map task resolves
-digits that it holds twice and sends one of them on, so a digit's records in a
-partition are at most as many as map blocks however many copies there are; a
-gram with more than ``HOT`` different runs in one block goes on to the third
-digit there and then, with a marker in the runs' stead.
+passes of ``digit`` bytes each: digit k holds the bytes from k * digit on (the last
+digit ends at ``depth``). Every pass orders what the pass before has left in
+groups; a group of one leaves after the pass that isolates it, and the groups of
+the last pass are exactly the repeated windows. Suffixes of equal windows that
+lie in one long repeated passage are ordered once for all of its copies.
+
+So that not every byte of the corpus travels, two filters come first. They only
+leave out suffixes whose windows occur once, or that stand in a copied passage
+of which one copy goes on:
+
+1. Each window's anchor is its smallest ``digit``-byte gram by a rolling hash (the
+   leftmost of equal ones). Windows that share an anchor in place lie next to each
+   other and form a run. Equal windows have equal anchors at equal offsets, so a run
+   whose gram occurs nowhere else leaves.
+2. Runs with one gram and equal bytes are copies: all their windows are repeated.
+   Where the gram occurs in other runs too, one of the copies goes on.
+
+Then the passes. A suffix travels with the hash of its first digit and a hash of
+its other digits, 128 bits together, which a task orders digit by digit.
+Digits are told apart by these hashes of eight bytes at a time, scrambled after
+each step; runs by 64 bits among those of one gram. No byte comparison follows:
+of 10**13 different suffixes two agree in all 128 bits with probability 1e-13. A
+row is known by 96 bits of hashes of id and text.
+
+Passes travel as packed blocks of records. A map task orders what it holds, and
+sends one of equal suffixes or runs on, so a group's records in a part are at
+most as many as map blocks however many copies there are; a gram with more than
+``HOT`` different runs in one block goes on to the digits there and then, with a
+marker in the runs' stead. There are as many parts as ``PART_BYTES`` go into the
+texts, and a task reduces one part at a time.
 
 Positions are of bytes in UTF-8. Defined cases: a null text is an empty one; a
 text shorter than ``depth`` has no window; rows repeated whole, under one id or
-many, repeat each other; an empty table gives an empty one.
+many, repeat each other; an empty table gives an empty one; texts longer than
+``BLOCK`` are handled in parts; other columns come back in ``rest``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,15 +48,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Poly, mix64, run_starts, string_parts
+from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, run_starts, span_hashes, string_parts
 from .shared import kept
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
 BLOCK, FLUSH, HOT = 1 << 19, 1 << 18, 512
+#: Bytes of text whose records make a part.
+PART_BYTES = 64 << 20
 POSITION_BITS = 23
-RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("row", "<i8"), ("lo", "<u4"), ("width", "<u2"), ("flag", "u1")])
-WINDOW = np.dtype([("key", "<u8"), ("row", "<i8"), ("lo", "<u4"), ("flag", "u1")])
-ANSWER = np.dtype([("row", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("kind", "u1")])
+RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("width", "<u2"), ("flag", "u1")])
+SUFFIX = np.dtype([("lead", "<u8"), ("rest", "<u8"), ("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("flag", "u1")])
+ANSWER = np.dtype([("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("hi", "<u4"), ("kind", "u1")])
 #: Flags of records: has been seen twice, stands for runs that went on, has no owner that waits for an answer.
 TWICE, MARKER, OWNERLESS = 1, 2, 4
 #: What is found: a repeated run or window; a run to go through window by window; the same, known to be repeated.
@@ -62,15 +77,32 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs_of(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, base: np.ndarray, depth: int, digit: int, poly: Poly) -> np.ndarray:
+def digits_of(raw: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first digit and of the other digits of every suffix that has ``depth`` bytes.
+
+    A digit's hash comes from those of its two halves (which may overlap), these
+    from theirs, down to eight bytes.
+    """
+    n, size = len(raw) - depth + 1, min(8, digit)
+    part = mix64((eights(raw)[: len(raw) - size + 1] & FIRST_BYTES[size]) + STEP)
+    while size < digit:
+        step = min(size, digit - size)
+        part = mix64(part[: len(part) - step] * STEP ^ part[step:])
+        size += step
+    rest = np.zeros(n, np.uint64)
+    for at in range(digit, depth, digit):
+        at = min(at, depth - digit)
+        rest = mix64(rest * STEP ^ part[at : at + n])
+    return part[:n], rest
+
+
+def runs_of(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, tags: np.ndarray, base: np.ndarray, depth: int, digit: int, rolling: Rolling) -> np.ndarray:
     """The runs of windows of the texts of a block; ``base`` is each text's position in its row."""
     if len(raw) < depth:
         return np.zeros(0, RUN)
-    prefix = poly.prefix(raw)
-    starts = np.arange(len(raw) - digit + 1)
-    grams = poly.spans(prefix, starts, starts + digit)
+    grams = rolling.spans(raw, digit)
     mask = np.uint64((1 << POSITION_BITS) - 1)
-    least = sliding_min((grams & ~mask) | starts.astype(np.uint64), depth - digit + 1)
+    least = sliding_min((grams & ~mask) | np.arange(len(grams), dtype=np.uint64), depth - digit + 1)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
     window = np.flatnonzero(np.arange(len(least)) + depth <= offsets[1:][text])
     if not len(window):
@@ -81,8 +113,8 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, base: np.nda
     at, text = at[first], text[first]
     out = np.zeros(len(first), RUN)
     out["gram"] = grams[at]
-    out["span"] = mix64(poly.spans(prefix, lo, hi + depth) + (at - lo).astype(np.uint64))
-    out["row"], out["lo"], out["width"] = rows[text], lo - offsets[text] + base[text], hi - lo
+    out["span"] = mix64(span_hashes(raw, lo, hi + depth) + (at - lo).astype(np.uint64))
+    out["row"], out["tag"], out["lo"], out["width"] = rows[text], tags[text], lo - offsets[text] + base[text], hi - lo
     return out
 
 
@@ -120,13 +152,20 @@ def first_of_each(records: np.ndarray, fields: list[str]) -> np.ndarray:
 
 def answers(records: np.ndarray, hi: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
     out = np.zeros(len(records), ANSWER)
-    out["row"], out["lo"], out["hi"], out["kind"] = records["row"], records["lo"], hi, kind
+    out["row"], out["tag"], out["lo"], out["hi"], out["kind"] = records["row"], records["tag"], records["lo"], hi, kind
     return out
 
 
-def dealt(records: np.ndarray, field: str, parts: int) -> pa.RecordBatch:
-    """One packed block for each part."""
-    part = (mix64(records[field].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def tail_of(records: np.ndarray, depth: int) -> np.ndarray:
+    return records["lo"] + records["width"] + depth
+
+
+def dealt(records: np.ndarray, fields: list[str], parts: int) -> pa.RecordBatch:
+    """One packed block for each part; parts go by the scrambled sum of the fields."""
+    key = np.zeros(len(records), np.uint64)
+    for f in fields:
+        key += records[f].astype(np.uint64)
+    part = (mix64(key) % np.uint64(parts)).astype(np.int32)
     at = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(part[at]) != 0]) if len(at) else np.zeros(0, np.int64)
     records, part = records[at], part[at]
@@ -135,12 +174,12 @@ def dealt(records: np.ndarray, field: str, parts: int) -> pa.RecordBatch:
 
 
 def listed(found: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found["row"]), *[pa.array(found[f].astype(np.int64)) for f in ("lo", "hi")], pa.array(found["kind"].astype(np.int32))], ["row", "lo", "hi", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(found["row"]), *[pa.array(found[f].astype(np.int64)) for f in ("tag", "lo", "hi")], pa.array(found["kind"].astype(np.int32))], ["row", "tag", "lo", "hi", "kind"])
 
 
 NAMES = ["doc_id", "n_bytes", "spans", "kept", "text", "rest"]
 SENT = "part int, answered boolean, packed binary"
-FOUND = "row long, lo long, hi long, kind int"
+FOUND = "row long, tag long, lo long, hi long, kind int"
 
 
 def send_runs(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -148,25 +187,24 @@ def send_runs(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.Record
     records, twice = settle(records, ["gram", "span"])
     if not len(records):
         return
-    end = lambda r: r["lo"] + r["width"] + depth
-    known = [answers(records[twice], end(records[twice]), REPEATED)]
+    known = [answers(records[twice], tail_of(records[twice], depth), REPEATED)]
     one = first_of_each(records, ["gram", "span"])
     records, twice = records[one], twice[one]
     records["flag"][twice] |= TWICE
     group = np.cumsum(first_of_each(records, ["gram"])) - 1
     hot = (np.bincount(group) > HOT)[group]
     if hot.any():
-        known.append(answers(records[hot], end(records[hot]), np.where(twice[hot], SAMPLE, OPEN)))
+        known.append(answers(records[hot], tail_of(records[hot], depth), np.where(twice[hot], SAMPLE, OPEN)))
         marks = records[hot][first_of_each(records[hot], ["gram"])]
         marks["flag"] = MARKER
-        marks["span"], marks["row"], marks["lo"] = 0, 0, 0
+        marks["span"], marks["row"], marks["tag"], marks["lo"] = 0, 0, 0, 0
         records = np.concatenate((records[~hot], marks))
-    yield dealt(records, "gram", parts)
-    yield dealt(np.concatenate(known), "row", parts)
+    yield dealt(records, ["gram"], parts)
+    yield dealt(np.unique(np.concatenate(known)), ["row"], parts)
 
 
 def meet_runs(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """Repeated runs, and the runs to go through window by window, of whole groups of one gram."""
+    """Repeated runs, and the runs whose suffixes go on, of whole groups of one gram."""
     records, twice = settle(records, ["gram", "span"])
     if not len(records):
         return
@@ -176,7 +214,7 @@ def meet_runs(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
     marker = records["flag"] & MARKER > 0
     twice &= ~marker
     first = first_of_each(records, ["gram", "span"])
-    end = records["lo"] + records["width"] + depth
+    end = tail_of(records, depth)
     yield answers(records[twice], end[twice], REPEATED)
     sample = twice & mixed & first
     yield answers(records[sample], end[sample], SAMPLE)
@@ -184,50 +222,68 @@ def meet_runs(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
     yield answers(records[some], end[some], OPEN)
 
 
-def send_windows(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.RecordBatch]:
-    records, twice = settle(records, ["key"])
-    if not len(records):
-        return
-    owned = records["flag"] & OWNERLESS == 0
-    known = records[twice & owned]
-    yield dealt(answers(known, known["lo"] + depth, REPEATED), "row", parts)
-    one = first_of_each(records, ["key"])
-    records, twice = records[one], twice[one]
-    records["flag"][twice] |= TWICE | OWNERLESS
-    yield dealt(records, "key", parts)
-
+def passes(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that share all digits with another or have done so, in order, and those that stand alone.
 
-def meet_windows(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    records, twice = settle(records, ["key"])
-    known = records[twice & (records["flag"] & OWNERLESS == 0)] if len(records) else records
+    The first pass orders by the leading digit and takes out groups of one; the
+    second orders what is left of each group by the other digits.
+    """
+    records = records[np.argsort(records["lead"], kind="stable")]
+    new = first_of_each(records, ["lead"])
+    alone = new & np.r_[new[1:], True][: len(new)] & (records["flag"] & TWICE == 0)
+    out, records = [records[alone]], records[~alone]
+    records, twice = settle(records, ["lead", "rest"])
+    return records[twice], np.concatenate((*out, records[~twice]))
+
+
+def send_suffixes(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """What the passes over a map block tell already, and one suffix of each group, dealt by all digits."""
+    groups, alone = passes(records)
+    known = groups[groups["flag"] & OWNERLESS == 0]
+    yield dealt(np.unique(answers(known, known["lo"] + depth, REPEATED)), ["row"], parts)
+    one = groups[first_of_each(groups, ["lead", "rest"])]
+    one["flag"] |= TWICE | OWNERLESS
+    yield dealt(np.concatenate((one, alone)), ["lead", "rest"], parts)
+
+
+def meet_suffixes(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """The windows of the groups that the passes over a whole part leave."""
+    groups, _ = passes(records)
+    known = groups[groups["flag"] & OWNERLESS == 0]
     yield answers(known, known["lo"] + depth, REPEATED)
 
 
 def meet(sent: DataFrame, kind: np.dtype, reduce, depth: int, parts: int) -> DataFrame:
-    """Unpacks each part's blocks together and reduces them; answers pass through."""
+    """Unpacks each part's blocks together and reduces them, one part at a time; answers pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed: dict[int, list[bytes]] = {}
+        def emit(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for found in reduce(np.frombuffer(b"".join(packed), kind).copy(), depth):
+                yield listed(found)
+
+        now, packed = -1, []
         for batch in batches:
-            for part, answered, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, answered, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if answered:
                     yield listed(np.frombuffer(x, ANSWER))
-                else:
-                    packed.setdefault(part, []).append(x)
-        while packed:
-            _, some = packed.popitem()
-            for found in reduce(np.frombuffer(b"".join(some), kind).copy(), depth):
-                yield listed(found)
+                    continue
+                if part != now and packed:
+                    yield from emit(packed)
+                    packed = []
+                now = part
+                packed.append(x)
+        if packed:
+            yield from emit(packed)
 
-    return sent.repartition(parts, "part").mapInArrow(run, FOUND)
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, FOUND)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with a key that depends on id and text; rows of one key are copies of each other, id and all. ``rest`` holds the other columns."""
+    """Rows with a key (row, tag) from id and text; rows of one key are copies of each other, id and all. ``rest`` holds the other columns."""
     others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "rest")
+    return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.crc32("text").alias("tag"), "doc_id", "text", "rest")
 
 
 MARKS = 1 << 24
@@ -251,19 +307,25 @@ def marked(rows: DataFrame, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where(is_set).select(names), found.where(~is_set).select(names)
 
 
+def parts_for(texts: DataFrame) -> int:
+    """How many parts the texts' records are dealt to: at least those of the session, more where the texts' bytes ask for them."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
 def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | None = None) -> DataFrame:
-    """(row, lo, hi): byte ranges of ``rows`` (row, text) whose union is what windows of ``depth`` bytes repeat."""
-    spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(row, tag, lo, hi): byte ranges of ``rows`` (row, tag, text) whose union is what windows of ``depth`` bytes repeat."""
+    long = rows.where(F.octet_length("text") >= depth).select("row", "tag", "text")
+    parts = parts or parts_for(long)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, held, n = Poly(), [], 0
+        rolling, held, n = Rolling(), [], 0
         for batch in batches:
-            keys = np.asarray(batch.column(0))
-            offsets, raw, _ = string_parts(batch.column(1))
+            keys, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            offsets, raw, _ = string_parts(batch.column(2))
             for text, a, b in blocks_of(offsets, BLOCK, depth):
                 part = raw[offsets[text[0]] + a[0] : offsets[text[-1]] + b[-1]]
-                held.append(runs_of(part, np.r_[0, np.cumsum(b - a)], keys[text], a, depth, digit, poly))
+                held.append(runs_of(part, np.r_[0, np.cumsum(b - a)], keys[text], tags[text], a, depth, digit, rolling))
                 n += len(held[-1])
                 if n > FLUSH:
                     yield from send_runs(np.concatenate(held), depth, parts)
@@ -271,39 +333,37 @@ def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | N
         if held:
             yield from send_runs(np.concatenate(held), depth, parts)
 
-    def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, held, n = Poly(), [], 0
+    def digit_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            keys = np.asarray(batch.column(0))
-            offsets, raw, _ = string_parts(batch.column(1))
-            wanted = batch.column(2)
+            keys, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            offsets, raw, _ = string_parts(batch.column(2))
+            wanted = batch.column(3)
             cut = np.asarray(wanted.offsets)
             asked = {f: np.asarray(wanted.values.field(f)) for f in ("lo", "hi", "kind")}
             for i in range(len(batch)):
                 own = slice(cut[i], cut[i + 1])
                 text = raw[offsets[i] : offsets[i + 1]]
-                for lo, hi, kind in sorted(set(zip(asked["lo"][own].tolist(), asked["hi"][own].tolist(), asked["kind"][own].tolist(), strict=True))):
-                    span = text[lo:hi]
-                    at = np.arange(len(span) - depth + 1)
-                    out = np.zeros(len(at), WINDOW)
-                    out["key"] = poly.spans(poly.prefix(span), at, at + depth)
-                    out["row"], out["lo"] = keys[i], lo + at
+                for lo, hi, kind in sorted(zip(asked["lo"][own].tolist(), asked["hi"][own].tolist(), asked["kind"][own].tolist(), strict=True)):
+                    out = np.zeros(hi - lo - depth + 1, SUFFIX)
+                    out["lead"], out["rest"] = digits_of(text[lo:hi], depth, digit)
+                    out["row"], out["tag"], out["lo"] = keys[i], tags[i], np.arange(lo, hi - depth + 1)
                     out["flag"] = OWNERLESS if kind == SAMPLE else 0
                     held.append(out)
                     n += len(out)
-                if n > FLUSH:
-                    yield from send_windows(np.concatenate(held), depth, parts)
-                    held, n = [], 0
+                    if n > FLUSH:
+                        yield from send_suffixes(np.concatenate(held), depth, parts)
+                        held, n = [], 0
         if held:
-            yield from send_windows(np.concatenate(held), depth, parts)
+            yield from send_suffixes(np.concatenate(held), depth, parts)
 
-    long = rows.where(F.octet_length("text") >= depth).select("row", "text")
     found = kept(meet(long.mapInArrow(first_pass, SENT), RUN, meet_runs, depth, parts))
-    asked = kept(found.where(F.col("kind") != REPEATED).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("asked")))
+    # a set of ranges, combined in the map task: copies under one id ask and answer once
+    asked = kept(found.where(F.col("kind") != REPEATED).groupBy("row", "tag").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("asked")))
     some, _ = marked(long, kept(marks(asked)))
-    windows = some.join(asked, "row").select("row", "text", "asked").mapInArrow(last_pass, SENT)
-    more = meet(windows, WINDOW, meet_windows, depth, parts)
-    return found.where(F.col("kind") == REPEATED).select("row", "lo", "hi").unionAll(more.select("row", "lo", "hi"))
+    suffixes = some.join(asked, ["row", "tag"]).select("row", "tag", "text", "asked").mapInArrow(digit_passes, SENT)
+    more = meet(suffixes, SUFFIX, meet_suffixes, depth, parts)
+    return found.where(F.col("kind") == REPEATED).select("row", "tag", "lo", "hi").unionAll(more.select("row", "tag", "lo", "hi"))
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 200, digit: int = 100, parts: int | None = None) -> DataFrame:
@@ -312,7 +372,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     ``text`` is what is kept without the bytes of characters that were cut in two; ``rest`` is a struct of the other columns.
     """
     rows = keyed(df, id_col, text_col)
-    ranges = kept(repeated(rows, depth, digit, parts).groupBy("row").agg(F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("ranges")))
+    ranges = kept(repeated(rows, depth, digit, parts).groupBy("row", "tag").agg(F.collect_set(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("ranges")))
     some, others = marked(rows, kept(marks(ranges)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +397,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
 
     schema = "doc_id long, n_bytes long, spans array<struct<lo: bigint, hi: bigint>>, kept binary, text string, rest " + rows.schema["rest"].dataType.simpleString()
     empty = F.array().cast("array<struct<lo: int, hi: int>>")
-    touched = some.join(ranges, "row", "left").select("doc_id", "text", F.coalesce("ranges", empty).alias("ranges"), "rest").mapInArrow(run, schema)
+    touched = some.join(ranges, ["row", "tag"], "left").select("doc_id", "text", F.coalesce("ranges", empty).alias("ranges"), "rest").mapInArrow(run, schema)
     return touched.unionAll(others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<lo: bigint, hi: bigint>>").alias("spans"), F.encode("text", "UTF-8").alias("kept"), "text", "rest"))
 
 
