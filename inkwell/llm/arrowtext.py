@@ -23,6 +23,11 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with columns named c0, c1 and so on, for functions over whole rows: names with dots would fail there."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets (n + 1, from 0), UTF-8 bytes and validity of a string column; nulls are empty."""
     n = len(column)

@@ -1,21 +1,24 @@
 """Text quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms describe how it is written, not what it says: the shape of each
-word (runs of capitals, small letters, digits and each other byte), pairs of
+A text's terms are its words, lower-cased, and how it is written: the shape of
+each word (runs of capitals, small letters, digits and each other byte), pairs of
 neighbouring shapes, and words said again shortly after. Term counts become
-TF-IDF over hashed terms; a randomised SVD of the labelled sample's matrix gives
-the latent space. The labelled vectors, at most ``rows`` of them, are sent to all
-workers; every document's cosines with all of them are computed exactly, in
-blocks, and the ``neighbours`` nearest vote with their labels, weighted by
-similarity and against their label's share of the sample.
+TF-IDF over hashed terms, with document frequencies of all documents; a
+randomised SVD of the labelled sample's matrix gives the latent space. The
+labelled vectors, at most ``rows`` of them, are sent to all workers; every
+document's cosines with all of them are computed exactly, in blocks, and the
+``neighbours`` nearest vote with their labels, weighted by similarity and against
+their label's share of the sample. Neighbours as near as the last of these vote too.
 
 The fit is bounded: ``rows`` labelled texts (the first by a hash of the id), half
-of each label where there are enough. IDF and SVD are of this sample. Scoring
-reads whole texts.
+of each label where there are enough. These and all scored texts are read whole;
+only counts of terms reach the driver.
 
 Defined cases: a null text is scored like an empty one, and texts without a word
-get the balanced mean of the labels, 0.5; without any labelled row every score
-is 0.5; with one label only, that label; repeated rows give repeated results.
+get 0: nothing speaks for them; a text whose terms are all strange to the space
+gets 0.5, as does every text with a word if there is no labelled row; with one
+label only, that label; repeated rows give repeated results; a text of any length
+is one block, and takes memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import mix64, narrow, span_hashes, text_chunks, words
+from .arrowtext import LOWER, mix64, narrow, span_hashes, text_chunks, words
 from .shared import sampled
 
-TERMS = 4096
+#: Hashed terms of writing, of which the last 32 tell repetition and length, and of words.
+SHAPES, WORDS = 4096, 4096
+TERMS = SHAPES + WORDS
 #: Words said again within this many words make the terms of repetition.
 NEAR = 8
 BLOCK = 1024
@@ -66,10 +71,11 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         again[d:][same] = d
     said = again > 0
     long = np.minimum(ends - starts, 40) // 4
-    terms = np.concatenate((shape >> np.uint64(53), (pair >> np.uint64(53)) + np.uint64(TERMS // 2 - 32)))
-    special = np.concatenate((again[said], NEAR + 1 + long)) + TERMS - 32
-    terms = np.minimum(terms.astype(np.int64), TERMS - 33)
-    flat = np.concatenate((np.concatenate((row, row[1:][inner])) * TERMS + terms, np.concatenate((row[said], row)) * TERMS + special))
+    terms = np.concatenate((shape >> np.uint64(53), (pair >> np.uint64(53)) + np.uint64(SHAPES // 2 - 32)))
+    terms = np.minimum(terms.astype(np.int64), SHAPES - 33)
+    special = np.concatenate((again[said], NEAR + 1 + long)) + SHAPES - 32
+    lowered = span_hashes(LOWER[raw], starts, ends) >> np.uint64(52)
+    flat = np.concatenate((np.concatenate((row, row[1:][inner])) * TERMS + terms, np.concatenate((row[said], row)) * TERMS + special, row * TERMS + SHAPES + lowered.astype(np.int64)))
     return np.bincount(flat, minlength=n * TERMS).astype(np.float32).reshape(n, TERMS)
 
 
@@ -90,27 +96,32 @@ class Model:
         return np.where(size > 1e-12, v / np.maximum(size, 1e-12), 0).astype(np.float32)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        v = self.embed(counts)
+        v, words = self.embed(counts), counts.any(1)
         if not len(self.vectors):
-            return np.full(len(v), 0.5)
+            return np.where(words, 0.5, 0.0)
         share = self.labels.mean()
-        weight = np.where(self.labels == 1, 1 / max(share, 1e-9), 1 / max(1 - share, 1e-9))
+        if share in (0.0, 1.0):
+            return np.where(words, share, 0.0)
+        weight = np.where(self.labels == 1, 1 / share, 1 / (1 - share))
         k = min(self.neighbours, len(self.labels))
         out = np.empty(len(v))
         for i in range(0, len(v), BLOCK):
             cosine = v[i : i + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** self.power * weight[near]
-            total = vote.sum(1)
-            out[i : i + BLOCK] = np.where(total > 0, (vote * self.labels[near]).sum(1) / np.maximum(total, 1e-300), 0.5)
-        if share in (0.0, 1.0):
-            out[:] = share
-        return np.clip(out, 0, 1)
+            last = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
+            row, near = np.nonzero(cosine >= np.maximum(last, 0)[:, None])  # ties with the last vote too
+            vote = cosine[row, near].astype(np.float64) ** self.power * weight[near]
+            total = np.bincount(row, vote, len(cosine))
+            out[i : i + BLOCK] = np.where(total > 0, np.bincount(row, vote * self.labels[near], len(cosine)) / np.maximum(total, 1e-300), 0.5)
+        return np.where(words, np.clip(out, 0, 1), 0.0)
 
 
 def weigh(counts: np.ndarray) -> np.ndarray:
-    """Square roots of the terms' shares of their text."""
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+    """Square roots of the terms' shares of their text, words and writing apart, words at half weight (by cross-validation)."""
+    out = np.sqrt(counts)
+    for part in (slice(0, SHAPES), slice(SHAPES, TERMS)):
+        out[:, part] /= np.sqrt(np.maximum(counts[:, part].sum(1, keepdims=True), 1))
+    out[:, SHAPES:] /= 2
+    return out
 
 
 def randomised_svd(x: np.ndarray, k: int, rounds: int = 2, seed: int = 3) -> np.ndarray:
@@ -123,31 +134,65 @@ def randomised_svd(x: np.ndarray, k: int, rounds: int = 2, seed: int = 3) -> np.
     return (q @ vt.T)[:, :k].astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], dimensions: int = 48, neighbours: int = 25, power: float = 4.0) -> Model:
-    """Learn the latent space and keep the labelled vectors."""
-    if not texts:
-        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), neighbours, power)
+def counts_of(texts: list[str]) -> np.ndarray:
     raw = [t.encode() for t in texts]
-    counts = []
-    for i in range(0, len(raw), 256):
-        some = raw[i : i + 256]
-        counts.append(term_counts(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])))
-    counts = np.concatenate(counts)
-    idf = np.log(1 + len(counts) / (1 + (counts > 0).sum(0))).astype(np.float32)
+    return term_counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def fit(counts: np.ndarray, labels: list[int], idf: np.ndarray, dimensions: int = 48, neighbours: int = 25, power: float = 4.0) -> Model:
+    """Learn the latent space of the labelled rows' term counts and keep their vectors."""
+    if not len(counts):
+        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), neighbours, power)
     basis = randomised_svd(weigh(counts) * idf, dimensions)
     model = Model(idf, basis, np.zeros((0, basis.shape[1]), np.float32), np.array(labels, np.int64), neighbours, power)
     model.vectors = model.embed(counts)
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, learnable: Column, label_col: str = "quality", rows: int = 4000, excerpt: int = 20_000, **options) -> Model:
-    """Fit on at most ``rows`` of the labelled documents where ``learnable`` holds, ``excerpt`` characters of each."""
-    marked = labels.where(learnable).select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    chosen = sampled(marked, "label", rows // 2, 2).withColumnRenamed("id", "doc_id")
-    texts = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, excerpt).alias("text"))
+def blocks(offsets: np.ndarray, raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Term counts of at most BLOCK rows at a time."""
+    for i in range(0, len(offsets) - 1, BLOCK):
+        own = offsets[i : i + BLOCK + 1]
+        yield term_counts(raw[own[0] : own[-1]], own - own[0])
+
+
+def frequencies(documents: DataFrame, text_col: str = "text") -> np.ndarray:
+    """IDF from the number of documents that have each term: all are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(TERMS, np.int64), 0
+        for _, offsets, raw, _ in text_chunks(batches):
+            for counts in blocks(offsets, raw):
+                total += (counts > 0).sum(0)
+                n += len(counts)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[total[some], n])], ["term", "n"])
+
+    found = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    there = {r["term"]: r["n"] for r in found}
+    return np.log(1 + there.get(-1, 0) / (1 + np.array([there.get(i, 0) for i in range(TERMS)]))).astype(np.float32)
+
+
+def train(documents: DataFrame, labels: DataFrame, learnable: Column, label_col: str = "quality", rows: int = 4000, **options) -> Model:
+    """Fit on at most ``rows`` of the labelled documents where ``learnable`` holds; frequencies are of all documents."""
+    known = labels.where(learnable).select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    chosen = sampled(known, "label", rows // 2, 2).withColumnRenamed("id", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, offsets, raw, _ in text_chunks(batches):
+            counts = np.concatenate(list(blocks(offsets, raw)))
+            terms = [np.flatnonzero(c) for c in counts]
+            packed = [pa.array([x.astype(kind).tobytes() for x in some], pa.binary()) for kind, some in (("<u2", terms), ("<f4", [c[t] for c, t in zip(counts, terms, strict=True)]))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], ["doc_id", "label", "turn", "terms", "counts"])
+
     # at most ``rows`` small rows are broadcast
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label").collect()
-    return fit([r["text"] for r in found], [r["label"] for r in found], **options)
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("turn"), "text")
+    sent = texts.mapInArrow(run, "doc_id long, label int, turn long, terms binary, counts binary")
+    found = sent.orderBy(F.xxhash64("doc_id"), "doc_id", "turn").limit(rows).collect()
+    counts = np.zeros((len(found), TERMS), np.float32)
+    for x, r in zip(counts, found, strict=True):
+        x[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["counts"], "<f4")
+    return fit(counts, [r["label"] for r in found], frequencies(documents) if len(found) else np.ones(TERMS, np.float32), **options)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +200,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offsets, raw, _ in text_chunks(batches):
-            found = [model.score(term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in zip(range(0, len(rows), BLOCK), [*range(BLOCK, len(rows), BLOCK), len(rows)], strict=True)]
+            found = [model.score(counts) for counts in blocks(offsets, raw)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.concatenate(found))], ["doc_id", "score"])
 
     return narrow(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, STEP, mix64, narrow, span_hashes, text_chunks
+from .arrowtext import LOWER, STEP, mix64, narrow, numbered, span_hashes, text_chunks
 from .shared import kept
 
 IN_WORD = np.zeros(256, bool)
@@ -322,7 +322,8 @@ def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
 def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``documents`` into which no item leaks, with all their columns."""
-    out = documents
+    rows = numbered(documents)
+    out = rows
     place = documents.columns.index(text_col)
     for index in indexes(documents, benchmark, id_col, text_col, **options):
 
@@ -336,5 +337,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     yield batch.slice(at, len(rows)).filter(pa.array(keep))
                     at += len(rows)
 
-        out = out.mapInArrow(run, documents.schema)
-    return out
+        out = out.mapInArrow(run, rows.schema)
+    return out.toDF(*documents.columns)

@@ -9,7 +9,9 @@ before the one just merged, only the leftmost pair of the segment is merged in
 that round, so the order is always that of the library.
 
 Defined cases: a null text encodes like an empty one (no ids, empty decoded
-text); repeated rows give repeated results; an empty table gives an empty one.
+text); repeated rows give repeated results; an empty table gives an empty one; a
+text of any length is encoded whole, in time n log n; columns named ids and decoded
+are replaced by those found.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import distinct_spans, narrow, span_hashes, text_chunks
+from .arrowtext import distinct_spans, narrow, numbered, span_hashes, text_chunks
 
 SPACE = "▁"
 #: Segments of more symbols than this take the priority queue: rounds would cost their length squared.
@@ -286,7 +288,9 @@ def encode_rows(df: DataFrame, model_path: str, text_col: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, decoded], [*batch.schema.names, "ids", "decoded"])
                 at += len(rows)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *T._parse_datatype_string("ids array<int>, decoded string").fields]))
+    rows = numbered(df)
+    more = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more.fields])).toDF(*df.columns, "ids", "decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

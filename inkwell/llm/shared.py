@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a temporary one only in a local session without a name, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()
 
@@ -36,18 +38,42 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 
 
 def sampled(ids: DataFrame, kind: str, rows: int, most: int) -> DataFrame:
-    """The first ``rows`` by hash of each of the ``most`` most frequent kinds of ``ids`` (id and kind).
+    """The first ``rows`` ids by hash of each kind of ``ids`` (id and kind); an error if there are over ``most`` kinds.
 
-    A threshold on the hash, from the kinds' counts, leaves about twice as many
-    rows as are wanted before these are ranked.
+    A threshold on the hash, from the kinds' numbers of different ids, leaves
+    about twice as many as are wanted before these are ranked.
     """
-    counts = ids.where(F.col(kind).isNotNull()).groupBy(kind).count().orderBy(F.desc("count"), kind).limit(most).collect()
-    turn = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    limit = F.lit(-1)
-    for r in counts:
-        limit = F.when(F.col(kind) == F.lit(r[kind]), F.lit(min(1.0, (2 * rows + 100) / r["count"]) * (1 << 30))).otherwise(limit)
+    known = ids.where(F.col(kind).isNotNull())
+    counts = known.groupBy(kind).agg(F.approx_count_distinct("id", 0.02).alias("ids_")).limit(most + 1)
+    found = [(r[0], min(1.0, (2 * rows + 100) / max(r[1], 1)) * (1 << 30)) for r in counts.collect()]
+    if len(found) > most:
+        raise ValueError(f"column {kind} has over {most} different values")
+    limits = ids.sparkSession.createDataFrame(found, f"{kind} {dict(ids.dtypes)[kind]}, limit_ double")
     order = Window.partitionBy(kind).orderBy(F.xxhash64("id"), "id")
-    return ids.where(turn <= limit).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
+    # at most ``most`` rows are broadcast
+    near = known.join(F.broadcast(limits), kind).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("limit_")).select("id", kind).distinct()
+    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
+
+
+MARKS = 1 << 24
+
+
+def marks(rows: DataFrame, key: str) -> DataFrame:
+    """A bitmap of MARKS bits with the rows' keys, as at most MARKS / 32768 rows of 4 kB: a filter that lets few others pass."""
+    bit = F.pmod(key, F.lit(MARKS))
+    return rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
+def marked(rows: DataFrame, bitmap: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose bit is set, and the others; ``rows`` has no columns bucket and bits."""
+    bit = F.pmod(key, F.lit(MARKS))
+    place = F.bitmap_bit_position(bit)
+    # 2 MB at most are broadcast
+    found = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(bit) == F.col("bucket"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    names = rows.columns
+    return found.where(is_set).select(names), found.where(~is_set).select(names)
 
 
 def connected(edges: DataFrame) -> DataFrame:

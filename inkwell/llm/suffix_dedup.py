@@ -47,9 +47,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, run_starts, span_hashes, string_parts
-from .shared import kept
+from .shared import kept, marked, marks
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
 BLOCK, FLUSH, HOT = 1 << 19, 1 << 18, 512
@@ -286,27 +287,6 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.crc32("text").alias("tag"), "doc_id", "text", "rest")
 
 
-MARKS = 1 << 24
-
-
-def marks(rows: DataFrame) -> DataFrame:
-    """A bitmap of MARKS bits with the rows' hashed keys, as at most MARKS / 32768 rows of 4 kB: a filter that lets few others pass."""
-    bit = F.pmod("row", F.lit(MARKS))
-    return rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-
-
-def marked(rows: DataFrame, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose bit is set, and the others."""
-    bit = F.pmod("row", F.lit(MARKS))
-    place = F.bitmap_bit_position(bit)
-    # 2 MB at most are broadcast
-    found = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(bit) == F.col("bucket"), "left")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
-    names = rows.columns
-    return found.where(is_set).select(names), found.where(~is_set).select(names)
-
-
 def parts_for(texts: DataFrame) -> int:
     """How many parts the texts' records are dealt to: at least those of the session, more where the texts' bytes ask for them."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -360,7 +340,7 @@ def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | N
     found = kept(meet(long.mapInArrow(first_pass, SENT), RUN, meet_runs, depth, parts))
     # a set of ranges, combined in the map task: copies under one id ask and answer once
     asked = kept(found.where(F.col("kind") != REPEATED).groupBy("row", "tag").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("asked")))
-    some, _ = marked(long, kept(marks(asked)))
+    some, _ = marked(long, kept(marks(asked, "row")), "row")
     suffixes = some.join(asked, ["row", "tag"]).select("row", "tag", "text", "asked").mapInArrow(digit_passes, SENT)
     more = meet(suffixes, SUFFIX, meet_suffixes, depth, parts)
     return found.where(F.col("kind") == REPEATED).select("row", "tag", "lo", "hi").unionAll(more.select("row", "tag", "lo", "hi"))
@@ -373,7 +353,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     """
     rows = keyed(df, id_col, text_col)
     ranges = kept(repeated(rows, depth, digit, parts).groupBy("row", "tag").agg(F.collect_set(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("ranges")))
-    some, others = marked(rows, kept(marks(ranges)))
+    some, others = marked(rows, kept(marks(ranges, "row")), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,7 +375,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
             whole = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(rest, pa.binary()), whole, batch.column(3)], NAMES)
 
-    schema = "doc_id long, n_bytes long, spans array<struct<lo: bigint, hi: bigint>>, kept binary, text string, rest " + rows.schema["rest"].dataType.simpleString()
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, spans array<struct<lo: bigint, hi: bigint>>, kept binary, text string").add("rest", rows.schema["rest"].dataType)
     empty = F.array().cast("array<struct<lo: int, hi: int>>")
     touched = some.join(ranges, ["row", "tag"], "left").select("doc_id", "text", F.coalesce("ranges", empty).alias("ranges"), "rest").mapInArrow(run, schema)
     return touched.unionAll(others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<lo: bigint, hi: bigint>>").alias("spans"), F.encode("text", "UTF-8").alias("kept"), "text", "rest"))

@@ -125,23 +125,36 @@ def test_quality_held_out_accuracy_and_hard_cases(spark, documents):
     assert np.mean([(r.score >= 0.3) == bool(r.quality) for r in rows]) > 0.85
     hard = knn_quality.score(docs(spark, HARD), model).orderBy("doc_id").collect()
     assert len(hard) == len(HARD) and all(0 <= r.score <= 1 for r in hard)
-    assert [r.score for r in hard[:4]] == [0.5] * 4 and hard[10].score == hard[11].score
+    assert [r.score for r in hard[:4]] == [0] * 4 and hard[10].score == hard[11].score
     assert knn_quality.score(nothing(spark), model).count() == 0
     bare = knn_quality.train(nothing(spark), labels, F.lit(True))
-    assert {r.score for r in knn_quality.score(docs(spark, HARD), bare).collect()} == {0.5}
+    assert {r.doc_id: r.score for r in knn_quality.score(docs(spark, HARD), bare).collect()} == {i: 0.5 if (t or "").split() else 0 for i, t in enumerate(HARD)}
 
 
 def test_quality_neighbours_match_plain_votes():
     rng = np.random.default_rng(1)
-    model = knn_quality.fit(["good words here", "BAD!! BAD!!", "fine text, yes.", "@@@ ### %%%"] * 5, [1, 0, 1, 0] * 5, neighbours=3)
+    model = knn_quality.fit(knn_quality.counts_of(["good words here", "BAD!! BAD!!", "fine text, yes.", "@@@ ### %%%"] * 5), [1, 0, 1, 0] * 5, np.ones(knn_quality.TERMS, np.float32), neighbours=3)
     counts = rng.integers(0, 4, (7, knn_quality.TERMS)).astype(np.float32)
     v = model.embed(counts)
     for row, got in zip(v, model.score(counts), strict=True):
         c = model.vectors @ row
-        near = np.argsort(-c)[:3]
+        near = c >= np.sort(c)[-3]  # the third and those as near: every text stands there five times
         w = np.maximum(c[near], 0).astype(float) ** 4
-        if len(set(np.round(c, 5))) == len(c) and w.sum():
-            assert got == pytest.approx((w * model.labels[near]).sum() / w.sum(), abs=1e-6)
+        if w.sum():
+            assert near.sum() >= 5 and got == pytest.approx((w * model.labels[near]).sum() / w.sum(), abs=1e-6)
+
+
+def test_quality_learns_from_whole_texts_and_all_frequencies(spark):
+    texts = ["word " * 30_000 + "END!!", "word " * 10, "other"]
+    df = docs(spark, texts)
+    idf = knn_quality.frequencies(df)
+    seen = sum((knn_quality.counts_of([t])[0] > 0).astype(int) for t in texts)
+    assert np.allclose(idf, np.log(1 + 3 / (1 + seen)))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    model = knn_quality.train(df, labels, F.lit(True))
+    assert len(model.vectors) == 2 and np.allclose(model.vectors[model.labels == 1], model.embed(knn_quality.counts_of(texts[:1])), atol=1e-5)
+    repeated = knn_quality.train(df.union(df), labels, F.lit(True))
+    assert sorted(repeated.labels) == [0, 0, 1, 1]
 
 
 # 3
@@ -437,16 +450,18 @@ def test_tokens_match_the_library(spark, documents):
 
 
 def test_pipeline_stages(spark, documents):
-    docs_ = spark.read.parquet(f"{DATA}/documents.parquet").union(spark.createDataFrame([(10_000, None, None, None, None), (10_001, "12 34", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long"))
+    extra = spark.createDataFrame([(10_000, None, None, None, None), (10_001, "12 34", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs_ = documents.union(extra)
     tables = [docs_]
     for _, stage in corpus_pipeline.STAGES:
         tables.append(shared.kept(stage(spark, tables[-1], DATA)))
     assert all(t.columns == docs_.columns for t in tables[:-1])
     by = [{r.doc_id: r for r in t.collect()} for t in tables]
-    assert set(by[0]) - set(by[1]) == {10_000, 10_001}
-    prints = {i: plain_print(r.text) for i, r in by[1].items()}
-    left = {i for i in prints if not any(j < i and (prints[i] ^ prints[j]).bit_count() <= 3 for j in prints)}
-    assert set(by[2]) == left
+    model = crf_language.train(docs_, queries.remainder(4) != 2)
+    share = {r.doc_id: r.score for r in crf_language.predict(docs_, model).collect()}
+    assert set(by[1]) == {i for i in share if share[i] >= 0.5} and {10_000, 10_001}.isdisjoint(by[1])
+    label = plain_components({i: r.text for i, r in by[1].items()})
+    assert set(by[2]) == {i for i in label if label[i] == i} and len(by[2]) < len(by[1])
     order = sorted(by[2])
     for i, (_, removed, *_) in zip(order, plain_removal([by[2][i].text for i in order], 200), strict=True):
         text = by[3][i].text
@@ -457,6 +472,37 @@ def test_pipeline_stages(spark, documents):
     assert corpus_pipeline.run(spark, DATA).count() == len(by[5])
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, turn_ int, decoded string, n_tokens long, rest int, bucket int, bits int, row int, component long, `a.b` int"
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows of one id with different texts are rows of their own; identical rows, empty texts and null ids too."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "zz")
+    texts = [(1, a), (1, b), (1, a), (2, near), (2, c), (3, None), (4, ""), (None, a), (None, a), (5, b), (5, b), (6, "one"), (6, "two")]
+    df = spark.createDataFrame([(i, t, None, None, None, *[7] * 1, "x", 7, 7, 7, 7, 7, 7, 7) for i, t in texts], ODD)
+    left = corpus_pipeline.near_duplicates(spark, df, DATA)
+    assert left.columns == df.columns
+    rows = left.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted([(1, a), (1, b), (2, c), (3, ""), (0, a), (0, a), (6, "one"), (6, "two")])
+    assert all(r.turn_ == 7 and r.decoded == "x" and r["a.b"] == 7 for r in rows)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Every stage takes an empty table and columns of clashing names."""
+    row = [(i, t, None, None, None, 7, "x", 7, 7, 7, 7, 7, 7, 7) for i, t in enumerate(HARD)]
+    for rows in ([], row):
+        table = spark.createDataFrame(rows, ODD)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, DATA)
+            found = out.collect()
+            assert len(found) <= len(rows)
+            if name != "tokens":
+                assert out.columns == table.columns and all(r.turn_ == 7 and r["a.b"] == 7 for r in found)
+            else:
+                assert len(found) == len(rows) and set(out.columns) == {*table.columns, "ids"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_queries_return_every_row(spark, name):
     df = queries.queries()[name](spark, DATA)
