@@ -48,22 +48,20 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     store.move(f"{path}/{own}", f"{path}/{name}")
 
 
-def load(folder: str, name: str) -> dict[str, np.ndarray] | None:
-    """The arrays, mapped from the file; None if there is no such file.
+def load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays, mapped from the file; FileNotFoundError if there is no such file.
 
     A store that is no file system is read to a temporary file whose name is
     removed at once; the mapping holds it.
     """
     if local := is_local(folder):
-        if not os.path.exists(f"{local}/{name}"):
-            return None
         raw = np.memmap(f"{local}/{name}", np.uint8, "r")
     else:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
         if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
-            return None
+            raise FileNotFoundError(f"{folder}/{name}")
         with tempfile.NamedTemporaryFile() as f:
             with store.open_input_stream(f"{path}/{name}") as source:
                 while piece := source.read(1 << 24):

@@ -14,6 +14,12 @@ a part. Scoring tasks map them, look up the distinct words and pairs of a chunk
 in order by binary search, and sum log probabilities by document. No table of
 words or pairs reaches the driver: only sums do, and the HOT contexts.
 
+There are as many parts as ``PART_BYTES`` go into the texts; a task reduces one part
+at a time. A file that a part should have and has not is an error, never "no such word".
+
+Words are told apart by 64-bit hashes of their bytes, eight at a time, scrambled
+after each step: of a thousand million words two agree with probability 0.03.
+
 Lower-cased A-Z; tokens are white-space words and one end for each text. Defined
 cases: a null or empty text is one end token; words not in training get the
 uniform share of the continuation distribution; after an unknown word, and for
@@ -32,13 +38,17 @@ from pyspark.sql import functions as F
 
 from . import arrayfiles
 from .arrowtext import LOWER, mix64, span_hashes, text_chunks, words
-from .shared import fresh_path, kept
+from .shared import fresh_path, kept, parts_for
 
 #: The hash of the end token, the id before a text's first word, the id of unknown words.
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
+#: So many different words have ids of 32 bits besides these two; more are an error.
+MOST_WORDS = 0xFFFFFFFE
 #: Contexts whose pairs are dealt by pair, and pairs or words gathered before a block is sent.
 HOT, FLUSH = 1024, 3_000_000
+#: Bytes of text whose words or pairs make a part.
+PART_BYTES = 64 << 20
 BLOCKS = "part int, packed binary"
 
 
@@ -131,18 +141,21 @@ def block_rows(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def reduced(sent: DataFrame, parts: int, reduce, schema: str) -> DataFrame:
-    """Hands each part's blocks to ``reduce(part, blocks)``; what it yields, kept."""
+    """Hands each part's blocks to ``reduce(part, blocks)``, one part at a time; what it yields, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        now, held = -1, []
         for batch in batches:
             for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(part, []).append(x)
-        while held:
-            part, some = held.popitem()
-            yield from reduce(part, [unpack(x) for x in some])
+                if part != now and held:
+                    yield from reduce(now, held)
+                    held = []
+                now = part
+                held.append(unpack(x))
+        if held:
+            yield from reduce(now, held)
 
-    return kept(sent.repartition(parts, "part").mapInArrow(run, schema))
+    return kept(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema))
 
 
 class Vocabulary:
@@ -150,9 +163,12 @@ class Vocabulary:
 
     def __init__(self, folder: str, offsets: list[int]) -> None:
         self.folder, self.offsets, self.parts = folder, offsets, len(offsets) - 1
-        self.files: dict[int, dict[str, np.ndarray] | None] = {}
+        self.files: dict[int, dict[str, np.ndarray]] = {}
 
     def part(self, p: int) -> dict[str, np.ndarray] | None:
+        """A part's file; None if the part has no word. A file that should be there and isn't is an error."""
+        if self.offsets[p] == self.offsets[p + 1]:
+            return None
         if p not in self.files:
             self.files[p] = arrayfiles.load(self.folder, f"words-{p}")
         return self.files[p]
@@ -161,8 +177,7 @@ class Vocabulary:
         """Id and training count of sorted distinct hashes; UNKNOWN and 0 if not in training."""
         ids, counts = np.full(len(hashes), UNKNOWN, np.uint64), np.zeros(len(hashes), np.int64)
         for p, some in parted(hash_part(hashes, self.parts)):
-            x = self.part(p)
-            if x is None or not len(x["hash"]):
+            if (x := self.part(p)) is None:
                 continue
             at = np.minimum(np.searchsorted(x["hash"], hashes[some]), len(x["hash"]) - 1)
             hit = x["hash"][at] == hashes[some]
@@ -194,7 +209,8 @@ def discount(counts: np.ndarray, d: list[float]) -> np.ndarray:
 class Model:
     """What scoring needs besides the files."""
 
-    def __init__(self, folder: str, word_offsets: list[int], total: int, parts: int, hot: dict[int, tuple[int, int, int, int]], pair_counts: list[int], word_counts: list[int]) -> None:
+    def __init__(self, folder: str, word_offsets: list[int], total: int, parts: int, hot: dict[int, tuple[int, int, int, int]], pair_counts: list[int], word_counts: list[int], pair_parts: set[int]) -> None:
+        self.pair_parts = pair_parts
         self.folder, self.word_offsets, self.total, self.parts = folder, word_offsets, total, parts
         self.size = word_offsets[-1]
         self.hot_ids = np.array(sorted(hot), np.uint64)
@@ -211,22 +227,25 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.m, self.vocabulary = model, Vocabulary(model.folder, model.word_offsets)
-        self.files: dict[str, dict[str, np.ndarray] | None] = {}
+        self.files: dict[str, dict[str, np.ndarray]] = {}
 
-    def file(self, name: str) -> dict[str, np.ndarray] | None:
+    def file(self, name: str) -> dict[str, np.ndarray]:
         if name not in self.files:
             self.files[name] = arrayfiles.load(self.m.folder, name)
         return self.files[name]
 
+    def pairs(self, p: int) -> dict[str, np.ndarray] | None:
+        """A part's pairs; None if it has none."""
+        return self.file(f"pairs-{p}") if p in self.m.pair_parts else None
+
     def continuation(self, ids: np.ndarray) -> np.ndarray:
         """Probability of distinct ids from the continuation counts."""
         out = np.full(len(ids), self.m.uniform)
         known = np.flatnonzero(ids != UNKNOWN)
         part = np.searchsorted(self.m.word_offsets, ids[known], "right") - 1
         for p, some in parted(part):
-            if (x := self.file(f"follows-{p}")) is not None:
-                n = x["count"][(ids[known[some]] - np.uint64(self.m.word_offsets[p])).astype(np.int64)]
-                out[known[some]] += np.maximum(n - discount(n, self.m.word_discounts), 0) / max(self.m.pairs, 1)
+            n = self.file(f"follows-{p}")["count"][(ids[known[some]] - np.uint64(self.m.word_offsets[p])).astype(np.int64)]
+            out[known[some]] += np.maximum(n - discount(n, self.m.word_discounts), 0) / max(self.m.pairs, 1)
         return out
 
     def contexts(self, ids: np.ndarray) -> np.ndarray:
@@ -237,7 +256,7 @@ class Scorer:
             hit = self.m.hot_ids[at] == ids
             out[hit] = self.m.hot_stats[at[hit]]
         for p, some in parted((mix64(ids) % np.uint64(self.m.parts)).astype(np.int64)):
-            x = self.file(f"pairs-{p}")
+            x = self.pairs(p)
             if x is None or not len(x["context"]):
                 continue
             at = np.minimum(np.searchsorted(x["context"], ids[some]), len(x["context"]) - 1)
@@ -248,7 +267,7 @@ class Scorer:
     def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pairs), np.int64)
         for p, some in parted(pair_part(pairs, self.m.parts, self.m.hot_ids)):
-            x = self.file(f"pairs-{p}")
+            x = self.pairs(p)
             if x is None or not len(x["pair"]):
                 continue
             at = np.minimum(np.searchsorted(x["pair"], pairs[some]), len(x["pair"]) - 1)
@@ -278,9 +297,9 @@ class Scorer:
 def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int | None = None) -> Model:
     """Count the rows where ``trainable`` holds and write the model's files."""
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = fresh_path(spark, "kneser-ney")
     texts = df.where(trainable).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parts = parts or parts_for(texts, PART_BYTES)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = Gather()
@@ -304,6 +323,8 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
     found = reduced(texts.mapInArrow(send_words, BLOCKS), parts, meet_words, "part long, n long, total long, top array<long>, top_counts array<long>")
     sizes = {r["part"]: (r["n"], r["total"]) for r in found.select("part", "n", "total").collect()}
     offsets = np.cumsum([0, *(sizes.get(p, (0, 0))[0] for p in range(parts))]).tolist()
+    if offsets[-1] > MOST_WORDS:
+        raise ValueError(f"{offsets[-1]} different words: ids of 32 bits tell at most {MOST_WORDS} apart")
     total = sum(t for _, t in sizes.values())
     each = found.select("part", F.posexplode("top").alias("i", "place"), "top_counts").select("part", "place", F.col("top_counts")[F.col("i")].alias("c"))
     top = each.orderBy(F.desc("c"), "part", "place").limit(HOT).collect()
@@ -341,7 +362,7 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
         arrayfiles.save(folder, f"pairs-{part}", {"pair": pairs, **small_counts(counts), "context": context[~is_hot].astype(np.uint32), **columns})
         n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
         at = np.flatnonzero(is_hot)
-        yield pa.RecordBatch.from_arrays([pa.array([None] * len(at) + [0], pa.int32()), pa.array([*context[at].astype(np.int64).tolist(), None], pa.int64()), pa.array([*np.stack([x[at] for x in stats], 1).tolist(), [*n, len(pairs)]], pa.list_(pa.int64())), pa.nulls(len(at) + 1, pa.binary())], ["part", "context", "n", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(at) + [part], pa.int32()), pa.array([*context[at].astype(np.int64).tolist(), None], pa.int64()), pa.array([*np.stack([x[at] for x in stats], 1).tolist(), [*n, len(pairs)]], pa.list_(pa.int64())), pa.nulls(len(at) + 1, pa.binary())], ["part", "context", "n", "packed"])
         words_, follows = np.unique(pairs & np.uint64(0xFFFFFFFF), return_counts=True)
         for p, some in parted(np.searchsorted(offsets, words_, "right") - 1):
             packed = arrayfiles.pack({"word": words_[some].astype(np.uint32), **small_counts(follows[some])})
@@ -351,6 +372,7 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
     sums = [F.sum(F.col("n")[i]) for i in range(5)]
     contexts = counted.where("context is not null").groupBy("context").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums[:4])]).collect()
     pair_counts = [x or 0 for x in counted.where("context is null and n is not null").agg(*sums).first()]
+    pair_parts = {r["part"] for r in counted.where("context is null and n is not null").select("part").collect()}
 
     def meet_follows(part: int, blocks: list[dict]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(offsets[part + 1] - offsets[part], np.int64)
@@ -361,7 +383,7 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
 
     words_counted = reduced(counted.where("packed is not null").select("part", "packed"), parts, meet_follows, "n array<long>")
     word_counts = [x or 0 for x in words_counted.agg(*sums).first()]
-    return Model(folder, offsets, total, parts, {r["context"]: (r["s0"], r["s1"], r["s2"], r["s3"]) for r in contexts}, pair_counts, word_counts)
+    return Model(folder, offsets, total, parts, {r["context"]: (r["s0"], r["s1"], r["s2"], r["s3"]) for r in contexts}, pair_counts, word_counts, pair_parts)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

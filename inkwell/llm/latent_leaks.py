@@ -14,9 +14,13 @@ the item's answer (its last sentence, or what follows its last question mark)
 stands there word for word; an answer of under ``answer_words`` words is taken with
 the words before it.
 
+Every place where candidates come together is decided by itself: one leak is enough.
+
 The benchmark is taken in blocks of at most ``block_bytes`` of text; what a task
-gets is bounded by that, not by the size of benchmark or corpus. Documents are
-read whole.
+gets is one block's index, in proportion to its text (a space holds at most
+``SPACE`` items and as many dimensions), whatever the size of benchmark and corpus.
+The driver holds one block and the benchmark's vocabulary; frequencies are counted
+for all blocks at once. Documents are read whole.
 
 A word is a run of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
 Defined cases: null and empty texts and items have no word and match nothing;
@@ -211,8 +215,8 @@ class Index:
 
 
 def thin_product(rows: DataFrame, terms: int, thin: np.ndarray) -> np.ndarray:
-    """A' A thin for the matrix whose sparse rows are (places, weights): each task's sum, then the sum of these."""
-    width = thin.shape[1]
+    """A' A thin for the matrix whose sparse rows are (places, weights): each task's sum in packed slices, then the sum of these."""
+    width, slices = thin.shape[1], 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((terms, width))
@@ -220,14 +224,24 @@ def thin_product(rows: DataFrame, terms: int, thin: np.ndarray) -> np.ndarray:
             for places, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, w = np.array(places, np.int64), np.array(weights)
                 total[at] += np.outer(w, w @ thin[at])
-        some = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["term", "row"])
+        for i in range(slices):
+            at = np.flatnonzero(total[i::slices].any(1))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([total[i::slices][at].tobytes()], pa.binary())], ["slice", "places", "packed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, places, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault(i, np.zeros((len(range(i, terms, slices)), width)))
+                own[np.frombuffer(places, "<i8")] += np.frombuffer(packed).reshape(-1, width)
+        for i, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], ["slice", "packed"])
 
-    each = rows.mapInArrow(run, "term long, row array<double>")
-    summed = each.groupBy("term").agg(F.array(*[F.sum(F.col("row")[i]) for i in range(width)]).alias("row")).collect()
+    each = rows.mapInArrow(run, "slice long, places binary, packed binary")
     out = np.zeros((terms, width))
-    for r in summed:
-        out[r["term"]] = r["row"]
+    for r in each.repartition("slice").mapInArrow(add, "slice long, packed binary").collect():
+        out[r["slice"] :: slices] = np.frombuffer(r["packed"]).reshape(-1, width)
     return out
 
 
@@ -260,22 +274,42 @@ def document_frequencies(documents: DataFrame, terms: np.ndarray) -> tuple[np.nd
     return np.array([by_term.get(i, 0) for i in range(len(terms))]), by_term.get(-1, 0)
 
 
-def build(documents: DataFrame, items: list[tuple[int, str]], **options) -> Index:
-    """The index of one block of the benchmark, with frequencies from ``documents`` (doc_id, text)."""
+@dataclass
+class Frequencies:
+    """How many documents have each word of the benchmark."""
+
+    terms: np.ndarray  # sorted word hashes
+    there: np.ndarray
+    documents: int
+
+    def idf(self, words: np.ndarray) -> np.ndarray:
+        return np.log(1 + self.documents / (1 + self.there[np.searchsorted(self.terms, words)]))
+
+
+def frequencies(documents: DataFrame, items: DataFrame, at_once: int = 1 << 22) -> Frequencies:
+    """Counted in one pass over the documents for each ``at_once`` different words of the whole benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, offsets, raw, _ in text_chunks(batches, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashed_words(raw, offsets)[0]).view(np.int64))], ["word"])
+
+    found = items.select("text").mapInArrow(run, "word long").distinct().toArrow().column("word").to_numpy()
+    terms = np.sort(found.view(np.uint64))
+    counted = [document_frequencies(documents, terms[i : i + at_once]) for i in range(0, len(terms), at_once)]
+    return Frequencies(terms, np.concatenate([np.zeros(0, np.int64), *(x for x, _ in counted)]), max((n for _, n in counted), default=0))
+
+
+def build(spark: SparkSession, items: list[tuple[int, str]], known: Frequencies, **options) -> Index:
+    """The index of one block of the benchmark."""
     words = [words_of(t) for _, t in items]
-    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
-    if not len(terms):
-        return Index([], [], [], [], **options)
-    there, n = document_frequencies(documents, terms)
-    idf = np.log(1 + n / (1 + there))
-    spaces = [space_of(documents.sparkSession, terms, idf, words[i : i + SPACE], i) for i in range(0, len(words), SPACE)]
+    spaces = [space_of(spark, known, words[i : i + SPACE], i) for i in range(0, len(words), SPACE)]
     return Index([s for s in spaces if len(s.terms)], [i for i, _ in items], [w.tolist() for w in words], [answer_of(t).tolist() for _, t in items], **options)
 
 
-def space_of(spark: SparkSession, terms: np.ndarray, idf: np.ndarray, words: list[np.ndarray], first: int) -> Space:
+def space_of(spark: SparkSession, known: Frequencies, words: list[np.ndarray], first: int) -> Space:
     """The latent space of a few items, of as many dimensions."""
     own = np.unique(np.concatenate(words))
-    idf = idf[np.searchsorted(terms, own)]
+    idf = known.idf(own)
     if not len(own):
         return Space(own, np.zeros((0, 1), np.float32), np.zeros((len(words), 1), np.float32), first)
     rows = []
@@ -296,9 +330,11 @@ def indexes(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    texts = narrow(documents, id_col, text_col)
+    known = frequencies(texts, items)
     for b in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield build(narrow(documents, id_col, text_col), [(r["item_id"], r["text"]) for r in some], **options)
+        yield build(texts.sparkSession, [(r["item_id"], r["text"]) for r in some], known, **options)
 
 
 def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

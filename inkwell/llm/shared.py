@@ -37,6 +37,12 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def parts_for(texts: DataFrame, part_bytes: int) -> int:
+    """How many parts records of the column text are dealt to: those of the session, more where the bytes ask for them."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+
+
 def sampled(ids: DataFrame, kind: str, rows: int, most: int) -> DataFrame:
     """The first ``rows`` ids by hash of each kind of ``ids`` (id and kind); an error if there are over ``most`` kinds.
 

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, run_starts, span_hashes, string_parts
-from .shared import kept, marked, marks
+from .shared import kept, marked, marks, parts_for
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
 BLOCK, FLUSH, HOT = 1 << 19, 1 << 18, 512
@@ -287,16 +287,10 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.crc32("text").alias("tag"), "doc_id", "text", "rest")
 
 
-def parts_for(texts: DataFrame) -> int:
-    """How many parts the texts' records are dealt to: at least those of the session, more where the texts' bytes ask for them."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-
-
 def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | None = None) -> DataFrame:
     """(row, tag, lo, hi): byte ranges of ``rows`` (row, tag, text) whose union is what windows of ``depth`` bytes repeat."""
     long = rows.where(F.octet_length("text") >= depth).select("row", "tag", "text")
-    parts = parts or parts_for(long)
+    parts = parts or parts_for(long, PART_BYTES)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, held, n = Rolling(), [], 0

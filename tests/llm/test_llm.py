@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from inkwell.llm import crf_language, kd_shards, kneser_ney, knn_quality, latent_leaks, lattice_dedup, queries, sentencepiece_bpe, shared, shingle_sets, simhash, suffix_dedup
+from inkwell.llm import arrayfiles, crf_language, kd_shards, kneser_ney, knn_quality, latent_leaks, lattice_dedup, queries, sentencepiece_bpe, shared, shingle_sets, simhash, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, ids string, row long, key string"
@@ -253,6 +254,22 @@ def test_scoring_without_training(spark):
     assert kneser_ney.score(nothing(spark), model).count() == 0
 
 
+def test_lost_files_and_too_many_words_are_errors(spark, monkeypatch, tmp_path):
+    df = docs(spark, ["a b c", "b c d"])
+    model = kneser_ney.train(df, F.lit(True), parts=2)
+    folder = arrayfiles.is_local(model.folder)
+    for name in sorted(os.listdir(folder)):
+        os.rename(f"{folder}/{name}", tmp_path / "away")
+        with pytest.raises(FileNotFoundError):
+            scorer = kneser_ney.Scorer(model)
+            for p in range(2):
+                scorer.vocabulary.part(p), scorer.pairs(p), scorer.file(f"follows-{p}")
+        os.rename(tmp_path / "away", f"{folder}/{name}")
+    monkeypatch.setattr(kneser_ney, "MOST_WORDS", 4)
+    with pytest.raises(ValueError):
+        kneser_ney.train(df, F.lit(True))
+
+
 # 5
 
 
@@ -581,6 +598,41 @@ def test_leaks_of_a_large_benchmark(spark):
     assert lost[0] == lost[1] == 0 and lost[2] <= 1, lost
 
 
+def test_each_place_of_a_leak_is_decided_by_itself():
+    """20 of 40 words with the answer are a leak, also beside a place with more words and no answer."""
+    words = [f"w{i}" for i in range(40)]
+    item = " ".join(words[:30]) + ". " + " ".join(words[30:]) + "."
+    space = latent_leaks.Space(np.unique(latent_leaks.words_of(item)), np.zeros((40, 1), np.float32), np.zeros((1, 1), np.float32), 0)
+    index = latent_leaks.Index([space], [7], [latent_leaks.words_of(item).tolist()], [latent_leaks.answer_of(item).tolist()])
+    leak = " ".join(words[:5] + ["x"] * 3 + words[8:13] + words[30:])
+    more = " ".join(w if i % 5 else "y" for i, w in enumerate(words[:28]))
+    pad = " ".join(f"p{i}" for i in range(400))
+
+    def found(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [x[4] for x in index.leaks(raw, np.array([0, len(raw)]))]
+
+    assert found(f"{pad} {more} {pad}") == []
+    assert found(f"{pad} {leak} {pad}") == [True]
+    assert found(f"{pad} {leak} {pad} {more} {pad}") == found(f"{pad} {more} {pad} {leak}") == [True]
+
+
+def test_frequencies_and_index_size(spark):
+    r = random.Random(16)
+    items = [" ".join(f"v{min(int(r.paretovariate(0.5)), 30_000)}" for _ in range(30)) for _ in range(2048)]
+    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    texts = [" ".join(r.choice(items).split()[:20]) for _ in range(40)] + [None, ""]
+    known = latent_leaks.frequencies(docs(spark, texts), benchmark, at_once=500)
+    there = collections.Counter(w for t in texts for w in set(latent_leaks.words_of(t).tolist()))
+    assert known.documents == len(texts) and [there[w] for w in known.terms.tolist()] == known.there.tolist()
+    assert set(known.terms.tolist()) == {w for t in items for w in latent_leaks.words_of(t).tolist()}
+    sizes = []
+    for n in (256, 1024, 2048):
+        index = latent_leaks.build(spark, list(enumerate(items[:n])), known)
+        sizes.append(sum(x.basis.nbytes + x.vectors.nbytes for x in index.spaces) / sum(len(t) for t in items[:n]))
+    assert max(sizes) < 1.2 * min(sizes)  # in proportion to the text
+
+
 def test_short_answers_count_with_the_words_before_them():
     item = "one two three four five six seven eight nine ten is it so? Yes indeed."
     words, answer = latent_leaks.words_of(item), latent_leaks.answer_of(item)
