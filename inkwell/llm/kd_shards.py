@@ -3,9 +3,10 @@
 Every row is a point whose dimensions are metadata of its text: UTF-8 bytes,
 characters, words, and lines. A node is split at the weighted median (weight:
 bytes) of its widest dimension, the one whose range takes the largest part of
-the whole table's range, until there are as many leaves as shards, that is
-until leaves reach the target bytes. Along a dimension, rows with the same value are ordered by two checksums of
-the text, so only equal texts can't be parted: they always share a shard.
+the whole table's range, until leaves reach the target bytes: a node is split while
+its halves would be nearer to the target. A number of shards, a power of two, asks
+for as many leaves instead. Along a dimension, rows with the same value are ordered
+by 31 bits of a hash of the text, so equal texts always share a shard.
 
 The medians are exact. All nodes of a level are searched together: rounds of
 equal-width bins narrow each node's bracket by ``bins`` until the bracket is one
@@ -16,7 +17,7 @@ is written once to the shared folder, without texts.
 Defined cases: a null text has no bytes, weighs 1 and is placed like an empty
 one; equal texts stay together, so a group of copies larger than a shard makes
 that shard larger; repeated rows get their own slots; an empty table gives an
-empty result.
+empty result; a text of any length is a point like others; other columns are not read.
 """
 
 from __future__ import annotations
@@ -83,63 +84,91 @@ def medians(rows: DataFrame, bins: int) -> dict[int, int]:
     return {n: b[1] if b[1] < tops[n] else b[1] - 1 for n, b in spread.items()}
 
 
+def grown(at: DataFrame, node: Column, wanted: Column | None, whole: dict[str, float], bins: int) -> list[tuple[int, str, int]]:
+    """The splits of all nodes of a level (those where ``wanted`` holds) that have more than one point."""
+    placed = at.withColumn("node", node)
+    placed = placed if wanted is None else placed.where(wanted)
+    ranges = placed.groupBy("node").agg(*[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    if not whole:
+        whole |= {d: max([1, *(r[f"hi_{d}"] - r[f"lo_{d}"] for r in ranges)]) for d in DIMENSIONS}
+    widest = {r["node"]: max(DIMENSIONS, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d], -DIMENSIONS.index(d))) for r in ranges}
+    value = F.lit(0).cast("long")
+    for n, d in widest.items():
+        value = F.when(F.col("node") == n, F.col(d)).otherwise(value)
+    found = medians(placed.select("node", key_of(value).alias("k"), "size"), bins)
+    return [(n, widest[n], cut) for n, cut in sorted(found.items())]
+
+
 def tree(at: DataFrame, shards: int, bins: int = 2048) -> list[tuple[int, str, int]]:
-    """Splits (node, dimension, greatest key of the left child); node 1 is the root, 2n and 2n + 1 its children."""
+    """Splits (node, dimension, greatest key of the left child) down to so many leaves; node 1 is the root, 2n and 2n + 1 its children."""
     splits: list[tuple[int, str, int]] = []
     whole: dict[str, float] = {}
     nodes = 1
     while nodes < shards:
-        placed = at.withColumn("node", leaf(splits, nodes))
-        ranges = placed.groupBy("node").agg(*[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        if not whole:
-            whole = {d: max([1, *(r[f"hi_{d}"] - r[f"lo_{d}"] for r in ranges)]) for d in DIMENSIONS}
-        widest = {r["node"]: max(DIMENSIONS, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d], -DIMENSIONS.index(d))) for r in ranges}
-        value = F.lit(0).cast("long")
-        for n, d in widest.items():
-            value = F.when(F.col("node") == n, F.col(d)).otherwise(value)
-        found = medians(placed.select("node", key_of(value).alias("k"), "size"), bins)
-        splits += [(n, widest[n], cut) for n, cut in sorted(found.items())]
+        splits += grown(at, leaf(splits, nodes), None, whole, bins)
         nodes *= 2
     return splits
 
 
-def leaf(splits: list[tuple[int, str, int]], nodes: int) -> Column:
-    """The node of a row at the level of so many nodes; a node that can't be split goes on as its left child."""
+def tree_to(at: DataFrame, target_bytes: int, bins: int = 2048) -> list[tuple[int, str, int]]:
+    """Splits of every node whose halves are nearer to the target bytes than it is, until there is none; the leaves may lie at any depth."""
+    splits: list[tuple[int, str, int]] = []
+    whole: dict[str, float] = {}
+    single: set[int] = set()  # nodes of one point, which can't be split
+    while True:
+        sizes = at.withColumn("node", leaf(splits)).groupBy("node").agg(F.sum("size").alias("size")).collect()
+        large = [r["node"] for r in sizes if 3 * r["size"] > 4 * target_bytes and r["node"] not in single]
+        if not large:
+            return splits
+        found = grown(at, leaf(splits), F.col("node").isin(large), whole, bins)
+        single |= set(large) - {n for n, *_ in found}
+        splits += found
+
+
+def shard_of(splits: list[tuple[int, str, int]]) -> Column:
+    """The place of a row's leaf among the leaves, from left to right."""
+    by_node = {n for n, *_ in splits}
+
+    def leaves(n: int) -> list[int]:
+        return leaves(2 * n) + leaves(2 * n + 1) if n in by_node else [n]
+
+    places = {n: i for i, n in enumerate(leaves(1))}
+    return leaf(splits, name=lambda n: places[n])
+
+
+def leaf(splits: list[tuple[int, str, int]], nodes: int = 0, name=lambda n: n) -> Column:
+    """The node that a row comes to; with ``nodes`` the one of that level, where a node that can't be split goes on as its left child."""
     by_node = {n: (d, cut) for n, d, cut in splits}
 
     def below(n: int) -> Column:
-        if n >= nodes:
-            return F.lit(n)
-        if n not in by_node:
-            return below(2 * n)
-        d, cut = by_node[n]
-        return F.when(key_of(d) <= F.lit(cut), below(2 * n)).otherwise(below(2 * n + 1))
+        if n in by_node and not n >= nodes > 0:
+            d, cut = by_node[n]
+            return F.when(key_of(d) <= F.lit(cut), below(2 * n)).otherwise(below(2 * n + 1))
+        return below(2 * n) if n < nodes else F.lit(name(n))
 
     return below(1)
 
 
-def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", parts: int = 64) -> DataFrame:
+def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", target_bytes: int | None = None, part_rows: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row.
 
-    ``shards`` is a power of two: the whole's bytes over the target bytes of a
-    leaf, see ``shards_for``. Slots count from 0 in each shard without gaps:
-    ``parts`` parts of a shard, by a hash of the row, are numbered side by side
-    and follow one another.
+    ``shards`` is a power of two; with ``target_bytes`` there are as many as leaves
+    of that size come out. Slots count from 0 in each shard without gaps: parts of a
+    shard, by a hash of the row, are numbered side by side and follow one another; a
+    part has about ``part_rows`` rows at most.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("the number of shards is a power of two")
     at = kept(points(df, id_col, text_col))
-    splits = tree(at, shards)
-    placed = at.select("doc_id", "size", "text_crc32", (leaf(splits, shards) - F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
+    if target_bytes:
+        shard_column = shard_of(tree_to(at, target_bytes))
+    else:
+        shard_column = leaf(tree(at, shards), shards) - F.lit(shards)
+    parts = max(64, -(-at.count() // part_rows))
+    placed = at.select("doc_id", "size", "text_crc32", shard_column.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
     counts = placed.groupBy("shard", "part").count()
     before = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
     turn = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
     # at most shards * parts rows are broadcast
     numbered = placed.withColumn("n", F.row_number().over(turn)).join(F.broadcast(before), ["shard", "part"])
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("n") - 1 + F.col("before")).cast("long").alias("slot"))
-
-
-def shards_for(df: DataFrame, target_bytes: int, text_col: str = "text") -> int:
-    """The least power of two of shards whose mean is at most the target."""
-    total = df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1)).first()[0] or 0
-    return 1 << max(0, (-(-total // target_bytes) - 1).bit_length())

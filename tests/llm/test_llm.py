@@ -177,7 +177,13 @@ def test_shards_are_near_equal_and_groups_whole(spark):
     assert set(size) == set(range(8)) and max(size.values()) < 1.15 * min(size.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(g) == 1 for g in group.values())
-    assert kd_shards.shards_for(df, sum(size.values()) // 7) == 8
+    target = sum(size.values()) // 13
+    bytes_of, slots = collections.Counter(), collections.defaultdict(list)
+    for x in kd_shards.shard(df, target_bytes=target, part_rows=3).collect():
+        bytes_of[x.shard] += x.size
+        slots[x.shard].append(x.slot)
+    assert set(bytes_of) == set(range(len(bytes_of))) and all(0.6 * target <= b <= 1.4 * target for b in bytes_of.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 def test_shard_splits_are_exact_medians(spark):
@@ -196,6 +202,9 @@ def test_shard_hard_cases(spark):
     same = kd_shards.shard(docs(spark, ["one"] * 20), 8).collect()
     assert len({x.shard for x in same}) == 1 and sorted(x.slot for x in same) == list(range(20))
     assert kd_shards.shard(docs(spark, HARD), 4).count() == len(HARD)
+    assert kd_shards.shard(nothing(spark), target_bytes=10).count() == 0
+    assert {x.shard for x in kd_shards.shard(docs(spark, ["one"] * 20), target_bytes=5).collect()} == {0}
+    assert {x.shard for x in kd_shards.shard(docs(spark, [str(i) for i in range(10)]).union(docs(spark, ["0"])), target_bytes=1).collect()} == set(range(10))
     with pytest.raises(ValueError):
         kd_shards.shard(nothing(spark), 3)
 
@@ -310,7 +319,11 @@ def plain_print(t):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)) if h else 0
 
 
-def test_simhash_components_match_all_pairs(spark):
+@pytest.mark.parametrize("hot", [4096, 8, 2])
+def test_simhash_components_match_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)  # small: buckets are dealt by further blocks, then in pairs of chunks
+    if hot < 10:
+        monkeypatch.setattr(simhash, "SMALL", 4)
     r = random.Random(7)
     words = [f"w{i}" for i in range(400)]
     texts = list(HARD)
@@ -333,6 +346,26 @@ def test_simhash_components_match_all_pairs(spark):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
 
 
+def test_large_buckets_are_dealt_anew(spark):
+    """Fingerprints around three templates: every bucket is large, and so are their further blocks."""
+    rng = np.random.default_rng(17)
+    base = np.array([0, 0xFFFF, 0xF0F0F0F0F0F0F0F0], np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (900, 3)).astype(np.uint64), axis=1)
+    fps = np.unique(base[rng.integers(0, 3, 900)] ^ flips)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3)
+    for hot in (4096, 20):
+        got = {r.node: r.label for r in shared.connected(simhash.links(table, hot=hot)).collect()}
+        label = np.arange(len(fps))
+        while True:
+            now = np.array([label[row].min() for row in near])
+            if (now == label).all():
+                break
+            label = now
+        own = [got.get(int(x), int(x)) for x in fps.view(np.int64)]
+        assert len(set(own)) == len(set(label.tolist())) and len({*zip(own, label.tolist(), strict=True)}) == len(set(own))
+
+
 def test_large_bucket_forest_connects_what_links():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 62, 4, dtype=np.uint64)
