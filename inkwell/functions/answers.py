@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The default field contract of the two sides.
+from . import measures
+
+# The default fields of the two sides, the fields that are compared, the answer's field a label's field is
+# compared with where the names differ, and the interface's field that a label's field comes from.
 RECTO = ("cin", "prenom", "nom", "date_naissance", "ville_naissance", "date_validite")
 VERSO = ("cin", "date_validite", "adresse")
 LABEL_FIELDS = ("cin", "prenom", "nom", "date_naissance", "ville_naissance", "date_validite", "adresse")
-#: A label's field and the answer's field it is compared with, where the names differ.
 ALIASES = {"cin": "cin_fusionne", "date_validite": "date_validite_fusionnee"}
-#: A label's field and the field of the interface it comes from.
 INTERFACE = {"cin": "cin_id", "prenom": "first_name", "nom": "last_name", "date_naissance": "birth_date", "ville_naissance": "birth_place", "date_validite": "validity_date", "adresse": "address"}
+CUSTOMER = "$.response.body.response_data.customer"
 PREVIEW = 50_000
 
 
@@ -21,14 +25,16 @@ def json_object(answer: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(F.coalesce(answer, F.lit(""))), r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def parsed(answer: Column) -> Column:
-    return F.try_parse_json(json_object(answer))
-
+def with_parsed(rows: DataFrame, answer: str, name: str = "parsed") -> DataFrame:
+    """The rows with the answer's object, parsed once, and why it can't be read in ``<name>_error``.
 
-def parse_error(answer: Column) -> Column:
-    """Why an answer can't be read, null if it can."""
-    found = json_object(answer)
-    return F.when(found.isNull(), "model_response_not_json").when(F.try_parse_json(found).isNull(), "model_response_invalid_json")
+    What reads fields takes the parsed column, which the optimiser keeps as a
+    projection of its own as it is read more than once.
+    """
+    found = rows.withColumn(f"{name}_object", json_object(F.col(answer)))
+    read = found.withColumn(name, F.try_parse_json(f"{name}_object"))
+    error = F.when(F.col(f"{name}_object").isNull(), "model_response_not_json").when(F.col(name).isNull(), "model_response_invalid_json")
+    return read.withColumn(f"{name}_error", error).drop(f"{name}_object")
 
 
 def scalar(value: Column, path: str) -> Column:
@@ -39,9 +45,9 @@ def scalar(value: Column, path: str) -> Column:
     return F.when(~kind.rlike("^(OBJECT|ARRAY)"), F.nullif(own, F.lit("")))
 
 
-def side(answer: Column, keys: tuple[str, ...], under: str | None = None) -> Column:
-    """The configured fields of a side; unknown keys go, missing ones are null."""
-    value, root = parsed(answer), f"$.{under}" if under else "$"
+def side(value: Column, keys: tuple[str, ...], under: str | None = None) -> Column:
+    """The configured fields of a side of a parsed answer; unknown keys go, missing ones are null."""
+    root = f"$.{under}" if under else "$"
     return F.struct(*[scalar(value, f"{root}.{k}").alias(k) for k in keys])
 
 
@@ -56,11 +62,13 @@ def merged(recto: Column, verso: Column) -> tuple[Column, Column]:
     return F.when(both, F.when(same, recto)).otherwise(F.coalesce(recto, verso)), F.when(both, same)
 
 
-def global_record(recto: Column, verso: Column) -> dict[str, Column]:
-    """The fields of both sides in one record."""
+def global_record(recto: Column, verso: Column, client: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The fields of both sides in one record, behind the client's own: folder, documents, label state, sides."""
     cin, cin_same = merged(recto["cin"], verso["cin"])
     valid, valid_same = merged(recto["date_validite"], verso["date_validite"])
-    return {
+    own = {n: (client or {}).get(n, F.lit(None).cast("string")) for n in ("folder_client_id", "recto_document_id", "verso_document_id", "label_status")}
+    return own | {
+        "recto": recto, "verso": verso,
         "cin_recto": recto["cin"], "cin_verso": verso["cin"], "cin_fusionne": cin, "cin_coherent": cin_same,
         "nom": recto["nom"], "prenom": recto["prenom"], "date_naissance": recto["date_naissance"], "ville_naissance": recto["ville_naissance"],
         "date_validite_recto": recto["date_validite"], "date_validite_verso": verso["date_validite"],
@@ -68,13 +76,60 @@ def global_record(recto: Column, verso: Column) -> dict[str, Column]:
     }
 
 
+#: Letters whose case folding holds ASCII letters and differs from lower case: one letter each, then two or three.
+FOLDED_ONE = ("ſŉǰẖẗẘẙẚ", "snjhtwya")
+FOLDED_MORE = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def bare(value: Column) -> Column:
+    """What two values are compared by: the ASCII letters and digits of the case-folded text."""
+    folded = F.translate(F.lower(value), *FOLDED_ONE)
+    for letter, letters in FOLDED_MORE.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(letters))
+    return F.regexp_replace(F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(value)), "[^a-z0-9]", "")
+
+
 def compared(expected: Column, actual: Column) -> Column:
     """label_missing, missing_model, correct or different; case and what is no ASCII letter or digit don't count."""
-    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     empty = lambda c: c.isNull() | (c == "")
     return F.when(empty(expected), "label_missing").when(empty(actual), "missing_model").when(bare(expected) == bare(actual), "correct").otherwise("different")
 
 
+def expected(label: Column, field: str) -> Column:
+    """A label's value of a field: its own, or where that is absent or null, that of the first side which names the field."""
+    def text(path: str) -> Column:
+        value = F.try_variant_get(label, path, "variant")
+        return F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(label, path, "string"), F.to_json(value)))
+
+    there = lambda path: F.try_variant_get(label, path, "variant").isNotNull()
+    recto, verso = f"$.recto.{field}", f"$.verso.{field}"
+    return F.coalesce(text(f"$.{field}"), F.when(there(recto), text(recto)).otherwise(text(verso)))
+
+
+def comparisons(label: Column, record: dict[str, Column]) -> dict[str, Column]:
+    """The verdict on each field of LABEL_FIELDS of a parsed label; without a label all are missing there, without a record in the model."""
+    return {f: compared(expected(label, f), record[ALIASES.get(f, f)]) for f in LABEL_FIELDS}
+
+
+def confidence_rows(rows: DataFrame, keys: list[str], comparison: str, confidence: str) -> DataFrame:
+    """A row for each field with a confidence: the field, its verdict (a dash if there is none) and the confidence. Both columns are maps by field."""
+    some = rows.select(*keys, F.col(comparison).alias("verdicts_"), F.explode(confidence).alias("field", "confidence")).where("confidence is not null")
+    return some.select(*keys, "field", F.coalesce(F.try_element_at("verdicts_", F.col("field")), F.lit("—")).alias("comparison"), F.col("confidence").cast("double").alias("confidence"))
+
+
+def customer_label(payload: Column, source: str = "customer_data") -> dict[str, Column]:
+    """The label in a parsed customer payload: seven fields, dates as Y-m-d, confidences by field where they are given, the customer's id and the source."""
+    data = f"{CUSTOMER}.customer_data"
+    clean = lambda name: F.nullif(F.trim(F.try_variant_get(payload, f"{data}.{name}", "string")), F.lit(""))
+    fields = {f: measures.iso_date(clean(n)) if "date_" in f else clean(n) for f, n in INTERFACE.items()}
+    given = F.create_map(*[x for f, n in INTERFACE.items() for x in (F.lit(f), F.try_variant_get(payload, f"{data}.{n}_confidence", "double"))])
+    return fields | {
+        "field_confidence": F.map_filter(given, lambda k, v: v.isNotNull()),
+        "label_source": F.lit(source),
+        "customer_id": F.try_variant_get(payload, f"{CUSTOMER}.id", "string"),
+    }
+
+
 def strip_fence(answer: Column) -> Column:
     """Without a Markdown fence that is bare or says markdown, html or text."""
     return F.trim(F.regexp_replace(F.trim(answer), r"(?is)^```[ \t]*(?:markdown|html|text)?[ \t]*\n(.*?)\n?```$", "$1"))
@@ -90,7 +145,30 @@ def parameters(text: Column) -> Column:
     return F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: v.isNotNull())
 
 
-def prompt(side_name: Column, keys: tuple[str, ...], instructions: Column, most: int = 4000) -> Column:
-    """The question for a side: its fields as an empty JSON object, then bounded instructions."""
-    fields = F.to_json(F.create_map(*[x for k in keys for x in (F.lit(k), F.lit(""))]))
-    return F.concat(F.lit("Side "), side_name, F.lit(": answer with this JSON object only: "), fields, F.coalesce(F.concat(F.lit("\n"), F.left(instructions, F.lit(most))), F.lit("")))
+#: What a model is told besides the fields: where values stand and what is not to be read.
+RULES = (
+    "Copy only what is printed in Latin letters, as it is spelled; add, translate and guess nothing.",
+    "prenom is the first name of the holder, nom the family name; names of parents are neither.",
+    "Of several dates take the one at the field's own label, and write a legible one as YYYY-MM-DD.",
+    "Leave out codes, machine-readable lines and register numbers. Write null for what can't be read.",
+    "Answer with one JSON object of the form below and nothing else, without a fence.",
+)
+
+
+def _asked(head: str, form: str, instructions: Column, most: int) -> Column:
+    more = F.nullif(F.trim(instructions), F.lit(""))
+    fixed = "\n".join([head, *RULES, form])
+    return F.concat(F.lit(fixed), F.coalesce(F.concat(F.lit("\nMore instructions, which don't change the form:\n"), F.left(more, F.lit(most))), F.lit("")))
+
+
+def prompt(side_name: str, fields: dict[str, tuple[str, ...]], instructions: Column, most: int = 4000) -> Column:
+    """The question for one side: rules, its fields as a JSON object of nulls, bounded instructions."""
+    if side_name not in ("recto", "verso"):
+        raise ValueError("a side is recto or verso")
+    return _asked(f"Read the {side_name} side of this identity card.", json.dumps(dict.fromkeys(fields[side_name])), instructions, most)
+
+
+def combined_prompt(fields: dict[str, tuple[str, ...]], instructions: Column, most: int = 4000) -> Column:
+    """The question for an image with the recto side above the verso side."""
+    form = json.dumps({s: dict.fromkeys(fields[s]) for s in ("recto", "verso")})
+    return _asked("This image has the recto side of an identity card above its verso side. Read both, each for itself.", form, instructions, most)

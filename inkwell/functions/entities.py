@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -73,6 +73,9 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.concat(part.cast("string"), F.lit("/"), whole.cast("string"), F.lit(" ("), F.bround(part * 100 / whole, 0).cast("int").cast("string"), F.lit("%)"))
 
 
+# The wording of the status texts below.
+
+
 def iban_text(reference: Column, hypothesis: Column) -> Column:
     main = F.when(F.size(reference) > 0, F.concat(F.lit("IBANs matched: "), _percent(matched(reference, hypothesis), F.size(reference)))).otherwise("Not applicable: no IBAN in the reference.")
     more = F.concat(F.lit(" | Output validity: "), _percent(F.size(F.filter(hypothesis, iban_valid)), F.size(hypothesis)), F.lit(" valid"))
@@ -92,21 +95,18 @@ def weighted(values: list[Column], weights: tuple[float, ...] = WEIGHTS) -> Colu
     return total / used
 
 
-def bank_scores(reference: Column, hypothesis: Column) -> dict[str, Column]:
-    """All scores of the bank mode."""
-    own, found = ibans(reference), ibans(hypothesis)
-    sums, seen = amounts(reference), amounts(hypothesis)
-    digits = text.numeric_cer(reference, hypothesis)
-    general = text.accuracy(text.cer(reference, hypothesis))
-    iban_emr, amount_emr = match_rate(own, found), match_rate(sums, seen)
-    return {
-        "bank_score": weighted([iban_emr, amount_emr, text.accuracy(digits), general]),
-        "numeric_cer": digits,
-        "iban_emr": iban_emr,
-        "iban_valid_rate": valid_rate(found),
-        "iban_status": iban_text(own, found),
-        "amount_emr": amount_emr,
-        "amount_status": amount_text(sums, seen),
-        "general_accuracy": general,
-        "general_wer": text.wer(reference, hypothesis),
-    }
+def with_bank_scores(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """The rows with all scores of the bank mode.
+
+    Entities are found once, rates computed once: each step is a projection of its
+    own, which later ones read more than once, so the optimiser keeps it.
+    """
+    r, h = F.col(reference), F.col(hypothesis)
+    own, found, sums, seen = (F.col(c) for c in ("own_", "found_", "sums_", "seen_"))
+    rows = rows.withColumns({"own_": ibans(r), "found_": ibans(h), "sums_": amounts(r), "seen_": amounts(h)})
+    rows = rows.withColumns({
+        "numeric_cer": text.numeric_cer(r, h), "iban_emr": match_rate(own, found), "iban_valid_rate": valid_rate(found), "iban_status": iban_text(own, found),
+        "amount_emr": match_rate(sums, seen), "amount_status": amount_text(sums, seen), "general_accuracy": text.accuracy(text.cer(r, h)), "general_wer": text.wer(r, h),
+    })
+    score = weighted([F.col("iban_emr"), F.col("amount_emr"), text.accuracy(F.col("numeric_cer")), F.col("general_accuracy")])
+    return rows.withColumn("bank_score", score).drop("own_", "found_", "sums_", "seen_")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def crop(width: Column, height: Column, box: tuple[Column, Column, Column, Colum
     return {"left": left, "top": top, "right": right, "bottom": bottom, "ratio": ratio, "coverage": share, "crop_status": status}
 
 
+#: Width over height of a card.
+CARD = 1.586
+
+
+def best_angle(angles: Iterable[int], ratio: Callable[[Column], Column], target: float = CARD) -> Column:
+    """The angle whose ratio is nearest to a card's, the first of equal ones; ``ratio`` gives the ratio measured at an angle."""
+    tried = F.transform(F.array(*[F.lit(a) for a in angles]), lambda a: F.struct(F.abs(F.lit(target) - ratio(a)).alias("off"), a.alias("angle")))
+    return F.array_min(tried)["angle"]
+
+
 def pixels(mm: Column, dpi: Column) -> Column:
     """Millimetres as pixels, halves to the even one."""
     return F.bround(mm / 25.4 * dpi, 0).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Look-alike characters that weak recognition confuses.
-LOOK_ALIKES = ("eolistaOISG", "c01l57@0156")
+LOOK_ALIKES = ("bghnuvzBDZ", "6qbrvu2802")
 
 
 def file_side(name: Column, suffix: str) -> Column:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Word codes start at this code point, leave out the surrogates, and reach 43 000 different words in a pair of texts.
+#: Word codes start at this code point and leave out the surrogates; a pair of texts may have MOST_CODES different words.
 FIRST_CODE = 0x4E00
+MOST_CODES = 0x110000 - FIRST_CODE - 0x800
 
 
 def normalize(text: Column, profile: str = "standard") -> Column:
@@ -39,20 +40,31 @@ def tokens(normalized: Column) -> Column:
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance between arrays of words: each different word becomes one character."""
+    """Edit distance between arrays of words: each different word becomes one character; more than MOST_CODES of them are an error."""
     known = F.array_distinct(F.concat(reference, hypothesis))
+    known = F.when(F.size(known) <= MOST_CODES, known).otherwise(F.raise_error(F.lit(f"more than {MOST_CODES} different words in a pair of texts")))
 
-    def code(word: Column) -> Column:
+    def code(known: Column, word: Column) -> Column:
         at = F.array_position(known, word) + F.lit(FIRST_CODE - 1)
         at = F.when(at >= 0xD800, at + 0x800).otherwise(at)
-        return F.decode(F.unhex(F.lpad(F.hex(at), 4, "0")), "UTF-16BE")
+        return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
 
-    return F.levenshtein(F.array_join(F.transform(reference, code), ""), F.array_join(F.transform(hypothesis, code), ""))
+    def distance(known: Column) -> Column:
+        coded = [F.array_join(F.transform(words, lambda w: code(known, w)), "") for words in (reference, hypothesis)]
+        return F.levenshtein(*coded)
 
+    # a one-element array binds the list of words, which would be built again for every word otherwise
+    return F.element_at(F.transform(F.array(known), distance), 1)
 
-def wer(reference: Column, hypothesis: Column, profile: str = "standard") -> Column:
+
+def raw_tokens(text: Column) -> Column:
+    """The words between white space, as they are."""
+    return tokens(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+", " ")))
+
+
+def wer(reference: Column, hypothesis: Column, profile: str = "standard", normalized: bool = True) -> Column:
     """Word error rate."""
-    r, h = tokens(normalize(reference, profile)), tokens(normalize(hypothesis, profile))
+    r, h = (tokens(normalize(c, profile)) if normalized else raw_tokens(c) for c in (reference, hypothesis))
     return rate(word_distance(r, h).cast("double"), F.size(r), F.size(h) == 0)
 
 
@@ -72,7 +84,7 @@ def numeric_cer(reference: Column, hypothesis: Column) -> Column:
     return rate(F.levenshtein(r, h).cast("double"), F.length(r), F.length(h) == 0)
 
 
-#: Status texts: structure missing, invented, kept, absent.
+# The status texts of a structure that is missing, invented, kept or absent.
 TABLE_TEXTS = (
     "Table detected in Ground Truth, but missing in OCR output.",
     "Table detected in OCR output, but not in Ground Truth (potential hallucination).",
@@ -111,7 +123,9 @@ def standard_scores(reference: Column, hypothesis: Column) -> dict[str, Column]:
     tables, maths = [has_table(c) for c in (reference, hypothesis)], [has_math(c) for c in (reference, hypothesis)]
     return {
         "cer": error,
+        "cer_raw": cer(reference, hypothesis, normalized=False),
         "wer": wer(reference, hypothesis),
+        "wer_raw": wer(reference, hypothesis, normalized=False),
         "accuracy": accuracy(error),
         "table_score": kept_score(*tables),
         "table_status": kept_text(*tables, TABLE_TEXTS),

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from inkwell.functions import strings
+
 SCHEMA = "case_id long, model string, text string, latency double, status string, error string, device string"
 
 
@@ -24,7 +26,7 @@ class Adapter:
 class Mock(Adapter):
     """Repeats what weak recognition does to the ground truth, from the case's number alone."""
 
-    LOOK_ALIKES = str.maketrans("eolistaOISG", "c01l57@0156")
+    LOOK_ALIKES = str.maketrans(*strings.LOOK_ALIKES)
 
     def __init__(self, name: str, number: int, percent: int) -> None:
         self.name, self.number, self.percent = name, number, percent

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN_ID = r"^(cni-)?\d{8}-\d{6}-[a-f0-9]{8}$"
+#: Quotas that are broadcast.
+MOST_QUOTAS = 100_000
 CLIENT_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 
 
@@ -35,9 +37,12 @@ def sample_by(rows: DataFrame, quotas: DataFrame, seed: int, key: str, by: str)
     """At most ``requested`` rows of each group; groups without a quota give none.
 
     The group limit is pushed below the shuffle, so a large group sends few rows.
+    Quotas are broadcast behind a check of their number, and joined by key beyond it.
     """
     turn = Window.partitionBy(by).orderBy(shuffled(seed, key), key)
-    top = rows.join(F.broadcast(quotas.select(by, "requested")), by)
+    few = quotas.limit(MOST_QUOTAS + 1).count() <= MOST_QUOTAS
+    wanted = quotas.select(by, "requested")
+    top = rows.join(F.broadcast(wanted) if few else wanted, by)
     most = quotas.agg(F.max("requested")).first()[0] or 0
     return top.withColumn("turn", F.row_number().over(turn)).where((F.col("turn") <= most) & (F.col("turn") <= F.col("requested"))).drop("requested")
 

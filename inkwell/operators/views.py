@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: States of the import queue and how they are shown.
+# The states of the import queue and how they are shown.
 STATE_LABELS = {"discovered": "Découvert", "documents_detected": "Documents détectés", "downloaded": "Téléchargé", "label_normalized": "Label normalisé", "ready": "Prêt", "ready_without_label": "Prêt sans label", "failed": "Erreur"}
 READY = ("ready", "ready_without_label")
 WAITING = ("discovered", "documents_detected", "downloaded", "label_normalized")
@@ -32,12 +32,14 @@ def duplicates(files: DataFrame, keys: list[str], path: str) -> DataFrame:
     return files.select(*keys, path, (F.row_number().over(Window.partitionBy(*keys).orderBy(path)) > 1).alias("duplicate"))
 
 
-def numbered(rows: DataFrame, order: Column, key: str, parts: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, order: Column, key: str, parts: int | None = None, part_rows: int = 1_000_000) -> DataFrame:
     """Positions from 1 in a total order, without one task that sees all rows.
 
     Rows are dealt by range; each range is numbered on its own and starts where
-    the ranges before it end. Only the ranges' counts come together.
+    the ranges before it end. Only the ranges' counts come together. There are as
+    many ranges as ``part_rows`` go into the rows, unless ``parts`` says how many.
     """
+    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
     ranged = rows.repartitionByRange(parts, order).withColumn("part_", F.spark_partition_id())
     counts = ranged.groupBy("part_").count()
     before = counts.select("part_", (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("before_"))

@@ -80,9 +80,13 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", files.unsafe_member(path).alias("unsafe"))
 
 
-@Q.add("s13_generated")
+def receipt_sql(k: int) -> str:
+    return f"rpad('item ' || (i * {k} % 97), 12, ' ') || ' ' || lpad(printf('%.2f', (i * {k} % 9973) / 100.0), 8, ' ') || ' EUR'"
+
+
+@Q.add("s13_generated", f"SELECT i AS case_id, '/made/' || i || '.png' AS image_path, 'RECEIPT ' || i || chr(10) || {receipt_sql(3)} || chr(10) || {receipt_sql(7)} || chr(10) || {receipt_sql(11)} || chr(10) || 'TOTAL ' || printf('%.2f', (i * 3 % 9973 + i * 7 % 9973 + i * 11 % 9973) / 100.0) || ' EUR' AS ground_truth, ['receipt', 'receipt_blur', 'receipt_rotated'][i % 3 + 1] AS category FROM (SELECT unnest(range((SELECT count(*) FROM benchmark))) AS i)")
 def s13(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of made receipts: as many as there are benchmark items; rows only."""
+    """Texts of made receipts: as many as there are benchmark items."""
     return files.generated(spark, table(spark, d, "benchmark").count())
 
 
@@ -118,11 +122,11 @@ def k3(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.add("k4_report_failures", f"WITH {frames.RESULTS_SQL} SELECT model, count(*) AS failures FROM results WHERE status <> 'success' GROUP BY model")
 def k4(spark: SparkSession, d: str) -> DataFrame:
-    """The report's list of failures, counted from its lines."""
-    results = frames.results(spark, d)
-    text = sinks.report(summary.devices(results), results.where("status <> 'success'"))
-    lines = [(x[2:].split(" ")[0],) for x in text.split("## Failures")[1].splitlines() if x.startswith("- ") and "more" not in x]
-    return spark.createDataFrame(lines, "model string").groupBy("model").agg(F.count("*").alias("failures"))
+    """The written report's list of failures, counted from its lines."""
+    results, path = frames.results(spark, d), fresh_folder(spark, "report")
+    sinks.save_report(summary.devices(results), results.where("status <> 'success'"), path)
+    lines = spark.read.text(path).where("value like '- %'")
+    return lines.groupBy(F.split_part("value", F.lit(" "), F.lit(2)).alias("model")).agg(F.count("*").alias("failures"))
 
 
 @Q.add("k6_cni_artefacts", "SELECT o_orderstatus AS model, (o_custkey % 50)::VARCHAR AS folder_client_id, o_orderkey FROM orders")
@@ -149,7 +153,7 @@ def k8(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", sinks.label_status(F.col("found"), F.col("content")).alias("status"))
 
 
-@Q.add("k9_html_table", "SELECT n_regionkey, '<table>' || string_agg('<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>', '' ORDER BY '<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>') || '</table>' AS html FROM nation GROUP BY n_regionkey")
+@Q.add("k9_html_table", "SELECT n_regionkey, 1 AS page, '<table>' || string_agg('<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>', '' ORDER BY '<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>') || '</table>' AS html FROM nation GROUP BY n_regionkey")
 def k9(spark: SparkSession, d: str) -> DataFrame:
     return sinks.html_table(table(spark, d, "nation"), "n_regionkey", ["n_name", "n_nationkey"])
 

@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt out by key to all cores, before work that costs far more than moving them.
+
+    The number of parts is said, as adaptive execution would put few bytes together into one task.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("receipt"), F.lit("table"), F.lit("note")), (F.pmod("item_id", F.lit(3)) + 1).cast("int"))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("ground_truth"), F.concat(F.lit("/scans/"), F.col("item_id").cast("string"), F.lit(".png")).alias("image_path"), kind.alias("category"))
@@ -48,7 +57,7 @@ cases AS (SELECT item_id AS case_id, text AS ground_truth, '/scans/' || item_id
 words AS (SELECT *, regexp_split_to_array(ground_truth, '\\s+') AS w FROM cases),
 inferences AS (SELECT model, m, case_id, ground_truth, image_path, category, m * 1000000 + case_id AS seq,
   array_to_string(list_transform(list_filter(range(len(w)), lambda i: (case_id * 31 + i * 17 + m * 7) % 100 >= k / 2),
-    lambda i: CASE WHEN (case_id * 13 + i * 29 + m * 11) % 100 < k THEN translate(w[i + 1], 'eolistaOISG', 'c01l57@0156') ELSE w[i + 1] END), ' ') AS extracted,
+    lambda i: CASE WHEN (case_id * 13 + i * 29 + m * 11) % 100 < k THEN translate(w[i + 1], 'bghnuvzBDZ', '6qbrvu2802') ELSE w[i + 1] END), ' ') AS extracted,
   0.3::DOUBLE + ((case_id * 37 + m * 11) % 900) / 1000.0::DOUBLE AS latency,
   CASE WHEN (case_id * 7 + m) % 23 = 0 THEN 'failed' WHEN 0.3::DOUBLE + ((case_id * 37 + m * 11) % 900) / 1000.0::DOUBLE > 1.1 THEN 'timeout' ELSE 'success' END AS status
   FROM words, models)"""

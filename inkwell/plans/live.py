@@ -38,12 +38,32 @@ def running(spark: SparkSession, d: str) -> DataFrame:
     return live.to_table(spark, live.running_summary(scored), "complete", fresh_folder(spark, "stream")).withColumn("score", F.col("score").cast("double"))
 
 
-@Q.add("stream_queue_state", "SELECT user_id AS client, arg_max(event_type, event_id) AS model, arg_max(value, event_id) AS latency FROM events GROUP BY user_id")
+@Q.add("stream_queue_state", "SELECT user_id AS client, arg_max(event_type, event_id) AS model, arg_max(value, event_id) FILTER (WHERE value > 50) AS latency FROM events GROUP BY user_id")
 def queue(spark: SparkSession, d: str) -> DataFrame:
-    state = live.queue_state(answers(spark, d), "client", "seq", ["model", "latency"])
+    """A later event without a latency leaves the earlier one."""
+    rows = answers(spark, d).withColumn("latency", F.when(F.col("latency") > 50, F.col("latency")))
+    state = live.queue_state(rows, "client", "seq", ["model", "latency"])
     return live.to_table(spark, state, "complete", fresh_folder(spark, "stream"))
 
 
+@Q.add("stream_error_cutoff", "SELECT client, seq, status FROM (SELECT *, sum((status <> 'success')::INT) OVER (PARTITION BY client ORDER BY seq ROWS UNBOUNDED PRECEDING) - (status <> 'success')::INT AS b FROM (SELECT user_id AS client, event_id AS seq, CASE WHEN value > 100 THEN 'timeout' ELSE 'success' END AS status FROM events)) WHERE b < 3")
+def cutoff(spark: SparkSession, d: str) -> DataFrame:
+    scored, _ = live.split_late(answers(spark, d), 100.0)
+    return live.to_table(spark, live.until_errors(scored.select("client", "seq", "status"), "client", "seq", 3), "append", fresh_folder(spark, "stream"))
+
+
+@Q.add("k5_checkpoint", "SELECT event_id AS seq, CASE WHEN value > 100 THEN 'timeout' ELSE 'success' END AS status FROM events")
+def checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """A run that stops and goes on from its checkpoint: every result is written once."""
+    folder = fresh_folder(spark, "stream")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.col("value").alias("latency"), F.lit(1.0).alias("score"))
+    for half in (0, 1):
+        rows.where(F.pmod("seq", F.lit(2)) == half).write.mode("append").parquet(f"{folder}/in")
+        scored, _ = live.split_late(spark.readStream.schema("seq long, latency double, score double").parquet(f"{folder}/in"), 100.0)
+        out = live.to_table(spark, scored.select("seq", "status"), "append", folder)
+    return out
+
+
 @Q.add("stream_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS model, count(*) AS n FROM events GROUP BY ALL")
 def windows(spark: SparkSession, d: str) -> DataFrame:
     return live.to_table(spark, live.per_window(answers(spark, d), "ts", "1 day", "40 days"), "complete", fresh_folder(spark, "stream"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import answers, measures, strings
 from inkwell.operators import joins
+from inkwell.sources import contract
 
 from . import frames
 from .registry import Register
@@ -134,7 +135,7 @@ def replies(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit('{"cin": " AB'), k.cast("string"), F.lit('", "nom": "'), F.col("event_type"), F.lit('", "prenom": {"x": 1}, "date_naissance": '), k.cast("string"), F.lit(', "other": true, "date_validite": ""}'))
     turn = F.pmod("event_id", F.lit(5))
     reply = F.when(turn == 0, body).when(turn == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(turn == 2, F.concat(F.lit("Here: "), body, F.lit(" Done."))).when(turn == 3, F.concat(F.lit('{"cin": '), k.cast("string"), F.lit(' "x"}'))).otherwise("no object here")
-    return table(spark, d, "events").select("event_id", "event_type", k.alias("k"), reply.alias("reply"))
+    return frames.dealt(table(spark, d, "events").select("event_id", "event_type", "props"), "event_id").select("event_id", "event_type", k.alias("k"), reply.alias("reply"))
 
 
 REPLIES = """replies AS (SELECT event_id, event_type, k, CASE event_id % 5 WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN 'Here: ' || body || ' Done.' WHEN 3 THEN '{"cin": ' || k || ' "x"}' ELSE 'no object here' END AS reply
@@ -149,7 +150,8 @@ def n1(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.add("n2_parse_side", f"WITH {REPLIES} SELECT event_id, CASE WHEN object IS NULL THEN 'model_response_not_json' WHEN NOT json_valid(object) THEN 'model_response_invalid_json' END AS error, CASE WHEN json_valid(object) THEN 'AB' || k END AS cin, NULL::VARCHAR AS prenom, CASE WHEN json_valid(object) THEN event_type END AS nom, CASE WHEN json_valid(object) THEN k::VARCHAR END AS date_naissance, NULL::VARCHAR AS ville_naissance, NULL::VARCHAR AS date_validite FROM objects")
 def n2(spark: SparkSession, d: str) -> DataFrame:
-    return replies(spark, d).select("event_id", answers.parse_error(F.col("reply")).alias("error"), answers.side(F.col("reply"), answers.RECTO).alias("s")).select("event_id", "error", "s.*")
+    rows = answers.with_parsed(replies(spark, d), "reply")
+    return rows.select("event_id", F.col("parsed_error").alias("error"), answers.side(F.col("parsed"), answers.RECTO).alias("s")).select("event_id", "error", "s.*")
 
 
 def combined(spark: SparkSession, d: str) -> DataFrame:
@@ -157,12 +159,12 @@ def combined(spark: SparkSession, d: str) -> DataFrame:
     recto = F.concat(F.lit('"recto": {"cin": "a-'), k, F.lit('", "nom": "'), F.col("event_type"), F.lit('", "date_validite": "01/02/20'), F.lpad(k, 2, "0"), F.lit('"}'))
     verso = F.concat(F.lit('"verso": {"cin": "'), F.when(F.pmod("event_id", F.lit(3)) == 0, F.concat(F.lit("A "), k)).otherwise(F.concat(F.lit("B"), k)), F.lit('", "adresse": "rue '), k, F.lit('"}'))
     reply = F.when(F.pmod("event_id", F.lit(4)) == 0, F.concat(F.lit("{"), recto, F.lit(', "verso": 5}'))).otherwise(F.concat(F.lit("{"), recto, F.lit(", "), verso, F.lit("}")))
-    return table(spark, d, "events").select("event_id", "event_type", k.alias("k"), reply.alias("reply"))
+    return frames.dealt(table(spark, d, "events").select("event_id", "event_type", "props"), "event_id").select("event_id", "event_type", k.alias("k"), reply.alias("reply"))
 
 
 def both_sides(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.col("reply")
-    return combined(spark, d).select("event_id", "event_type", "k", answers.side(reply, answers.RECTO, "recto").alias("recto"), answers.side(reply, answers.VERSO, "verso").alias("verso"))
+    rows, value = answers.with_parsed(combined(spark, d), "reply"), F.col("parsed")
+    return rows.select("event_id", "event_type", "k", answers.side(value, answers.RECTO, "recto").alias("recto"), answers.side(value, answers.VERSO, "verso").alias("verso"))
 
 
 SIDES = "sides AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k, event_id % 4 = 0 AS alone, event_id % 3 = 0 AS same FROM events)"
@@ -185,45 +187,81 @@ def n5(spark: SparkSession, d: str) -> DataFrame:
     return both_sides(spark, d).select("event_id", value.alias("cin"), same.alias("coherent"))
 
 
-@Q.add("n6_global_record", f"WITH {SIDES} SELECT event_id, 'a-' || k AS cin_recto, CASE WHEN NOT alone THEN CASE WHEN same THEN 'A ' || k ELSE 'B' || k END END AS cin_verso, CASE WHEN alone OR same THEN 'a-' || k END AS cin_fusionne, CASE WHEN NOT alone THEN same END AS cin_coherent, event_type AS nom, NULL::VARCHAR AS prenom, NULL::VARCHAR AS date_naissance, NULL::VARCHAR AS ville_naissance, '01/02/20' || lpad(left(k, 2), 2, '0') AS date_validite_recto, NULL::VARCHAR AS date_validite_verso, '01/02/20' || lpad(left(k, 2), 2, '0') AS date_validite_fusionnee, NULL::BOOLEAN AS date_validite_coherente, CASE WHEN NOT alone THEN 'rue ' || k END AS adresse FROM sides")
+RECORD = "'c' || event_id AS folder_client_id, 'r' || k AS recto_document_id, CASE WHEN alone THEN NULL ELSE 'v' || k END AS verso_document_id, 'label_found' AS label_status, '{\"cin\":\"a-' || k || '\",\"prenom\":null,\"nom\":\"' || event_type || '\",\"date_naissance\":null,\"ville_naissance\":null,\"date_validite\":\"01/02/20' || lpad(left(k, 2), 2, '0') || '\"}' AS recto, CASE WHEN alone THEN '{\"cin\":null,\"date_validite\":null,\"adresse\":null}' ELSE '{\"cin\":\"' || CASE WHEN same THEN 'A ' || k ELSE 'B' || k END || '\",\"date_validite\":null,\"adresse\":\"rue ' || k || '\"}' END AS verso"
+
+
+@Q.add("n6_global_record", f"WITH {SIDES} SELECT event_id, {RECORD}, 'a-' || k AS cin_recto, CASE WHEN NOT alone THEN CASE WHEN same THEN 'A ' || k ELSE 'B' || k END END AS cin_verso, CASE WHEN alone OR same THEN 'a-' || k END AS cin_fusionne, CASE WHEN NOT alone THEN same END AS cin_coherent, event_type AS nom, NULL::VARCHAR AS prenom, NULL::VARCHAR AS date_naissance, NULL::VARCHAR AS ville_naissance, '01/02/20' || lpad(left(k, 2), 2, '0') AS date_validite_recto, NULL::VARCHAR AS date_validite_verso, '01/02/20' || lpad(left(k, 2), 2, '0') AS date_validite_fusionnee, NULL::BOOLEAN AS date_validite_coherente, CASE WHEN NOT alone THEN 'rue ' || k END AS adresse FROM sides")
 def n6(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    client = {"folder_client_id": F.concat(F.lit("c"), F.col("event_id").cast("string")), "recto_document_id": F.concat(F.lit("r"), k), "verso_document_id": F.when(F.pmod("event_id", F.lit(4)) != 0, F.concat(F.lit("v"), k)), "label_status": F.lit("label_found")}
+    record = answers.global_record(F.col("recto"), F.col("verso"), client)
+    whole = {n: F.to_json(record[n], {"ignoreNullFields": "false"}) for n in ("recto", "verso")}
+    return both_sides(spark, d).select("event_id", *[c.alias(n) for n, c in (record | whole).items()])
+
+
+LABELS = (
+    "labels7 AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'A' || k WHEN 2 THEN 'B' || k ELSE 'a ' || k END AS cin, CASE event_id % 5 WHEN 0 THEN NULL ELSE 'C.L.I.C.K' END AS nom, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'x' END AS prenom, CASE event_id % 5 WHEN 0 THEN NULL ELSE '01-02-20' || lpad(left(k, 2), 2, '0') END AS date_validite, CASE event_id % 5 WHEN 0 THEN NULL WHEN 3 THEN 'Rue ' || k ELSE 'elsewhere' END AS adresse FROM sides), "
+    "answers7 AS (SELECT event_id, CASE WHEN alone OR same THEN 'a-' || k END AS cin, event_type AS nom, NULL::VARCHAR AS prenom, '01/02/20' || lpad(left(k, 2), 2, '0') AS date_validite, CASE WHEN NOT alone THEN 'rue ' || k END AS adresse FROM sides)"
+)
+
+
+def verdict_sql(field: str) -> str:
+    plain = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+    return f"CASE WHEN l.{field} IS NULL OR l.{field} = '' THEN 'label_missing' WHEN a.{field} IS NULL OR a.{field} = '' THEN 'missing_model' WHEN {plain('l.' + field)} = {plain('a.' + field)} THEN 'correct' ELSE 'different' END AS {field}"
+
+
+VERDICTS = ", ".join(verdict_sql(f) for f in ("cin", "prenom", "nom")) + ", 'label_missing' AS date_naissance, 'label_missing' AS ville_naissance, " + ", ".join(verdict_sql(f) for f in ("date_validite", "adresse"))
+
+
+def label_frame(spark: SparkSession, d: str) -> DataFrame:
+    """A label for each event, as JSON: none, flat, or with fields under a side."""
+    k, turn = F.get_json_object("props", "$.k"), F.pmod("event_id", F.lit(5))
+    day = F.concat(F.lit("01-02-20"), F.lpad(k, 2, "0"))
+    flat = F.concat(F.lit('{"cin": "'), F.when(turn == 1, F.concat(F.lit("A"), k)).otherwise(F.concat(F.lit("a "), k)), F.lit('", "nom": "C.L.I.C.K", "prenom": "'), F.when(turn == 1, "").otherwise("x"), F.lit('", "date_validite": "'), day, F.lit('", "adresse": "'), F.when(turn == 3, F.concat(F.lit("Rue "), k)).otherwise("elsewhere"), F.lit('"}'))
+    nested = F.concat(F.lit('{"nom": null, "recto": {"cin": "B'), k, F.lit('", "nom": "C.L.I.C.K", "prenom": "x", "date_validite": "'), day, F.lit('"}, "verso": {"cin": "other", "adresse": "elsewhere"}}'))
+    text = F.when(turn == 0, None).when(turn == 2, nested).otherwise(flat)
+    return table(spark, d, "events").select("event_id", F.try_parse_json(text).alias("label"))
+
+
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    rows = both_sides(spark, d).join(label_frame(spark, d), "event_id", "left")
     record = answers.global_record(F.col("recto"), F.col("verso"))
-    return both_sides(spark, d).select("event_id", *[c.alias(n) for n, c in record.items()])
+    return rows.select("event_id", *[c.alias(f) for f, c in answers.comparisons(F.col("label"), record).items()])
 
 
-@Q.add("n7_field_compare", f"WITH {SIDES}, l AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'A' || k END AS label FROM sides) SELECT event_id, CASE WHEN label IS NULL THEN 'label_missing' WHEN NOT (alone OR same) THEN 'missing_model' ELSE 'correct' END AS cin, CASE WHEN event_type = 'click' THEN 'correct' ELSE 'different' END AS nom FROM l")
+@Q.add("n7_field_compare", f"WITH {SIDES}, {LABELS} SELECT event_id, {VERDICTS} FROM labels7 l JOIN answers7 a USING (event_id)")
 def n7(spark: SparkSession, d: str) -> DataFrame:
-    record = answers.global_record(F.col("recto"), F.col("verso"))
-    label = F.when(F.pmod("event_id", F.lit(2)) == 0, F.concat(F.lit("A"), "k"))
-    return both_sides(spark, d).select("event_id", answers.compared(label, record["cin_fusionne"]).alias("cin"), answers.compared(F.lit("C.L.I.C.K"), record["nom"]).alias("nom"))
+    """All seven fields, of labels that are flat, nested under a side, or absent."""
+    return verdicts(spark, d)
 
 
-@Q.add("j8_label_vs_extraction", f"WITH {SIDES}, e AS (SELECT event_id, field, CASE field WHEN 'nom' THEN event_type WHEN 'cin' THEN CASE WHEN alone OR same THEN 'a-' || k END END AS actual, CASE field WHEN 'nom' THEN p.p_name WHEN 'cin' THEN p.p_brand END AS expected FROM sides CROSS JOIN (SELECT unnest(['nom', 'cin']) AS field) LEFT JOIN part p ON p.p_partkey = event_id) SELECT event_id, field, CASE WHEN expected IS NULL THEN 'label_missing' WHEN actual IS NULL THEN 'missing_model' WHEN regexp_replace(lower(expected), '[^a-z0-9]', '', 'g') = regexp_replace(lower(actual), '[^a-z0-9]', '', 'g') THEN 'correct' ELSE 'different' END AS verdict FROM e")
+@Q.add("j8_label_vs_extraction", f"WITH {SIDES}, {LABELS}, v AS (SELECT event_id, {VERDICTS} FROM labels7 l JOIN answers7 a USING (event_id)) UNPIVOT v ON cin, prenom, nom, date_naissance, ville_naissance, date_validite, adresse INTO NAME field VALUE verdict")
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    record = answers.global_record(F.col("recto"), F.col("verso"))
-    labels = table(spark, d, "part").select(F.col("p_partkey").alias("event_id"), "p_name", "p_brand")
-    rows = both_sides(spark, d).select("event_id", record["nom"].alias("nom"), record["cin_fusionne"].alias("cin")).join(labels, "event_id", "left")
-    verdicts = rows.select("event_id", answers.compared(F.col("p_name"), F.col("nom")).alias("nom"), answers.compared(F.col("p_brand"), F.col("cin")).alias("cin"))
-    return verdicts.unpivot("event_id", ["nom", "cin"], "field", "verdict")
+    return verdicts(spark, d).unpivot("event_id", list(answers.LABEL_FIELDS), "field", "verdict")
 
 
 @Q.add("n8_confidence_rows", "SELECT event_id, 'cin' AS field, CASE WHEN event_type = 'click' THEN 'correct' ELSE 'different' END AS comparison, json_extract_string(props, '$.k')::DOUBLE AS confidence FROM events UNION ALL SELECT event_id, 'nom', 'correct', value FROM events")
 def n8(spark: SparkSession, d: str) -> DataFrame:
-    comparison = F.create_map(F.lit("cin"), F.when(F.col("event_type") == "click", "correct").otherwise("different"), F.lit("nom"), F.lit("correct"))
-    confidence = F.create_map(F.lit("cin"), F.get_json_object("props", "$.k").cast("double"), F.lit("nom"), F.col("value"))
-    rows = table(spark, d, "events").select("event_id", comparison.alias("c"), F.explode(confidence).alias("field", "confidence"))
-    return rows.where("confidence is not null").select("event_id", "field", F.col("c")[F.col("field")].alias("comparison"), "confidence")
+    verdict = F.create_map(F.lit("cin"), F.when(F.col("event_type") == "click", "correct").otherwise("different"), F.lit("nom"), F.lit("correct"))
+    confidence = F.create_map(F.lit("cin"), F.get_json_object("props", "$.k").cast("double"), F.lit("nom"), F.col("value"), F.lit("adresse"), F.lit(None).cast("double"))
+    rows = table(spark, d, "events").select("event_id", verdict.alias("verdicts"), confidence.alias("confidences"))
+    return answers.confidence_rows(rows, ["event_id"], "verdicts", "confidences")
 
 
-@Q.add("n9_label_from_api", "SELECT c_custkey, c_name AS nom, strftime(DATE '2020-01-01' + (c_custkey % 365)::INT, '%Y-%m-%d') AS date_naissance, NULL::VARCHAR AS prenom, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS nom_confidence, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END::INT AS confidences FROM customer")
+@Q.add("n9_label_from_api", "SELECT c_custkey, 'ID' || c_custkey AS cin, NULL::VARCHAR AS prenom, c_name AS nom, strftime(DATE '2020-01-01' + (c_custkey % 365)::INT, '%Y-%m-%d') AS date_naissance, c_mktsegment AS ville_naissance, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE '2031-05-06' END AS date_validite, NULL::VARCHAR AS adresse, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS nom_confidence, (CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END)::INT AS confidences, 'customer_data' AS label_source, c_custkey::VARCHAR AS customer_id FROM customer")
 def n9(spark: SparkSession, d: str) -> DataFrame:
+    """A label of seven fields from the payload of each customer."""
     day = F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("c_custkey", F.lit(365)).cast("int"))
-    data = F.struct(F.col("c_name").alias("last_name"), F.date_format(day, "dd/MM/yyyy").alias("birth_date"), F.lit("  ").alias("first_name"), F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.col("c_acctbal")).alias("last_name_confidence"))
-    payload = F.struct(F.struct(F.struct(F.struct(F.struct(data.alias("customer_data")).alias("customer")).alias("response_data")).alias("body")).alias("response"))
-    found = table(spark, d, "customer").select("c_custkey", payload.alias("payload")).select("c_custkey", F.col("payload.response.body.response_data.customer.customer_data").alias("x"))
-    confidence = F.map_filter(F.create_map(F.lit("nom"), F.col("x.last_name_confidence")), lambda k, v: v.isNotNull())
-    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return found.select("c_custkey", clean(F.col("x.last_name")).alias("nom"), measures.iso_date(F.col("x.birth_date")).alias("date_naissance"), clean(F.col("x.first_name")).alias("prenom"), F.try_element_at(confidence, F.lit("nom")).alias("nom_confidence"), F.size(confidence).alias("confidences"))
+    data = F.struct(
+        F.concat(F.lit(" ID"), F.col("c_custkey").cast("string")).alias("cin_id"), F.lit("  ").alias("first_name"), F.col("c_name").alias("last_name"), F.date_format(day, "dd/MM/yyyy").alias("birth_date"), F.col("c_mktsegment").alias("birth_place"),
+        F.when(F.pmod("c_custkey", F.lit(3)) == 0, "unknown").otherwise("2031-05-06T00:00").alias("validity_date"), F.lit("not of the card").alias("phone"),
+        F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.col("c_acctbal")).alias("last_name_confidence"), F.lit(90).alias("cin_id_confidence"),
+    )
+    customer = F.struct(F.col("c_custkey").alias("id"), data.alias("customer_data"))
+    payload = F.struct(F.struct(F.struct(F.struct(customer.alias("customer")).alias("response_data")).alias("body")).alias("response"))
+    rows = table(spark, d, "customer").select("c_custkey", F.parse_json(F.to_json(payload)).alias("payload"))
+    found = rows.select("c_custkey", *[c.alias(n) for n, c in answers.customer_label(F.col("payload")).items()])
+    return found.select("c_custkey", *answers.LABEL_FIELDS, F.try_element_at("field_confidence", F.lit("nom")).alias("nom_confidence"), F.size("field_confidence").alias("confidences"), "label_source", "customer_id")
 
 
 @Q.add("n10_extra_params", "SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS empty, 2::INT AS n FROM events")
@@ -249,9 +287,20 @@ def n13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max(of("system")).alias("system"), F.count(of("user")).alias("users"), F.max_by(of("user"), F.when(F.col("role") == "user", F.col("turn"))).alias("last_user"))
 
 
-@Q.add("n14_prompt_build", "SELECT item_id, 'Side verso: answer with this JSON object only: {\"cin\":\"\",\"date_validite\":\"\",\"adresse\":\"\"}' || chr(10) || left(text, 4000) AS prompt FROM benchmark")
+HEADS = {"recto": "Read the recto side of this identity card.", "verso": "Read the verso side of this identity card.", "combined": "This image has the recto side of an identity card above its verso side. Read both, each for itself."}
+FORMS = {"recto": '{"cin": null, "prenom": null, "nom": null, "date_naissance": null, "ville_naissance": null, "date_validite": null}', "verso": '{"cin": null, "date_validite": null, "adresse": null}'}
+FORMS["combined"] = f'{{"recto": {FORMS["recto"]}, "verso": {FORMS["verso"]}}}'
+
+
+def prompt_sql(kind: str) -> str:
+    fixed = "\n".join([HEADS[kind], *answers.RULES, FORMS[kind]]).replace("'", "''")
+    return f"'{fixed}' || coalesce(chr(10) || 'More instructions, which don''t change the form:' || chr(10) || left(nullif(trim(text), ''), 40), '') AS {kind}"
+
+
+@Q.add("n14_prompt_build", f"SELECT item_id, {prompt_sql('recto')}, {prompt_sql('verso')}, {prompt_sql('combined')} FROM (SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN text END AS text FROM benchmark)")
 def n14(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", answers.prompt(F.lit("verso"), answers.VERSO, F.col("text")).alias("prompt"))
+    fields, more = contract.fields(), F.when(F.pmod("item_id", F.lit(3)) != 0, F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", *[answers.prompt(s, fields, more, 40).alias(s) for s in fields], answers.combined_prompt(fields, more, 40).alias("combined"))
 
 
 # Strings
@@ -413,8 +462,8 @@ def m4(spark: SparkSession, d: str) -> DataFrame:
 @Q.add("m5_angle_search", "WITH c AS (SELECT user_id, unnest(range(-5, 6)) AS angle, avg(value) AS v FROM events GROUP BY user_id), s AS (SELECT *, abs(1.586 - (1 + abs(sin(angle + v)))) AS score FROM c) SELECT user_id, arg_min(angle, score)::INT AS angle FROM s GROUP BY user_id")
 def m5(spark: SparkSession, d: str) -> DataFrame:
     """The angle whose card has the ratio nearest to 1.586."""
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v")).withColumn("angle", F.explode(F.sequence(F.lit(-5), F.lit(5))))
-    return rows.groupBy("user_id").agg(F.min_by("angle", F.abs(F.lit(1.586) - (1 + F.abs(F.sin(F.col("angle") + F.col("v")))))).alias("angle"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"))
+    return rows.select("user_id", measures.best_angle(range(-5, 6), lambda angle: 1 + F.abs(F.sin(angle + F.col("v")))).alias("angle"))
 
 
 @Q.add("m6_tokens_per_second", f"WITH {frames.RESULTS_SQL} SELECT seq, round(output_tokens / nullif(latency, 0), 6) AS rate FROM results")

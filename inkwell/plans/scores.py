@@ -69,10 +69,16 @@ def x7(spark: SparkSession, d: str) -> DataFrame:
     return frames.table(spark, d, "documents").select("doc_id", text.kept_score(*tables).alias("table_score"), text.kept_text(*tables, text.TABLE_TEXTS).alias("table_status"), text.kept_score(*maths).alias("math_score"), text.kept_text(*maths, text.MATH_TEXTS).alias("math_status"))
 
 
-@Q.add("x8_evaluate_standard", f"WITH {frames.SCORED_SQL} SELECT model, case_id, round(cer_all, 6) AS cer, round(wer_all, 6) AS wer, round(greatest(0.0, 1 - cer_all), 6) AS accuracy, NULL::DOUBLE AS table_score, 'No tables present in document.' AS table_status, NULL::DOUBLE AS math_score, 'No mathematical notation present.' AS math_status FROM scored")
+#: Raw rates: letters outside ASCII as one free ASCII character each, words as one character each.
+RAW_SQL = """raw_words AS (SELECT *, translate(ground_truth, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '!"#$%&()*+-/:;<=>?[]^') AS rc, translate(extracted, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '!"#$%&()*+-/:;<=>?[]^') AS hc, list_filter(regexp_split_to_array(ground_truth, '\\s+'), lambda x: x <> '') AS rl, list_filter(regexp_split_to_array(extracted, '\\s+'), lambda x: x <> '') AS hl FROM scored),
+raw_known AS (SELECT *, list_distinct(list_concat(rl, hl)) AS known FROM raw_words),
+raw_rates AS (SELECT *, levenshtein(rc, hc)::DOUBLE / length(rc) AS cer_raw, levenshtein(array_to_string(list_transform(rl, lambda x: chr(list_position(known, x)::INT)), ''), array_to_string(list_transform(hl, lambda x: chr(list_position(known, x)::INT)), ''))::DOUBLE / len(rl) AS wer_raw FROM raw_known)"""
+
+
+@Q.add("x8_evaluate_standard", f"WITH {frames.SCORED_SQL}, {RAW_SQL} SELECT model, case_id, round(cer_all, 6) AS cer, round(cer_raw, 6) AS cer_raw, round(wer_all, 6) AS wer, round(wer_raw, 6) AS wer_raw, round(greatest(0.0, 1 - cer_all), 6) AS accuracy, NULL::DOUBLE AS table_score, 'No tables present in document.' AS table_status, NULL::DOUBLE AS math_score, 'No mathematical notation present.' AS math_status FROM raw_rates")
 def x8(spark: SparkSession, d: str) -> DataFrame:
-    rows = frames.inferences(spark, d).withColumns(text.standard_scores(R, H))
-    return rounded(rows.select("model", "case_id", *text.standard_scores(R, H)), "cer", "wer", "accuracy")
+    rows = frames.inferences(spark, d)
+    return rounded(rows.select("model", "case_id", *[c.alias(n) for n, c in text.standard_scores(F.col(R), F.col(H)).items()]), "cer", "cer_raw", "wer", "wer_raw", "accuracy")
 
 
 def invoices(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +86,7 @@ def invoices(spark: SparkSession, d: str) -> DataFrame:
     account = F.lpad(F.col("o_orderkey").cast("string"), 18, "0")
     total = F.format_string("%.2f", F.col("o_totalprice"))
     line = F.concat(F.lit("Pay "), total, F.lit(" EUR to "), entities.make_iban(F.lit("DE"), account), F.lit(" before "), F.date_format("o_orderdate", "yyyy-MM-dd"))
-    rows = frames.table(spark, d, "orders").select("o_orderkey", line.alias("reference"))
+    rows = frames.dealt(frames.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), "o_orderkey").select("o_orderkey", line.alias("reference"))
     read = F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.col("reference")).when(F.pmod("o_orderkey", F.lit(3)) == 1, F.replace("reference", F.lit("1"), F.lit("7"))).otherwise(F.replace("reference", F.lit(" EUR"), F.lit("")))
     return rows.withColumn("hypothesis", read)
 
@@ -153,9 +159,8 @@ SELECT o_orderkey, round((coalesce(0.35::DOUBLE * iban_emr, 0) + coalesce(0.25::
   {round_sql('numeric_cer', 'iban_emr', 'amount_emr', 'general_accuracy')} FROM m""",
 )
 def x9(spark: SparkSession, d: str) -> DataFrame:
-    scores = entities.bank_scores(F.col("reference"), F.col("hypothesis"))
     names = ["bank_score", "numeric_cer", "iban_emr", "amount_emr", "general_accuracy"]
-    return rounded(invoices(spark, d).select("o_orderkey", *[scores[n].alias(n) for n in names]), *names)
+    return rounded(entities.with_bank_scores(invoices(spark, d), "reference", "hypothesis").select("o_orderkey", *names), *names)
 
 
 @Q.add(
@@ -191,12 +196,12 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary.mean_by(frames.scored(spark, d).where("accuracy is not null"), ["model"], "accuracy", "accuracy", False), "accuracy")
 
 
-@Q.add("x3_cer_conversations", f"WITH p AS (SELECT conv_id, turn, {frames.normal_sql('text')} AS r, {frames.normal_sql(chr(39).join(('translate(text, ', 'eolistaOISG', ', ', 'c01l57@0156', ')')))} AS h FROM conversations) SELECT conv_id, turn, round(CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(r, h)::DOUBLE / length(r) END, 6) AS cer FROM p")
+@Q.add("x3_cer_conversations", f"WITH p AS (SELECT conv_id, turn, {frames.normal_sql('text')} AS r, {frames.normal_sql(chr(39).join(('translate(text, ', 'bghnuvzBDZ', ', ', '6qbrvu2802', ')')))} AS h FROM conversations) SELECT conv_id, turn, round(CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(r, h)::DOUBLE / length(r) END, 6) AS cer FROM p")
 def x3_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Character error rates of a growing table's whole texts against their look-alikes."""
     from inkwell.functions.strings import LOOK_ALIKES
 
     t = F.col("text")
     # edit distance costs the product of the lengths: dealing the rows out keeps long texts from one task
-    rows = frames.table(spark, d, "conversations").repartition(F.col("conv_id"), F.col("turn"))
+    rows = frames.dealt(frames.table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     return rows.select("conv_id", "turn", F.round(text.cer(t, F.translate(t, *LOOK_ALIKES)), 6).alias("cer"))

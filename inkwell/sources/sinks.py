@@ -7,13 +7,13 @@ import re
 import shutil
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import selection
 
 EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff", ".pdf")
-MOST_BYTES, MOST_LABEL, MOST_ROWS = 15 << 20, 100_000, 10_000
+MOST_BYTES, MOST_LABEL = 15 << 20, 100_000
 
 
 def save_run(results: DataFrame, summary: DataFrame, path: str) -> None:
@@ -32,14 +32,18 @@ def save_artefacts(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").partitionBy("model", "folder_client_id").json(path)
 
 
-def report(summary: DataFrame, failures: DataFrame) -> str:
-    """A Markdown report: the summary's table (a row a model) and at most MOST_ROWS failures, with the number of the others."""
+def report(summary: DataFrame, failures: DataFrame) -> DataFrame:
+    """The lines (part, line) of a Markdown report: the summary's table, a row a model, then every failure."""
     columns = summary.columns
     line = lambda cells: "| " + " | ".join("" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in cells) + " |"
-    out = ["# Report", "", line(columns), line(["---"] * len(columns)), *[line(r) for r in summary.collect()], "", "## Failures", ""]
-    count = failures.count()
-    out += [f"- {r['model']} {r['image_path']}: {r['status']}" for r in failures.orderBy("model", "image_path").limit(MOST_ROWS).collect()] or ["none"]
-    return "\n".join(out + ([f"- and {count - MOST_ROWS} more"] if count > MOST_ROWS else [])) + "\n"
+    head = ["# Report", "", line(columns), line(["---"] * len(columns)), *[line(r) for r in summary.collect()], "", "## Failures", ""]
+    top = summary.sparkSession.createDataFrame([(i, x) for i, x in enumerate(head)], "part int, line string")
+    return top.unionAll(failures.select(F.lit(len(head)).alias("part"), F.concat_ws("", F.lit("- "), "model", F.lit(" "), "image_path", F.lit(": "), "status").alias("line")))
+
+
+def save_report(summary: DataFrame, failures: DataFrame, path: str) -> None:
+    """The report as text files that follow each other by name, in the order of its lines."""
+    report(summary, failures).orderBy("part", "line").select("line").write.mode("overwrite").text(path)
 
 
 def category_name(value: Column) -> Column:
@@ -68,11 +72,13 @@ def label_status(found: Column, content: Column) -> Column:
     return F.when(~F.coalesce(found, F.lit(False)), "label_not_found").when(F.coalesce(good, F.lit(False)), "label_materialized").otherwise("label_parse_failed")
 
 
-def html_table(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each key's rows as an HTML table."""
+def html_table(rows: DataFrame, key: str, columns: list[str], page_rows: int = 1000) -> DataFrame:
+    """Each key's rows as HTML tables of at most ``page_rows`` rows, numbered by page from 1."""
     safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns], F.lit("</tr>"))
-    return rows.select(key, line.alias("line")).groupBy(key).agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list("line")), ""), F.lit("</table>")).alias("html"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("line"))
+    paged = rows.select(key, line.alias("line")).withColumn("page", F.ceil(turn / page_rows).cast("int"))
+    return paged.groupBy(key, "page").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list("line")), ""), F.lit("</table>")).alias("html"))
 
 
 def purge_runs(root: str, days: int | None, now: float | None = None) -> list[str]:

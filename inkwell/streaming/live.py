@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from inkwell.operators import joins
 
 
 def timing(latency: str, timeout: float) -> F.Column:
@@ -25,8 +29,24 @@ def running_summary(stream: DataFrame) -> DataFrame:
 
 
 def queue_state(stream: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """Each key's last values; the state is a row a key."""
-    return stream.groupBy(key).agg(*[F.max_by(v, order).alias(v) for v in values])
+    """Each key's last value that is not null of every column; the state is a row a key."""
+    return joins.latest(stream, key, order, values)
+
+
+def until_errors(stream: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """A run's rows up to the one that reaches so many errors; the state is a number a run. Batches come in the run's order."""
+    schema = stream.schema
+    names = schema.names
+
+    def go_on(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        errors = state.get[0] if state.exists else 0
+        if errors < most:
+            rows = pd.concat(frames).sort_values(order, kind="stable")
+            wrong = (rows["status"] != "success").astype("int64")
+            state.update((int(errors + wrong.sum()),))
+            yield rows[errors + wrong.cumsum() - wrong < most][names]
+
+    return stream.groupBy(by).applyInPandasWithState(go_on, schema, "errors long", "append", GroupStateTimeout.NoTimeout)
 
 
 def per_window(stream: DataFrame, time: str, length: str, late: str) -> DataFrame:

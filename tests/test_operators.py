@@ -1,6 +1,7 @@
 """Behaviours of runs, selections, folders, answers, sources, streams and the model boundary."""
 
 import json
+import re
 import threading
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -8,11 +9,11 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell import inference
+from inkwell import catalog, inference
 from inkwell.functions import answers, measures, strings
 from inkwell.operators import joins, selection, summary, views
 from inkwell.plans.records import merge_parameters
-from inkwell.sources import files, rest, sinks
+from inkwell.sources import contract, files, rest, sinks
 from inkwell.streaming import live
 
 RESULT = "seq long, model string, status string, accuracy double, latency double, tokens_per_second double, output_tokens long, cer double, wer double, table_score double, math_score double, iban_emr double, amount_emr double, device string"
@@ -102,7 +103,7 @@ def test_sides_and_latest(spark):
 def test_answers(spark):
     replies = ['```json\n{"cin": " A1 ", "nom": {"x": 1}, "prenom": true, "other": 2}\n```', "none", '{"cin": }', None]
     df = spark.createDataFrame([(r,) for r in replies], "r string")
-    rows = df.select(answers.parse_error(F.col("r")).alias("e"), answers.side(F.col("r"), answers.RECTO).alias("s")).collect()
+    rows = answers.with_parsed(df, "r", "p").select(F.col("p_error").alias("e"), answers.side(F.col("p"), answers.RECTO).alias("s")).collect()
     assert [r.e for r in rows] == [None, "model_response_not_json", "model_response_invalid_json", "model_response_not_json"]
     assert rows[0].s.cin == "A1" and rows[0].s.nom is None and rows[0].s.prenom == "True" and rows[1].s.cin is None
     pairs = spark.createDataFrame([("A-1", "a1"), ("A1", "B2"), ("A1", None), (None, None)], "a string, b string")
@@ -114,6 +115,47 @@ def test_answers(spark):
     assert merged == {"a": "1", "b": "3"}
 
 
+def test_case_folding_matches_python(spark):
+    letters = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xFB00, 0xFB07)] + ["\u212a", "ẞ"]
+    got = spark.createDataFrame([(f"x{c}1",) for c in letters], "a string").select("a", answers.bare(F.col("a")).alias("b")).collect()
+    assert {r.a: r.b for r in got} == {f"x{c}1": re.sub("[^a-z0-9]", "", f"x{c}1".casefold()) for c in letters}
+
+
+def test_labels_of_sides_and_payloads(spark):
+    labels = ['{"cin": "1", "recto": {"cin": "2"}}', '{"cin": null, "recto": {"cin": "2"}, "verso": {"cin": "3"}}', '{"recto": {"cin": null}, "verso": {"cin": "3"}}', '{"recto": 5, "verso": {"cin": 3}}', "{}", None, "[1]"]
+    df = spark.createDataFrame([(x,) for x in labels], "a string").select(F.try_parse_json("a").alias("v"))
+    assert [r[0] for r in df.select(answers.expected(F.col("v"), "cin")).collect()] == ["1", "2", None, "3", None, None, None]
+    data = {"cin_id": " A1 ", "birth_date": "05/01/1990", "first_name_confidence": 12.5, "address": "", "validity_date": "2030-02-01 x", "phone": "1"}
+    payload = json.dumps({"response": {"body": {"response_data": {"customer": {"id": 7, "customer_data": data}}}}})
+    rows = spark.createDataFrame([(payload,), ("{}",)], "a string").select(F.parse_json("a").alias("v"))
+    one, none = rows.select(*[c.alias(n) for n, c in answers.customer_label(F.col("v")).items()]).collect()
+    assert (one.cin, one.prenom, one.date_naissance, one.date_validite, one.adresse, one.customer_id) == ("A1", None, "1990-01-05", "2030-02-01", None, "7")
+    assert one.field_confidence == {"prenom": 12.5} and none.cin is None and none.field_confidence == {} and none.label_source == "customer_data"
+
+
+def test_field_contract(tmp_path):
+    assert contract.fields() == contract.fields(str(tmp_path / "none.json")) == {"recto": answers.RECTO, "verso": answers.VERSO}
+    path = tmp_path / "fields.json"
+    path.write_text(json.dumps({"recto": [{"key": "a", "type": "text"}], "verso": []}))
+    assert contract.fields(str(path)) == {"recto": ("a",), "verso": ()}
+    for bad in ("{", "[]", '{"recto": []}', '{"recto": [{"type": "x"}], "verso": []}', '{"recto": [{"key": 1}], "verso": []}'):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            contract.fields(str(path))
+    with pytest.raises(ValueError):
+        answers.prompt("left", contract.fields(), F.lit(None))
+
+
+def test_plans_parse_and_extract_once(spark):
+    def plan(name):
+        return catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+    for name, times in (("n2_parse_side", 1), ("n3_parse_combined", 1), ("n6_global_record", 1), ("n7_field_compare", 2), ("j8_label_vs_extraction", 2)):
+        assert len(re.findall("parse_json|parseJson", plan(name), re.IGNORECASE)) <= times, name  # two tables are parsed where labels are
+    found = plan("x9_evaluate_bank")
+    assert found.count("regexp_extract_all") <= 6 and "Exchange hashpartitioning(o_orderkey" in found
+
+
 def test_strings_and_dates(spark):
     row = spark.createDataFrame([("31/12/2024 x", "2024-1-5", "soon", "..a b//", "http://u:p@h:1")], "a string, b string, c string, d string, e string")
     got = row.select(*[measures.iso_date(F.col(c)) for c in "abc"], strings.safe_name(F.col("d")), strings.mask_password(F.col("e")), strings.file_side(F.lit("77_RECTO.jpg"), "_recto")).first()
