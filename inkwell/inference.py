@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import inspect
+import json
+import re
+import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +15,8 @@ from pyspark.sql import DataFrame
 
 from inkwell.functions import strings
 
-SCHEMA = "case_id long, model string, text string, latency double, status string, error string, device string"
+COLUMNS = ["case_id", "model", "text", "latency", "status", "error", "device", "raw_response", "reasoning", "input_tokens", "output_tokens", "tokens_per_second"]
+SCHEMA = "case_id long, model string, text string, latency double, status string, error string, device string, raw_response string, reasoning string, input_tokens long, output_tokens long, tokens_per_second double"
 
 
 class Adapter:
@@ -39,6 +45,53 @@ class Mock(Adapter):
         return {"text": text, "latency": 0.3 + (k * 37 + m * 11) % 900 / 1000, "device": "cpu"}
 
 
+class Http(Adapter):
+    """A model behind a chat interface: messages with an image's path go out, a message with token counts comes back."""
+
+    def __init__(self, name: str, host: str, timeout: float = 600.0) -> None:
+        self.name, self.host, self.timeout = name, host.rstrip("/"), timeout
+
+    def perform(self, case: dict) -> dict:
+        messages = [{"role": "system", "content": case["system"]}] if case.get("system") else []
+        messages.append({"role": "user", "content": case.get("prompt") or "Transcribe this image.", "images": [case["image_path"]]})
+        body = json.dumps({"model": self.name, "messages": messages, "stream": False, "options": {"temperature": 0.0}}).encode()
+        began = time.monotonic()
+        request = urllib.request.Request(f"{self.host}/api/chat", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            raw = answer.read().decode()
+        found = json.loads(raw)
+        message, out, spent = found.get("message") or {}, found.get("eval_count"), found.get("eval_duration")
+        return {
+            "text": unfenced((message.get("content") or "").strip()),
+            "raw_response": raw,
+            "reasoning": message.get("thinking") or message.get("reasoning"),
+            "latency": time.monotonic() - began,
+            "device": "remote",
+            "input_tokens": found.get("prompt_eval_count"),
+            "output_tokens": out,
+            "tokens_per_second": out / (spent / 1e9) if out is not None and spent else None,
+        }
+
+
+def unfenced(text: str) -> str:
+    """Without a fence that is bare or says markdown, html or text."""
+    found = re.fullmatch(r"(?is)```[ \t]*(?:markdown|html|text)?[ \t]*\n(.*?)\n?```", text)
+    return found[1].strip() if found else text
+
+
+class Local(Adapter):
+    """A model of an optional package that reads an image's path: ``read`` comes from module:function, imported where it runs."""
+
+    def __init__(self, name: str) -> None:
+        module, _, function = name.partition(":")
+        self.read = getattr(importlib.import_module(module), function or "read")
+
+    def perform(self, case: dict) -> dict:
+        began = time.monotonic()
+        text = self.read(case["image_path"])
+        return {"text": text if isinstance(text, str) else "\n".join(map(str, text)), "latency": time.monotonic() - began, "device": "cpu"}
+
+
 class Registry:
     """Adapters by provider; a specification is provider:name."""
 
@@ -80,7 +133,7 @@ def infer(cases: DataFrame, spec: str, registry: Registry, timeout: float | None
             for batch in batches:
                 out = []
                 for case in batch.to_dict("records"):
-                    row = {"case_id": case["case_id"], "model": spec, "text": None, "latency": 0.0, "status": "failed", "error": reason, "device": None}
+                    row = dict.fromkeys(COLUMNS) | {"case_id": case["case_id"], "model": spec, "latency": 0.0, "status": "failed", "error": reason}
                     if adapter:
                         try:
                             row |= {"status": "success"} | {k: v for k, v in call(adapter, case).items() if k in row}
@@ -89,7 +142,8 @@ def infer(cases: DataFrame, spec: str, registry: Registry, timeout: float | None
                         if timeout is not None and row["latency"] > timeout:
                             row |= {"status": "timeout", "text": None}
                     out.append(row)
-                yield pd.DataFrame(out, columns=["case_id", "model", "text", "latency", "status", "error", "device"])
+                frame = pd.DataFrame(out, columns=COLUMNS)
+                yield frame.astype({"input_tokens": "Int64", "output_tokens": "Int64", "tokens_per_second": "float64"})
         finally:
             if adapter:
                 adapter.close()
@@ -102,3 +156,11 @@ def mock_registry() -> Registry:
     registry = Registry()
     registry.register("mock", lambda name: Mock(name, *map(int, name.split("/"))))
     return registry
+
+
+def default_registry(host: str = "http://localhost:11434") -> Registry:
+    """The mock, models of a chat server, and readers of optional packages."""
+    registry = mock_registry()
+    registry.register("http", lambda name: Http(name, host))
+    registry.register("local", Local)
+    return registry

@@ -1,40 +1,72 @@
-"""Sources over HTTP: a data source of JSON pages, bounded downloads, model lists."""
+"""Sources over HTTP: a data source of pages, clients by templates, bounded downloads, model lists."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import ssl
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
-from urllib.parse import urlencode
+from dataclasses import dataclass
+from urllib.parse import quote, urlencode, urljoin
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from inkwell.operators import selection
+
 MOST_TEXT, MOST_BYTES, TIMEOUT = 100_000, 50 << 20, 30
 EXTENSIONS = {"application/pdf": ".pdf", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png"}
 
 
-def get(url: str, parameters: dict[str, str | None] | None = None, token: str | None = None) -> tuple[int, str, bytes]:
-    """Status, content type and body; parameters that are None are left out, empty ones are sent."""
+def opener(proxy: str = "", verify: bool = True) -> urllib.request.OpenerDirector:
+    """What opens addresses: by the named proxy (an address, or protocol=address;...), by the system's with "system", else directly."""
+    named = {} if proxy in ("", "system") else dict(x.split("=", 1) for x in proxy.split(";") if "=" in x.split("://")[0]) or {"http": proxy, "https": proxy}
+    full = {k.strip().lower(): v if "://" in v else f"http://{v}" for k, v in named.items()}
+    found = urllib.request.getproxies() if proxy == "system" else full
+    context = ssl.create_default_context() if verify else ssl._create_unverified_context()
+    handlers = [urllib.request.ProxyHandler({k: v for k, v in found.items() if k in ("http", "https")}), urllib.request.HTTPSHandler(context=context)]
+    return urllib.request.build_opener(*handlers)
+
+
+def get(url: str, parameters: dict[str, str | None] | None = None, token: str | None = None, proxy: str = "", verify: bool = True, timeout: float = TIMEOUT, header: str = "Authorization", prefix: str = "Bearer ") -> tuple[int, str, bytes]:
+    """Status, content type and body; parameters that are None are left out, empty ones are sent. An answer with an error status is an answer."""
+    if timeout <= 0:
+        raise ValueError("the timeout is above zero")
     query = urlencode({k: v for k, v in (parameters or {}).items() if v is not None})
     request = urllib.request.Request(f"{url}{'&' if '?' in url else '?'}{query}" if query else url)
     if token:
-        request.add_header("Authorization", f"Bearer {token}")
-    with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
-        return answer.status, answer.headers.get_content_type(), answer.read(MOST_BYTES + 1)
+        request.add_header(header, f"{prefix}{token}".strip())
+    try:
+        with opener(proxy, verify).open(request, timeout=timeout) as answer:
+            return answer.status, answer.headers.get_content_type() if answer.headers.get("Content-Type") else "", answer.read(MOST_BYTES + 1)
+    except urllib.error.HTTPError as e:
+        return e.code, e.headers.get_content_type() if e.headers.get("Content-Type") else "", e.read(MOST_BYTES + 1)
 
 
 class Page(InputPartition):
+    """A page by its number; 0: all pages, each by what the one before says."""
+
     def __init__(self, number: int) -> None:
         super().__init__(number)
         self.number = number
 
 
 class JsonPages(DataSource):
-    """``spark.read.format("json_pages")``: options url, pages (a partition each), page_name (parameter) and token_variable.
+    """``spark.read.format("json_pages")``: pages of an address.
+
+    Options: url; pages (a partition each), or without it pages are read until one
+    is empty or names no next one; page_name (the page's parameter); token_field
+    (where a page names the next page's token) and token_name (its parameter);
+    proxy, verify, timeout; token_variable (the environment variable of the secret).
 
-    A row for each page: page, status, kind and body, a text of at most 100 000 characters. An error is a row, not a failed task.
+    A row for each page: page, status, kind, bytes, body and error. The body is a text of
+    at most 100 000 characters, null for other content, of which the bytes are told. An
+    error is a row, not a failed task; it ends a listing.
     """
 
     @classmethod
@@ -42,32 +74,148 @@ class JsonPages(DataSource):
         return "json_pages"
 
     def schema(self) -> str:
-        return "page int, status int, kind string, body string, error string"
+        return "page int, status int, kind string, bytes long, body string, error string"
 
     def reader(self, schema) -> JsonPagesReader:
         return JsonPagesReader(dict(self.options))
 
 
+def entries(body: str | None, token_field: str) -> tuple[bool, str | None]:
+    """Whether a page of a listing holds anything, and the next page's token."""
+    try:
+        found = json.loads(body or "")
+    except ValueError:
+        return False, None
+    token = found.get(token_field) if isinstance(found, dict) else None
+    some = found if isinstance(found, list) else [x for k, v in found.items() if k != token_field and isinstance(v, list) for x in v] if isinstance(found, dict) else []
+    return bool(some), str(token) if token else None
+
+
 class JsonPagesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
 
     def partitions(self) -> list[Page]:
-        return [Page(i) for i in range(1, int(self.options.get("pages", "1")) + 1)]
+        pages = self.options.get("pages")
+        return [Page(i) for i in range(1, int(pages) + 1)] if pages else [Page(0)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def one(self, number: int, parameters: dict[str, str | None]) -> tuple:
         o = self.options
         try:
-            status, kind, body = get(o["url"], {o.get("page_name", "page"): str(partition.number)}, os.environ.get(o.get("token_variable", "")))
-            text = body.decode("utf-8", "replace")[:MOST_TEXT] if kind.startswith("text/") or "json" in kind else None
-            yield partition.number, status, kind, text, None
+            status, kind, body = get(o["url"], parameters, os.environ.get(o.get("token_variable", "")), o.get("proxy", ""), o.get("verify", "true") == "true", float(o.get("timeout", TIMEOUT)))
         except OSError as e:
-            yield partition.number, None, None, None, f"{type(e).__name__}: {e}"
+            return number, None, None, None, None, f"{type(e).__name__}: {e}"
+        text = body.decode("utf-8", "replace") if not kind or kind.startswith("text/") or "json" in kind else None
+        return number, status, kind or "none", len(body), text, None
 
-
-def json_pages(spark: SparkSession, url: str, pages: int = 1, **options: str) -> DataFrame:
+    def read(self, partition: Page) -> Iterator[tuple]:
+        name, field = self.options.get("page_name", "page"), self.options.get("token_field", "")
+        cut = lambda row: (*row[:4], row[4][:MOST_TEXT] if row[4] is not None else None, row[5])
+        if partition.number:
+            yield cut(self.one(partition.number, {name: str(partition.number)}))
+            return
+        number, token = 1, None
+        while True:
+            row = self.one(number, {self.options.get("token_name", "page_token"): token} if field else {name: str(number)})
+            some, token = entries(row[4], field)
+            if row[5] is None and row[1] < 400 and not some and not (field and token) and number > 1:
+                return
+            yield cut(row)
+            if row[5] is not None or row[1] >= 400 or not some and not token or field and not token:
+                return
+            number += 1
+
+
+def json_pages(spark: SparkSession, url: str, pages: int | None = None, **options: str) -> DataFrame:
+    """The pages of an address; with ``pages`` a partition each, else until the last one."""
     spark.dataSource.register(JsonPages)
-    return spark.read.format("json_pages").options(url=url, pages=pages, **options).load()
+    if pages:
+        options["pages"] = str(pages)
+    return spark.read.format("json_pages").options(url=url, **options).load()
+
+
+@dataclass
+class ClientApi:
+    """Where the documents and labels of a client are: templates with {client_id}, and the environment variable of the secret."""
+
+    base: str
+    recto: str
+    verso: str
+    label: str
+    document_key: str = ""  # where an answer only names the document's address
+    token_variable: str = "API_TOKEN"
+    header: str = "Authorization"
+    prefix: str = "Bearer "
+    timeout: float = TIMEOUT
+
+    def fetch(self, template: str, client: str, token: str) -> tuple[str, bytes]:
+        address = lambda path: urljoin(self.base.rstrip("/") + "/", path)
+        send = lambda url: get(url, None, token, timeout=self.timeout, header=self.header, prefix=self.prefix)
+        status, kind, body = send(address(template.replace("{client_id}", quote(client)).lstrip("/")))
+        if status < 400 and self.document_key and template != self.label:
+            named = json.loads(body)
+            where = named.get(self.document_key) if isinstance(named, dict) else None
+            if not isinstance(where, str) or not where.strip():
+                raise ValueError(f"no address under {self.document_key}")
+            status, kind, body = send(address(where))
+        if status >= 400:
+            raise OSError(f"status {status}")
+        return kind, body
+
+    def take(self, client: str, target: str, token: str) -> dict:
+        """Both documents and the label of a client, in files of its own folder."""
+        folder = f"{target}/{client}"
+        os.makedirs(folder, exist_ok=True)
+        found = {}
+        for side in ("recto", "verso"):
+            kind, body = self.fetch(getattr(self, side), client, token)
+            if kind not in EXTENSIONS:
+                raise ValueError(f"unsupported type: {kind}")
+            found[side] = write_whole(f"{folder}/{client}_{side}{EXTENSIONS[kind]}", body)
+        label = json.loads(self.fetch(self.label, client, token)[1])
+        if not isinstance(label, dict):
+            raise ValueError("the label is no JSON object")
+        found["label"] = write_whole(f"{folder}/{client}.json", json.dumps(label, ensure_ascii=False, indent=2).encode())
+        return found
+
+
+IMPORTED = "client_id string, status string, issue string, recto_source string, verso_source string, label_path string"
+
+
+def import_clients(clients: DataFrame, api: ClientApi, target: str) -> DataFrame:
+    """A row for each client id that is not blank: ready with its files, or failed with the reason. Tasks write to ``target``, a folder all of them share."""
+    token = os.environ.get(api.token_variable)
+    if not token:
+        raise RuntimeError(f"the environment variable {api.token_variable} is not set")
+    ids = clients.select(F.trim(F.col("client_id").cast("string")).alias("client_id")).where("client_id <> ''").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for client in batch["client_id"]:
+                row = {"client_id": client, "status": "failed", "issue": None, "recto_source": None, "verso_source": None, "label_path": None}
+                if not re.fullmatch(selection.CLIENT_ID[1:-1], client):
+                    row["issue"] = "client_id_invalid"
+                else:
+                    try:
+                        found = api.take(client, target, token)
+                        row |= {"status": "ready", "recto_source": found["recto"], "verso_source": found["verso"], "label_path": found["label"]}
+                    except (OSError, ValueError, TypeError) as e:
+                        row["issue"] = f"{type(e).__name__}: {e}"
+                out.append(row)
+            yield pd.DataFrame(out, columns=["client_id", "status", "issue", "recto_source", "verso_source", "label_path"])
+
+    return ids.mapInPandas(run, IMPORTED)
+
+
+def write_whole(path: str, body: bytes) -> str:
+    """Written under another name first."""
+    if len(body) > MOST_BYTES:
+        raise ValueError("the document is too large")
+    with open(path + ".part", "wb") as f:
+        f.write(body)
+    os.replace(path + ".part", path)
+    return path
 
 
 def download(url: str, target: str) -> str:

@@ -1,11 +1,13 @@
 """Behaviours of runs, selections, folders, answers, sources, streams and the model boundary."""
 
 import json
+import random
 import re
 import threading
 import zipfile
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,18 +213,52 @@ def test_catalog_append_refuses(spark, tmp_path):
 
 @pytest.fixture
 def server():
+    """Answers by path: documents, listings of three pages, client routes, a chat."""
+
     class Handler(BaseHTTPRequestHandler):
-        def do_GET(self):
-            kind, body = ("application/pdf", b"%PDF") if "doc" in self.path else ("application/json", json.dumps({"path": self.path, "models": [{"name": "m1"}]}).encode())
-            self.send_response(200)
-            self.send_header("Content-Type", kind)
+        def answer(self, kind, body, status=200):
+            self.send_response(status)
+            if kind:
+                self.send_header("Content-Type", kind)
             self.end_headers()
-            self.wfile.write(body)
+            self.wfile.write(body if isinstance(body, bytes) else json.dumps(body).encode())
+
+        def do_GET(self):
+            path, _, query = self.path.partition("?")
+            values = dict(x.split("=", 1) for x in query.split("&") if x)
+            if "doc" in path:
+                self.answer("application/pdf", b"%PDF")
+            elif path == "/numbered":
+                self.answer("application/json", [int(values["page"])] if int(values["page"]) < 4 else [])
+            elif path == "/tokens":
+                n = int(values.get("page_token", "0"))
+                self.answer("application/json", {"files": [n], "next": str(n + 1) if n < 2 else None})
+            elif path == "/broken":
+                self.answer("application/json", {"error": "no"}, 500)
+            elif path == "/binary":
+                self.answer("image/png", b"x" * 7)
+            elif path == "/bare":
+                self.answer("", b"plain")
+            elif path.startswith("/clients/"):
+                _, _, client, part = path.split("/")
+                if self.headers.get("Authorization") != "Bearer secret" or client == "gone":
+                    self.answer("application/json", {}, 404)
+                elif part == "label":
+                    self.answer("application/json", [1] if client == "list" else {"cin": client})
+                else:
+                    self.answer("image/jpeg", b"picture") if part == "recto" else self.answer("application/json", {"url": "/doc/verso"}) if client == "named" else self.answer("application/pdf", b"%PDF")
+            else:
+                self.answer("application/json", {"path": self.path, "models": [{"name": "m1"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = f"```markdown\n{asked['messages'][-1]['images'][0]}\n```"
+            self.answer("application/json", {"message": {"content": text, "thinking": "hm"}, "prompt_eval_count": 11, "eval_count": 30, "eval_duration": 2_000_000_000})
 
         def log_message(self, *args):
             pass
 
-    s = HTTPServer(("127.0.0.1", 0), Handler)
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=s.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{s.server_port}"
     s.shutdown()
@@ -239,6 +275,59 @@ def test_rest(spark, server, tmp_path):
     assert rest.model_names(spark, "http://127.0.0.1:9").count() == 0
 
 
+def test_listings_go_on_until_the_last_page(spark, server):
+    rows = rest.json_pages(spark, f"{server}/numbered").orderBy("page").collect()
+    assert [json.loads(r.body) for r in rows] == [[1], [2], [3]]
+    rows = rest.json_pages(spark, f"{server}/tokens", token_field="next").orderBy("page").collect()
+    assert [json.loads(r.body)["files"] for r in rows] == [[0], [1], [2]]
+    assert [(r.status, r.error) for r in rest.json_pages(spark, f"{server}/broken").collect()] == [(500, None)]
+
+
+def test_bodies_proxies_and_certificates(spark, server):
+    row = rest.json_pages(spark, f"{server}/binary", 1).first()
+    assert (row.kind, row.bytes, row.body) == ("image/png", 7, None)
+    row = rest.json_pages(spark, f"{server}/bare", 1).first()
+    assert (row.kind, row.body) == ("none", "plain")
+    # through the server itself as a proxy the path is the whole address
+    seen = json.loads(rest.json_pages(spark, "http://other.test/list", 1, proxy=server).first().body)
+    assert seen["path"] == "http://other.test/list?page=1"
+    assert json.loads(rest.json_pages(spark, "http://other.test/list", 1, proxy=f"https=x:1;http={server}").first().body)["path"].startswith("http://other.test")
+    with pytest.raises(ValueError):
+        rest.get(server, timeout=0)
+    strict, loose = (next(h for h in rest.opener(verify=v).handlers if type(h).__name__ == "HTTPSHandler")._context for v in (True, False))
+    assert strict.check_hostname and not loose.check_hostname
+
+
+def test_import_of_clients(spark, server, tmp_path, monkeypatch):
+    api = rest.ClientApi(server, "/clients/{client_id}/recto", "clients/{client_id}/verso", "clients/{client_id}/label", token_variable="TEST_SECRET")
+    clients = spark.createDataFrame([(" c1 ",), ("",), (None,), ("c1",), ("../x",), ("gone",), ("list",)], "client_id string")
+    monkeypatch.delenv("TEST_SECRET", raising=False)
+    with pytest.raises(RuntimeError):
+        rest.import_clients(clients, api, str(tmp_path))
+    monkeypatch.setenv("TEST_SECRET", "secret")
+    rows = {r.client_id: r for r in rest.import_clients(clients, api, str(tmp_path)).collect()}
+    assert set(rows) == {"c1", "../x", "gone", "list"} and rows["../x"].issue == "client_id_invalid"
+    assert rows["c1"].status == "ready" and open(rows["c1"].recto_source, "rb").read() == b"picture" and rows["c1"].verso_source.endswith("c1_verso.pdf")
+    assert json.load(open(rows["c1"].label_path)) == {"cin": "c1"}
+    assert "404" in rows["gone"].issue and "JSON object" in rows["list"].issue
+    named = rest.ClientApi(server, "doc/recto", "clients/{client_id}/verso", "clients/{client_id}/label", document_key="url", token_variable="TEST_SECRET")
+    row = rest.import_clients(spark.createDataFrame([("named",)], "client_id string"), named, str(tmp_path)).first()
+    assert row.status == "failed" and row.issue  # the recto answer is no JSON
+    named.recto = named.verso
+    assert rest.import_clients(spark.createDataFrame([("named",)], "client_id string"), named, str(tmp_path)).first().status == "ready"
+
+
+def test_adapters_over_http_and_of_packages(spark, server):
+    registry = inference.default_registry(server)
+    rows = spark.createDataFrame([(1, "/scans/1.png")], "case_id long, image_path string")
+    row = inference.infer(rows, "http:llava:7b", registry).first()
+    assert (row.text, row.reasoning, row.input_tokens, row.output_tokens, row.tokens_per_second, row.status) == ("/scans/1.png", "hm", 11, 30, 15.0, "success")
+    assert inference.infer(rows, "http:x", inference.default_registry("http://127.0.0.1:9")).first().status == "failed"
+    assert inference.infer(rows, "local:posixpath:basename", registry).first().text == "1.png"
+    assert "ModuleNotFoundError" in inference.infer(rows, "local:no_such_package", registry).first().error
+    assert inference.unfenced("```json\nx\n```") == "```json\nx\n```"
+
+
 def test_model_boundary(spark):
     class Broken(inference.Adapter):
         def perform(self, case):
@@ -257,6 +346,55 @@ def test_model_boundary(spark):
     assert inference.infer(rows, "mock:1/0", registry, timeout=0.1).first().status == "timeout"
 
 
+def test_running_sums_of_one_large_group(spark):
+    r = random.Random(3)
+    rows = [("a", i * i, r.choice([None, 1, 2, 5])) for i in range(200)] + [("b", 7, 3), ("c", 50_000, None)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = {(x.g, x.o): x.s for x in summary.running_sums(df, ["g"], "o", {"s": F.col("v")}, part_rows=9).collect()}
+    for g, o, _ in rows:
+        own = [v for h, p, v in rows if h == g and p <= o and v is not None]
+        assert got[g, o] == (sum(own) if own else None)
+    assert summary.running_sums(df.limit(0), ["g"], "o", {"s": F.col("v")}).count() == 0
+
+
+def test_quantiles_match_plain_ones(spark):
+    r = random.Random(4)
+    values = {"a": [r.randint(0, 30) / 7 for _ in range(101)], "b": [2.5], "c": [1.0, 9.0], "d": [3.0] * 8}
+    df = spark.createDataFrame([(g, v) for g, x in values.items() for v in x] + [("a", None), ("e", None)], "g string, v double")
+    got = {x.g: x for x in summary.quantiles(df, "g", "v", {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    assert set(got) == set(values)
+    for g, x in values.items():
+        assert [got[g][n] for n in ("p0", "p25", "p50", "p95", "p100")] == pytest.approx([float(np.quantile(x, p)) for p in (0, 0.25, 0.5, 0.95, 1)])
+
+
+def test_reports_and_tables_are_whole(spark, tmp_path):
+    failures = spark.range(12_000).selectExpr("'m' as model", "concat('i', id) as image_path", "'failed' as status")
+    sinks.save_report(spark.createDataFrame([("m", 0.5)], "model string, quality double"), failures, str(tmp_path / "r"))
+    lines = [x.rstrip("\n") for p in sorted((tmp_path / "r").glob("part-*")) for x in open(p)]
+    assert lines[0] == "# Report" and lines[4] == "| m | 0.5000 |" and len(lines) == 8 + 12_000 and lines[8].startswith("- m i0: failed")
+    pages = sinks.html_table(spark.range(25).selectExpr("1 as k", "id"), "k", ["id"], page_rows=10).collect()
+    assert sorted((p.page, p.html.count("<tr>")) for p in pages) == [(1, 10), (2, 10), (3, 5)]
+
+
+def test_quotas_beyond_the_broadcast(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id", "id % 3 as g")
+    quotas = spark.createDataFrame([(0, 4), (1, 100)], "g long, requested int")
+    few = {(r.g, r.id) for r in selection.sample_by(rows, quotas, 42, "id", "g").collect()}
+    monkeypatch.setattr(selection, "MOST_QUOTAS", 1)
+    assert {(r.g, r.id) for r in selection.sample_by(rows, quotas, 42, "id", "g").collect()} == few and len(few) == 24
+
+
+def test_streams_stop_after_errors_and_keep_what_is_known(spark, tmp_path):
+    for batch in ([("a", 1, "success"), ("a", 2, "failed"), ("b", 3, "failed")], [("a", 4, "timeout"), ("a", 5, "success"), ("b", 6, "success")]):
+        spark.createDataFrame(batch, "run string, seq long, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("run string, seq long, status string").parquet(str(tmp_path / "in"))
+        out = live.to_table(spark, live.until_errors(stream, "run", "seq", 2), "append", str(tmp_path / "s"))
+    assert sorted((r.run, r.seq) for r in out.collect()) == [("a", 1), ("a", 2), ("a", 4), ("b", 3), ("b", 6)]
+    spark.createDataFrame([(1, 1, "x", 5.0), (1, 2, None, 6.0)], "id long, seq long, note string, v double").write.parquet(str(tmp_path / "q"))
+    state = live.queue_state(spark.readStream.schema("id long, seq long, note string, v double").parquet(str(tmp_path / "q")), "id", "seq", ["note", "v"])
+    assert tuple(live.to_table(spark, state, "complete", str(tmp_path / "t")).first()) == (1, "x", 6.0)
+
+
 def test_late_answers_change_no_score(spark, tmp_path):
     spark.createDataFrame([(1, "a", 0.5, 0.9), (2, "a", 5.0, 0.8)], "seq long, model string, latency double, score double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("seq long, model string, latency double, score double").parquet(str(tmp_path / "in"))

@@ -61,7 +61,7 @@ def valid(iban):
 def test_entities(spark):
     own = "Pay 12.50 € or $174.50, 1250,00 eur to DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432."
     df = spark.createDataFrame([(own, own.replace("3704", "3705")), ("nothing", "1.250,00 EUR"), (None, "")], "r string, h string")
-    rows = df.select(entities.ibans(F.col("r")).alias("i"), entities.amounts(F.col("r")).alias("a"), *[c.alias(n) for n, c in entities.bank_scores(F.col("r"), F.col("h")).items()]).collect()
+    rows = entities.with_bank_scores(df, "r", "h").select(entities.ibans(F.col("r")).alias("i"), entities.amounts(F.col("r")).alias("a"), "*").collect()
     assert rows[0].i == ["DE89370400440532013000", "GB82WEST12345698765432"] and all(valid(x) for x in rows[0].i)
     assert rows[0].a == ["00eur", "12.50", "174.50", "1250,00"]
     assert rows[0].iban_emr == 0.5 and rows[0].iban_valid_rate == 0.5 and rows[0].amount_emr == 1.0
@@ -71,7 +71,25 @@ def test_entities(spark):
 
 
 def test_missing_iban_costs_and_made_ibans_are_valid(spark):
-    row = spark.createDataFrame([("DE89370400440532013000", "")], "r string, h string").select(entities.bank_scores(F.col("r"), F.col("h"))["iban_emr"].alias("e")).first()
-    assert row.e == 0.0
+    row = spark.createDataFrame([("DE89370400440532013000", "")], "r string, h string")
+    assert entities.with_bank_scores(row, "r", "h").first().iban_emr == 0.0
     made = spark.range(50).select(entities.make_iban(F.lit("FR"), F.lpad(F.col("id").cast("string"), 23, "0")).alias("i"))
     assert all(valid(r.i.replace(" ", "")) for r in made.collect())
+
+
+def test_words_beyond_two_bytes_stay_apart(spark, monkeypatch):
+    """Codes that cross the end of the two-byte characters: cut to two bytes, the last words would equal the first."""
+    monkeypatch.setattr(text, "FIRST_CODE", 0x10000 - 20)
+    r, h = [f"w{i}" for i in range(40)], [f"w{i}" for i in range(40)][::-1]
+    row = spark.createDataFrame([(r, h, ["x", *r])], "r array<string>, h array<string>, x array<string>").select(text.word_distance(F.col("r"), F.col("h")), text.word_distance(F.col("r"), F.col("x"))).first()
+    assert tuple(row) == (40, 1)
+    monkeypatch.setattr(text, "MOST_CODES", 39)
+    with pytest.raises(Exception, match="different words"):
+        spark.createDataFrame([(r, h)], "r array<string>, h array<string>").select(text.word_distance(F.col("r"), F.col("h"))).collect()
+
+
+def test_raw_rates(spark):
+    few = spark.createDataFrame([("a b c d", "a x c d e"), ("", ""), (None, "a"), ("a\u00a0b", "a b"), ("A.", "a")], "r string, h string")
+    assert [r[0] for r in few.select(text.wer(F.col("r"), F.col("h"), normalized=False)).collect()] == [0.5, 0.0, 1.0, 0.0, 1.0]
+    scores = text.standard_scores(F.col("r"), F.col("h"))
+    assert [r[0] for r in few.select(scores["cer_raw"]).collect()] == [3 / 7, 0.0, 1.0, 1 / 3, 1.0]
