@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, run_starts, span_hashes, string_parts
+from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, row_chunks, run_starts, span_hashes, string_parts
 from .shared import kept, marked, marks, parts_for
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
@@ -97,6 +97,29 @@ def digits_of(raw: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.n
     return part[:n], rest
 
 
+def suffixes_of(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, tags: np.ndarray, row: np.ndarray, lo: np.ndarray, end: np.ndarray, depth: int, digit: int) -> np.ndarray:
+    """The suffixes that start at lo, ..., end - 1 in a row, for ranges in order of row and lo.
+
+    Only the bytes that they cover are hashed, and each of them once: ranges that touch come together.
+    """
+    count = end - lo
+    ends = np.cumsum(count)
+    at = np.repeat(lo - ends + count, count) + np.arange(ends[-1])
+    where = np.repeat(offsets[row], count) + at
+    base = int(where[0])
+    edge = np.zeros(int(where.max()) + depth - base + 1, np.int32)
+    np.add.at(edge, offsets[row] + lo - base, 1)
+    np.add.at(edge, offsets[row] + end - 1 + depth - base, -1)
+    covered = np.cumsum(edge[:-1]) > 0
+    place = np.cumsum(covered) - 1
+    lead, rest = digits_of(raw[base : base + len(covered)][covered], depth, digit)
+    out = np.zeros(len(at), SUFFIX)
+    mine = place[where - base]
+    out["lead"], out["rest"] = lead[mine], rest[mine]
+    out["row"], out["tag"], out["lo"] = np.repeat(keys[row], count), np.repeat(tags[row], count), at
+    return out
+
+
 def runs_of(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, tags: np.ndarray, base: np.ndarray, depth: int, digit: int, rolling: Rolling) -> np.ndarray:
     """The runs of windows of the texts of a block; ``base`` is each text's position in its row."""
     if len(raw) < depth:
@@ -313,21 +336,18 @@ def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | N
             keys, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             offsets, raw, _ = string_parts(batch.column(2))
             wanted = batch.column(3)
-            cut = np.asarray(wanted.offsets)
-            asked = {f: np.asarray(wanted.values.field(f)) for f in ("lo", "hi", "kind")}
-            for i in range(len(batch)):
-                own = slice(cut[i], cut[i + 1])
-                text = raw[offsets[i] : offsets[i + 1]]
-                for lo, hi, kind in sorted(zip(asked["lo"][own].tolist(), asked["hi"][own].tolist(), asked["kind"][own].tolist(), strict=True)):
-                    out = np.zeros(hi - lo - depth + 1, SUFFIX)
-                    out["lead"], out["rest"] = digits_of(text[lo:hi], depth, digit)
-                    out["row"], out["tag"], out["lo"] = keys[i], tags[i], np.arange(lo, hi - depth + 1)
-                    out["flag"] = OWNERLESS if kind == SAMPLE else 0
-                    held.append(out)
-                    n += len(out)
-                    if n > FLUSH:
-                        yield from send_suffixes(np.concatenate(held), depth, parts)
-                        held, n = [], 0
+            row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(wanted.offsets)))
+            lo, hi, kind = (np.asarray(wanted.flatten().field(f)) for f in ("lo", "hi", "kind"))
+            order = np.lexsort((kind, lo, row))
+            row, lo, hi, kind = row[order], lo[order], hi[order], kind[order]
+            for i, j in row_chunks(np.r_[0, np.cumsum(hi - lo - depth + 1)], FLUSH):
+                own = row[i:j], lo[i:j], hi[i:j] - depth + 1
+                held.append(suffixes_of(raw, offsets, keys, tags, *own, depth, digit))
+                held[-1]["flag"] = np.repeat(np.where(kind[i:j] == SAMPLE, OWNERLESS, 0), own[2] - own[1])
+                n += len(held[-1])
+                if n > FLUSH:
+                    yield from send_suffixes(np.concatenate(held), depth, parts)
+                    held, n = [], 0
         if held:
             yield from send_suffixes(np.concatenate(held), depth, parts)
 
