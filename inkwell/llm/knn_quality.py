@@ -39,7 +39,8 @@ SHAPES, WORDS = 4096, 4096
 TERMS = SHAPES + WORDS
 #: Words said again within this many words make the terms of repetition.
 NEAR = 8
-BLOCK = 1024
+#: Rows counted at once, and rows whose cosines are computed at once.
+COUNTED, BLOCK = 128, 1024
 
 #: A byte's class: capitals 1, other letters 2, digits 3, the rest themselves.
 CLASSES = np.arange(256, dtype=np.uint8)
@@ -150,9 +151,9 @@ def fit(counts: np.ndarray, labels: list[int], idf: np.ndarray, dimensions: int
 
 
 def blocks(offsets: np.ndarray, raw: np.ndarray) -> Iterator[np.ndarray]:
-    """Term counts of at most BLOCK rows at a time."""
-    for i in range(0, len(offsets) - 1, BLOCK):
-        own = offsets[i : i + BLOCK + 1]
+    """Term counts of at most COUNTED rows at a time."""
+    for i in range(0, len(offsets) - 1, COUNTED):
+        own = offsets[i : i + COUNTED + 1]
         yield term_counts(raw[own[0] : own[-1]], own - own[0])
 
 
