@@ -15,17 +15,28 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 #: Bytes of text handled at once inside an Arrow batch; one longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch: executors and their workers hold several at a time.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table itself; lets its session send batches of BATCH_BYTES to workers, unless the session says how large they are."""
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
 
 
 def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id and the text, under those names, and nothing else."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def numbered(df: DataFrame) -> DataFrame:
     """The table with columns named c0, c1 and so on, for functions over whole rows: names with dots would fail there."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return small_batches(df).toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrayfiles
-from .arrowtext import LOWER, mix64, span_hashes, text_chunks, words
+from .arrowtext import LOWER, mix64, small_batches, span_hashes, text_chunks, words
 from .shared import fresh_path, kept, parts_for
 
 #: The hash of the end token, the id before a text's first word, the id of unknown words.
@@ -298,7 +298,7 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
     """Count the rows where ``trainable`` holds and write the model's files."""
     spark = df.sparkSession
     folder = fresh_path(spark, "kneser-ney")
-    texts = df.where(trainable).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(df).where(trainable).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = parts or parts_for(texts, PART_BYTES)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,5 +395,5 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             n, known, base, own = scorer.score(raw, offsets)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.total)), pa.array(base), pa.array(own), pa.array(10 ** (-own / n))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

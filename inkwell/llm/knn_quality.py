@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, mix64, narrow, span_hashes, text_chunks, words
+from .arrowtext import LOWER, mix64, narrow, small_batches, span_hashes, text_chunks, words
 from .shared import sampled
 
 #: Hashed terms of writing, of which the last 32 tell repetition and length, and of words.
@@ -169,7 +169,7 @@ def frequencies(documents: DataFrame, text_col: str = "text") -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[total[some], n])], ["term", "n"])
 
-    found = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = small_batches(documents).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     there = {r["term"]: r["n"] for r in found}
     return np.log(1 + there.get(-1, 0) / (1 + np.array([there.get(i, 0) for i in range(TERMS)]))).astype(np.float32)
 
@@ -187,7 +187,7 @@ def train(documents: DataFrame, labels: DataFrame, learnable: Column, label_col:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], ["doc_id", "label", "turn", "terms", "counts"])
 
     # at most ``rows`` small rows are broadcast
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("turn"), "text")
+    texts = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("turn"), "text")
     sent = texts.mapInArrow(run, "doc_id long, label int, turn long, terms binary, counts binary")
     found = sent.orderBy(F.xxhash64("doc_id"), "doc_id", "turn").limit(rows).collect()
     counts = np.zeros((len(found), TERMS), np.float32)

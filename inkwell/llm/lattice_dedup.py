@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import mix64
+from .arrowtext import mix64, small_batches
 from .shared import connected, kept
 
 #: The lattice's shortest vectors: all (+-1, +-1, 0, ...) and all (+-1/2, ...) with an even number of minus signs.
@@ -97,7 +97,7 @@ class Tables:
 
 def vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """vec_id, label and v, the vector in doubles; v is null if the row links with nothing."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~odd & F.exists("v", lambda x: x != 0)
     return rows.select("vec_id", "label", F.when(good, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, row_chunks, run_starts, span_hashes, string_parts
+from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, row_chunks, run_starts, small_batches, span_hashes, string_parts
 from .shared import kept, marked, marks, parts_for
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
@@ -306,7 +306,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with a key (row, tag) from id and text; rows of one key are copies of each other, id and all. ``rest`` holds the other columns."""
     others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.crc32("text").alias("tag"), "doc_id", "text", "rest")
 
 
