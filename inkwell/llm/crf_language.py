@@ -297,8 +297,9 @@ def train(df: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
     if not chosen:
         return fit([], [])
     small = df.sparkSession.createDataFrame([(r["id"],) for r in chosen], ["id"])
-    texts = df.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), pieces(F.col(text_col), excerpt).alias("text"))
-    rows = texts.join(F.broadcast(small), "id").orderBy(F.xxhash64("id"), "id", "lang", "text").limit(2 * len(chosen)).collect()
+    texts = df.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    few = texts.join(F.broadcast(small), "id").select("id", "lang", pieces(F.col("text"), excerpt).alias("text"))
+    rows = few.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(2 * len(chosen)).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
