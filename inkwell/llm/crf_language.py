@@ -16,7 +16,7 @@ are learned; over ``most_languages`` of them are an error. Prediction reads whol
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
 as is every text if there is no training row; of equal sums the alphabetically
-first language wins; repeated rows give repeated results; texts of one id with
+first language wins; repeated rows give repeated results (scores but for rounding); texts of one id with
 different languages are learned with each; a text of any length is one chain,
 handled alone, which takes about 40 bytes of memory a byte of text.
 """
