@@ -35,10 +35,35 @@ def crop(width: Column, height: Column, box: tuple[Column, Column, Column, Colum
 CARD = 1.586
 
 
+def nearest(angles: Column, ratio: Callable[[Column], Column], target: float, before: Column | None = None) -> Column:
+    """off, turn and angle of the angle whose ratio is nearest to the target, the first of equal ones; ``before`` is one found earlier.
+
+    Angles without a ratio don't count; with none the angle is 0 and off infinite.
+    """
+    tried = F.transform(angles, lambda a, i: F.struct(F.abs(F.lit(target) - ratio(a)).alias("off"), (i + 1).alias("turn"), a.cast("int").alias("angle")))
+    none = F.struct(F.lit(float("inf")).alias("off"), F.lit(0).alias("turn"), F.lit(0).alias("angle")) if before is None else before
+    measured = F.filter(tried, lambda t: t["off"].isNotNull() & ~F.isnan(t["off"]))
+    best = F.array_min(F.concat(F.array(none), measured))
+    return F.struct(best["off"].alias("off"), F.lit(0).alias("turn"), best["angle"].alias("angle"))
+
+
 def best_angle(angles: Iterable[int], ratio: Callable[[Column], Column], target: float = CARD) -> Column:
     """The angle whose ratio is nearest to a card's, the first of equal ones; ``ratio`` gives the ratio measured at an angle."""
-    tried = F.transform(F.array(*[F.lit(a) for a in angles]), lambda a: F.struct(F.abs(F.lit(target) - ratio(a)).alias("off"), a.alias("angle")))
-    return F.array_min(tried)["angle"]
+    return nearest(F.array(*[F.lit(a) for a in angles]), ratio, target)["angle"]
+
+
+def searched_angle(ratio: Callable[[Column], Column], coarse: Iterable[int] = range(-90, 91, 6), reach: int = 5, target: float = CARD) -> Column:
+    """off, angle and coarse_angle of a search in two steps: the coarse angles, then every degree within reach of the best of these.
+
+    A fine angle replaces the coarse one only if it is nearer.
+    """
+
+    def finer(found: Column) -> Column:
+        fine = nearest(F.sequence(found["angle"] - reach, found["angle"] + reach), ratio, target, found)
+        return F.struct(fine["off"].alias("off"), fine["angle"].alias("angle"), found["angle"].alias("coarse_angle"))
+
+    # a one-element array binds the coarse result, which would be measured again for every fine angle otherwise
+    return F.element_at(F.transform(F.array(nearest(F.array(*[F.lit(a) for a in coarse]), ratio, target)), finer), 1)
 
 
 def pixels(mm: Column, dpi: Column) -> Column:

@@ -5,51 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles, running_sums, same
+
 
 def good(value: str) -> Column:
     """The value where the result is a success; null elsewhere, so aggregates skip it."""
     return F.when(F.col("status") == "success", F.col(value))
 
 
-def running_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column], part_rows: int = 1_000_000) -> DataFrame:
-    """The rows with sums up to and with each one, in the order of a number within ``by``, also where one group holds most rows.
-
-    Groups are cut into equal widths of ``order``, about as many as ``part_rows`` go into
-    the rows; a part is summed by itself and starts with the sums of the parts before it.
-    Only the parts' sums, a row for each group and part, come together by group.
-    """
-    ends = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    if not ends[2]:
-        return rows.withColumns({n: F.sum(c).over(Window.partitionBy(*by)) for n, c in sums.items()})
-    width = max((ends[1] - ends[0]) / max(1, ends[2] // part_rows), 1e-300)
-    names = {n: f"{n}_own_" for n in sums}
-    parted = rows.withColumns({names[n]: c for n, c in sums.items()}).withColumn("part_", F.floor((F.col(order) - F.lit(ends[0])) / F.lit(width)))
-    totals = parted.groupBy(*by, "part_").agg(*[F.sum(names[n]).alias(f"{n}_whole_") for n in sums])
-    earlier = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "part_", *[F.sum(f"{n}_whole_").over(earlier).alias(f"{n}_before_") for n in sums])
-    inside = Window.partitionBy(*by, "part_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = parted.select("*", *[F.sum(names[n]).over(inside).alias(f"{n}_inside_") for n in sums]).join(before, [*by, "part_"])
-    own = lambda n: F.coalesce(F.col(f"{n}_inside_") + F.col(f"{n}_before_"), f"{n}_inside_", f"{n}_before_")
-    return summed.select(*rows.columns, *[own(n).alias(n) for n in sums])
-
-
-def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles of each group, interpolated between neighbours; nulls don't count, a group without a value has none.
-
-    Equal values are counted first, in the map tasks; the counts' running sums tell
-    which values stand at the wanted places. No task holds all values of a group.
-    """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n_"))
-    placed = running_sums(counted, [by], value, {"upto_": F.col("n_")})
-    totals = counted.groupBy(by).agg(F.sum("n_").alias("all_"))
-    # a row for each group, which holds no values: joined by key
-    both = placed.join(totals, by)
-    at = lambda rank: F.max(F.when((F.col("upto_") - F.col("n_") <= rank) & (rank < F.col("upto_")), F.col(value)))
-    rank = {n: F.lit(p) * (F.col("all_") - 1) for n, p in shares.items()}
-    found = both.groupBy(by, "all_").agg(*[f for n in shares for f in (at(F.floor(rank[n])).alias(f"{n}_lo_"), at(F.ceil(rank[n])).alias(f"{n}_hi_"))])
-    return found.select(by, *[(F.col(f"{n}_lo_") + (F.col(f"{n}_hi_") - F.col(f"{n}_lo_")) * (rank[n] - F.floor(rank[n]))).alias(n) for n in shares])
-
-
 def model_summary(results: DataFrame) -> DataFrame:
     """One row a model: counts over all rows, metrics over successes, in one aggregation; exact percentiles beside it.
 
@@ -73,7 +36,7 @@ def model_summary(results: DataFrame) -> DataFrame:
         mean("math_score").alias("math_score"),
         mean("iban_emr").alias("iban_emr"),
         mean("amount_emr").alias("amount_emr"),
-    ).join(latencies, "model", "left")
+    ).join(latencies.withColumnRenamed("model", "model_key_"), same(["model"], ["model_key_"]), "left").drop("model_key_")
 
 
 def devices(results: DataFrame) -> DataFrame:
@@ -109,7 +72,7 @@ def notebook_summary(results: DataFrame) -> DataFrame:
         F.count("*").alias("documents"), F.avg((F.col("status") == "success").cast("double")).alias("success_rate"),
         F.avg("latency").alias("latency_mean"),
         F.avg("cer").alias("cer"), F.avg("wer").alias("wer"), F.avg(F.col("exact").cast("double")).alias("exact_match"),
-    ).join(quantiles(results, "model", "latency", {"latency_p95": 0.95}), "model", "left")
+    ).join(quantiles(results, "model", "latency", {"latency_p95": 0.95}).withColumnRenamed("model", "model_key_"), same(["model"], ["model_key_"]), "left").drop("model_key_")
 
 
 def qualified(summary: DataFrame, least: float = 0.95) -> DataFrame:
@@ -134,7 +97,8 @@ def notebook_best(summary: DataFrame) -> DataFrame:
 
 def quartiles(results: DataFrame) -> DataFrame:
     ends = results.groupBy("model").agg(F.min("latency").alias("low"), F.max("latency").alias("high"))
-    return ends.join(quantiles(results, "model", "latency", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "model", "left").select("model", "q1", "q2", "q3", "low", "high")
+    found = quantiles(results, "model", "latency", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumnRenamed("model", "model_key_")
+    return ends.join(found, same(["model"], ["model_key_"]), "left").select("model", "q1", "q2", "q3", "low", "high")
 
 
 def live_tail(results: DataFrame, n: int = 25) -> DataFrame:
@@ -150,9 +114,10 @@ def progress(results: DataFrame, by: list[str]) -> DataFrame:
     """After each result of a run: how many are done, the seconds so far, the seconds left."""
     sums = {"done": F.lit(1).cast("long"), "elapsed_": F.col("latency").cast("decimal(18, 4)"), "errors": (F.col("status") != "success").cast("long")}
     rows = running_sums(results.select(*by, "seq", "latency", "status"), by, "seq", sums)
-    whole = results.groupBy(*by).agg(F.count("*").alias("total"))
+    keys = [f"{c}_key_" for c in by]
+    whole = results.groupBy(*by).agg(F.count("*").alias("total")).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "total")
     elapsed, done = F.col("elapsed_").cast("double"), F.col("done")
-    return rows.join(whole, by).select(*by, "seq", "done", "total", elapsed.alias("elapsed"), (elapsed / done * (F.col("total") - done)).alias("left"), "errors")
+    return rows.join(whole, same(by, keys)).select(*by, "seq", "done", "total", elapsed.alias("elapsed"), (elapsed / done * (F.col("total") - done)).alias("left"), "errors")
 
 
 def until_errors(results: DataFrame, by: list[str], most: int) -> DataFrame:

@@ -466,6 +466,26 @@ def m5(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", measures.best_angle(range(-5, 6), lambda angle: 1 + F.abs(F.sin(angle + F.col("v")))).alias("angle"))
 
 
+_SEARCH = "SELECT user_id, angle, off, row_number() OVER (PARTITION BY user_id ORDER BY off, turn) AS r FROM (SELECT user_id, v, angle, turn, abs(1.586 - CASE WHEN (angle + user_id) % 7 <> 0 THEN 1 + abs(sin(angle / 20.0::DOUBLE + v)) END) AS off FROM {}) WHERE off IS NOT NULL"
+
+
+@Q.add(
+    "m5_angle_search_fine",
+    "WITH c AS (SELECT user_id, avg(value) AS v FROM events GROUP BY user_id), "
+    "tried AS (SELECT user_id, v, unnest(range(-90, 91, 6)) AS angle, angle AS turn FROM c), "
+    f"coarse AS (SELECT * FROM ({_SEARCH.format('tried')}) WHERE r = 1), "
+    "near AS (SELECT user_id, v, unnest(range(angle - 5, angle + 6)) AS angle, angle AS turn FROM c JOIN coarse USING (user_id) UNION ALL SELECT user_id, v, angle, -1000 FROM c JOIN coarse USING (user_id)), "
+    f"fine AS (SELECT * FROM ({_SEARCH.format('near')}) WHERE r = 1) "
+    "SELECT user_id, fine.angle::INT AS angle, coarse.angle::INT AS coarse_angle, round(fine.off, 6) AS off FROM fine JOIN coarse USING (user_id)",
+)
+def m5_fine(spark: SparkSession, d: str) -> DataFrame:
+    """Every sixth degree, then each within five of the best; every seventh angle has no ratio."""
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"))
+    ratio = lambda angle: F.when((angle + F.col("user_id")) % 7 != 0, 1 + F.abs(F.sin(angle / F.lit(20.0) + F.col("v"))))
+    found = rows.select("user_id", measures.searched_angle(ratio).alias("found"))
+    return found.select("user_id", "found.angle", "found.coarse_angle", F.round("found.off", 6).alias("off"))
+
+
 @Q.add("m6_tokens_per_second", f"WITH {frames.RESULTS_SQL} SELECT seq, round(output_tokens / nullif(latency, 0), 6) AS rate FROM results")
 def m6(spark: SparkSession, d: str) -> DataFrame:
     return frames.results(spark, d).select("seq", F.round(measures.per_second(F.col("output_tokens"), F.col("latency")), 6).alias("rate"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import entities, text
+from inkwell.functions import distance, entities, strings, text
 from inkwell.operators import joins, summary
 
 from . import frames
@@ -199,9 +199,26 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
 @Q.add("x3_cer_conversations", f"WITH p AS (SELECT conv_id, turn, {frames.normal_sql('text')} AS r, {frames.normal_sql(chr(39).join(('translate(text, ', 'bghnuvzBDZ', ', ', '6qbrvu2802', ')')))} AS h FROM conversations) SELECT conv_id, turn, round(CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(r, h)::DOUBLE / length(r) END, 6) AS cer FROM p")
 def x3_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Character error rates of a growing table's whole texts against their look-alikes."""
-    from inkwell.functions.strings import LOOK_ALIKES
-
     t = F.col("text")
     # edit distance costs the product of the lengths: dealing the rows out keeps long texts from one task
     rows = frames.dealt(frames.table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
-    return rows.select("conv_id", "turn", F.round(text.cer(t, F.translate(t, *LOOK_ALIKES)), 6).alias("cer"))
+    return rows.select("conv_id", "turn", F.round(text.cer(t, F.translate(t, *strings.LOOK_ALIKES)), 6).alias("cer"))
+
+
+def read_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents and what a weak model reads of them: words are missing, letters look alike."""
+    # a pair costs the product of its lengths: dealing the rows out keeps long texts from one task
+    rows = frames.dealt(frames.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.withColumn("read", strings.corrupted(F.col("text"), F.col("doc_id"), F.lit(2), F.lit(15)))
+
+
+@Q.add("x3_cer_documents")
+def x3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance and character error rates of texts of any length, in full; too slow in SQL, tested against plain Python."""
+    return distance.with_rates(read_documents(spark, d), "text", "read").select("doc_id", "distance", "cer", "accuracy")
+
+
+@Q.add("x4_wer_documents")
+def x4_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Word error rates of texts of any length, in full; too slow in SQL, tested against plain Python."""
+    return distance.with_rates(read_documents(spark, d), "text", "read").select("doc_id", "wer")

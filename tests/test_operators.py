@@ -1,11 +1,16 @@
 """Behaviours of runs, selections, folders, answers, sources, streams and the model boundary."""
 
+import base64
+import collections
 import json
+import math
 import random
 import re
 import threading
+import time
 import zipfile
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from inkwell import catalog, inference
 from inkwell.functions import answers, measures, strings
-from inkwell.operators import joins, selection, summary, views
+from inkwell.operators import joins, ordered, selection, summary, views
 from inkwell.plans.records import merge_parameters
 from inkwell.sources import contract, files, rest, sinks
 from inkwell.streaming import live
@@ -346,25 +351,99 @@ def test_model_boundary(spark):
     assert inference.infer(rows, "mock:1/0", registry, timeout=0.1).first().status == "timeout"
 
 
-def test_running_sums_of_one_large_group(spark):
+@pytest.mark.parametrize("part_rows", [9, 10**6])
+def test_running_sums_of_skewed_and_null_orders(spark, part_rows):
+    """One group with most rows, one number with a third of them, groups and numbers that are null: every row comes back."""
     r = random.Random(3)
-    rows = [("a", i * i, r.choice([None, 1, 2, 5])) for i in range(200)] + [("b", 7, 3), ("c", 50_000, None)]
-    df = spark.createDataFrame(rows, "g string, o long, v long")
-    got = {(x.g, x.o): x.s for x in summary.running_sums(df, ["g"], "o", {"s": F.col("v")}, part_rows=9).collect()}
-    for g, o, _ in rows:
-        own = [v for h, p, v in rows if h == g and p <= o and v is not None]
-        assert got[g, o] == (sum(own) if own else None)
-    assert summary.running_sums(df.limit(0), ["g"], "o", {"s": F.col("v")}).count() == 0
-
-
-def test_quantiles_match_plain_ones(spark):
+    rows = [("a", i * i, i, r.choice([None, 1, 2, 5])) for i in range(200)] + [("a", 10**9, 300 + i, 1) for i in range(120)] + [("b", 7, 0, 3), ("c", 50_000, 1, None)]
+    rows += [(None, r.choice([None, 1, 2]), 400 + i, 2) for i in range(40)] + [("d", None, 500, 4), ("d", 3, 501, None)]
+    df = spark.createDataFrame(rows, "g string, o long, id long, v long").repartition(5)
+    found = summary.running_sums(df, ["g"], "o", {"s": F.col("v"), "n": F.lit(1)}, part_rows=part_rows).collect()
+    assert sorted(x.id for x in found) == sorted(x[2] for x in rows)
+    by = collections.defaultdict(list)
+    for x in sorted(found, key=lambda x: x.n):
+        by[x.g].append(x)
+    for own in by.values():
+        assert [x.n for x in own] == list(range(1, len(own) + 1))
+        order = [(x.o is None, x.o or 0) for x in own]
+        assert order == sorted(order)
+        for i, x in enumerate(own):
+            there = [y.v for y in own[: i + 1] if y.v is not None]
+            assert x.s == (sum(there) if there else None)
+    assert summary.running_sums(df.limit(0), ["g"], "o", {"s": F.col("v")}, part_rows=part_rows).count() == 0
+
+
+def test_ranges_are_balanced(spark, tmp_path):
+    """A group and a number with nearly all rows fill many ranges: no task sums over twice its share."""
+    df = spark.range(40_000).selectExpr("if(id % 50 = 0, id, 7) as g", "if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) as o", "1 as v")
+    out = ordered.running_sums(df, ["g"], "o", {"s": F.col("v")}, part_rows=2000)
+    assert out.agg(F.max("s")).first()[0] == 39_200
+    ranged = [x for x in Path(re.sub("^file:", "", spark.conf.get("spark.checkpoint.dir"))).glob("kept-*") if "place_" in spark.read.parquet(str(x)).columns]
+    sizes = [r["count"] for x in ranged for r in spark.read.parquet(str(x)).groupBy(F.shiftright("place_", 33)).count().collect() if spark.read.parquet(str(x)).count() == 40_000]
+    assert len(sizes) > 15 and max(sizes) <= 4000
+
+
+def test_running_views_keep_null_models(spark):
+    rows = [("a", 1, "success", 1.0, 0.5), (None, 2, "failed", 2.0, None), ("a", None, "success", 3.0, 0.7), (None, 4, "success", 4.0, 0.9)]
+    df = spark.createDataFrame(rows, "model string, seq long, status string, latency double, accuracy double")
+    got = {(r.model, r.seq): r for r in summary.running_summary(df).collect()}
+    assert {k: r.documents for k, r in got.items()} == {("a", 1): 1, ("a", None): 2, (None, 2): 1, (None, 4): 2}
+    assert {(r.model, r.seq): (r.done, r.total) for r in summary.progress(df, ["model"]).collect()} == {("a", 1): (1, 2), ("a", None): (2, 2), (None, 2): (1, 2), (None, 4): (2, 2)}
+    assert {(r.model, r.seq) for r in summary.until_errors(df, ["model"], 1).collect()} == {("a", 1), ("a", None), (None, 2)}
+
+
+@pytest.mark.parametrize("few, bins", [(100_000, 2048), (3, 4), (1, 2)])
+def test_quantiles_match_plain_ones(spark, few, bins):
     r = random.Random(4)
-    values = {"a": [r.randint(0, 30) / 7 for _ in range(101)], "b": [2.5], "c": [1.0, 9.0], "d": [3.0] * 8}
-    df = spark.createDataFrame([(g, v) for g, x in values.items() for v in x] + [("a", None), ("e", None)], "g string, v double")
-    got = {x.g: x for x in summary.quantiles(df, "g", "v", {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    values = {"a": [r.randint(0, 30) / 7 for _ in range(101)], "b": [2.5], "c": [1.0, 9.0], "d": [3.0] * 8, None: [r.uniform(-1, 1) * 10 ** r.randint(-9, 9) for _ in range(60)]}
+    values |= {"e": [0.0, -0.0, 5e-324, -1e308, 1e308, 1e-300], "f": [1.0 + i * 2.0**-52 for i in range(9)], "g": [1.0] * 50 + [1e9], "h": [-math.inf, 1.0, math.inf]}
+    df = spark.createDataFrame([(g, v) for g, x in values.items() for v in x] + [("a", None), ("z", None)], "g string, v double").repartition(3)
+    shares = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {x.g: x for x in summary.quantiles(df, "g", "v", shares, few=few, bins=bins).collect()}
     assert set(got) == set(values)
     for g, x in values.items():
-        assert [got[g][n] for n in ("p0", "p25", "p50", "p95", "p100")] == pytest.approx([float(np.quantile(x, p)) for p in (0, 0.25, 0.5, 0.95, 1)])
+        for n, p in shares.items():
+            at, x = p * (len(x) - 1), sorted(x)
+            low, high = x[math.floor(at)], x[math.ceil(at)]
+            assert got[g][n] == pytest.approx(low if low == high else low + (high - low) * (at - math.floor(at)), rel=1e-12, nan_ok=True)
+    assert summary.quantiles(df.limit(0), "g", "v", shares).count() == 0
+
+
+def test_an_outlier_moves_no_values_into_one_task(spark):
+    """A million latencies and one of 1e9: the last bracket holds few of them."""
+    df = spark.range(1_000_000).selectExpr("'m' as g", "if(id = 7, 1e9D, 1 + (id * 7919 % 1000003) / 1e6D) as v")
+    values = ordered.kept(df.select(F.col("g").alias("g_"), F.col("v").alias("v_")))
+    targets = spark.createDataFrame([("m", 499_999), ("m", 950_000)], "g_ string, k_ long")
+    sizes = []
+    spied = ordered.within
+    try:
+        ordered.within = lambda v, b, n: (sizes.append(max(r["count"] for r in spied(v, b, n).groupBy("lo_").count().collect())), spied(v, b, n))[1]
+        got = {r.k_: r.v_ for r in ordered.selected(values, targets, 20_000, 2048).collect()}
+    finally:
+        ordered.within = spied
+    whole = sorted(r[0] for r in df.select("v").collect())
+    assert got == {k: whole[k] for k in (499_999, 950_000)} and sizes[-1] <= 20_000
+
+
+def plain_search(ratio):
+    best, score = 0, math.inf
+    for step in range(2):
+        for angle in range(-90, 91, 6) if step == 0 else range(best - 5, best + 6):
+            if (r := ratio(angle)) is not None and abs(r - measures.CARD) < score:
+                best, score = angle, abs(r - measures.CARD)
+        coarse = best if step == 0 else coarse
+    return best, coarse, score
+
+
+def test_angles_are_searched_in_two_steps(spark):
+    tables = [{a: None if (a * 7 + k) % 5 == 0 else round(1.4 + ((a * 37 + k * 11) % 40) / 100, 2) for a in range(-100, 101)} for k in range(8)] + [{}, {0: 1.586}, {-2: None, 3: 1.6, 4: 1.6}]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tables)], "id int, ratios map<int, double>")
+    ratio = lambda a: F.try_element_at("ratios", a)
+    for row in df.select("id", measures.searched_angle(ratio).alias("f"), measures.best_angle(range(-5, 6), ratio).alias("one")).collect():
+        best, coarse, score = plain_search(tables[row.id].get)
+        assert (row.f.angle, row.f.coarse_angle) == (best, coarse) and row.f.off == pytest.approx(score)
+        known = [(abs(r - measures.CARD), a) for a in range(-5, 6) if (r := tables[row.id].get(a)) is not None]
+        assert row.one == (min(known)[1] if known else 0)
 
 
 def test_reports_and_tables_are_whole(spark, tmp_path):

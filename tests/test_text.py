@@ -6,10 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions import entities, text
+from inkwell.functions import distance, entities, text
 
 
-def distance(a, b):
+def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
@@ -23,7 +23,7 @@ def normal(t):
 
 
 def rate(a, b):
-    return (0.0 if not b else 1.0) if not a else distance(a, b) / len(a)
+    return (0.0 if not b else 1.0) if not a else plain_distance(a, b) / len(a)
 
 
 def cases():
@@ -93,3 +93,30 @@ def test_raw_rates(spark):
     assert [r[0] for r in few.select(text.wer(F.col("r"), F.col("h"), normalized=False)).collect()] == [0.5, 0.0, 1.0, 0.0, 1.0]
     scores = text.standard_scores(F.col("r"), F.col("h"))
     assert [r[0] for r in few.select(scores["cer_raw"]).collect()] == [3 / 7, 0.0, 1.0, 1 / 3, 1.0]
+
+
+def test_bit_parallel_distance_matches_the_table():
+    r = random.Random(1)
+    for _ in range(3000):
+        letters = "abcdefghijklmnopqrstuvwxyzéß日😀"[: r.choice([1, 2, 4, 30])]
+        a, b = ("".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(2))
+        if r.random() < 0.5:  # equal starts and ends
+            b = a[: r.randrange(len(a) + 1)] + b[:3] + a[r.randrange(len(a) + 1) :]
+        assert distance.edit_distance(distance.code_points(a), distance.code_points(b)) == plain_distance(a, b)
+        assert distance.edit_distance(*distance.numbers(a.split("a"), b.split("a"))) == plain_distance(a.split("a"), b.split("a"))
+
+
+def test_rates_of_long_texts(spark):
+    """Both sides of the bound for the JVM, nulls and empty texts: as the columns of short texts, and as plain Python."""
+    r = random.Random(2)
+    words = [f"w{i}é" for i in range(300)] + ["Ab-c,", "日本", "😀x"]
+    long = [" ".join(r.choice(words) for _ in range(n)) for n in (3, 120, 260, 700)]
+    pairs = [(t, " ".join(w for w in t.split(" ") if r.random() > 0.1).replace("w1", "wl")) for t in long] + [(long[3], ""), ("", long[2]), (None, "a b"), ("a b", None), ("", ""), (None, None), (long[2], long[3]), ("!!", "!")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, a string, b string")
+    jvm = {x.id: x for x in df.select("id", text.cer(F.col("a"), F.col("b")).alias("cer"), text.wer(F.col("a"), F.col("b")).alias("wer")).collect()}
+    for x in distance.with_rates(df, "a", "b").collect():
+        assert (x.cer, x.wer, x.accuracy) == (pytest.approx(jvm[x.id].cer), pytest.approx(jvm[x.id].wer), pytest.approx(max(0.0, 1 - jvm[x.id].cer)))
+        assert x.a == pairs[x.id][0]
+    normal = [tuple(r) for r in df.select(text.normalize(F.col("a")), text.normalize(F.col("b"))).collect()]
+    got = {x.id: x.distance for x in distance.with_rates(df, "a", "b").collect()}
+    assert [got[i] for i in (0, 1, 4)] == [plain_distance(*normal[i]) for i in (0, 1, 4)]
