@@ -77,6 +77,8 @@ def selected(values: DataFrame, targets: DataFrame, few: int, bins: int) -> Data
     value ends the search however many rows hold it. The first bins are powers of two,
     later ones equal widths: some six rounds reach the last bit of a double.
     """
+    if values.count() <= few:
+        return ranked(values, targets.withColumn("at_", F.col("k_")), ["g_"]).select("g_", "k_", F.col("found_").alias("v_"))
     first = values.groupBy("g_", magnitude(F.col("v_")).alias("bin_")).agg(F.count("*").alias("n_"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"))
     found = narrowed(targets.withColumns({"at_": F.col("k_")}), first, ["g_"])
     done = []
@@ -90,12 +92,7 @@ def selected(values: DataFrame, targets: DataFrame, few: int, bins: int) -> Data
         brackets = open_.select("g_", "lo_", "hi_").distinct()
         inside = within(values, brackets, state[0])
         if state[1] <= few:
-            counted = inside.groupBy("g_", "lo_", "hi_", "v_").agg(F.count("*").alias("m_"))
-            # a bracket holds at most ``few`` values
-            upto = F.sum("m_").over(Window.partitionBy("g_", "lo_", "hi_").orderBy("v_"))
-            placed = counted.withColumn("upto_", upto).select(F.col("g_").alias("g2_"), F.col("lo_").alias("lo2_"), F.col("hi_").alias("hi2_"), F.col("v_").alias("found_"), F.col("upto_"), F.col("m_"))
-            at = (F.col("upto_") - F.col("m_") <= F.col("at_")) & (F.col("at_") < F.col("upto_"))
-            ended = open_.join(placed, same(["g_", "lo_", "hi_"], ["g2_", "lo2_", "hi2_"]) & at)
+            ended = ranked(inside, open_, ["g_", "lo_", "hi_"]).drop("lo_", "hi_")
             done.append(ended.select("g_", "k_", "at_", "n_", F.col("found_").alias("lo_"), F.col("found_").alias("hi_")))
             break
         share = (F.col("v_") - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))
@@ -114,6 +111,15 @@ def narrowed(targets: DataFrame, histogram: DataFrame, keys: list[str], low: str
     return both.select("g_", "k_", (F.col("at_") - (F.col("upto_") - F.col("bn_"))).alias("at_"), F.col("bn_").alias("n_"), F.col("blo_").alias("lo_"), F.col("bhi_").alias("hi_"))
 
 
+def ranked(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """The targets with found_, the value at their place among those of their keys: few, and sorted in one task."""
+    upto = F.sum("m_").over(Window.partitionBy(*keys).orderBy("v_"))
+    counted = values.groupBy(*keys, "v_").agg(F.count("*").alias("m_")).withColumn("upto_", upto)
+    placed = counted.select(*[F.col(k).alias(f"{k}b_") for k in keys], F.col("v_").alias("found_"), "upto_", "m_")
+    at = (F.col("upto_") - F.col("m_") <= F.col("at_")) & (F.col("at_") < F.col("upto_"))
+    return targets.join(placed, same(keys, [f"{k}b_" for k in keys]) & at).select(*targets.columns, "found_")
+
+
 def within(values: DataFrame, brackets: DataFrame, number: int) -> DataFrame:
     """The values that lie in brackets of their group, with these."""
     own = brackets.select(F.col("g_").alias("bg_"), "lo_", "hi_")
@@ -122,7 +128,7 @@ def within(values: DataFrame, brackets: DataFrame, number: int) -> DataFrame:
     return values.join(own, F.col("g_").eqNullSafe(F.col("bg_")) & (F.col("v_") >= F.col("lo_")) & (F.col("v_") <= F.col("hi_"))).select("g_", "v_", "lo_", "hi_")
 
 
-def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], few: int = 100_000, bins: int = 2048) -> DataFrame:
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], few: int = 1_000_000, bins: int = 2048) -> DataFrame:
     """Exact quantiles of each group, as doubles, interpolated between neighbours; nulls don't count, a group without a value has none.
 
     The places are selected, not sorted for: no task holds more than ``few`` values of a group.
