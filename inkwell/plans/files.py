@@ -162,4 +162,12 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
 def mock(spark: SparkSession, d: str) -> DataFrame:
     """The model boundary: an adapter from the registry over a table's partitions."""
     rows = inference.infer(frames.cases(spark, d).select("case_id", "ground_truth"), "mock:2/15", inference.mock_registry(), timeout=1.1)
-    return rows.select("case_id", "model", "text", "latency", "status")
+    return inference.scored(rows).select("case_id", "model", "text", "latency", "status")
+
+
+@Q.add("inference_traces", f"WITH {frames.CASES_SQL}, answers AS (SELECT *, latency > 1.1 AS late FROM inferences WHERE m = 2) SELECT case_id, CASE WHEN late THEN 'timeout' ELSE 'on_time' END AS timing, CASE WHEN NOT late THEN extracted END AS text FROM answers UNION ALL SELECT case_id, 'late_after_timeout', extracted FROM answers WHERE late")
+def traces(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer of a run, late ones beside their case's timeout: the model is called once, what counts and the trace read what it wrote."""
+    cases = frames.cases(spark, d).select("case_id", "ground_truth")
+    _, trace = inference.run(cases, "mock:2/15", inference.mock_registry(), fresh_folder(spark, "answers"), timeout=1.1)
+    return trace.select("case_id", "timing", "text")

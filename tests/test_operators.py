@@ -322,17 +322,61 @@ def test_import_of_clients(spark, server, tmp_path, monkeypatch):
     assert rest.import_clients(spark.createDataFrame([("named",)], "client_id string"), named, str(tmp_path)).first().status == "ready"
 
 
-def test_adapters_over_http_and_of_packages(spark, server):
+def test_adapters_over_http_and_of_packages(spark, server, tmp_path):
     registry = inference.default_registry(server)
-    rows = spark.createDataFrame([(1, "/scans/1.png")], "case_id long, image_path string")
+    scan = tmp_path / "1.png"
+    scan.write_bytes(b"\x89PNG\0pixels")
+    rows = spark.createDataFrame([(1, str(scan))], "case_id long, image_path string")
     row = inference.infer(rows, "http:llava:7b", registry).first()
-    assert (row.text, row.reasoning, row.input_tokens, row.output_tokens, row.tokens_per_second, row.status) == ("/scans/1.png", "hm", 11, 30, 15.0, "success")
+    # the server answers with what it was sent
+    assert (base64.b64decode(row.text), row.reasoning, row.input_tokens, row.output_tokens, row.tokens_per_second, row.status) == (b"\x89PNG\0pixels", "hm", 11, 30, 15.0, "success")
+    content = spark.read.format("binaryFile").load(str(scan)).select(F.lit(2).alias("case_id"), F.lit("nowhere.png").alias("image_path"), "content")
+    assert base64.b64decode(inference.infer(content, "http:llava:7b", registry).first().text) == b"\x89PNG\0pixels"
     assert inference.infer(rows, "http:x", inference.default_registry("http://127.0.0.1:9")).first().status == "failed"
+    lost = spark.createDataFrame([(1, str(tmp_path / "2.png"))], "case_id long, image_path string")
+    assert "FileNotFoundError" in inference.infer(lost, "http:x", registry).first().error
     assert inference.infer(rows, "local:posixpath:basename", registry).first().text == "1.png"
     assert "ModuleNotFoundError" in inference.infer(rows, "local:no_such_package", registry).first().error
     assert inference.unfenced("```json\nx\n```") == "```json\nx\n```"
 
 
+def sleeper(seconds):
+    """A registry of a model that sleeps as long as its case says, or ``seconds``."""
+
+    class Sleeper(inference.Adapter):
+        def perform(self, case):
+            time.sleep(case.get("wait", seconds))
+            if case.get("wait") == 0.5:
+                raise RuntimeError("late error")
+            return {"text": f"read {case['case_id']}", "latency": 0.0}
+
+    registry = inference.Registry()
+    registry.register("slow", lambda name: Sleeper())
+    return registry
+
+
+def test_a_deadline_ends_a_case_and_its_answer_is_a_late_trace(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.0), (2, 3.0), (3, 0.0), (4, 0.5), (5, 0.0)], "case_id long, wait double").coalesce(1)
+    began = time.monotonic()
+    counted, trace = inference.run(rows, "slow:x", sleeper(0), str(tmp_path / "run"), timeout=0.3, linger=20.0)
+    assert time.monotonic() - began < 20
+    assert {r.case_id: (r.status, r.text, r.timing) for r in counted.collect()} == {1: ("success", "read 1", "on_time"), 2: ("timeout", None, "timeout"), 3: ("success", "read 3", "on_time"), 4: ("timeout", None, "timeout"), 5: ("success", "read 5", "on_time")}
+    late = {r.case_id: (r.status, r.text, r.error) for r in trace.where(F.col("timing") == inference.LATE).collect()}
+    assert late == {2: ("success", "read 2", None), 4: ("failed", None, "RuntimeError: late error")}
+
+
+def test_calls_that_hang_hold_no_partition(spark):
+    """Two calls hang for a minute: their cases end in time, the next wait for no more than a deadline, and nothing waits for the calls."""
+    rows = spark.range(1, 6).select(F.col("id").alias("case_id"), F.when(F.col("id") < 3, 60.0).otherwise(0.0).alias("wait")).coalesce(1)
+    began = time.monotonic()
+    got = {r.case_id: r for r in inference.infer(rows, "slow:x", sleeper(0), timeout=0.5, linger=0.2, most_overdue=2).collect()}
+    assert time.monotonic() - began < 20
+    assert [got[i].status for i in range(1, 6)] == ["timeout", "timeout", "failed", "failed", "failed"] and "not called" in got[3].error
+    began = time.monotonic()
+    side = inference.infer(rows.where("case_id > 2").withColumn("wait", F.lit(1.0)), "slow:x", sleeper(0), timeout=5.0, at_once=3).collect()
+    assert {r.status for r in side} == {"success"} and time.monotonic() - began < 2.9
+
+
 def test_model_boundary(spark):
     class Broken(inference.Adapter):
         def perform(self, case):
@@ -348,7 +392,8 @@ def test_model_boundary(spark):
     bad = inference.infer(rows, "broken:x", registry).first()
     assert bad.status == "failed" and "RuntimeError" in bad.error and bad.text is None
     assert inference.infer(rows, "mock:1/0", registry).first().text == "some text here"
-    assert inference.infer(rows, "mock:1/0", registry, timeout=0.1).first().status == "timeout"
+    assert [(r.status, r.timing, r.text) for r in inference.infer(rows, "mock:1/0", registry, timeout=0.1).collect()] == [("timeout", "timeout", None), ("success", inference.LATE, "some text here")]
+    assert inference.infer(rows, "mock:1/0", registry, timeout=0).first().status == "success"
 
 
 @pytest.mark.parametrize("part_rows", [9, 10**6])
