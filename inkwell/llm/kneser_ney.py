@@ -17,8 +17,11 @@ words or pairs reaches the driver: only sums do, and the HOT contexts.
 There are as many parts as ``PART_BYTES`` go into the texts; a task reduces one part
 at a time. A file that a part should have and has not is an error, never "no such word".
 
-Words are told apart by 64-bit hashes of their bytes, eight at a time, scrambled
-after each step: of a thousand million words two agree with probability 0.03.
+Words are told apart by digests of 128 bits with a secret key, drawn anew for each model, so
+no texts can be made to have one digest. Half of it is the hash that orders the
+files; the other half is held beside it and compared wherever hashes agree. Two words
+of the training texts with one hash (of a thousand million words by chance in 3 of
+100 models) are an error, never one word; train anew then.
 
 Lower-cased A-Z; tokens are white-space words and one end for each text. Defined
 cases: a null or empty text is one end token; words not in training get the
@@ -37,11 +40,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrayfiles
-from .arrowtext import LOWER, mix64, small_batches, span_hashes, text_chunks, words
+from .arrowtext import DIGEST, LOWER, digests, distinct_spans, mix64, secret, small_batches, span_hashes, text_chunks, words
 from .shared import fresh_path, kept, parts_for
 
-#: The hash of the end token, the id before a text's first word, the id of unknown words.
-END = np.uint64(0x5851F42D4C957F2D)
+#: The end token, the id before a text's first word, the id of unknown words.
+END = np.frombuffer(b" end", np.uint8)
 BEGIN, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
 #: So many different words have ids of 32 bits besides these two; more are an error.
 MOST_WORDS = 0xFFFFFFFE
@@ -52,18 +55,34 @@ PART_BYTES = 64 << 20
 BLOCKS = "part int, packed binary"
 
 
-def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every token: the words of a row, then its end."""
+def tokens_of(raw: np.ndarray, offsets: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the different tokens in order of their hash, which of them each token is, and its row: the words of a row, then its end."""
     lowered = LOWER[raw]
     starts, ends, row = words(lowered, offsets)
     n = len(offsets) - 1
-    hashes = span_hashes(lowered, starts, ends)
+    first, which = distinct_spans(lowered, starts, ends, span_hashes(lowered, starts, ends)) if len(starts) else (starts, starts)
+    # the end is a token with a space, which no word has
+    found = np.r_[digests(lowered, starts[first], ends[first], key), digests(END, np.array([0]), np.array([len(END)]), key)]
     at = np.cumsum(np.bincount(row, minlength=n) + 1) - 1  # where each row's end stands
-    out, rows = np.full(len(hashes) + n, END), np.zeros(len(hashes) + n, np.int64)
+    out, rows = np.full(len(which) + n, len(first)), np.zeros(len(which) + n, np.int64)
     word = np.ones(len(out), bool)
     word[at] = False
-    out[word], rows[word], rows[at] = hashes, row, np.arange(n)
-    return out, rows
+    out[word], rows[word], rows[at] = which, row, np.arange(n)
+    order = np.argsort(found["hash"], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[out], rows
+
+
+def combine_words(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words in order, with their summed counts; an error if two words have one hash."""
+    at = np.argsort(found["hash"], kind="stable")
+    found, counts = found[at], counts[at]
+    new = np.r_[True, found["hash"][1:] != found["hash"][:-1]][: len(found)]
+    if (found["check"][1:][~new[1:]] != found["check"][:-1][~new[1:]]).any():
+        raise ValueError("two words have one hash under this model's key: train again")
+    first = np.flatnonzero(new)
+    return found[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def combine(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +96,17 @@ def combine(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Gather:
     """Keys and counts, combined whenever enough have come together."""
 
-    def __init__(self) -> None:
+    def __init__(self, combine=combine) -> None:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size, self.combine = 0, combine
 
-    def add(self, keys: np.ndarray) -> bool:
-        found, counts = np.unique(keys, return_counts=True)
+    def add(self, found: np.ndarray, counts: np.ndarray) -> bool:
         self.held.append((found, counts))
         self.size += len(found)
         return self.size > FLUSH
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = combine(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+        keys, counts = self.combine(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
         self.held, self.size = [], 0
         return keys, counts
 
@@ -173,14 +191,15 @@ class Vocabulary:
             self.files[p] = arrayfiles.load(self.folder, f"words-{p}")
         return self.files[p]
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id and training count of sorted distinct hashes; UNKNOWN and 0 if not in training."""
+    def look_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id and training count of digests in order of their hash; UNKNOWN and 0 if not in training."""
+        hashes = found["hash"]
         ids, counts = np.full(len(hashes), UNKNOWN, np.uint64), np.zeros(len(hashes), np.int64)
         for p, some in parted(hash_part(hashes, self.parts)):
             if (x := self.part(p)) is None:
                 continue
             at = np.minimum(np.searchsorted(x["hash"], hashes[some]), len(x["hash"]) - 1)
-            hit = x["hash"][at] == hashes[some]
+            hit = (x["hash"][at] == hashes[some]) & (x["check"][at] == found["check"][some])
             ids[some[hit]] = (at[hit] + self.offsets[p]).astype(np.uint64)
             counts[some[hit]] = x["count"][at[hit]]
         return ids, counts
@@ -209,8 +228,8 @@ def discount(counts: np.ndarray, d: list[float]) -> np.ndarray:
 class Model:
     """What scoring needs besides the files."""
 
-    def __init__(self, folder: str, word_offsets: list[int], total: int, parts: int, hot: dict[int, tuple[int, int, int, int]], pair_counts: list[int], word_counts: list[int], pair_parts: set[int]) -> None:
-        self.pair_parts = pair_parts
+    def __init__(self, folder: str, word_offsets: list[int], total: int, parts: int, hot: dict[int, tuple[int, int, int, int]], pair_counts: list[int], word_counts: list[int], pair_parts: set[int], key: bytes) -> None:
+        self.pair_parts, self.key = pair_parts, key
         self.folder, self.word_offsets, self.total, self.parts = folder, word_offsets, total, parts
         self.size = word_offsets[-1]
         self.hot_ids = np.array(sorted(hot), np.uint64)
@@ -278,8 +297,7 @@ class Scorer:
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Tokens, known tokens, base score and model score of each row."""
         m, n = self.m, len(offsets) - 1
-        hashes, rows = tokens_of(raw, offsets)
-        distinct, which = np.unique(hashes, return_inverse=True)
+        distinct, which, rows = tokens_of(raw, offsets, m.key)
         ids, counts = self.vocabulary.look_up(distinct)
         low = self.continuation(ids)
         pairs, of_pair = np.unique(pairs_of(ids[which], rows), return_inverse=True)
@@ -297,26 +315,30 @@ class Scorer:
 def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int | None = None) -> Model:
     """Count the rows where ``trainable`` holds and write the model's files."""
     spark = df.sparkSession
-    folder = fresh_path(spark, "kneser-ney")
+    folder, key = fresh_path(spark, "kneser-ney"), secret()
     texts = small_batches(df).where(trainable).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = parts or parts_for(texts, PART_BYTES)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather()
+        gather = Gather(combine_words)
 
         def flush() -> pa.RecordBatch:
-            keys, counts = gather.take()
-            return block_rows([(p, arrayfiles.pack({"hash": keys[some], **small_counts(counts[some])})) for p, some in parted(hash_part(keys, parts))])
+            found, counts = gather.take()
+            return block_rows([(p, arrayfiles.pack({"hash": found["hash"][some], "check": found["check"][some], **small_counts(counts[some])})) for p, some in parted(hash_part(found["hash"], parts))])
 
         for _, offsets, raw, _ in text_chunks(batches):
-            if gather.add(tokens_of(raw, offsets)[0]):
+            found, which, _ = tokens_of(raw, offsets, key)
+            if gather.add(found, np.bincount(which, minlength=len(found))):
                 yield flush()
         if gather.held:
             yield flush()
 
     def meet_words(part: int, blocks: list[dict]) -> Iterator[pa.RecordBatch]:
-        keys, counts = combine(np.concatenate([x["hash"] for x in blocks]), np.concatenate([full_counts(x) for x in blocks]))
-        arrayfiles.save(folder, f"words-{part}", {"hash": keys, "count": counts})
+        found = np.empty(sum(len(x["hash"]) for x in blocks), DIGEST)
+        for name in DIGEST.names:
+            found[name] = np.concatenate([x[name] for x in blocks])
+        keys, counts = combine_words(found, np.concatenate([full_counts(x) for x in blocks]))
+        arrayfiles.save(folder, f"words-{part}", {"hash": keys["hash"], "check": keys["check"], "count": counts})
         top = np.sort(np.argsort(-counts, kind="stable")[:HOT])
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(keys)]), pa.array([int(counts.sum())]), pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([counts[top].tolist()], pa.list_(pa.int64()))], ["part", "n", "total", "top", "top_counts"])
 
@@ -343,9 +365,8 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
             return block_rows(blocks)
 
         for _, offs, raw, _ in text_chunks(batches):
-            hashes, rows = tokens_of(raw, offs)
-            distinct, which = np.unique(hashes, return_inverse=True)
-            if gather.add(pairs_of(vocabulary.look_up(distinct)[0][which], rows)):
+            found, which, rows = tokens_of(raw, offs, key)
+            if gather.add(*np.unique(pairs_of(vocabulary.look_up(found)[0][which], rows), return_counts=True)):
                 yield flush()
         if gather.held:
             yield flush()
@@ -383,7 +404,7 @@ def train(df: DataFrame, trainable: Column, text_col: str = "text", parts: int |
 
     words_counted = reduced(counted.where("packed is not null").select("part", "packed"), parts, meet_follows, "n array<long>")
     word_counts = [x or 0 for x in words_counted.agg(*sums).first()]
-    return Model(folder, offsets, total, parts, {r["context"]: (r["s0"], r["s1"], r["s2"], r["s3"]) for r in contexts}, pair_counts, word_counts, pair_parts)
+    return Model(folder, offsets, total, parts, {r["context"]: (r["s0"], r["s1"], r["s2"], r["s3"]) for r in contexts}, pair_counts, word_counts, pair_parts, key)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,12 +18,16 @@ of which one copy goes on:
 2. Runs with one gram and equal bytes are copies: all their windows are repeated.
    Where the gram occurs in other runs too, one of the copies goes on.
 
-Then the passes. A suffix travels with the hash of its first digit and a hash of
-its other digits, 128 bits together, which a task orders digit by digit.
-Digits are told apart by these hashes of eight bytes at a time, scrambled after
-each step; runs by 64 bits among those of one gram. No byte comparison follows:
-of 10**13 different suffixes two agree in all 128 bits with probability 1e-13. A
-row is known by 96 bits of hashes of id and text.
+Then the passes. A suffix travels with its digits, each as a digest of 64 bits, and a
+task orders its records digit by digit: a pass sorts every group that is left by
+the next digit and takes out the groups of one.
+
+What is removed was told to be equal by digests with a secret key, drawn anew for each
+run: all digits of two suffixes together, at least 128 bits, or 96 bits of two runs of
+one gram. The key is not known when the texts are written, so no texts can be made to
+agree; of 10**13 different suffixes two do by chance with probability 1e-13. A row is known
+by 96 bits of hashes of the key, id and text. Rolling and other plain hashes
+only choose anchors and parts.
 
 Passes travel as packed blocks of records. A map task orders what it holds, and
 sends one of equal suffixes or runs on, so a group's records in a part are at
@@ -49,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import FIRST_BYTES, STEP, Rolling, eights, mix64, row_chunks, run_starts, small_batches, span_hashes, string_parts
+from .arrowtext import Rolling, digests as digests_of, mix64, row_chunks, run_starts, secret, small_batches, string_parts
 from .shared import kept, marked, marks, parts_for
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
@@ -57,8 +61,10 @@ BLOCK, FLUSH, HOT = 1 << 19, 1 << 18, 512
 #: Bytes of text whose records make a part.
 PART_BYTES = 64 << 20
 POSITION_BITS = 23
-RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("width", "<u2"), ("flag", "u1")])
-SUFFIX = np.dtype([("lead", "<u8"), ("rest", "<u8"), ("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("flag", "u1")])
+RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("more", "<u4"), ("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("width", "<u2"), ("flag", "u1")])
+#: What tells runs apart.
+BYTES = ["gram", "span", "more"]
+SPAN, DIGIT = np.dtype([("span", "<u8"), ("more", "<u4")]), np.dtype("<u8")
 ANSWER = np.dtype([("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("hi", "<u4"), ("kind", "u1")])
 #: Flags of records: has been seen twice, stands for runs that went on, has no owner that waits for an answer.
 TWICE, MARKER, OWNERLESS = 1, 2, 4
@@ -78,26 +84,23 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def digits_of(raw: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first digit and of the other digits of every suffix that has ``depth`` bytes.
+def digit_starts(depth: int, digit: int) -> list[int]:
+    """Where the digits of a suffix start: the last one ends at ``depth``."""
+    if not 0 < 2 * digit <= depth:
+        raise ValueError("a suffix has two digits or more")
+    return [min(at, depth - digit) for at in range(0, depth, digit)]
 
-    A digit's hash comes from those of its two halves (which may overlap), these
-    from theirs, down to eight bytes.
-    """
-    n, size = len(raw) - depth + 1, min(8, digit)
-    part = mix64((eights(raw)[: len(raw) - size + 1] & FIRST_BYTES[size]) + STEP)
-    while size < digit:
-        step = min(size, digit - size)
-        part = mix64(part[: len(part) - step] * STEP ^ part[step:])
-        size += step
-    rest = np.zeros(n, np.uint64)
-    for at in range(digit, depth, digit):
-        at = min(at, depth - digit)
-        rest = mix64(rest * STEP ^ part[at : at + n])
-    return part[:n], rest
-
-
-def suffixes_of(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, tags: np.ndarray, row: np.ndarray, lo: np.ndarray, end: np.ndarray, depth: int, digit: int) -> np.ndarray:
+
+def suffix_kind(depth: int, digit: int) -> np.dtype:
+    """A record of a suffix: d0, d1 and so on are its digits."""
+    return np.dtype([*((f"d{k}", "<u8") for k in range(len(digit_starts(depth, digit)))), ("row", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("flag", "u1")])
+
+
+def digit_names(records: np.ndarray) -> list[str]:
+    return [f for f in records.dtype.names if f[0] == "d"]
+
+
+def suffixes_of(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, tags: np.ndarray, row: np.ndarray, lo: np.ndarray, end: np.ndarray, depth: int, digit: int, key: bytes) -> np.ndarray:
     """The suffixes that start at lo, ..., end - 1 in a row, for ranges in order of row and lo.
 
     Only the bytes that they cover are hashed, and each of them once: ranges that touch come together.
@@ -112,15 +115,19 @@ def suffixes_of(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, tags: np
     np.add.at(edge, offsets[row] + end - 1 + depth - base, -1)
     covered = np.cumsum(edge[:-1]) > 0
     place = np.cumsum(covered) - 1
-    lead, rest = digits_of(raw[base : base + len(covered)][covered], depth, digit)
-    out = np.zeros(len(at), SUFFIX)
+    bytes_ = raw[base : base + len(covered)][covered]
+    # one digest serves as a digit of several suffixes
+    first = np.arange(len(bytes_) - digit + 1)
+    digest = digests_of(bytes_, first, first + digit, key, DIGIT)
+    out = np.zeros(len(at), suffix_kind(depth, digit))
     mine = place[where - base]
-    out["lead"], out["rest"] = lead[mine], rest[mine]
+    for k, start in enumerate(digit_starts(depth, digit)):
+        out[f"d{k}"] = digest[mine + start]
     out["row"], out["tag"], out["lo"] = np.repeat(keys[row], count), np.repeat(tags[row], count), at
     return out
 
 
-def runs_of(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, tags: np.ndarray, base: np.ndarray, depth: int, digit: int, rolling: Rolling) -> np.ndarray:
+def runs_of(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, tags: np.ndarray, base: np.ndarray, depth: int, digit: int, rolling: Rolling, key: bytes) -> np.ndarray:
     """The runs of windows of the texts of a block; ``base`` is each text's position in its row."""
     if len(raw) < depth:
         return np.zeros(0, RUN)
@@ -137,7 +144,8 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, tags: np.nda
     at, text = at[first], text[first]
     out = np.zeros(len(first), RUN)
     out["gram"] = grams[at]
-    out["span"] = mix64(span_hashes(raw, lo, hi + depth) + (at - lo).astype(np.uint64))
+    span = digests_of(raw, lo, hi + depth, key, SPAN)
+    out["span"], out["more"] = span["span"] + (at - lo).astype(np.uint64), span["more"]
     out["row"], out["tag"], out["lo"], out["width"] = rows[text], tags[text], lo - offsets[text] + base[text], hi - lo
     return out
 
@@ -208,11 +216,11 @@ FOUND = "row long, tag long, lo long, hi long, kind int"
 
 def send_runs(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.RecordBatch]:
     """What a map block knows of its runs already, and the rest, dealt by gram."""
-    records, twice = settle(records, ["gram", "span"])
+    records, twice = settle(records, BYTES)
     if not len(records):
         return
     known = [answers(records[twice], tail_of(records[twice], depth), REPEATED)]
-    one = first_of_each(records, ["gram", "span"])
+    one = first_of_each(records, BYTES)
     records, twice = records[one], twice[one]
     records["flag"][twice] |= TWICE
     group = np.cumsum(first_of_each(records, ["gram"])) - 1
@@ -221,7 +229,8 @@ def send_runs(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.Record
         known.append(answers(records[hot], tail_of(records[hot], depth), np.where(twice[hot], SAMPLE, OPEN)))
         marks = records[hot][first_of_each(records[hot], ["gram"])]
         marks["flag"] = MARKER
-        marks["span"], marks["row"], marks["tag"], marks["lo"] = 0, 0, 0, 0
+        for f in ("span", "more", "row", "tag", "lo"):
+            marks[f] = 0
         records = np.concatenate((records[~hot], marks))
     yield dealt(records, ["gram"], parts)
     yield dealt(np.unique(np.concatenate(known)), ["row"], parts)
@@ -229,15 +238,15 @@ def send_runs(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.Record
 
 def meet_runs(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
     """Repeated runs, and the runs whose suffixes go on, of whole groups of one gram."""
-    records, twice = settle(records, ["gram", "span"])
+    records, twice = settle(records, BYTES)
     if not len(records):
         return
     group = np.cumsum(first_of_each(records, ["gram"])) - 1
-    different = np.bincount(group, first_of_each(records, ["gram", "span"]))
+    different = np.bincount(group, first_of_each(records, BYTES))
     mixed = (different > 1)[group]
     marker = records["flag"] & MARKER > 0
     twice &= ~marker
-    first = first_of_each(records, ["gram", "span"])
+    first = first_of_each(records, BYTES)
     end = tail_of(records, depth)
     yield answers(records[twice], end[twice], REPEATED)
     sample = twice & mixed & first
@@ -249,15 +258,19 @@ def meet_runs(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
 def passes(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that share all digits with another or have done so, in order, and those that stand alone.
 
-    The first pass orders by the leading digit and takes out groups of one; the
-    second orders what is left of each group by the other digits.
+    A pass orders each group that the passes before have left by the next digit. Groups of one leave.
     """
-    records = records[np.argsort(records["lead"], kind="stable")]
-    new = first_of_each(records, ["lead"])
-    alone = new & np.r_[new[1:], True][: len(new)] & (records["flag"] & TWICE == 0)
-    out, records = [records[alone]], records[~alone]
-    records, twice = settle(records, ["lead", "rest"])
-    return records[twice], np.concatenate((*out, records[~twice]))
+    names, out = digit_names(records), []
+    group = np.zeros(len(records), np.int64)
+    for k in range(len(names)):
+        order = np.lexsort((records[names[k]], group))
+        records, group = records[order], group[order]
+        fresh = np.ones(len(records), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (records[names[k]][1:] != records[names[k]][:-1])
+        alone = fresh & np.r_[fresh[1:], True][: len(fresh)] & (records["flag"] & TWICE == 0)
+        out.append(records[alone])
+        records, group = records[~alone], (np.cumsum(fresh) - 1)[~alone]
+    return records, np.concatenate(out)
 
 
 def send_suffixes(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -265,9 +278,10 @@ def send_suffixes(records: np.ndarray, depth: int, parts: int) -> Iterator[pa.Re
     groups, alone = passes(records)
     known = groups[groups["flag"] & OWNERLESS == 0]
     yield dealt(np.unique(answers(known, known["lo"] + depth, REPEATED)), ["row"], parts)
-    one = groups[first_of_each(groups, ["lead", "rest"])]
+    names = digit_names(records)
+    one = groups[first_of_each(groups, names)]
     one["flag"] |= TWICE | OWNERLESS
-    yield dealt(np.concatenate((one, alone)), ["lead", "rest"], parts)
+    yield dealt(np.concatenate((one, alone)), names, parts)
 
 
 def meet_suffixes(records: np.ndarray, depth: int) -> Iterator[np.ndarray]:
@@ -302,15 +316,15 @@ def meet(sent: DataFrame, kind: np.dtype, reduce, depth: int, parts: int) -> Dat
     return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, FOUND)
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with a key (row, tag) from id and text; rows of one key are copies of each other, id and all. ``rest`` holds the other columns."""
+def keyed(df: DataFrame, id_col: str, text_col: str, key: bytes) -> DataFrame:
+    """Rows with a key (row, tag) from the run's key, id and text; rows of one key are copies of each other, id and all. ``rest`` holds the other columns."""
     others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.crc32("text").alias("tag"), "doc_id", "text", "rest")
+    return rows.select(F.xxhash64(F.lit(key), "doc_id", "text").alias("row"), F.crc32("text").alias("tag"), "doc_id", "text", "rest")
 
 
-def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | None = None) -> DataFrame:
+def repeated(rows: DataFrame, key: bytes, depth: int = 200, digit: int = 100, parts: int | None = None) -> DataFrame:
     """(row, tag, lo, hi): byte ranges of ``rows`` (row, tag, text) whose union is what windows of ``depth`` bytes repeat."""
     long = rows.where(F.octet_length("text") >= depth).select("row", "tag", "text")
     parts = parts or parts_for(long, PART_BYTES)
@@ -318,11 +332,11 @@ def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | N
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, held, n = Rolling(), [], 0
         for batch in batches:
-            keys, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            rows_, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             offsets, raw, _ = string_parts(batch.column(2))
             for text, a, b in blocks_of(offsets, BLOCK, depth):
                 part = raw[offsets[text[0]] + a[0] : offsets[text[-1]] + b[-1]]
-                held.append(runs_of(part, np.r_[0, np.cumsum(b - a)], keys[text], tags[text], a, depth, digit, rolling))
+                held.append(runs_of(part, np.r_[0, np.cumsum(b - a)], rows_[text], tags[text], a, depth, digit, rolling, key))
                 n += len(held[-1])
                 if n > FLUSH:
                     yield from send_runs(np.concatenate(held), depth, parts)
@@ -342,7 +356,7 @@ def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | N
             row, lo, hi, kind = row[order], lo[order], hi[order], kind[order]
             for i, j in row_chunks(np.r_[0, np.cumsum(hi - lo - depth + 1)], FLUSH):
                 own = row[i:j], lo[i:j], hi[i:j] - depth + 1
-                held.append(suffixes_of(raw, offsets, keys, tags, *own, depth, digit))
+                held.append(suffixes_of(raw, offsets, keys, tags, *own, depth, digit, key))
                 held[-1]["flag"] = np.repeat(np.where(kind[i:j] == SAMPLE, OWNERLESS, 0), own[2] - own[1])
                 n += len(held[-1])
                 if n > FLUSH:
@@ -356,7 +370,7 @@ def repeated(rows: DataFrame, depth: int = 200, digit: int = 100, parts: int | N
     asked = kept(found.where(F.col("kind") != REPEATED).groupBy("row", "tag").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("asked")))
     some, _ = marked(long, kept(marks(asked, "row")), "row")
     suffixes = some.join(asked, ["row", "tag"]).select("row", "tag", "text", "asked").mapInArrow(digit_passes, SENT)
-    more = meet(suffixes, SUFFIX, meet_suffixes, depth, parts)
+    more = meet(suffixes, suffix_kind(depth, digit), meet_suffixes, depth, parts)
     return found.where(F.col("kind") == REPEATED).select("row", "tag", "lo", "hi").unionAll(more.select("row", "tag", "lo", "hi"))
 
 
@@ -365,8 +379,9 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
 
     ``text`` is what is kept without the bytes of characters that were cut in two; ``rest`` is a struct of the other columns.
     """
-    rows = keyed(df, id_col, text_col)
-    ranges = kept(repeated(rows, depth, digit, parts).groupBy("row", "tag").agg(F.collect_set(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("ranges")))
+    key = secret()
+    rows = keyed(df, id_col, text_col, key)
+    ranges = kept(repeated(rows, key, depth, digit, parts).groupBy("row", "tag").agg(F.collect_set(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("ranges")))
     some, others = marked(rows, kept(marks(ranges, "row")), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
