@@ -9,9 +9,10 @@ between languages, by gradient ascent on the conditional likelihood
 a whole text its language marginals; the text's language is the one with the
 largest sum, the score is that language's share.
 
-The fit is bounded: ``rows_per_language`` training texts of each language (the
-first by a hash of the id); of one longer than ``excerpt`` characters, pieces that
-lie evenly over the whole text and have about that length together. All languages
+The fit is bounded, language by language: at most ``rows_per_language`` different rows, the
+first by a hash, and of these as many as have ``characters_per_language`` characters
+together. They are read whole; a text longer than that bound is learned from only
+if its language has no other, the shortest of them then. All languages
 are learned; over ``most_languages`` of them are an error. Prediction reads whole texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
@@ -28,11 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import distinct_spans, mix64, narrow, numbered, span_hashes, text_chunks
-from .shared import sampled
+from .shared import sampled_texts
 
 BITS, LEXICON_BITS = 16, 14
 SEGMENT = 64
@@ -283,23 +284,19 @@ def fit(texts: list[str], langs: list[str], length: int = 16, lexicon_words: int
     return model
 
 
-def pieces(text: Column, size: int, each: int = 200) -> Column:
-    """A text of up to ``size`` characters whole; of a longer one whole words of ``size // each`` pieces at even distances, its end among them."""
-    n = max(2, size // each)
-    cut = lambda i: F.regexp_replace(F.substring(text, (F.floor((F.length(text) - each) * i / (n - 1)) + 1).cast("int"), F.lit(each)), r"^\S*\s|\s\S*$", "")
-    return F.when(F.length(text) <= size, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cut), "\n"))
-
-
-def train(df: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 250, excerpt: int = 1000, most_languages: int = 1000) -> Model:
+def train(
+    df: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    rows_per_language: int = 250, characters_per_language: int = 250_000, most_languages: int = 1000,
+) -> Model:
     """Fit on a bounded sample of the labelled rows where ``trainable`` holds."""
-    ids = df.where(trainable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = sampled(ids, "lang", rows_per_language, most_languages).collect()
-    if not chosen:
-        return fit([], [])
-    small = df.sparkSession.createDataFrame([(r["id"],) for r in chosen], ["id"])
-    texts = df.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    few = texts.join(F.broadcast(small), "id").select("id", "lang", pieces(F.col("text"), excerpt).alias("text"))
-    rows = few.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(2 * len(chosen)).collect()
+    texts = df.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    texts = texts.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    few = sampled_texts(texts, "lang", rows_per_language, most_languages).withColumn("size", F.length("text"))
+    # a window over ``rows_per_language`` rows: those that fit in by hash, then longer ones by length
+    long = F.when(F.col("size") > characters_per_language, F.col("size")).otherwise(0)
+    order = Window.partitionBy("lang").orderBy(long, "turn")
+    placed = few.withColumns({"place": F.row_number().over(order), "upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = placed.where((F.col("place") == 1) | (F.col("upto") <= characters_per_language)).orderBy("turn", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

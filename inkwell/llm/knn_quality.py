@@ -10,8 +10,8 @@ document's cosines with all of them are computed exactly, in blocks, and the
 ``neighbours`` nearest vote with their labels, weighted by similarity and against
 their label's share of the sample. Neighbours as near as the last of these vote too.
 
-The fit is bounded: ``rows`` labelled texts (the first by a hash of the id), half
-of each label where there are enough. These and all scored texts are read whole;
+The fit is bounded: at most ``rows`` different labelled rows, the first by hash,
+at most half of them of either label, and where there is room their copies. These and all scored texts are read whole;
 only counts of terms reach the driver.
 
 Defined cases: a null text is scored like an empty one, and texts without a word
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, mix64, narrow, small_batches, span_hashes, text_chunks, words
-from .shared import sampled
+from .shared import sampled, sampled_texts
 
 #: Hashed terms of writing, of which the last 32 tell repetition and length, and of words.
 SHAPES, WORDS = 4096, 4096
@@ -174,22 +174,33 @@ def frequencies(documents: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(1 + there.get(-1, 0) / (1 + np.array([there.get(i, 0) for i in range(TERMS)]))).astype(np.float32)
 
 
+def with_copies(rows: list, most: int) -> list:
+    """Each row once, then as many of their further copies as there is room for."""
+    out, turn = rows[:most], 2
+    while len(out) < most and (more := [r for r in rows if r["copies"] >= turn]):
+        out += more[: most - len(out)]
+        turn += 1
+    return out
+
+
 def train(documents: DataFrame, labels: DataFrame, learnable: Column, label_col: str = "quality", rows: int = 4000, **options) -> Model:
     """Fit on at most ``rows`` of the labelled documents where ``learnable`` holds; frequencies are of all documents."""
-    known = labels.where(learnable).select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    chosen = sampled(known, "label", rows // 2, 2).withColumnRenamed("id", "doc_id")
+    known = labels.where(learnable).select("doc_id", F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).distinct()
+    # as many ids of each label as rows may be learned are broadcast
+    ids = sampled(known.withColumnRenamed("doc_id", "id"), "label", rows // 2, 2)
+    texts = small_batches(documents).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, offsets, raw, _ in text_chunks(batches):
             counts = np.concatenate(list(blocks(offsets, raw)))
             terms = [np.flatnonzero(c) for c in counts]
             packed = [pa.array([x.astype(kind).tobytes() for x in some], pa.binary()) for kind, some in (("<u2", terms), ("<f4", [c[t] for c, t in zip(counts, terms, strict=True)]))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], ["doc_id", "label", "turn", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], ["turn", "label", "copies", "terms", "counts"])
 
-    # at most ``rows`` small rows are broadcast
-    texts = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("turn"), "text")
-    sent = texts.mapInArrow(run, "doc_id long, label int, turn long, terms binary, counts binary")
-    found = sent.orderBy(F.xxhash64("doc_id"), "doc_id", "turn").limit(rows).collect()
+    sent = sampled_texts(texts, "label", rows // 2, 2).select("turn", "label", "copies", "text").mapInArrow(run, "turn long, label int, copies long, terms binary, counts binary")
+    # at most ``rows`` rows
+    once = sent.orderBy("turn", "label").collect()
+    found = [r for label in (0, 1) for r in with_copies([r for r in once if r["label"] == label], rows // 2)]
     counts = np.zeros((len(found), TERMS), np.float32)
     for x, r in zip(counts, found, strict=True):
         x[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["counts"], "<f4")

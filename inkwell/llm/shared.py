@@ -61,6 +61,18 @@ def sampled(ids: DataFrame, kind: str, rows: int, most: int) -> DataFrame:
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
 
 
+def sampled_texts(texts: DataFrame, kind: str, rows: int, most: int) -> DataFrame:
+    """turn, the kind, id, text and copies of at most ``rows`` different rows of each kind (of columns id, kind and text), the first by hash.
+
+    Ids are chosen first, then rows among theirs, so neither an id with many rows nor
+    a kind with many crowds others out; equal rows are one, with their number.
+    """
+    # at most ``rows`` ids of each kind, then as many rows, are broadcast
+    near = texts.join(F.broadcast(sampled(texts.select("id", kind), kind, rows, most)), ["id", kind]).withColumn("turn", F.xxhash64("id", "text"))
+    few = sampled(near.select(F.col("turn").alias("id"), kind), kind, rows, most).withColumnRenamed("id", "turn")
+    return near.join(F.broadcast(few), ["turn", kind]).groupBy("turn", kind).agg(F.min("id").alias("id"), F.min("text").alias("text"), F.count("*").alias("copies"))
+
+
 MARKS = 1 << 24
 
 

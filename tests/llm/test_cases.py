@@ -125,3 +125,28 @@ def test_planted_pairs_are_linked(spark, low, high):
     assert 0.9 * near.sum() <= found <= near.sum() and near.sum() >= 2 * pairs
     assert all(got[r[0]].n_links <= n for r, n in zip(rows, near.sum(1), strict=True))
     print(f"recall at {low} to {high}: {found / near.sum():.4f}")
+
+
+def test_no_language_is_crowded_out(spark):
+    """Twenty rows of one id in one language leave the other language's only row in the fit; equal rows are one."""
+    rows = [(1, f"the cat number {i} sat on the mat and saw that it was there with them and more of those {i} things", "en") for i in range(20)] + [(2, "le chat est sur la table avec les autres et il voit que tout est ici pour nous dans la maison", "fr")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = crf_language.fit
+    crf_language.fit = lambda texts, langs: (seen.append((texts, langs)), fit(texts, langs))[1]
+    try:
+        for options in ({"rows_per_language": 5}, {"characters_per_language": 200}, {"characters_per_language": 50}):
+            assert crf_language.train(df, F.lit(True), **options).languages == ["en", "fr"]
+    finally:
+        crf_language.fit = fit
+    counts = [collections.Counter(langs) for _, langs in seen]
+    assert counts[0] == {"en": 5, "fr": 1} and counts[1]["en"] == 2 and counts[2] == {"en": 1, "fr": 1}
+    assert all(t in {r[1] for r in rows} for texts, _ in seen for t in texts)
+
+
+def test_no_label_is_crowded_out(spark):
+    rows = [(1, f"good text number {i} with sense", 1) for i in range(60)] + [(10 + i, f"BAD ### {i} !!! $$$", 0) for i in range(10)]
+    df = spark.createDataFrame([r[:2] for r in rows] + [(11, "BAD ### 1 !!! $$$")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame(sorted({(r[0], r[2]) for r in rows}) * 2, "doc_id long, quality int")
+    model = knn_quality.train(df, labels, F.lit(True), rows=20)
+    assert collections.Counter(model.labels.tolist()) == {0: 10, 1: 10}
