@@ -129,6 +129,16 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy(F.split_part("value", F.lit(" "), F.lit(2)).alias("model")).agg(F.count("*").alias("failures"))
 
 
+@Q.add("k1_whole_run", f"WITH {frames.RESULTS_SQL} SELECT seq, model, status, latency, count(*) FILTER (WHERE status <> 'success') OVER () AS failures FROM results")
+def k1(spark: SparkSession, d: str) -> DataFrame:
+    """Results, details, summary and report published as one; the results read back, with the number of failures the report lists."""
+    path, results = fresh_folder(spark, "run"), frames.results(spark, d)
+    sinks.save_whole_run(results.select("seq", "model", "status", "image_path", "latency"), summary.devices(results), path)
+    listed = spark.read.text(f"{path}/report").where("value like '- %'").agg(F.count("*").alias("failures"))
+    # one row is broadcast
+    return spark.read.schema(RUN).json(f"{path}/results").select("seq", "model", "status", "latency").crossJoin(F.broadcast(listed))
+
+
 @Q.add("k6_cni_artefacts", "SELECT o_orderstatus AS model, (o_custkey % 50)::VARCHAR AS folder_client_id, o_orderkey FROM orders")
 def k6(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_folder(spark, "artefacts")
@@ -142,8 +152,9 @@ def k7(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_folder(spark, "catalog")
     key = F.col("p_partkey")
     entries = table(spark, d, "part").select(F.concat(F.lit("/p/"), key.cast("string"), F.when(F.pmod(key, F.lit(5)) == 0, ".exe").otherwise(".PNG")).alias("image_path"), F.when(F.pmod(key, F.lit(3)) == 0, "  ").otherwise(F.col("p_name")).alias("ground_truth"), F.concat(F.lit(" Big "), "p_type", F.lit(" ")).alias("category"), (F.col("p_size") * 400000).alias("bytes"))
-    sinks.append_catalog(entries, path)
-    return files.json_lines(spark, path, "image_path string, ground_truth string, category string")
+    for half in (0, 1):  # two appends, two versions
+        sinks.append_catalog(entries.where(F.pmod(F.crc32("image_path"), F.lit(2)) == half), path)
+    return sinks.read_catalog(spark, path, "image_path string, ground_truth string, category string")
 
 
 @Q.add("k8_label_materialize", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'label_not_found' WHEN l.quality = 1 THEN 'label_materialized' ELSE 'label_parse_failed' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id)")

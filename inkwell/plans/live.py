@@ -67,3 +67,50 @@ def checkpoint(spark: SparkSession, d: str) -> DataFrame:
 @Q.add("stream_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS model, count(*) AS n FROM events GROUP BY ALL")
 def windows(spark: SparkSession, d: str) -> DataFrame:
     return live.to_table(spark, live.per_window(answers(spark, d), "ts", "1 day", "40 days"), "complete", fresh_folder(spark, "stream"))
+
+
+@Q.add("stream_error_cutoff_unordered", "SELECT client, seq, status FROM (SELECT *, sum((status <> 'success')::INT) OVER (PARTITION BY client ORDER BY seq ROWS UNBOUNDED PRECEDING) - (status <> 'success')::INT AS b FROM (SELECT user_id AS client, event_id AS seq, CASE WHEN value > 100 THEN 'timeout' ELSE 'success' END AS status FROM events)) WHERE b < 3")
+def unordered(spark: SparkSession, d: str) -> DataFrame:
+    """The cut-off over events that come in any order: an event is dealt to its own batch or the next but one, a closing one ends the stream."""
+    folder, rows = fresh_folder(spark, "stream"), answers_once(spark, d)
+    batches, schema = 4, "client long, seq long, at timestamp, status string"
+    ends = rows.agg(F.min("seq").alias("least"), F.max("seq").alias("most"), F.count("*").alias("n")).first()
+    # numbers stand for seconds: how far events stray is then known
+    own = F.floor((F.col("seq") - F.lit(ends.least)) * batches / F.lit((ends.most or 0) - (ends.least or 0) + 1)) + F.pmod(F.xxhash64("seq"), F.lit(3))
+    dealt = rows.select("client", "seq", F.timestamp_seconds(F.col("seq") + 1_000_000_000).alias("at"), "status").withColumn("batch", own)
+    stray = 3 * ((ends.most or 0) - (ends.least or 0) + batches) // batches + 1
+    for i in range(batches + 3):
+        dealt.where(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in/{i:02d}")
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("client"), F.lit(0).cast("long").alias("seq"), F.timestamp_seconds(F.lit(1_000_000_000 + (ends.most or 0) + 2 * stray)).alias("at"), F.lit("success").alias("status"))
+    closing.write.parquet(f"{folder}/in/99")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    out = live.to_table(spark, live.until_errors_unordered(stream, "client", "seq", "at", f"{stray} seconds", 3), "append", folder)
+    return out.where("client >= 0").select("client", "seq", "status")
+
+
+def answers_once(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    return rows.select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), F.when(F.col("value") > 100, "timeout").otherwise("success").alias("status"))
+
+
+IMPORT_STATES = ["discovered", "documents_detected", "downloaded", "label_normalized", "ready", "ready_without_label", "failed"]
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, bs in live.FOLLOWS.items() for b in bs)
+
+
+@Q.add(
+    "stream_import_states",
+    f"""WITH RECURSIVE raw AS (SELECT user_id AS client, event_id AS seq, {IMPORT_STATES}[CASE WHEN event_id % 3 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 ELSE (event_id // 7) % 5 END + 1] AS status FROM events),
+twice AS (SELECT *, 0 AS copy FROM raw UNION ALL SELECT *, 1 FROM raw WHERE seq % 5 = 0), told AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY seq, copy) AS n FROM twice),
+legal(before, after) AS (VALUES {_LEGAL}),
+walk AS (SELECT DISTINCT client, 0::BIGINT AS n, NULL::BIGINT AS seq, '' AS status, '' AS verdict, '' AS state FROM raw UNION ALL
+SELECT client, n, seq, status, verdict, CASE WHEN verdict = 'accepted' THEN status ELSE before END FROM (SELECT t.client, t.n, t.seq, t.status, w.state AS before, CASE WHEN t.copy = 1 THEN 'repeated' WHEN (w.state, t.status) IN (SELECT (before, after) FROM legal) THEN 'accepted' ELSE 'illegal' END AS verdict FROM walk w JOIN told t ON t.client = w.client AND t.n = w.n + 1))
+SELECT client, seq, status, verdict, state FROM walk WHERE n > 0""",
+)
+def import_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event is a state at random, every fifth comes twice: the accepted and the refused, as the stream parts them."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    turn = F.when(F.pmod("event_id", F.lit(3)) == 0, F.pmod(k, F.lit(7))).otherwise(F.pmod(F.floor(F.col("event_id") / 7), F.lit(5)))
+    status = F.element_at(F.array(*[F.lit(s) for s in IMPORT_STATES]), (turn + 1).cast("int"))
+    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), status.alias("status"))
+    twice = rows.withColumn("copy", F.explode(F.when(F.pmod("seq", F.lit(5)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+    return live.to_parted_table(spark, live.import_states(twice, "client", "seq", "status"), "verdict", fresh_folder(spark, "stream"))

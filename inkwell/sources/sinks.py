@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import shutil
 import time
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import selection
 
+from .runs import RunSink
+from .store import Store
+
 EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff", ".pdf")
 MOST_BYTES, MOST_LABEL = 15 << 20, 100_000
 
@@ -23,6 +28,13 @@ def save_run(results: DataFrame, summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/summary")
 
 
+def save_whole_run(results: DataFrame, summary: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One pass over the results publishes them, their details, the summary (a row a model) and the report together, or nothing."""
+    results.sparkSession.dataSource.register(RunSink)
+    rows = [r.asDict(recursive=True) for r in summary.collect()]
+    results.write.format(RunSink.name()).mode("overwrite" if overwrite else "append").option("summary", json.dumps({"columns": summary.columns, "rows": rows}, default=str)).option("path", path).save()
+
+
 def append_traces(traces: DataFrame, path: str) -> None:
     traces.write.mode("append").json(path)
 
@@ -58,13 +70,64 @@ def entry_error(name: Column, size: Column, label: Column) -> Column:
     return F.when(~extension.isin(*EXTENSIONS), "extension").when(size > MOST_BYTES, "size").when(~F.length(text).between(1, MOST_LABEL), "label")
 
 
+VERSIONS = "_versions"
+
+
+def version_name(number: int) -> str:
+    return f"{VERSIONS}/{number:012d}.json"
+
+
+def latest_version(store: Store) -> int:
+    """The newest version's number, 0 without one."""
+    return max((int(n[:12]) for n in store.names(VERSIONS) if re.fullmatch(r"\d{12}\.json", n)), default=0)
+
+
+def catalog_folders(store: Store, version: int | None = None) -> list[str]:
+    """The folders of appended entries that make a version, the newest unless one is named."""
+    number = latest_version(store) if version is None else version
+    return json.loads(store.read(version_name(number)))["folders"] if number else []
+
+
+def publish(store: Store, folder: str, tries: int = 100) -> int:
+    """Add a folder to the catalog as its next version and return that; another append's version in between is built upon.
+
+    A version's file is created only if it is absent, so two appends never take one number.
+    """
+    for _ in range(tries):
+        number = latest_version(store)
+        body = json.dumps({"folders": [*catalog_folders(store, number), folder]})
+        if store.create(version_name(number + 1), body):
+            return number + 1
+    raise OSError(f"the catalog changed {tries} times while {folder} was to be added")
+
+
 def append_catalog(entries: DataFrame, path: str) -> DataFrame:
-    """Append the valid entries and return the refused ones with the reason."""
+    """Append the valid entries, all or none, and return the refused ones with the reason.
+
+    Entries are staged in a folder that readers pass over and become part of the catalog with the
+    version that names their folder. If anything fails before, the folder goes.
+    """
     checked = entries.withColumn("error", entry_error(F.col("image_path"), F.col("bytes"), F.col("ground_truth"))).withColumn("category", category_name(F.col("category")))
-    checked.where("error is null").drop("error", "bytes").write.mode("append").json(path)
+    store, own = Store(entries.sparkSession, path), uuid.uuid4().hex
+    staged, folder = f"_staged-{own}", f"append={own}"
+    try:
+        checked.where("error is null").drop("error", "bytes").write.json(f"{path}/{staged}")
+        store.move(staged, folder)
+        publish(store, folder)
+    except BaseException:
+        store.delete(staged)
+        if folder not in catalog_folders(store):
+            store.delete(folder)
+        raise
     return checked.where("error is not null")
 
 
+def read_catalog(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """The entries of a version of the catalog: one append's are there as a whole or not at all."""
+    folders = [f"{path}/{f}" for f in catalog_folders(Store(spark, path), version)]
+    return spark.read.schema(schema).json(folders) if folders else spark.createDataFrame([], schema)
+
+
 def label_status(found: Column, content: Column) -> Column:
     """Whether a client's label was found and holds a JSON object or array."""
     kind = F.substring(F.ltrim(content), 1, 1)

@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructType
 
 from inkwell.operators import joins
 
@@ -49,6 +52,74 @@ def until_errors(stream: DataFrame, by: str, order: str, most: int) -> DataFrame
     return stream.groupBy(by).applyInPandasWithState(go_on, schema, "errors long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: What may follow a state of a client's import; "" is the state before the first event. A client that has ended may be imported anew.
+FOLLOWS = {
+    "": ("discovered", "failed"),
+    "discovered": ("documents_detected", "failed"),
+    "documents_detected": ("downloaded", "failed"),
+    "downloaded": ("label_normalized", "ready_without_label"),
+    "label_normalized": ("ready",),
+    "ready": ("discovered", "failed"),
+    "ready_without_label": ("discovered", "failed"),
+    "failed": ("discovered", "failed"),
+}
+
+
+def import_states(stream: DataFrame, key: str, order: str, status: str) -> DataFrame:
+    """Every event with a verdict and the client's state after it: accepted, illegal or repeated.
+
+    Only a legal event changes the state. An event whose number is not above the last one's that was seen
+    is repeated; so is one without a number. The state is a text and a number for each client. Events of a client are
+    taken by number within a batch; batches come in order.
+    """
+    schema = StructType([*stream.schema.fields]).add("verdict", "string").add("state", "string")
+    names = stream.schema.names
+
+    def step(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, last = state.get if state.exists else ("", None)
+        rows = pd.concat(frames).sort_values(order, kind="stable")
+        verdicts, states = [], []
+        for number, event in zip(rows[order].tolist(), rows[status].tolist(), strict=True):
+            if pd.isna(number) or (last is not None and number <= last):
+                verdicts.append("repeated")
+            else:
+                last = int(number)
+                verdicts.append("accepted" if event in FOLLOWS[now] else "illegal")
+                now = event if verdicts[-1] == "accepted" else now
+            states.append(now)
+        state.update((now, last))
+        yield rows[names].assign(verdict=verdicts, state=states)
+
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "state string, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def to_parted_table(spark: SparkSession, stream: DataFrame, part: str, folder: str) -> DataFrame:
+    """An appending stream as a table in folders by a column, each batch written once: its outputs are read apart."""
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy(part).parquet(f"{folder}/out/batch={number}")
+
+    drain(spark, stream, "append", folder, keep)
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out/*").select(stream.columns)
+
+
+def until_errors_unordered(stream: DataFrame, by: str, order: str, time: str, late: str, most: int) -> DataFrame:
+    """``until_errors`` for rows that come in any order, at most ``late`` after the newest: a buffer by number, timers and a watermark.
+
+    The rows that count, and those that came too late, by ``verdict``. State is kept in RocksDB; a session
+    that names no state store gets that one.
+    """
+    spark = stream.sparkSession
+    if STATE_STORE not in spark.conf.getAll:
+        spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # the time travels as microseconds: no time zone has a say in it
+    waiting = StructType([f for f in stream.schema.fields if f.name != time]).add("due_", "long")
+    processor = OrderedCutoff(waiting, order, most)
+    out = StructType([*waiting.fields]).add("verdict", "string")
+    rows = stream.withWatermark(time, late).withColumn("due_", F.unix_micros(time))
+    found = rows.groupBy(by).transformWithStateInPandas(processor, out, "append", "eventtime")
+    return found.select(*[F.timestamp_micros("due_").alias(c) if c == time else c for c in stream.columns], "verdict")
+
+
 def per_window(stream: DataFrame, time: str, length: str, late: str) -> DataFrame:
     """Counts by model and window, with a watermark. An extension."""
     return stream.withWatermark(time, late).groupBy(F.window(time, length), "model").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "model", "n")
@@ -68,3 +139,68 @@ def to_table(spark: SparkSession, stream: DataFrame, mode: str, folder: str) ->
 
     drain(spark, stream, mode, folder, keep)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/all" if mode == "complete" else f"{folder}/out/*")
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class OrderedCutoff(StatefulProcessor):
+    """A run's rows in the order of a number, up to the one that reaches so many errors, whatever the order they come in.
+
+    Rows wait in the state until the watermark has passed their time: then no earlier row can still come.
+    They leave by number; one whose time has not come holds up those behind it. A row that comes
+    after a higher number has left is told by ``verdict`` late, and counts no more. Rows without a
+    number come after the others that wait; those without a time don't wait.
+    """
+
+    def __init__(self, kinds: StructType, order: str, most: int) -> None:
+        self.kinds, self.names, self.most = kinds, kinds.names, most
+        self.number, self.due, self.status = (kinds.names.index(c) for c in (order, "due_", "status"))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.kinds)
+        self.judged = handle.getValueState("judged", "last long, errors long")
+
+    def milliseconds(self, row: tuple) -> int:
+        """Up to the next whole one, so that no row leaves before its time; a row without a time waits for none."""
+        return 0 if row[self.due] is None else -(-row[self.due] // 1000)
+
+    def released(self, watermark: int) -> Iterator[pd.DataFrame]:
+        rows = sorted(self.waiting.get(), key=lambda r: (r[self.number] is None, r[self.number] or 0))
+        last, errors = self.judged.get() if self.judged.exists() else (None, 0)
+        ready = [self.milliseconds(r) <= watermark for r in rows]
+        n = ready.index(False) if False in ready else len(ready)
+        out = []
+        for r in rows[:n]:
+            number = r[self.number]
+            if last is not None and number is not None and number < last:
+                out.append((*r, "late"))
+            elif errors < self.most:
+                out.append((*r, "counted"))
+                last, errors = last if number is None else number, errors + (r[self.status] != "success")
+        if n:
+            self.judged.update((last, errors))
+            if rows[n:] and errors < self.most:
+                self.waiting.put(rows[n:])
+            else:
+                self.waiting.clear()
+        yield self.frame(out)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.names, "verdict"], dtype=object)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if self.judged.exists() and self.judged.get()[1] >= self.most:
+            return
+        new = [tuple(None if pd.isna(v) else int(v) if i in (self.number, self.due) else v for i, v in enumerate(r)) for frame in rows for r in frame[self.names].astype(object).itertuples(index=False)]
+        self.waiting.appendList(new)
+        for at in {self.milliseconds(r) for r in new}:
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self.frame([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.released(timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass

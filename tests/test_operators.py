@@ -20,7 +20,7 @@ from inkwell import catalog, inference
 from inkwell.functions import answers, measures, strings
 from inkwell.operators import joins, ordered, selection, summary, views
 from inkwell.plans.records import merge_parameters
-from inkwell.sources import contract, files, rest, sinks
+from inkwell.sources import contract, files, rest, runs, sinks
 from inkwell.streaming import live
 
 RESULT = "seq long, model string, status string, accuracy double, latency double, tokens_per_second double, output_tokens long, cer double, wer double, table_score double, math_score double, iban_emr double, amount_emr double, device string"
@@ -525,3 +525,100 @@ def test_late_answers_change_no_score(spark, tmp_path):
     scored, _ = live.split_late(stream, 1.0)
     row = live.to_table(spark, live.running_summary(scored), "complete", str(tmp_path / "s")).first()
     assert (row.documents, row.success, float(row.score)) == (2, 1, 0.9)
+
+
+def test_a_cutoff_over_shuffled_batches_is_that_of_the_batch_query(spark, tmp_path):
+    r, day = random.Random(7), 1_700_000_000
+    rows = [(r.choice("abc"), i, day + i, r.choice(["success", "success", "failed"])) for i in range(120)]
+    frame = spark.createDataFrame(rows, "run string, seq long, t long, status string")
+    want = {(x.run, x.seq) for x in summary.until_errors(frame, ["run"], 4).collect()}
+    order = sorted(rows, key=lambda x: x[1] + r.uniform(-15, 15))
+    # a run without a name, a row without a number, one without a time; one far too late; and one that ends the stream
+    order = [(None, 1, day, "failed"), (None, None, day + 1, "success"), *order[:60], ("d", 1, None, "success"), *order[60:], ("end", 0, day + 10_000, "success"), ("end", 1, day + 10_000, "success")]
+    for i in range(0, len(order), 25):
+        part = spark.createDataFrame(order[i : i + 25], "run string, seq long, t long, status string").withColumn("t", F.timestamp_seconds("t"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema("run string, seq long, t timestamp, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = live.to_table(spark, live.until_errors_unordered(stream, "run", "seq", "t", "60 seconds", 4), "append", str(tmp_path / "s")).collect()
+    assert {(x.run, x.seq) for x in out if x.run in ("a", "b", "c")} == want and {x.verdict for x in out} == {"counted"}
+    assert {(x.run, x.seq) for x in out if x.run not in ("a", "b", "c", "end")} == {(None, 1), (None, None), ("d", 1)}
+
+
+def test_import_states_follow_the_rules(spark, tmp_path):
+    told = [
+        ("a", 1, "discovered", "accepted", "discovered"), ("a", 2, "downloaded", "illegal", "discovered"), ("a", 3, "documents_detected", "accepted", "documents_detected"),
+        ("a", 3, "documents_detected", "repeated", "documents_detected"), ("a", 4, "downloaded", "accepted", "downloaded"), ("a", 2, "failed", "repeated", "downloaded"),
+        ("a", 5, "ready_without_label", "accepted", "ready_without_label"), ("a", 6, "nonsense", "illegal", "ready_without_label"), ("a", 7, "discovered", "accepted", "discovered"),
+        ("b", 1, "failed", "accepted", "failed"), ("b", None, "discovered", "repeated", "failed"), ("b", 2, None, "illegal", "failed"), (None, 1, "ready", "illegal", ""),
+    ]
+    for batch in (told[:5], told[5:]):
+        spark.createDataFrame([x[:3] for x in batch], "client string, seq long, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("client string, seq long, status string").parquet(str(tmp_path / "in"))
+        out = live.to_parted_table(spark, live.import_states(stream, "client", "seq", "status"), "verdict", str(tmp_path / "s"))
+    assert collections.Counter(map(tuple, out.select("client", "seq", "status", "verdict", "state").collect())) == collections.Counter(told)
+    assert sorted(p.name for p in (tmp_path / "s" / "out").glob("*/verdict=*"))[0] == "verdict=accepted"
+
+
+ENTRY = "image_path string, category string, ground_truth string, bytes long"
+
+
+def test_appends_at_once_lose_nothing(spark, tmp_path):
+    path, errors = str(tmp_path / "c"), []
+
+    def append(i):
+        try:
+            sinks.append_catalog(spark.createDataFrame([(f"{i}.png", "x", "t", 5), (f"{i}b.png", "x", "t", 5)], ENTRY), path)
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=append, args=(i,)) for i in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    read = lambda v=None: sorted(r.image_path for r in sinks.read_catalog(spark, path, "image_path string", v).collect())
+    assert not errors and read() == sorted(f"{i}{b}.png" for i in range(6) for b in ("", "b"))
+    assert [len(read(v)) for v in range(1, 7)] == [2, 4, 6, 8, 10, 12] and sinks.latest_version(sinks.Store(spark, path)) == 6
+    assert sorted(p.name for p in (tmp_path / "c" / "_versions").iterdir() if not p.name.endswith(".crc")) == [f"{i:012d}.json" for i in range(1, 7)]
+
+
+def test_a_failed_append_leaves_nothing(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "c"), spark.createDataFrame([("a.png", "x", "t", 5)], ENTRY)
+    assert sinks.read_catalog(spark, path, "image_path string").count() == 0
+    sinks.append_catalog(rows, path)
+    broken = rows.withColumn("image_path", F.when(F.col("bytes") == 5, F.raise_error(F.lit("no"))).otherwise("a.png"))
+    with pytest.raises(Exception, match="no"):
+        sinks.append_catalog(broken, path)
+    monkeypatch.setattr(sinks.Store, "create", lambda *a: False)
+    with pytest.raises(OSError, match="changed"):
+        sinks.append_catalog(rows, path)
+    monkeypatch.setattr(sinks.Store, "create", lambda *a: (_ for _ in ()).throw(RuntimeError("gone")))
+    with pytest.raises(RuntimeError):
+        sinks.append_catalog(rows, path)
+    assert sinks.read_catalog(spark, path, "image_path string").count() == 1
+    assert len([p for p in (tmp_path / "c").iterdir() if not p.name.startswith(".")]) == 2
+
+
+def test_a_run_is_published_whole_or_not_at_all(spark, tmp_path):
+    path = tmp_path / "runs" / "r1"
+    results = spark.range(100).selectExpr("id as seq", "concat('m', id % 2) as model", "concat('/i', id, '.png') as image_path", "if(id % 7 = 0, 'failed', 'success') as status", "if(id = 3, null, id / 3) as score", "array(id) as boxes").repartition(5)
+    totals = results.groupBy("model").agg(F.avg("score").alias("score"))
+    sinks.save_whole_run(results, totals, str(path))
+    mark = runs.read_run(str(path))
+    assert (mark["rows"], mark["failures"]) == (100, 15) and all((path / f).exists() for f in mark["files"])
+    assert sorted(r.seq for r in spark.read.json(str(path / "results")).collect()) == list(range(100))
+    details = spark.read.option("header", True).csv(str(path / "details"))
+    assert details.count() == 100 and details.where("seq = 3").first().score is None
+    report = "".join(p.read_text() for p in sorted((path / "report").glob("*.md")))
+    assert report.startswith("# Report\n\n| model | score |") and report.count("\n- m") == 15 and "- m0 /i14.png: failed" in report
+    assert (path / "summary.csv").read_text().startswith("model,score")
+    with pytest.raises(Exception, match="there already"):
+        sinks.save_whole_run(results, totals, str(path))
+    sinks.save_whole_run(results.where("seq < 10"), totals, str(path), overwrite=True)
+    assert runs.read_run(str(path))["rows"] == 10
+    # a task fails for good: neither a run nor a staged folder is left
+    broken = results.withColumn("status", F.when(F.col("seq") == 50, F.raise_error(F.lit("killed"))).otherwise("success"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.save_whole_run(broken, totals, str(tmp_path / "runs" / "r2"))
+    assert [p.name for p in (tmp_path / "runs").iterdir()] == ["r1"]
+    sinks.save_whole_run(results.limit(0), totals.limit(0), str(tmp_path / "runs" / "empty"))
+    assert runs.read_run(str(tmp_path / "runs" / "empty"))["rows"] == 0
