@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell import inference
 from inkwell.operators import summary
 from inkwell.shared import fresh_folder
-from inkwell.sources import files, sinks
+from inkwell.sources import archives, files, sinks, taskfiles
 
 from . import frames
 from .registry import Register
@@ -80,6 +84,28 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", files.unsafe_member(path).alias("unsafe"))
 
 
+@Q.add("s7_zip_entries", "SELECT doc_id, md5(text) AS digest, strlen(text) AS bytes FROM documents WHERE doc_id % 10 <> 3 AND text IS NOT NULL")
+def s7_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in archives that tasks make of them: listed, dealt and read back entry by entry; archives with an unsafe member are rejected whole."""
+    path = fresh_folder(spark, "archives")
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", (F.pmod("doc_id", F.lit(10)) == 3).alias("unsafe"))
+
+    def pack(batches):
+        for batch in batches:
+            for unsafe, own in batch.groupby("unsafe"):
+                body = io.BytesIO()
+                with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+                    for i, text in zip(own["doc_id"], own["text"], strict=True):
+                        z.writestr(f"in/{i}.txt" if not unsafe else f"../{i}.txt", text)
+                address = f"{path}/{'un' if unsafe else ''}safe-{own['doc_id'].min()}.zip"
+                taskfiles.write_pieces(address, [body.getvalue()], 1 << 31)
+                yield pd.DataFrame({"path": [address]})
+
+    listed = archives.members(rows.mapInPandas(pack, "path string"))
+    found = archives.contents(listed).where("error is null")
+    return found.select(F.regexp_extract("member", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.md5("content").alias("digest"), F.octet_length("content").cast("long").alias("bytes"))
+
+
 def receipt_sql(k: int) -> str:
     return f"rpad('item ' || (i * {k} % 97), 12, ' ') || ' ' || lpad(printf('%.2f', (i * {k} % 9973) / 100.0), 8, ' ') || ' EUR'"
 

@@ -76,13 +76,18 @@ def unsafe_member(path: Column) -> Column:
     return flat.startswith("/") | flat.rlike("^[A-Za-z]:") | F.array_contains(F.split(flat, "/"), "..")
 
 
+def unsafe_name(name: str) -> bool:
+    """The same of one name."""
+    flat = name.replace("\\", "/")
+    return flat.startswith("/") or bool(re.match("^[A-Za-z]:", flat)) or ".." in PurePosixPath(flat).parts
+
+
 def unzip(archive: str, target: str) -> list[str]:
     """Extract an archive on the driver; one unsafe member rejects it before anything is written, an error undoes all."""
     written: list[str] = []
     with zipfile.ZipFile(archive) as z:
         for name in z.namelist():
-            flat = name.replace("\\", "/")
-            if flat.startswith("/") or re.match("^[A-Za-z]:", flat) or ".." in PurePosixPath(flat).parts:
+            if unsafe_name(name):
                 raise ValueError(f"unsafe member: {name}")
         try:
             for info in z.infolist():

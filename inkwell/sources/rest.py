@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import ssl
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -15,10 +17,12 @@ from urllib.parse import quote, urlencode, urljoin
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from inkwell.operators import selection
 
+from .taskfiles import Opener, checked_target, open_store, write_pieces
+
 MOST_TEXT, MOST_BYTES, TIMEOUT = 100_000, 50 << 20, 30
 EXTENSIONS = {"application/pdf": ".pdf", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png"}
 
@@ -62,11 +66,16 @@ class JsonPages(DataSource):
     Options: url; pages (a partition each), or without it pages are read until one
     is empty or names no next one; page_name (the page's parameter); token_field
     (where a page names the next page's token) and token_name (its parameter);
-    proxy, verify, timeout; token_variable (the environment variable of the secret).
+    proxy, verify, timeout; token_variable (the environment variable of the secret);
+    most_text (0: whole bodies); most_pages.
 
     A row for each page: page, status, kind, bytes, body and error. The body is a text of
-    at most 100 000 characters, null for other content, of which the bytes are told. An
-    error is a row, not a failed task; it ends a listing.
+    at most 100 000 characters unless most_text says otherwise, null for other content, of
+    which the bytes are told. An error is a row, not a failed task; it ends a listing. So
+    does a page or a token that the server has just given, and most_pages.
+
+    As a stream (``spark.readStream``) each batch is a page, and the offset is the next page's number
+    and token: a listing that was cut goes on where it was, from its checkpoint.
     """
 
     @classmethod
@@ -79,6 +88,9 @@ class JsonPages(DataSource):
     def reader(self, schema) -> JsonPagesReader:
         return JsonPagesReader(dict(self.options))
 
+    def simpleStreamReader(self, schema) -> JsonPagesStream:
+        return JsonPagesStream(dict(self.options))
+
 
 def entries(body: str | None, token_field: str) -> tuple[bool, str | None]:
     """Whether a page of a listing holds anything, and the next page's token."""
@@ -103,29 +115,76 @@ class JsonPagesReader(DataSourceReader):
         o = self.options
         try:
             status, kind, body = get(o["url"], parameters, os.environ.get(o.get("token_variable", "")), o.get("proxy", ""), o.get("verify", "true") == "true", float(o.get("timeout", TIMEOUT)))
-        except OSError as e:
+        except (OSError, ValueError) as e:
             return number, None, None, None, None, f"{type(e).__name__}: {e}"
         text = body.decode("utf-8", "replace") if not kind or kind.startswith("text/") or "json" in kind else None
         return number, status, kind or "none", len(body), text, None
 
+    def cut(self, row: tuple) -> tuple:
+        most = int(self.options.get("most_text", MOST_TEXT))
+        return (*row[:4], row[4][:most] if most and row[4] is not None else row[4], row[5])
+
+    def listed(self, number: int, token: str | None) -> tuple[tuple | None, str | None, bool]:
+        """A page of a listing (null if it is beyond the last one), the next one's token, and whether there is a next one."""
+        field = self.options.get("token_field", "")
+        row = self.one(number, {self.options.get("token_name", "page_token"): token} if field else {self.options.get("page_name", "page"): str(number)})
+        some, following = entries(row[4], field)
+        failed = row[5] is not None or row[1] >= 400
+        if not failed and not some and not (field and following) and number > 1:
+            return None, None, False
+        return row, following, not failed and (some or bool(following)) and (bool(following) and following != token if field else True)
+
     def read(self, partition: Page) -> Iterator[tuple]:
-        name, field = self.options.get("page_name", "page"), self.options.get("token_field", "")
-        cut = lambda row: (*row[:4], row[4][:MOST_TEXT] if row[4] is not None else None, row[5])
         if partition.number:
-            yield cut(self.one(partition.number, {name: str(partition.number)}))
+            yield self.cut(self.one(partition.number, {self.options.get("page_name", "page"): str(partition.number)}))
             return
-        number, token = 1, None
-        while True:
-            row = self.one(number, {self.options.get("token_name", "page_token"): token} if field else {name: str(number)})
-            some, token = entries(row[4], field)
-            if row[5] is None and row[1] < 400 and not some and not (field and token) and number > 1:
-                return
-            yield cut(row)
-            if row[5] is not None or row[1] >= 400 or not some and not token or field and not token:
+        number, token, more, before = 1, None, True, None
+        most = int(self.options.get("most_pages", 0))
+        while more and not (most and number > most):
+            row, token, more = self.listed(number, token)
+            if row is None or row[4] is not None and row[4] == before:
                 return
+            before = row[4]
+            yield self.cut(row)
             number += 1
 
 
+class JsonPagesStream(SimpleDataSourceStreamReader):
+    """A listing page by page. An offset names the page to read next; one that is not there yet is asked for again."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.pages = JsonPagesReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"page": 1, "token": None, "before": None, "over": False}
+
+    def after(self, start: dict) -> tuple[list[tuple], dict]:
+        if start["over"]:
+            return [], start
+        row, token, more = self.pages.listed(start["page"], start["token"])
+        if row is None or row[5] is not None or row[1] >= 400:
+            return [], start  # asked for again with the next batch
+        mark = hashlib.sha256((row[4] or "").encode()).hexdigest()
+        if mark == start["before"]:
+            return [], start
+        # a listing by tokens that names no next page is over; one by numbers may grow
+        return [self.pages.cut(row)], {"page": start["page"] + 1, "token": token, "before": mark, "over": bool(self.pages.options.get("token_field")) and not more}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self.after(start)
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        while start["page"] < end["page"]:
+            rows, start = self.after(start)
+            if not rows:
+                raise OSError(f"page {start['page']} is no longer there")
+            yield from rows
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def json_pages(spark: SparkSession, url: str, pages: int | None = None, **options: str) -> DataFrame:
     """The pages of an address; with ``pages`` a partition each, else until the last one."""
     spark.dataSource.register(JsonPages)
@@ -162,28 +221,27 @@ class ClientApi:
             raise OSError(f"status {status}")
         return kind, body
 
-    def take(self, client: str, target: str, token: str) -> dict:
+    def take(self, client: str, target: str, token: str, opened: Opener = open_store) -> dict:
         """Both documents and the label of a client, in files of its own folder."""
-        folder = f"{target}/{client}"
-        os.makedirs(folder, exist_ok=True)
-        found = {}
+        folder, found = f"{target}/{client}", {}
         for side in ("recto", "verso"):
             kind, body = self.fetch(getattr(self, side), client, token)
             if kind not in EXTENSIONS:
                 raise ValueError(f"unsupported type: {kind}")
-            found[side] = write_whole(f"{folder}/{client}_{side}{EXTENSIONS[kind]}", body)
+            found[side] = write_whole(f"{folder}/{client}_{side}{EXTENSIONS[kind]}", body, opened)
         label = json.loads(self.fetch(self.label, client, token)[1])
         if not isinstance(label, dict):
             raise ValueError("the label is no JSON object")
-        found["label"] = write_whole(f"{folder}/{client}.json", json.dumps(label, ensure_ascii=False, indent=2).encode())
+        found["label"] = write_whole(f"{folder}/{client}.json", json.dumps(label, ensure_ascii=False, indent=2).encode(), opened)
         return found
 
 
 IMPORTED = "client_id string, status string, issue string, recto_source string, verso_source string, label_path string"
 
 
-def import_clients(clients: DataFrame, api: ClientApi, target: str) -> DataFrame:
-    """A row for each client id that is not blank: ready with its files, or failed with the reason. Tasks write to ``target``, a folder all of them share."""
+def import_clients(clients: DataFrame, api: ClientApi, target: str, opened: Opener = open_store) -> DataFrame:
+    """A row for each client id that is not blank: ready with its files, or failed with the reason. Tasks write to ``target``, which is checked to be shared."""
+    target = checked_target(clients.sparkSession, target)
     token = os.environ.get(api.token_variable)
     if not token:
         raise RuntimeError(f"the environment variable {api.token_variable} is not set")
@@ -198,7 +256,7 @@ def import_clients(clients: DataFrame, api: ClientApi, target: str) -> DataFrame
                     row["issue"] = "client_id_invalid"
                 else:
                     try:
-                        found = api.take(client, target, token)
+                        found = api.take(client, target, token, opened)
                         row |= {"status": "ready", "recto_source": found["recto"], "verso_source": found["verso"], "label_path": found["label"]}
                     except (OSError, ValueError, TypeError) as e:
                         row["issue"] = f"{type(e).__name__}: {e}"
@@ -208,35 +266,65 @@ def import_clients(clients: DataFrame, api: ClientApi, target: str) -> DataFrame
     return ids.mapInPandas(run, IMPORTED)
 
 
-def write_whole(path: str, body: bytes) -> str:
+def write_whole(address: str, body: bytes, opened: Opener = open_store) -> str:
     """Written under another name first."""
-    if len(body) > MOST_BYTES:
-        raise ValueError("the document is too large")
-    with open(path + ".part", "wb") as f:
-        f.write(body)
-    os.replace(path + ".part", path)
-    return path
+    write_pieces(address, [body], MOST_BYTES, opened)
+    return address
 
 
-def download(url: str, target: str) -> str:
-    """A document of a supported type, at most 50 MiB, written under another name first."""
-    with urllib.request.urlopen(url, timeout=TIMEOUT) as answer:
+def download(url: str, target: str, token: str | None = None, proxy: str = "", verify: bool = True, timeout: float = TIMEOUT, opened: Opener = open_store) -> str:
+    """A document of a supported type, at most 50 MiB, streamed to a file under another name first."""
+    request = urllib.request.Request(url)
+    if token:
+        request.add_header("Authorization", f"Bearer {token}")
+    with opener(proxy, verify).open(request, timeout=timeout) as answer:
         extension = EXTENSIONS.get(answer.headers.get_content_type())
         if extension is None:
             raise ValueError(f"unsupported type: {answer.headers.get_content_type()}")
-        path, size = target + extension, 0
-        try:
-            with open(path + ".part", "wb") as f:
-                while piece := answer.read(1 << 20):
-                    size += len(piece)
-                    if size > MOST_BYTES:
-                        raise ValueError("the document is too large")
-                    f.write(piece)
-            os.replace(path + ".part", path)
-        finally:
-            if os.path.exists(path + ".part"):
-                os.unlink(path + ".part")
-    return path
+        write_pieces(target + extension, iter(lambda: answer.read(1 << 20), b""), MOST_BYTES, opened)
+    return target + extension
+
+
+DOWNLOADED = "name string, url string, path string, tries int, error string"
+
+
+def download_all(
+    documents: DataFrame, target: str, token_variable: str = "", proxy: str = "", verify: bool = True, timeout: float = TIMEOUT,
+    tries: int = 3, pause: float = 0.5, opened: Opener = open_store,
+) -> DataFrame:
+    """Fetch the documents (name, url) into ``target`` by tasks: path, tries and error of each.
+
+    A connection that fails or a server's own error is tried again, each time after twice the pause;
+    any other answer is final. The store is checked to be one that all tasks share. A name
+    with a slash or dots that lead elsewhere is refused.
+    """
+    target, token = checked_target(documents.sparkSession, target), os.environ.get(token_variable) if token_variable else None
+    if token_variable and not token:
+        raise RuntimeError(f"the environment variable {token_variable} is not set")
+
+    def fetch(name: str, url: str) -> tuple:
+        if not re.fullmatch(r"[^/\\\x00]+", name or "") or name in (".", ".."):
+            return name, url, None, 0, "unsafe name"
+        for i in range(1, tries + 1):
+            try:
+                return name, url, download(url, f"{target}/{name}", token, proxy, verify, timeout, opened), i, None
+            except urllib.error.HTTPError as e:
+                error, again = f"HTTPError: status {e.code}", e.code >= 500
+            except OSError as e:
+                error, again = f"{type(e).__name__}: {e}", True
+            except ValueError as e:
+                error, again = f"{type(e).__name__}: {e}", False
+            if not again:
+                break
+            if i < tries:
+                time.sleep(pause * 2 ** (i - 1))
+        return name, url, None, i, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([fetch(n, u) for n, u in zip(batch["name"], batch["url"], strict=True)], columns=["name", "url", "path", "tries", "error"])
+
+    return documents.select("name", "url").distinct().mapInPandas(run, DOWNLOADED)
 
 
 def model_names(spark: SparkSession, host: str) -> DataFrame:

@@ -14,13 +14,14 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from inkwell import catalog, inference
 from inkwell.functions import answers, measures, strings
 from inkwell.operators import joins, ordered, selection, summary, views
 from inkwell.plans.records import merge_parameters
-from inkwell.sources import contract, files, rest, runs, sinks
+from inkwell.sources import archives, contract, files, rest, runs, sinks, taskfiles
 from inkwell.streaming import live
 
 RESULT = "seq long, model string, status string, accuracy double, latency double, tokens_per_second double, output_tokens long, cer double, wer double, table_score double, math_score double, iban_emr double, amount_emr double, device string"
@@ -199,6 +200,45 @@ def test_archives(spark, tmp_path):
     assert len(files.unzip(str(tmp_path / "good.zip"), str(tmp_path / "t"))) == 1
 
 
+def shop(root):
+    """A store that is no local folder: addresses shop://x under a root that only the opener knows."""
+
+    def opened(address):
+        return fs.SubTreeFileSystem(str(root), fs.LocalFileSystem()), address.removeprefix("shop://")
+
+    return opened
+
+
+def test_archives_are_split_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "TASK_BYTES", 300)
+    (tmp_path / "in").mkdir()
+    for name, some in (("good.zip", {f"in/{i}.txt": f"text {i} " * 20 for i in range(12)}), ("bad.zip", {"ok.txt": "x", "../outside.txt": "y"}), ("drive.zip", {"C:x": "z"})):
+        with zipfile.ZipFile(tmp_path / "in" / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.mkdir("empty/")
+            for m, text in some.items():
+                z.writestr(m, text)
+    with zipfile.ZipFile(tmp_path / "in" / "torn.zip", "w") as z:
+        z.writestr("a.txt", "first" * 50)
+        z.writestr("b.txt", "second" * 50)
+    torn = (tmp_path / "in" / "torn.zip").read_bytes()
+    (tmp_path / "in" / "torn.zip").write_bytes(torn.replace(b"firstfirst", b"firxtfirst", 1))
+    (tmp_path / "in" / "none.zip").write_bytes(b"no archive")
+    paths = spark.createDataFrame([(f"shop://in/{n}.zip",) for n in ("good", "good", "bad", "drive", "torn", "none", "lost")] + [(None,)], "path string")
+    listed = archives.members(paths, opened=shop(tmp_path))
+    told = collections.defaultdict(list)
+    for r in listed.collect():
+        told[r.archive].append((r.member, r.error))
+    assert len(told["shop://in/good.zip"]) == 12 and told["shop://in/bad.zip"] == [(None, "unsafe member: ../outside.txt")] and "C:x" in told["shop://in/drive.zip"][0][1]
+    assert told["shop://in/none.zip"][0][0] is None and told["shop://in/none.zip"][0][1] and "FileNotFoundError" in told["shop://in/lost.zip"][0][1]
+    assert archives.dealt(listed).rdd.getNumPartitions() > 8
+    found = {(r.archive[10:], r.member): (r.content, r.error) for r in archives.contents(listed, opened=shop(tmp_path)).collect()}
+    assert {m: bytes(c).decode() for (a, m), (c, _) in found.items() if a == "good.zip"} == {f"in/{i}.txt": f"text {i} " * 20 for i in range(12)}
+    assert "CRC" in found["torn.zip", "a.txt"][1] and bytes(found["torn.zip", "b.txt"][0]) == b"second" * 50
+    wrote = archives.extract(listed, "shop://out", most=250, opened=shop(tmp_path)).collect()
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == sorted(f"good/in/{i}.txt" for i in range(12))
+    assert {r.member for r in wrote if r.error and "too large" in r.error} == {"b.txt"} and sum(r.path is not None for r in wrote) == 12
+
+
 def test_retention_spares_other_folders(tmp_path):
     for name in ("20240101-000000-0a1b2c3d", "cni-20240101-000000-0a1b2c3d", "keep"):
         (tmp_path / name).mkdir()
@@ -216,6 +256,10 @@ def test_catalog_append_refuses(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "c")).first().category == "big_cat"
 
 
+#: Queries and paths of addresses that count them.
+asked = []
+
+
 @pytest.fixture
 def server():
     """Answers by path: documents, listings of three pages, client routes, a chat."""
@@ -238,6 +282,26 @@ def server():
             elif path == "/tokens":
                 n = int(values.get("page_token", "0"))
                 self.answer("application/json", {"files": [n], "next": str(n + 1) if n < 2 else None})
+            elif path == "/long":
+                self.answer("application/json", "x" * 250_000)
+            elif path == "/same":
+                self.answer("application/json", ["same"])
+            elif path == "/endless":
+                self.answer("application/json", [int(values["page"])])
+            elif path == "/stuck":
+                asked.append(path)
+                self.answer("application/json", {"files": [len(asked)], "next": "1"})
+            elif path == "/growing":
+                asked.append(query)
+                n = int(values.get("page_token", "0"))
+                self.answer("application/json", {"files": [n], "next": str(n + 1) if n < 5 else None})
+            elif path.startswith("/flaky/"):
+                asked.append(path)
+                self.answer("application/pdf", b"%PDF", 200 if asked.count(path) > 2 else 502)
+            elif path == "/down":
+                self.answer("application/json", {}, 503)
+            elif path == "/nothing":
+                self.answer("application/json", {}, 404)
             elif path == "/broken":
                 self.answer("application/json", {"error": "no"}, 500)
             elif path == "/binary":
@@ -303,6 +367,67 @@ def test_bodies_proxies_and_certificates(spark, server):
     assert strict.check_hostname and not loose.check_hostname
 
 
+def test_whole_bodies_and_listings_that_never_end(spark, server):
+    long = rest.json_pages(spark, f"{server}/long", 1).first()
+    assert (len(long.body), long.bytes) == (100_000, 250_002)
+    assert len(rest.json_pages(spark, f"{server}/long", 1, most_text="0").first().body) == 250_002
+    assert [json.loads(r.body) for r in rest.json_pages(spark, f"{server}/same").collect()] == [["same"]]
+    assert rest.json_pages(spark, f"{server}/endless", most_pages="4").count() == 4
+    assert rest.json_pages(spark, f"{server}/stuck", token_field="next").count() == 2
+    assert "ValueError" in rest.json_pages(spark, f"{server}/list", 1, timeout="0").first().error
+
+
+def test_documents_are_fetched_by_tasks(spark, server, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", f"{server}/doc/1"), ("a", f"{server}/doc/1"), ("b", f"{server}/list"), ("c", f"{server}/flaky/c"), ("d", f"{server}/down"), ("e", "http://127.0.0.1:9/x"), ("../f", f"{server}/doc/2"), ("g", f"{server}/nothing")], "name string, url string")
+    got = {r.name: r for r in rest.download_all(rows, "shop://docs", pause=0.01, opened=shop(tmp_path)).collect()}
+    assert (got["a"].path, got["a"].tries) == ("shop://docs/a.pdf", 1) and (tmp_path / "docs" / "a.pdf").read_bytes() == b"%PDF"
+    assert "unsupported" in got["b"].error and got["b"].tries == 1
+    assert got["c"].path == "shop://docs/c.pdf" and got["c"].tries == 3
+    assert "503" in got["d"].error and got["d"].tries == 3 and got["e"].tries == 3 and got["../f"].error == "unsafe name" and "404" in got["g"].error and got["g"].tries == 1
+    assert sorted(p.name for p in (tmp_path / "docs").iterdir()) == ["a.pdf", "c.pdf"]
+    monkeypatch.setattr(rest, "MOST_BYTES", 3)
+    with pytest.raises(ValueError, match="too large"):
+        rest.download(f"{server}/doc", str(tmp_path / "big"))
+    assert not list(tmp_path.glob("*big*"))
+    with pytest.raises(RuntimeError):
+        rest.download_all(rows, "shop://docs", token_variable="NO_SUCH_VARIABLE")
+
+
+def test_targets_must_be_shared():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://x:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: "file:///shared/points" if "checkpoint" in name else default)
+
+    assert taskfiles.checked_target(Session, "s3://bucket/x/") == "s3://bucket/x"
+    assert taskfiles.checked_target(Session, "/shared/points/out") == "/shared/points/out"
+    for own in ("/tmp/x", "file:///tmp/x", "/shared/points-not"):
+        with pytest.raises(ValueError, match="one machine"):
+            taskfiles.checked_target(Session, own)
+
+
+def test_a_listing_as_a_stream_goes_on_where_it_was(spark, server, tmp_path):
+    spark.dataSource.register(rest.JsonPages)
+    asked.clear()
+
+    def run(batches):
+        stream = spark.readStream.format("json_pages").option("url", f"{server}/growing").option("token_field", "next").load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="100 milliseconds").start()
+        until = time.monotonic() + 60
+        while time.monotonic() < until and spark.read.schema("page int").parquet(str(tmp_path / "out")).count() < batches if (tmp_path / "out").exists() else time.monotonic() < until:
+            time.sleep(0.1)
+        query.stop()
+        return sorted(r.page for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = run(3)
+    assert first[:3] == [1, 2, 3] and len(first) == len(set(first))
+    count = len(asked)
+    second = run(6)
+    assert second == [1, 2, 3, 4, 5, 6] and "page_token=0" not in asked[count:] and "" not in asked[count:]
+
+
 def test_import_of_clients(spark, server, tmp_path, monkeypatch):
     api = rest.ClientApi(server, "/clients/{client_id}/recto", "clients/{client_id}/verso", "clients/{client_id}/label", token_variable="TEST_SECRET")
     clients = spark.createDataFrame([(" c1 ",), ("",), (None,), ("c1",), ("../x",), ("gone",), ("list",)], "client_id string")
