@@ -4,8 +4,11 @@ A page is cut into flat blocks of text at its block-level tags. Each block has
 its word count, link density and text density, those of both neighbours, its
 kind of tag, and what its containers hold. A decision tree (Gini splits),
 trained on the small labelled table below, says which blocks belong to the
-article. A class name alone never decides: it counts with the share of the page
-that the element of this name holds.
+article. A class name alone doesn't decide: it counts with the share of the page
+that the element of this name holds, and with the words and links of its longest
+block, so a section of prose stays whatever it is called. Only names of reader
+comments, which are prose too, count as they stand. A form that holds more than half of
+the page, with any article in it, is a container like others.
 
 Defined cases: a null or empty page, and one without an article block, gives an
 empty text; a page may have any size and is read whole, in time in proportion;
@@ -53,11 +56,13 @@ BESIDE = frozenset("nav footer aside form menu dialog head title button fieldset
 #: Words of class names, ids and roles; those in SOFT don't count beside one of OWN.
 HARD = frozenset("ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe".split())
 SOFT = frozenset("banner copyright footer header masthead notice overlay toolbar widget".split())
+#: Names of reader comments.
+REPLIES = frozenset("comment comments disqus replies".split())
 OWN = frozenset("article body content entry main post story text title".split())
 
 NAMES = (
     "words", "links", "density", "words_before", "words_after", "links_before", "links_after", "density_before", "density_after",
-    "sentence", "heading", "list", "prose", "in_core", "has_core", "beside", "page_header", "container_share", "marked_share",
+    "sentence", "heading", "list", "prose", "in_core", "has_core", "beside", "page_header", "container_share", "marked_share", "replies", "marked_longest",
 )
 COLUMNS = 80
 
@@ -67,7 +72,9 @@ class Element:
     tag: str
     parent: int
     marked: bool = False
+    replies: bool = False
     words: int = 0
+    longest: int = 0  # words outside links of its longest block
     plain: int = 0  # words outside links, not those of elements inside that are containers
 
 
@@ -80,9 +87,13 @@ class Block:
     text: str = ""
 
 
-def is_marked(tag: str, attributes: str) -> bool:
+def name_words(attributes: str) -> list[str]:
+    """The words of an element's class names, id and role."""
+    return [p.lower() for m in MARKS.findall(attributes) for p in PARTS.findall("".join(m))]
+
+
+def is_marked(tag: str, words: list[str]) -> bool:
     """Whether a class name, id or role speaks against the element; one of a paragraph or the like must do so with every word."""
-    words = [p.lower() for m in MARKS.findall(attributes) for p in PARTS.findall("".join(m))]
     if not words or tag in ("html", "body", "main"):
         return False
     if tag in PROSE:
@@ -186,7 +197,9 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
             if top == "p" or name == top and name in ("li", "dt", "dd", "tr", "option"):
                 pop()
             if name not in VOID:
-                elements.append(Element(name, stack[-1], is_marked(name, html[m.end() : at])))
+                named = name_words(html[m.end() : at])
+                marked = is_marked(name, named)
+                elements.append(Element(name, stack[-1], marked, marked and not REPLIES.isdisjoint(named)))
                 stack.append(len(elements) - 1)
                 opened[name] += 1
     put(html[at:])
@@ -197,23 +210,31 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
 def features(blocks: list[Block], elements: list[Element]) -> np.ndarray:
     """A row of NAMES for each block, in time in proportion to blocks and elements."""
     for b in blocks:
-        elements[b.element].words += b.words
-    for e in reversed(elements):
-        if e.parent >= 0:
-            elements[e.parent].words += e.words
+        e = elements[b.element]
+        e.words += b.words
+        e.longest = max(e.longest, b.words - b.linked)
+    within = [int(e.tag in ("article", "main")) for e in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        e, up = elements[i], elements[elements[i].parent]
+        up.words += e.words
+        up.longest = max(up.longest, e.longest)
+        within[e.parent] += within[i]
     # from parents to children: containers, and what the tags and names around say
     beside, header, marked, container = [False], [False], [False], [0]
     for i, e in enumerate(elements[1:], 1):
         p = e.parent
-        beside.append(beside[p] or e.tag in BESIDE)
+        page = e.tag == "form" and 2 * e.words > elements[0].words and within[i] == within[0]
+        beside.append(beside[p] or e.tag in BESIDE and not page)
         marked.append(marked[p] or e.marked)
         container.append(container[p] if e.tag in PROSE or e.tag in CARRIERS else i)
     for b in blocks:
         elements[container[b.element]].plain += b.words - b.linked
     most = max([e.plain for e in elements] + [1])
     clear = max((e.plain for e, x, y in zip(elements, beside, marked, strict=True) if not (x or y)), default=0)
-    share, articles = [1.0], {"article": [], "main": []}
+    share, articles, replies, named = [1.0], {"article": [], "main": []}, [False], [0]
     for i, e in enumerate(elements[1:], 1):
+        replies.append(replies[e.parent] or e.replies)
+        named.append(i if e.marked else named[e.parent])
         share.append(min(share[e.parent], e.words / max(e.words + clear, 1)) if e.marked else share[e.parent])
         if e.tag in articles and e.words and not beside[i]:
             articles[e.tag].append(i)
@@ -232,7 +253,8 @@ def features(blocks: list[Block], elements: list[Element]) -> np.ndarray:
         x[:3] = b.words, b.linked / b.words, b.words / max(1.0, len(b.text) / COLUMNS)
         x[9:13] = b.text[-1] in ".!?…:;\"”»)。！？", e.tag in HEADINGS, e.tag in LISTS, e.tag in PROSE
         x[13:17] = core[b.element], bool(found), beside[b.element], header[b.element]
-        x[17:] = elements[container[b.element]].plain / most, share[b.element]
+        near = named[b.element]
+        x[17:] = elements[container[b.element]].plain / most, share[b.element], replies[b.element], elements[near].longest if near else 0
     before, after = np.r_[0, : len(out) - 1], np.r_[1 : len(out), len(out) - 1]
     if len(out):
         x = out[:, :3].copy()
@@ -294,6 +316,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> Tree:
             nodes[i][:2] = best[1], best[2]
             nodes[i][2] = build(rows[go], left_over - 1)
             nodes[i][3] = build(rows[~go], left_over - 1)
+            below = [nodes[k] for k in nodes[i][2:4]]
+            if all(b[0] < 0 for b in below) and below[0][4] == below[1][4]:  # a cut between equal leaves says nothing
+                nodes[i:] = [[-1, 0.0, 0, 0, below[0][4]]]
         return i
 
     build(np.arange(len(y)), depth)
@@ -335,6 +360,34 @@ LABELLED = (
     "<div class=masthead>-3</div><div><p>+40.<p>+36.<div class=advert><p>-17.</div><p>+28.<p>+4.</div><div class=subscribe>-21.</div><div class=footer><ul><li>-2<li>-3</ul></div>",
     "<div class=page><div class=modal><p>-31.</div><div class=entry><h1>+3</h1><p>+55.<p class=comment-note>+19.<p class=note>+6.<h3>+2</h3><p>+44.</div></div>",
     "<div class='banner story'><h1>+4</h1><p>+60.<p>+45.</div><div class=banner>-5</div>",
+    # a story shorter than what lies about it
+    "<article><p>+15.<p>+2.<p>+8.</article><p>-38.<p>-22.",
+    "<div class=top>-4</div><article><h1>+3</h1><p>+5.<p>+11.<p>+2.</article><div class=ad>-40.</div><div>-25.</div>",
+    "<article><p><a>+4</a><p><a>+9</a><p>+3.</article><footer><p><a>-4</a><p>-6.</footer>",
+    # names mislead: prose in sections with such names, and what deserves them
+    "<article><h1>+4</h1><p>+30.<section class='sponsored-research'><h2>+3</h2><p>+26.<p>+31.<p>+2.</section><p>+22.</article><footer>-9.</footer>",
+    "<article><h1>+5</h1><p>+28.<div class='share-price'><p>+24.</div><p>+35.<div class='share-buttons'>-3</div><p>+1.</article>",
+    "<main><h1>+3</h1><section id=social><h2>+2</h2><p>+27.<p>+33.</section><section><p>+25.</section><section class=social><ul><li><a>-1</a><li><a>-2</a></ul></section></main>",
+    "<main><section class='related-work'><h2>+2</h2><p>+41.<p>+3.<p>+38.</section><section><h2>+1</h2><p>+50.</section><section class=related><h2>-2</h2><p><a>-6</a><p><a>-8</a></section></main>",
+    "<article><h1>+6</h1><p>+44.<div class='subscribe popup'><h3>-3</h3><p>-14.<p>-9.</div><p>+39.<div class=promo><h3>-2</h3><p>-12. <a>=3</a></div><p>+3.</article>",
+    "<article><h1>+4</h1><div class='sponsored section'><p>+29.<p>+48.</div><div class=sponsored><p>-11 <a>=4</a></div><div class='ad slot'>-16.</div><p>+21.</article>",
+    "<article><p>+32.<div class='newsletter-history'><h2>+3</h2><p>+37.<p>+1.<p>+45.</div><div class=newsletter><p>-15.<p>-4</div></article>",
+    "<main><h1>+5</h1><p>+36.<div class='popup-book'><p>+42.<p>+23.</div><div class='replies'><p>-38.<p>-27.<p>-3.</div><div class='comment-list'><p>-44.<p>-2.</div></main>",
+    "<article><p>+26.<div class=related><h3>-3</h3><p>-5 <a>=7</a><p>-4 <a>=9</a></div><p>+47.<div class=sidebar><p>-13.<p>-7.</div></article>",
+    # forms that hold the page, and forms on it
+    "<form id=main-form><div>-3</div><div class=menu><a>-2</a></div><div><h1>+5</h1><p>+40.<p>+3.<p>+36.</div><div>-4</div></form>",
+    "<form><nav><a>-2</a><a>-1</a></nav><article><h1>+4</h1><p>+31.<p>+2.</article><footer>-8.</footer></form>",
+    "<form><h1>+4</h1><p>+28.<p>+33.<p>+1.<p>+24.</form><footer>-6.</footer>",
+    "<h1>+4</h1><p>+30.<p>+28.<form><p>-12.<label>-2</label><p>-3</form>",
+    "<article><h1>+2</h1><p>+9.</article><form><h2>-2</h2><p>-30.<p>-22.</form>",
+    # flat pages: a block's own words, and the links of the blocks beside it
+    "<p><a>-3</a><p>-4.<p><a>-2</a><p>+40.<p><a>-5</a><p>-6.<p><a>-3</a><p>+38.<p><a>-4</a><p>-5.<p><a>-2</a>",
+    "<p><a>-6</a><p>+33.<p><a>-4</a><p>-3.<p><a>-7</a><p>+27.<p><a>-3</a><p>-5.<p><a>-4</a>",
+    "<p><a>-3</a><p>-9<p><a>-4</a><p>+36.<p>+3.<p>+52.<p>+29.<p><a>-6</a><p>-8<p><a>-5</a>",
+    "<p><a>-2</a><p>-6.<p><a>-1</a><p>-7.<p><a>-2</a><h1>+5</h1><p>+33.<p>+27.<p>+44.<p>+2.<p>+31.",
+    "<h1>+6</h1><p>+34.<p>+9.<p>+28.<p><a>-4</a><p>-9.<p><a>-3</a><p>-8.<p><a>-7</a>",
+    "<div>-4</div><div>-11.</div><div><a>-3</a></div><div>-10.</div><div><a>-2</a></div><div>+58.</div><div>+11.</div><div>+63.</div><div><a>-4</a></div><div>-12.</div><div><a>-4</a></div>",
+    "<ul><li><a>-2</a><li>-4<li><a>-3</a></ul><p>+30.<ul><li>+4<li>+6.<li>+2</ul><p>+26.<ul><li><a>-4</a><li>-3<li><a>-2</a></ul>",
     # neither tags nor names: words and links of a block, its neighbours and its container
     "<body><ul><li><a>-1</a><li><a>-5</a></ul><h1>+4</h1><p>+17.<p>+18.<p><a>-2</a> <a>=2</a><p><a>-9</a>",
     "<body><p>-2<div><p>+17.<p>+19.</div><p><a>-1</a>",

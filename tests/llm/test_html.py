@@ -78,6 +78,14 @@ CASES = {
     "sections": (f"<article><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>No.</p></section></article><div>Off</div>", f"One|{LONG}|Two|No."),
     "quotes in tags": (f"<article><p don't>{LONG}</p><p title='x>y' id = \"a>b\">End</p></article>", f"{LONG}|End"),
     "empty and unclosed elements": (f"<article><p>{LONG}</p><svg/><p>One</p><select><option>no</select><p>Two</p><object><p>Three</p></article>", f"{LONG}|One|Two|Three"),
+    "a page in one form": (f"<body><form id=aspnetForm><div id=hdr>Site</div><div class=menu><a>Home</a></div><h1>H</h1><p>{LONG}</p><p>{LONG}</p><div>End</div></form>", f"H|{LONG}|{LONG}"),
+    "an article in a form": (f"<form><nav><a>Home</a></nav><article><h1>H</h1><p>{LONG}</p><p>So.</p></article></form>", f"H|{LONG}|So."),
+    "a long form beside an article": (f"<article><p>Short.</p><p>{LONG}</p></article><form><p>{LONG}</p><p>{LONG}</p></form>", f"Short.|{LONG}"),
+    "a section about sponsors": (f"<article><h1>H</h1><p>{LONG}</p><section class='sponsored-research'><p>{LONG}</p></section></article>", f"H|{LONG}|{LONG}"),
+    "prices of shares": (f"<article><p>{LONG}</p><div class='share-price'><p>{LONG}</p></div><div class=share-buttons>Send this</div></article>", f"{LONG}|{LONG}"),
+    "a section named social": (f"<main><h1>H</h1><section id='social'><h2>S</h2><p>{LONG}</p></section><p>{LONG}</p></main>", f"H|S|{LONG}|{LONG}"),
+    "a newsletter inside": (f"<article><p>{LONG}</p><div class=newsletter><p>Get our letters by mail every week.</p></div><p>{LONG}</p></article>", f"{LONG}|{LONG}"),
+    "long comments in main": (f"<main><h1>H</h1><p>{LONG}</p><div class='comment-list'><p>{LONG}</p><p>Yes.</p></div></main>", f"H|{LONG}"),
     "references": ("<article><p>&lt;A&gt; &amp; B&am &#65; &#000000000000065; &#x1F600; c&nbsp;&#160; d</p></article>", "<A> & B&am A A 😀 c d"),
     "no tag": ("<article><p>a < b <3 >> c</p></article>", "a < b <3 >> c"),
     "a tag never closed": ("<article><p>A</p><p>B <a href=", "A|B"),
@@ -115,7 +123,10 @@ def test_unmatched_ends_take_no_time(tree):
 
 def test_tree_uses_the_dealt_features_and_fits_its_table(tree):
     used = {html_text.NAMES[c] for c in tree.column if c >= 0}
-    assert {"links", "words_before", "words_after"} <= used
+    assert {"words", "links", "words_before", "words_after", "links_before", "links_after"} <= used
+    inner = np.flatnonzero(tree.column >= 0)
+    leaf = tree.column < 0
+    assert not any(leaf[a] and leaf[b] and tree.label[a] == tree.label[b] for a, b in zip(tree.left[inner], tree.right[inner], strict=True))
     wrong = rows = 0
     for page in html_text.LABELLED:
         filled = html_text.FILL.sub(lambda m: m[1].strip("=") + " ".join(["words"] * int(m[2])) + m[3], page)
