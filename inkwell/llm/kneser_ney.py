@@ -17,11 +17,12 @@ words or pairs reaches the driver: only sums do, and the HOT contexts.
 There are as many parts as ``PART_BYTES`` go into the texts; a task reduces one part
 at a time. A file that a part should have and has not is an error, never "no such word".
 
-Words are told apart by digests of 128 bits with a secret key, drawn anew for each model, so
-no texts can be made to have one digest. Half of it is the hash that orders the
-files; the other half is held beside it and compared wherever hashes agree. Two words
-of the training texts with one hash (of a thousand million words by chance in 3 of
-100 models) are an error, never one word; train anew then.
+Words are told apart by keys of 128 bits: a word of up to 15 bytes by its bytes and their
+number, a longer one by a digest under a secret, drawn anew for each model, so no
+texts can be made to share one. A key is held in two halves: one, scrambled with the secret, is the hash
+that orders the files; the other is held beside it and compared wherever hashes
+agree. Two words of the training texts with one hash (of a thousand million words by
+chance in 3 of 100 models) are an error, never one word; train anew then.
 
 Lower-cased A-Z; tokens are white-space words and one end for each text. Defined
 cases: a null or empty text is one end token; words not in training get the
@@ -40,38 +41,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrayfiles
-from .arrowtext import DIGEST, LOWER, digests, distinct_spans, mix64, secret, small_batches, span_hashes, text_chunks, words
+from .arrowtext import DIGEST, FIRST_BYTES, LOWER, digests, distinct_spans, eights, mix64, secret, small_batches, span_hashes, text_chunks, words
 from .shared import fresh_path, kept, parts_for
 
 #: The end token, the id before a text's first word, the id of unknown words.
 END = np.frombuffer(b" end", np.uint8)
+#: Words of up to so many bytes are their own keys.
+SHORT = 15
 BEGIN, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
 #: So many different words have ids of 32 bits besides these two; more are an error.
 MOST_WORDS = 0xFFFFFFFE
-#: Contexts whose pairs are dealt by pair, and pairs or words gathered before a block is sent.
+#: Contexts whose pairs are dealt by pair, and pairs (or half as many words) gathered before a block is sent.
 HOT, FLUSH = 1024, 3_000_000
 #: Bytes of text whose words or pairs make a part.
 PART_BYTES = 64 << 20
 BLOCKS = "part int, packed binary"
 
 
+def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """Hash and check of each word: the same two for the same bytes, and together never for others."""
+    lane, size = eights(raw), ends - starts
+    low = lane[starts] & FIRST_BYTES[np.minimum(size, 8)]
+    high = lane[np.minimum(starts + 8, len(raw))] & FIRST_BYTES[np.clip(size - 8, 0, 7)]
+    high |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    if (long := np.flatnonzero(size > SHORT)).size:
+        first, which = distinct_spans(raw, starts[long], ends[long], span_hashes(raw, starts[long], ends[long]))
+        found = digests(raw, starts[long][first], ends[long][first], key)[which]
+        low[long], high[long] = found["hash"], found["check"] | np.uint64(0xFF << 56)
+    out = np.empty(len(starts), DIGEST)
+    one, two = np.frombuffer(key, "<u8")
+    # given the check, the hash says the other half
+    out["check"], out["hash"] = low, mix64(high ^ mix64(mix64(low ^ one) + two))
+    return out
+
+
 def tokens_of(raw: np.ndarray, offsets: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of the different tokens in order of their hash, which of them each token is, and its row: the words of a row, then its end."""
+    """Keys of the different tokens in order of their hash, which of them each token is, and its row: the words of a row, then its end."""
     lowered = LOWER[raw]
     starts, ends, row = words(lowered, offsets)
     n = len(offsets) - 1
-    first, which = distinct_spans(lowered, starts, ends, span_hashes(lowered, starts, ends)) if len(starts) else (starts, starts)
     # the end is a token with a space, which no word has
-    found = np.r_[digests(lowered, starts[first], ends[first], key), digests(END, np.array([0]), np.array([len(END)]), key)]
+    found = np.r_[word_keys(lowered, starts, ends, key), word_keys(END, np.array([0]), np.array([len(END)]), key)]
+    order = np.argsort(found["hash"], kind="stable")
+    new = np.r_[True, (found["hash"][order][1:] != found["hash"][order][:-1]) | (found["check"][order][1:] != found["check"][order][:-1])]
+    token = np.empty(len(order), np.int64)
+    token[order] = np.cumsum(new) - 1
     at = np.cumsum(np.bincount(row, minlength=n) + 1) - 1  # where each row's end stands
-    out, rows = np.full(len(which) + n, len(first)), np.zeros(len(which) + n, np.int64)
+    out, rows = np.full(len(starts) + n, token[-1]), np.zeros(len(starts) + n, np.int64)
     word = np.ones(len(out), bool)
     word[at] = False
-    out[word], rows[word], rows[at] = which, row, np.arange(n)
-    order = np.argsort(found["hash"], kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return found[order], rank[out], rows
+    out[word], rows[word], rows[at] = token[:-1], row, np.arange(n)
+    return found[order[new]], out, rows
 
 
 def combine_words(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +118,16 @@ class Gather:
 
     def __init__(self, combine=combine) -> None:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.combine = 0, combine
+        self.bytes, self.combine = 0, combine
 
     def add(self, found: np.ndarray, counts: np.ndarray) -> bool:
         self.held.append((found, counts))
-        self.size += len(found)
-        return self.size > FLUSH
+        self.bytes += found.nbytes
+        return self.bytes > 8 * FLUSH
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = self.combine(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
-        self.held, self.size = [], 0
+        self.held, self.bytes = [], 0
         return keys, counts
 
 

@@ -125,6 +125,17 @@ def test_words_made_to_agree_are_two_words(spark, known, new):
     assert both.size == 3 and kneser_ney.score(rows, both).count() == 3
 
 
+def test_word_keys_tell_all_words_apart():
+    rng = np.random.default_rng(8)
+    some = {bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in [*range(1, 20)] * 60} | {b"a\0", b"a", b"\0", b"\0\0", b"x" * 15, b"x" * 16, b"x" * 17, b"x" * 300, b"x" * 299 + b"y"}
+    listed = sorted(some) * 2
+    raw = np.frombuffer(b"".join(listed), np.uint8)
+    ends = np.cumsum([len(w) for w in listed])
+    keys = kneser_ney.word_keys(raw, np.r_[0, ends[:-1]], ends, b"0123456789abcdef")
+    assert len(set(keys.tolist())) == len(some) and keys[: len(some)].tolist() == keys[len(some) :].tolist()
+    assert len(set(keys["hash"].tolist())) == len(some)
+
+
 def test_words_with_one_hash_are_an_error(monkeypatch):
     found = np.array([(5, 1), (7, 2), (5, 1)], arrowtext.DIGEST)
     assert kneser_ney.combine_words(found, np.array([1, 2, 3]))[1].tolist() == [4, 2]
