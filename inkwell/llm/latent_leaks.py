@@ -8,18 +8,21 @@ send products with a thin matrix, which are summed. A space is made for at most
 document is cut into overlapping passages; each passage's cosine with every item of
 the benchmark is computed, in blocks, and passages from ``cosine`` on are candidates.
 So is every place where ``GRAM`` words of an item (all words of a shorter one) stand
-in a row, by exact look-up. Around a candidate the longest common subsequence of words decides: a share of at least
+in a row, by exact look-up. Around a candidate the longest common subsequence of words decides, taken over windows of
+three times the item's words, so whatever lies within twice as many is found and words
+scattered farther say nothing: a share of at least
 ``lcs`` of the item's words is a leak, and from ``answered_lcs`` on it is one if
 the item's answer (its last sentence, or what follows its last question mark)
 stands there word for word; an answer of under ``answer_words`` words is taken with
-the words before it.
+the words before it. Common words make any short item a subsequence of any text: an item
+of under ``GRAM`` words is a leak only where it is a line of the text by itself.
 
 Every place where candidates come together is decided by itself: one leak is enough.
 
-The benchmark is taken in blocks of at most ``block_bytes`` of text; what a task
-gets is one block's index, in proportion to its text (a space holds at most
+The benchmark is taken in blocks of at most ``block_bytes`` of text, ``AT_ONCE`` of them in a pass over
+the documents; what a task gets is these blocks' index, in proportion to their text (a space holds at most
 ``SPACE`` items and as many dimensions), whatever the size of benchmark and corpus.
-The driver holds one block and the benchmark's vocabulary; frequencies are counted
+The driver holds as many blocks and the benchmark's vocabulary; frequencies are counted
 for all blocks at once. Documents are read whole.
 
 A word is a run of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +52,24 @@ STRIDE, SPAN = 12, 4
 #: Items of a latent space, which is also its greatest dimension, and words of a run that is looked up.
 SPACE, GRAM = 256, 5
 CHUNK = 1 << 20
+#: Blocks of the benchmark that one pass over the documents looks for.
+AT_ONCE = 4
 
 
-def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word."""
+def located_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and first byte of every word."""
     lowered, solid = LOWER[raw], IN_WORD[raw]
     edge = np.ones(len(raw) + 1, bool)
     edge[1:-1] = solid[1:] != solid[:-1]
     edge[offsets] = True
     starts = np.flatnonzero(solid & edge[:-1])
     ends = np.flatnonzero(solid & edge[1:]) + 1
-    return span_hashes(lowered, starts, ends), np.searchsorted(offsets, starts, "right") - 1
+    return span_hashes(lowered, starts, ends), np.searchsorted(offsets, starts, "right") - 1, starts
+
+
+def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word."""
+    return located_words(raw, offsets)[:2]
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -168,17 +179,23 @@ class Index:
 
     def leaks(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
         """(row, item, cosine, share of the item's words in order, answer found) of every leak."""
-        hashes, row = hashed_words(raw, offsets)
+        hashes, row, starts = located_words(raw, offsets)
         if not len(hashes) or not self.spaces:
             return []
+        line = np.cumsum(raw == 10)[starts]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         within = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
         head = np.flatnonzero(within % STRIDE == 0)  # where each block of words starts
         block_row = row[head]
         size = np.diff(np.r_[head, len(row)])
         runs: dict[int, list[tuple[int, int, int]]] = {}
+        lines = set()
         for w, item, place in self.shared_runs(hashes, row):
             runs.setdefault(item // SPACE, []).append((w, item, place))
+            end = w + len(self.words[item])
+            starts_line = w == 0 or row[w - 1] != row[w] or line[w - 1] != line[w]
+            if len(self.words[item]) < GRAM and starts_line and line[end - 1] == line[w] and (end == len(row) or row[end] != row[w] or line[end] != line[w]):
+                lines.add((int(row[w]), item))
         near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}  # from and to which word, cosine
         for space in self.spaces:
             passage = space.passages(hashes, head, size, block_row)
@@ -191,9 +208,11 @@ class Index:
             for w, item, place in runs.get(space.first // SPACE, ()):
                 words, p = len(self.words[item]), int(np.searchsorted(head, w, "right")) - 1
                 near.setdefault((int(row[w]), item), []).append((w - place - words // 2, w - place + words + words // 2, float(passage[p] @ space.vectors[item - space.first])))
-        out = []
+        out = [(r, item, max(c for *_, c in near[r, item]), 1.0, False) for r, item in sorted(lines)]
         for (r, item), found in near.items():
             words, best = self.words[item], (False, 0.0, False)
+            if len(words) < GRAM:
+                continue
             a, b = int(np.searchsorted(row, r)), int(np.searchsorted(row, r, "right"))
             regions: list[list[int]] = []
             for lo, hi, _ in sorted(found):
@@ -206,9 +225,11 @@ class Index:
                 if self.common_words(item, hashes[lo:hi]) < min(self.lcs, self.answered_lcs):
                     continue
                 text, answer = hashes[lo:hi].tolist(), self.answers[item]
-                share = common_subsequence(words, text) / len(words)
-                answered = share >= self.answered_lcs and contains(text, answer)
-                best = max(best, (share >= self.lcs or answered, share, answered))
+                for i in range(0, max(1, len(text) - 2 * len(words)), len(words)):
+                    window = text[i : i + 3 * len(words)]
+                    share = common_subsequence(words, window) / len(words)
+                    answered = share >= self.answered_lcs and contains(window, answer)
+                    best = max(best, (share >= self.lcs or answered, share, answered))
             if best[0]:
                 out.append((r, item, max(c for *_, c in found), *best[1:]))
         return out
@@ -340,14 +361,14 @@ def indexes(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A row for each document and item that leaks into it: doc_id, item_id, cosine, lcs, answered."""
     found = None
-    for index in indexes(documents, benchmark, id_col, text_col, **options):
+    for together in batched(indexes(documents, benchmark, id_col, text_col, **options), AT_ONCE):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], together: tuple[Index, ...] = together) -> Iterator[pa.RecordBatch]:
             for rows, offsets, raw, _ in text_chunks(batches, CHUNK):
-                out = index.leaks(raw, offsets)
+                out = [(x[0], index.ids[x[1]], *x[2:]) for index in together for x in index.leaks(raw, offsets)]
                 own = rows.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([own[r] for r, *_ in out], pa.int64()), pa.array([index.ids[x[1]] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.float64()), pa.array([x[4] for x in out], pa.bool_())],
+                    [pa.array([own[r] for r, *_ in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.float64()), pa.array([x[4] for x in out], pa.bool_())],
                     ["doc_id", "item_id", "cosine", "lcs", "answered"],
                 )
 
@@ -361,15 +382,15 @@ def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = numbered(documents)
     out = rows
     place = documents.columns.index(text_col)
-    for index in indexes(documents, benchmark, id_col, text_col, **options):
+    for together in batched(indexes(documents, benchmark, id_col, text_col, **options), AT_ONCE):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], together: tuple[Index, ...] = together) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 only = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
                 at = 0
                 for rows, offsets, raw, _ in text_chunks(iter([only]), CHUNK):
                     keep = np.ones(len(rows), bool)
-                    keep[[r for r, *_ in index.leaks(raw, offsets)]] = False
+                    keep[[r for index in together for r, *_ in index.leaks(raw, offsets)]] = False
                     yield batch.slice(at, len(rows)).filter(pa.array(keep))
                     at += len(rows)
 

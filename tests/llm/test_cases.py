@@ -150,3 +150,43 @@ def test_no_label_is_crowded_out(spark):
     labels = spark.createDataFrame(sorted({(r[0], r[2]) for r in rows}) * 2, "doc_id long, quality int")
     model = knn_quality.train(df, labels, F.lit(True), rows=20)
     assert collections.Counter(model.labels.tolist()) == {0: 10, 1: 10}
+
+
+def test_scattered_and_short_items_are_no_leaks(spark):
+    """Words that lie far apart, and items of a few words inside sentences, say nothing; a line of its own does."""
+    benchmark = spark.createDataFrame([(1, "Paris"), (2, "and of a"), (3, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (4, "what is it"), (5, "")], "item_id long, text string")
+    spread = " ".join(x for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split() for x in (w, "so", "it", "goes", "on", "and"))
+    texts = [
+        "I love Paris in spring when the trees and the roofs are all of a colour that I can not name", spread, "Paris", "Where?\n  PARIS! \nand of a\nwhat is it not",
+        "alpha so beta gamma on delta epsilon and zeta eta it theta iota then kappa", "paris\nparis paris", "",
+    ]
+    found = latent_leaks.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2, 1), (3, 1), (3, 2), (4, 3), (5, 1)}
+
+
+def test_leaks_are_exact_on_texts_of_common_words(spark, monkeypatch):
+    """Precision and recall against windows of three times an item, over several blocks and passes: texts of forty words share most of them."""
+    monkeypatch.setattr(latent_leaks, "AT_ONCE", 2)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(40)]
+    weight = 1 / np.arange(1, 41)
+    some = lambda n: rng.choice(words, n, p=weight / weight.sum()).tolist()
+    items = [some(int(rng.integers(8, 25))) for _ in range(60)]
+    texts = [some(int(rng.integers(30, 200))) for _ in range(120)]
+    for i in range(0, 120, 3):
+        at, item = int(rng.integers(0, len(texts[i]))), items[int(rng.integers(60))]
+        kept = [w for w in item if rng.random() > 0.15]
+        texts[i] = texts[i][:at] + kept + texts[i][at:]
+
+    def share(a, b):
+        return latent_leaks.common_subsequence(a, b) / len(a)
+
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = latent_leaks.find(df, benchmark, block_bytes=1000, answered_lcs=0.8, lcs=0.8).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    n = lambda i: len(items[i])
+    wide = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if any(share(x, t[a : a + 3 * n(i)]) >= 0.8 for a in range(max(1, len(t) - 3 * n(i) + 1)))}
+    narrow = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if any(share(x, t[a : a + n(i) + n(i) // 4]) >= 0.8 for a in range(max(1, len(t) - n(i) - n(i) // 4 + 1)))}
+    assert got <= wide and len(narrow) >= 20
+    assert len(narrow - got) <= 0.05 * len(narrow)
