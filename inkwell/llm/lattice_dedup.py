@@ -225,7 +225,9 @@ def near_duplicates(df: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     counts = found.where("b is null").groupBy("a").agg(F.sum("linked").alias("linked"))
     named = nodes.join(counts, nodes.node == counts.a, "left").join(labels.select(F.col("node").alias("x"), F.col("label").alias("root")), F.col("node") == F.col("x"), "left")
     named = named.select("label", "v", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("root"))
-    same = (rows.label == named.label) & (rows.v == named.v)
-    component = F.when(rows.v.isNotNull(), F.col("root")).otherwise(F.col("vec_id"))
-    out = rows.join(named, same, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    good = rows.where("v is not null")
+    # many copies of one vector are one large key of this join, which adaptive execution splits
+    linked = good.join(named, (good.label == named.label) & (good.v == named.v)).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id"))
+    # rows that link with nothing meet no one
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

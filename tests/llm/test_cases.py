@@ -190,3 +190,13 @@ def test_leaks_are_exact_on_texts_of_common_words(spark, monkeypatch):
     narrow = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if any(share(x, t[a : a + n(i) + n(i) // 4]) >= 0.8 for a in range(max(1, len(t) - n(i) - n(i) // 4 + 1)))}
     assert got <= wide and len(narrow) >= 20
     assert len(narrow - got) <= 0.05 * len(narrow)
+
+
+def test_many_vectors_that_link_with_nothing_meet_nowhere(spark):
+    """Half of the rows are null vectors of one label: none of them is in a join, all come back."""
+    df = spark.range(4000).selectExpr("id as vec_id", "if(id % 2 = 0, null, array(double(id % 97), 1.0d, double(id % 89))) as embedding", "1 as label")
+    got = lattice_dedup.near_duplicates(df, 0.93)
+    assert got.count() == 4000 and got.where("vec_id % 2 = 0 and (n_links <> 0 or component_id <> vec_id or not kept)").count() == 0
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = min(i for i, x in enumerate(lines) if "Join" in x)
+    assert any("Union" in x for x in lines[:joined])
