@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import kept
+
 # The states of the import queue and how they are shown.
 STATE_LABELS = {"discovered": "Découvert", "documents_detected": "Documents détectés", "downloaded": "Téléchargé", "label_normalized": "Label normalisé", "ready": "Prêt", "ready_without_label": "Prêt sans label", "failed": "Erreur"}
 READY = ("ready", "ready_without_label")
@@ -40,11 +42,14 @@ def numbered(rows: DataFrame, order: Column, key: str, parts: int | None = None,
     many ranges as ``part_rows`` go into the rows, unless ``parts`` says how many.
     """
     parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
-    ranged = rows.repartitionByRange(parts, order).withColumn("part_", F.spark_partition_id())
+    # written once, each row with its range and its place there: a lost executor can't deal them anew
+    ranged = kept(rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("place_", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("part_", F.shiftright("place_", 33))
     counts = ranged.groupBy("part_").count()
-    before = counts.select("part_", (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("before_"))
-    turn = Window.partitionBy("part_").orderBy(order)
-    return ranged.withColumn("n_", F.row_number().over(turn)).join(F.broadcast(before), "part_").select(*rows.columns, (F.col("n_") + F.col("before_")).alias("position"))
+    # a row for each range is broadcast
+    before = counts.select(F.col("part_").alias("range_"), (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("before_"))
+    position = F.col("place_").bitwiseAND((1 << 33) - 1) + 1 + F.col("before_")
+    return ranged.join(F.broadcast(before), F.col("part_") == F.col("range_")).select(*rows.columns, position.alias("position"))
 
 
 def readable(rows: DataFrame, label: str, unreadable: str = "UNREADABLE") -> DataFrame:

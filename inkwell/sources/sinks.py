@@ -9,10 +9,10 @@ import shutil
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import selection
+from inkwell.operators import ordered, selection
 
 from .runs import RunSink
 from .store import Store
@@ -136,11 +136,11 @@ def label_status(found: Column, content: Column) -> Column:
 
 
 def html_table(rows: DataFrame, key: str, columns: list[str], page_rows: int = 1000) -> DataFrame:
-    """Each key's rows as HTML tables of at most ``page_rows`` rows, numbered by page from 1."""
+    """Each key's rows as HTML tables of at most ``page_rows`` rows, numbered by page from 1; a key with most rows is numbered in many ranges."""
     safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns], F.lit("</tr>"))
-    turn = F.row_number().over(Window.partitionBy(key).orderBy("line"))
-    paged = rows.select(key, line.alias("line")).withColumn("page", F.ceil(turn / page_rows).cast("int"))
+    turned = ordered.running_sums(rows.select(key, line.alias("line")), [key], "line", {"turn_": F.lit(1).cast("long")})
+    paged = turned.withColumn("page", F.ceil(F.col("turn_") / page_rows).cast("int")).drop("turn_")
     return paged.groupBy(key, "page").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list("line")), ""), F.lit("</table>")).alias("html"))
 
 
