@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import kept
+from .ordered import kept, running_sums, same
 
 # The states of the import queue and how they are shown.
 STATE_LABELS = {"discovered": "Découvert", "documents_detected": "Documents détectés", "downloaded": "Téléchargé", "label_normalized": "Label normalisé", "ready": "Prêt", "ready_without_label": "Prêt sans label", "failed": "Erreur"}
@@ -30,8 +30,9 @@ def scan_counts(clients: DataFrame) -> DataFrame:
 
 
 def duplicates(files: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Whether a file is the second or a later one of its keys."""
-    return files.select(*keys, path, (F.row_number().over(Window.partitionBy(*keys).orderBy(path)) > 1).alias("duplicate"))
+    """Whether a file is the second or a later one of its keys; a key with most files is numbered in many ranges."""
+    turned = running_sums(files.select(*keys, path), keys, path, {"turn_": F.lit(1).cast("long")})
+    return turned.select(*keys, path, (F.col("turn_") > 1).alias("duplicate"))
 
 
 def numbered(rows: DataFrame, order: Column, key: str, parts: int | None = None, part_rows: int = 1_000_000) -> DataFrame:
@@ -81,10 +82,11 @@ def display_summary(summary: DataFrame) -> DataFrame:
 
 def neighbours(rows: DataFrame, by: str, order: str) -> DataFrame:
     """The positions before and behind a row in its group, kept inside it."""
-    position = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy(by))
-    inside = lambda p: F.greatest(F.least(p, n - 1), F.lit(0)).cast("long")
-    return rows.select(order, by, inside(position + 1).alias("next"), inside(position - 1).alias("previous"))
+    turned = running_sums(rows.select(order, by), [by], order, {"turn_": F.lit(1).cast("long")})
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n_")).withColumnRenamed(by, "by_")
+    inside = lambda p: F.greatest(F.least(p, F.col("n_") - 1), F.lit(0))
+    # a row for each group, joined by key: adaptive execution splits a large one
+    return turned.join(sizes, same([by], ["by_"])).select(order, by, inside(F.col("turn_")).alias("next"), inside(F.col("turn_") - 2).alias("previous"))
 
 
 def lines_of(boxes: DataFrame, page: str, near: float = 10.0) -> DataFrame:

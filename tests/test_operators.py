@@ -553,6 +553,21 @@ def test_ranges_are_balanced(spark, tmp_path):
     assert len(sizes) > 15 and max(sizes) <= 4000
 
 
+def test_large_keys_are_numbered_in_ranges(spark, monkeypatch):
+    """Duplicates, neighbours and pages where one key has nearly all rows: as with one window, with null keys kept."""
+    rows = [("a", f"p{i % 70:03d}") for i in range(200)] + [(None, "x"), (None, "y"), ("b", None), ("b", "z")]
+    df = spark.createDataFrame(rows, "k string, path string").repartition(3)
+    few = collections.Counter((r.k, r.path, r.duplicate) for r in views.duplicates(df, ["k"], "path").collect())
+    steps = spark.range(300).selectExpr("id as seq", "if(id < 290, 'a', null) as client")
+    near = {r.seq: (r.next, r.previous) for r in views.neighbours(steps, "client", "seq").collect()}
+    whole = ordered.running_sums
+    monkeypatch.setattr(views, "running_sums", lambda *a: whole(*a, part_rows=20))
+    assert collections.Counter((r.k, r.path, r.duplicate) for r in views.duplicates(df, ["k"], "path").collect()) == few
+    assert few["a", "p000", False] == 1 and few["a", "p000", True] == 2 and few[None, "x", False] == few[None, "y", True] == few["b", "z", False] == few["b", None, True] == 1
+    assert {r.seq: (r.next, r.previous) for r in views.neighbours(steps, "client", "seq").collect()} == near
+    assert near[0] == (1, 0) and near[5] == (6, 4) and near[289] == (289, 288) and near[290] == (1, 0) and near[299] == (9, 8)
+
+
 def test_running_views_keep_null_models(spark):
     rows = [("a", 1, "success", 1.0, 0.5), (None, 2, "failed", 2.0, None), ("a", None, "success", 3.0, 0.7), (None, 4, "success", 4.0, 0.9)]
     df = spark.createDataFrame(rows, "model string, seq long, status string, latency double, accuracy double")
