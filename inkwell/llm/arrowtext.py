@@ -19,7 +19,7 @@ from xxhash import xxh64_intdigest
 #: Bytes of text handled at once inside an Arrow batch; one longer text is handled alone.
 CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch: executors and their workers hold several at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -57,7 +57,7 @@ from .arrowtext import Rolling, digests as digests_of, mix64, row_chunks, run_st
 from .shared import kept, marked, marks, parts_for
 
 #: Start positions handled at once, records gathered before a block is sent, and runs of a gram that make it hot in a block.
-BLOCK, FLUSH, HOT = 1 << 19, 1 << 18, 512
+BLOCK, FLUSH, HOT = 1 << 17, 1 << 16, 512
 #: Bytes of text whose records make a part.
 PART_BYTES = 64 << 20
 POSITION_BITS = 23
@@ -385,24 +385,26 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     some, others = marked(rows, kept(marks(ranges, "row")), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         for batch in batches:
             offsets, raw, _ = string_parts(batch.column(1))
             wanted = batch.column(2)
             cut = np.asarray(wanted.offsets)
             lo, hi = (np.asarray(wanted.values.field(f)) for f in ("lo", "hi"))
-            spans, rest = [], []
-            for i in range(len(batch)):
-                text = raw[offsets[i] : offsets[i + 1]]
-                gone = np.zeros(len(text) + 1, np.int32)
-                np.add.at(gone, lo[cut[i] : cut[i + 1]], 1)
-                np.add.at(gone, hi[cut[i] : cut[i + 1]], -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                a, b = run_starts(gone)
-                spans.append([{"lo": x, "hi": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-                rest.append(text[~gone].tobytes())
-            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            whole = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(rest, pa.binary()), whole, batch.column(3)], NAMES)
+            for first, last in row_chunks(offsets, BLOCK):
+                spans, rest = [], []
+                for i in range(first, last):
+                    text = raw[offsets[i] : offsets[i + 1]]
+                    gone = np.zeros(len(text) + 1, np.int32)
+                    np.add.at(gone, lo[cut[i] : cut[i + 1]], 1)
+                    np.add.at(gone, hi[cut[i] : cut[i + 1]], -1)
+                    gone = np.cumsum(gone)[:-1] > 0
+                    a, b = run_starts(gone)
+                    spans.append([{"lo": x, "hi": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                    rest.append(text[~gone].tobytes())
+                whole = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string())
+                own, size = batch.slice(first, last - first), np.diff(offsets[first : last + 1])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(size), pa.array(spans, kind), pa.array(rest, pa.binary()), whole, own.column(3)], NAMES)
 
     schema = T._parse_datatype_string("doc_id long, n_bytes long, spans array<struct<lo: bigint, hi: bigint>>, kept binary, text string").add("rest", rows.schema["rest"].dataType)
     empty = F.array().cast("array<struct<lo: int, hi: int>>")

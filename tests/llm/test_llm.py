@@ -556,7 +556,7 @@ def test_pipeline_stages_on_odd_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_queries_return_every_row(spark, name):
     df = queries.queries()[name](spark, DATA)
-    table = {"op6": "pages", "op8": "embeddings"}.get(name.split("_")[0], "documents")
+    table = {"op6": "pages", "op8": "embeddings", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     if not name.startswith("op9"):
         assert df.count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
 
