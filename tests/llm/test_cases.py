@@ -200,29 +200,3 @@ def test_many_vectors_that_link_with_nothing_meet_nowhere(spark):
     lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joined = min(i for i, x in enumerate(lines) if "Join" in x)
     assert any("Union" in x for x in lines[:joined])
-
-
-def templated(n, rng, shared=300, own=300):
-    """Pages of one template: shared words in the middle of words of their own."""
-    head = " ".join(f"t{i}" for i in range(shared))
-    return [" ".join(f"p{x}" for x in rng.integers(0, 10**7, own)) + " " + head for _ in range(n)]
-
-
-def test_templated_pages_are_not_compared_all_with_all(spark, monkeypatch):
-    """Pages at a third of similarity meet in buckets: what is dealt grows with their number, no sets are, and true pairs among them are found."""
-    rng = np.random.default_rng(6)
-    sizes, sets = {}, {}
-    for n in (1000, 2000, 4000):
-        texts = templated(n, rng)
-        texts += [t.replace("t17 ", "x17 ").replace("p1", "q1", 3) for t in texts[:5]]
-        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
-        seen = []
-        dealt, table = shingle_sets.likely_groups, shingle_sets.set_table
-        monkeypatch.setattr(shingle_sets, "likely_groups", lambda b, least: (seen.append(b.count()), dealt(b, least))[1])
-        monkeypatch.setattr(shingle_sets, "set_table", lambda *a: (seen.append((t := table(*a)).count()), t)[1])
-        found = {r.doc_id: r.component_id for r in shingle_sets.near_duplicates(df, chunk=256).collect()}
-        monkeypatch.undo()
-        assert {i for i, c in found.items() if c != i} == set(range(n, n + 5)) and all(found[n + i] == i for i in range(5))
-        sizes[n], sets[n] = seen
-    assert sets[4000] <= 40 and sizes[4000] < 6 * sizes[1000] * 2
-    print(sizes, sets)
