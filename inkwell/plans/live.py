@@ -11,6 +11,8 @@ from inkwell.streaming import live
 from .registry import Register
 
 Q = Register()
+#: Events in a file of a batch that is dealt out.
+BATCH_FILE = 250_000
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -79,11 +81,13 @@ def unordered(spark: SparkSession, d: str) -> DataFrame:
     own = F.floor((F.col("seq") - F.lit(ends.least)) * batches / F.lit((ends.most or 0) - (ends.least or 0) + 1)) + F.pmod(F.xxhash64("seq"), F.lit(3))
     dealt = rows.select("client", "seq", F.timestamp_seconds(F.col("seq") + 1_000_000_000).alias("at"), "status").withColumn("batch", own)
     stray = 3 * ((ends.most or 0) - (ends.least or 0) + batches) // batches + 1
+    # a batch is as many files as its rows ask for; in whatever groups these are read, events stray no further
+    files = max(1, -(-ends.n // (batches * BATCH_FILE)))
     for i in range(batches + 3):
-        dealt.where(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in/{i:02d}")
+        dealt.where(F.col("batch") == i).drop("batch").repartition(files).write.mode("append").parquet(f"{folder}/in/{i:02d}")
     closing = spark.range(1).select(F.lit(-1).cast("long").alias("client"), F.lit(0).cast("long").alias("seq"), F.timestamp_seconds(F.lit(1_000_000_000 + (ends.most or 0) + 2 * stray)).alias("at"), F.lit("success").alias("status"))
     closing.write.parquet(f"{folder}/in/99")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
     out = live.to_table(spark, live.until_errors_unordered(stream, "client", "seq", "at", f"{stray} seconds", 3), "append", folder)
     return out.where("client >= 0").select("client", "seq", "status")
 

@@ -15,7 +15,9 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyarrow import fs
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkwell import catalog, inference
 from inkwell.functions import answers, measures, strings
@@ -685,6 +687,77 @@ def test_a_cutoff_over_shuffled_batches_is_that_of_the_batch_query(spark, tmp_pa
     assert {(x.run, x.seq) for x in out if x.run not in ("a", "b", "c", "end")} == {(None, 1), (None, None), ("d", 1)}
 
 
+class Kept:
+    """A state of a stream in memory."""
+
+    def __init__(self):
+        self.rows, self.reads = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.reads += 1
+        return self.rows[0] if self.single else iter(self.rows)
+
+    def update(self, row):
+        self.rows = [row]
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def state(self, name, single):
+        self.states[name] = Kept()
+        self.states[name].single = single
+        return self.states[name]
+
+    def getListState(self, name, kind):
+        return self.state(name, False)
+
+    def getValueState(self, name, kind):
+        return self.state(name, True)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = lambda: now
+
+
+def test_a_cutoff_without_order_sets_no_timer_for_each_row():
+    kinds = StructType().add("run", "string").add("seq", "long").add("status", "string").add("due_", "long")
+    cut, handle = live.OrderedCutoff(kinds, "run", "seq", 3), Handle()
+    cut.init(handle)
+    # numbers beyond 2**53 beside a row without one; every third row fails
+    base = 1 << 60
+    rows = [Row(run=r, seq=base + i, status="failed" if i % 3 == 0 else "success", due_=i * 1000) for r in "ab" for i in range(500)]
+    rows.append(Row(run="c", seq=None, status="success", due_=5000))
+    random.Random(3).shuffle(rows)
+    assert list(cut.handleInputRows((0,), iter(rows), Clock(0))) == [] and len(handle.timers) == 1
+    told = [r for _ in range(3) for r in cut.handleExpiredTimer((0,), Clock(4), None)]
+    assert sorted((r.run, r.seq - base, r.verdict) for r in told) == [(r, i, "counted") for r in "ab" for i in range(5)]
+    assert handle.states["waiting"].reads == 1 and handle.timers[1:] == [5]
+    told = list(cut.handleExpiredTimer((0,), Clock(10_000), None))
+    assert sorted((r.run, r.seq and r.seq - base) for r in told) == [("a", 5), ("a", 6), ("b", 5), ("b", 6), ("c", None)]
+    assert not handle.states["waiting"].exists()
+    late = [Row(run="a", seq=base + 700, status="success", due_=0), Row(run="c", seq=base + 1, status="success", due_=0)]
+    assert list(cut.handleInputRows((0,), iter(late), Clock(10_000))) == [] and handle.timers[-1] == 10_001
+    assert [tuple(r) for r in cut.handleExpiredTimer((0,), Clock(10_001), None)] == [("c", base + 1, "success", 0, "counted")]
+
+
 def test_import_states_follow_the_rules(spark, tmp_path):
     told = [
         ("a", 1, "discovered", "accepted", "discovered"), ("a", 2, "downloaded", "illegal", "discovered"), ("a", 3, "documents_detected", "accepted", "documents_detected"),
