@@ -20,7 +20,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingle similarity >= 0.8 the row with the smallest id stays; rows without an id stay."""
+    """Of each group linked by five-word shingle similarity >= 0.8 the row with the smallest id stays; rows without an id stay.
+
+    Candidates by SimHash and, for what lies beyond its bound, by minhash bands; exact similarity decides.
+    """
     return shingle_sets.representatives(docs)
 
 

@@ -1,8 +1,10 @@
 """Near-duplicates by the Jaccard similarity of word-shingle sets, decided exactly.
 
 A text is the set of its runs of ``size`` words (a shorter text: the one run of all
-its words; a text without a word: the empty set). Equal sets are one node. Nodes
-that agree in a band of ``ROWS`` minhashes are candidates; a pair at similarity s
+its words; a text without a word: the empty set). Equal sets are one node. Candidates
+are found by SimHash, as operator 7 does: fingerprints of the same shingles that differ in at most
+``BITS`` bits. That bound lies far above a similarity of 0.8 (there about 10 bits differ), so nodes
+that agree in a band of ``ROWS`` minhashes are candidates too: a pair at similarity s
 shares no band with probability (1 - s**ROWS) ** BANDS, 3e-6 at 0.8. Candidates'
 components are groups, and inside a group every pair is compared, shingle by
 shingle, except those that earlier links connect already. A group of over ``CHUNK`` sets is
@@ -22,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .arrowtext import LOWER, STEP, mix64, narrow, span_hashes, text_chunks, words
 from .shared import connected, kept, marked, marks
 
 ROWS, BANDS, CHUNK = 5, 32, 1024
+#: Blocks of a fingerprint and bits in which two may differ, as in operator 7.
+BLOCKS, BITS = 6, 3
 FACTORS = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -73,7 +78,7 @@ def band_keys(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, size: int) -> DataFrame:
-    """doc_id, copy (a hash of the text), node (the set's name) and keys of every row of (doc_id, copy, text)."""
+    """doc_id, copy (a hash of the text), node (the set's name), keys and fp (the SimHash fingerprint) of every row of (doc_id, copy, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offsets, raw, _ in text_chunks(batches):
@@ -81,9 +86,21 @@ def sketches(df: DataFrame, size: int) -> DataFrame:
             keys = band_keys(hashes, cut)
             ends = np.r_[0, np.cumsum(np.where(np.diff(cut) > 0, BANDS, 0))]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(set_names(hashes, cut).view(np.int64)), lists], ["doc_id", "copy", "node", "keys"])
+            whole, at = raw.tobytes(), offsets.tolist()
+            fps = np.array([simhash.fingerprint(whole[a:b], size) for a, b in zip(at, at[1:], strict=False)], np.uint64)
+            columns = [rows.column(0), rows.column(1), pa.array(set_names(hashes, cut).view(np.int64)), lists, pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "node", "keys", "fp"])
 
-    return df.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, node long, keys array<long>")
+    return df.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, node long, keys array<long>, fp long")
+
+
+def fingerprint_edges(prints: DataFrame, blocks: int = BLOCKS, bits: int = BITS) -> DataFrame:
+    """Edges (node, lo) whose components are those of all sets with fingerprints at most ``bits`` apart; texts without a word have none."""
+    some = prints.where(F.size("keys") > 0).select("node", "fp").distinct()
+    first = kept(some.groupBy("fp").agg(F.min("node").alias("lo")))
+    links = simhash.links(first.select("fp"), blocks, bits)
+    left, right = first.select(F.col("fp").alias("a"), F.col("lo").alias("node")), first.select(F.col("fp").alias("b"), "lo")
+    return some.join(first, "fp").select("node", "lo").unionAll(links.join(left, "a").join(right, "b").select("node", "lo")).where("node <> lo")
 
 
 def similar(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -164,7 +181,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     placed = prints.select("node", F.explode("keys").alias("key")).distinct()
     company = placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo")
-    groups = kept(connected(placed.join(company, "key").select("node", "lo").where("node <> lo").distinct()))
+    banded = placed.join(company, "key").select("node", "lo").where("node <> lo")
+    groups = kept(connected(fingerprint_edges(prints).unionAll(banded).distinct()))
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     places = groups.join(sizes, "label").join(nodes, "node").select("doc_id", "node", "label", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks")
     dealt = parts(texts, places, size).repartition("part").sortWithinPartitions("part")

@@ -601,6 +601,28 @@ def test_shingle_components_match_all_pairs(spark, chunk):
     assert shingle_sets.near_duplicates(nothing(spark)).count() == 0
 
 
+def test_similarity_candidates_come_from_simhash(spark):
+    r = random.Random(11)
+    base = [[f"w{r.randrange(9000)}" for _ in range(1500)] for _ in range(4)]
+    texts = ["", "one"] + [" ".join(words[:cut]) for words in base for cut in (1500, 1499, 1490, 1000)]
+    prints = shingle_sets.sketches(docs(spark, texts).withColumn("copy", F.xxhash64("text")), 5)
+    rows = {x.doc_id: x for x in prints.collect()}
+    fps = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in enumerate(texts)}
+    first = min(rows)
+    assert {i - first: x.fp % (1 << 64) for i, x in rows.items()} == fps
+    near = {tuple(sorted((rows[a + first].node, rows[b + first].node))) for a in fps for b in fps if 0 < a < b and (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert len(near) >= 4
+
+    def groups(edges):
+        of = {}
+        for a, b in edges:
+            own = of.get(a, {a}) | of.get(b, {b})
+            of.update(dict.fromkeys(own, own))
+        return {frozenset(x) for x in of.values()}
+
+    assert groups(map(tuple, shingle_sets.fingerprint_edges(prints).collect())) == groups(near)
+
+
 def test_pipeline_drops_what_is_similar(spark, documents):
     left = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, documents, DATA).collect()}
     label = plain_components({r.doc_id: r.text for r in documents.collect()})
