@@ -1,10 +1,12 @@
 """Edit distance of texts of any length, bit-parallel, in Arrow batches.
 
 A column of the distance table is two big integers: where it rises and where it falls
-by one from row to row (Myers 1999, in Hyyrö's form of 2003). A step takes a
-dozen operations on integers of as many bits as the longer text has characters,
-so a pair costs the product of its lengths over the machine's word, and memory in
-proportion to its different characters times its length. Nothing is cut or estimated.
+by one from row to row (Myers 1999, in Hyyrö's form of 2003). A column holds only the band
+of rows that a cheapest path can cross (Ukkonen 1985): a first, narrow band gives the cost of some
+path, and a path of no more cost leaves no band of that width, so a result within it is exact, and
+else the band is widened until it is. A step takes a dozen and a half operations on integers of as many bits as
+the band has rows, so a pair costs the shorter length times the distance over the machine's word at
+most about twice, and memory in proportion to its lengths. Nothing is cut or estimated.
 
 Spark's own ``levenshtein`` takes pairs whose lengths have a small product: below
 SMALL it is faster and stays in the JVM. A null text counts as an empty one.
@@ -50,24 +52,66 @@ def edit_distance(left: np.ndarray, right: np.ndarray) -> int:
         left, right = right, left
     if not len(right):
         return len(left)
-    # a step for each symbol of the shorter side; the longer one's places lie in the bits
-    order = np.argsort(left, kind="stable")
-    symbols, first = np.unique(left[order], return_index=True)
-    places = {}
-    for symbol, at in zip(symbols.tolist(), np.split(order, first[1:]), strict=True):
-        bits = np.zeros(len(left), bool)
-        bits[at] = True
-        places[symbol] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
-    whole = (1 << len(left)) - 1
-    rises, falls = whole, 0
-    for symbol in right.tolist():
-        match = places.get(symbol, 0)
-        diagonal = (((match & rises) + rises) ^ rises) | match | falls
-        across_up, across_down = falls | ~(diagonal | rises), diagonal & rises
-        across_up = across_up << 1 | 1
-        rises = (across_down << 1 | ~(diagonal | across_up)) & whole
-        falls = across_up & diagonal & whole
-    return len(right) + rises.bit_count() - falls.bit_count()
+    spare = max(LEAST_SPARE, len(left) >> 5)
+    while True:
+        found = banded(left, right, spare)
+        # a path that leaves the band costs at least two more than twice the spare rows and the difference in length
+        needed = (found - len(left) + len(right)) // 2
+        if needed <= spare or spare >= len(right):
+            return found
+        spare = min(needed, 4 * spare + 1)
+
+
+#: Rows that a first band has on each side beyond the difference in length, at least.
+LEAST_SPARE = 32
+#: Rows whose symbols are turned into bits at once, at least.
+BLOCK = 1 << 11
+
+
+def places(symbols: np.ndarray) -> dict[int, int]:
+    """The bits of each symbol's places."""
+    order = np.argsort(symbols, kind="stable")
+    known, first, counts = np.unique(symbols[order], return_index=True, return_counts=True)
+    found = {}
+    for symbol, at, n in zip(known.tolist(), first.tolist(), counts.tolist(), strict=True):
+        own = order[at : at + n]
+        if n < 8:
+            bits = 0
+            for i in own.tolist():
+                bits |= 1 << i
+        else:
+            mark = np.zeros(len(symbols), bool)
+            mark[own] = True
+            bits = int.from_bytes(np.packbits(mark, bitorder="little").tobytes(), "little")
+        found[symbol] = bits
+    return found
+
+
+def banded(left: np.ndarray, right: np.ndarray, spare: int) -> int:
+    """The least cost of the paths within ``spare`` rows of the two corners' diagonals; ``left`` is not the shorter side."""
+    m, n = len(left), len(right)
+    # column j holds the rows from j - spare on; those before the first row are as if the table went on there
+    width = m - n + 2 * spare + 1
+    whole = (1 << width) - 1
+    rises, falls = whole >> spare << spare, 0
+    block = max(BLOCK, width)
+    level = 0
+    for start in range(0, n, block):
+        # rows start - spare + 1 to start - spare + block + width, as bits from 0
+        low = start - spare
+        own = places(left[max(low, 0) : max(low + block + width, 0)])
+        ahead = max(-low, 0)
+        own = {s: bits << ahead for s, bits in own.items()} if ahead else own
+        for j, symbol in enumerate(right[start : start + block].tolist()):
+            match = own.get(symbol, 0) >> j
+            diagonal = ((((match & rises) + rises) ^ rises) | match | falls) & whole
+            level += diagonal & 1
+            up, down, diagonal_next = falls | (whole ^ (diagonal | rises)), diagonal & rises, diagonal >> 1
+            rises = down | (whole ^ (diagonal_next | up))
+            falls = diagonal_next & up
+    # along the first diagonal of the band, then from there up to the last row
+    rest = (1 << m - n + spare) - 1
+    return n - level + (rises & rest).bit_count() - (falls & rest).bit_count()
 
 
 @F.pandas_udf(LongType())
