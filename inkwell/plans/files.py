@@ -6,6 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,13 +92,13 @@ def s7_entries(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", (F.pmod("doc_id", F.lit(10)) == 3).alias("unsafe"))
 
     def pack(batches):
-        for batch in batches:
+        for n, batch in enumerate(batches):
             for unsafe, own in batch.groupby("unsafe"):
                 body = io.BytesIO()
                 with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
                     for i, text in zip(own["doc_id"], own["text"], strict=True):
                         z.writestr(f"in/{i}.txt" if not unsafe else f"../{i}.txt", text)
-                address = f"{path}/{'un' if unsafe else ''}safe-{own['doc_id'].min()}.zip"
+                address = f"{path}/{'un' if unsafe else ''}safe-{TaskContext.get().partitionId()}-{n}.zip"
                 taskfiles.write_pieces(address, [body.getvalue()], 1 << 31)
                 yield pd.DataFrame({"path": [address]})
 

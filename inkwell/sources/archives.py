@@ -2,8 +2,8 @@
 
 An archive with one unsafe member is rejected whole, before anything of it is
 written; so is one that can't be read. Each entry is a row of its own, with its error if it has
-one: a damaged entry takes no other down. Entries are dealt by size, so a large archive fills many tasks,
-and each task opens the archive at its own entries: only these bytes are read.
+one: a damaged entry takes no other down. Entries are dealt in runs of neighbours by size, so a large archive fills many tasks,
+a small one is opened by few, and each task opens the archive at its own entries: only these bytes are read.
 """
 
 from __future__ import annotations
@@ -13,15 +13,19 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.shared import fresh_folder
+
 from .files import unsafe_name
 from .taskfiles import Opener, checked_target, open_store, write_pieces
 
 MEMBERS = "archive string, member string, place int, size long, packed long, error string"
 #: Bytes of entries that a task takes, and the largest entry that is read.
 TASK_BYTES, MOST_BYTES, PIECE = 64 << 20, 1 << 30, 1 << 20
+#: Runs of entries that a task takes on average, and the contents that leave it at once: bytes and rows.
+RUNS, FRAME_BYTES, FRAME_ROWS = 4, 4 << 20, 1000
 
 
 def opened_archive(address: str, opened: Opener) -> zipfile.ZipFile:
@@ -51,10 +55,16 @@ def members(archives: DataFrame, path_col: str = "path", opened: Opener = open_s
 
 
 def dealt(listed: DataFrame) -> DataFrame:
-    """Entries in as many parts as their bytes ask for, those of an archive in order within a part."""
+    """Entries in as many parts as their bytes ask for, neighbours of an archive together and in order."""
+    spark = listed.sparkSession
+    # what makes the listing runs once; rows of the central directories move, no content
+    path = fresh_folder(spark, "entries")
+    listed.write.parquet(path)
+    listed = spark.read.schema(listed.schema).parquet(path)
     total = listed.agg(F.sum("size")).first()[0] or 0
-    # rows of the central directories move, no content
-    return listed.repartition(max(1, -(-total // TASK_BYTES)), "archive", "place").sortWithinPartitions("archive", "place")
+    before = F.sum(F.coalesce("size", F.lit(0))).over(Window.partitionBy("archive").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    runs = listed.withColumn("run_", F.floor(F.coalesce(before, F.lit(0)) / max(1, TASK_BYTES // RUNS)))
+    return runs.repartition(max(1, -(-total // TASK_BYTES)), "archive", "run_").sortWithinPartitions("archive", "place").drop("run_")
 
 
 def entries_of(batches: Iterator[pd.DataFrame], opened: Opener) -> Iterator[tuple[dict, zipfile.ZipFile | None]]:
@@ -79,7 +89,11 @@ def pieces_of(z: zipfile.ZipFile, place: int) -> Iterator[bytes]:
 def contents(listed: DataFrame, most: int = MOST_BYTES, opened: Opener = open_store) -> DataFrame:
     """archive, member, place, content and error of every entry."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["archive", "member", "place", "content", "error"]).astype({"place": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for r, z in entries_of(batches, opened):
             content, error = None, r["error"]
             if z is not None:
@@ -89,7 +103,16 @@ def contents(listed: DataFrame, most: int = MOST_BYTES, opened: Opener = open_st
                     content = b"".join(pieces_of(z, int(r["place"])))
                 except (OSError, zipfile.BadZipFile, ValueError, NotImplementedError, RuntimeError) as e:
                     error = f"{type(e).__name__}: {e}"
-            yield pd.DataFrame([(r["archive"], r["member"], r["place"], content, error)], columns=["archive", "member", "place", "content", "error"]).astype({"place": "Int32"})
+            if out and size + len(content or b"") > FRAME_BYTES:
+                yield frame(out)
+                out, size = [], 0
+            out.append((r["archive"], r["member"], r["place"], content, error))
+            size += len(content or b"")
+            if len(out) >= FRAME_ROWS:
+                yield frame(out)
+                out, size = [], 0
+        if out:
+            yield frame(out)
 
     return dealt(listed).mapInPandas(run, "archive string, member string, place int, content binary, error string")
 

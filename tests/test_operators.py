@@ -8,11 +8,13 @@ import random
 import re
 import threading
 import time
+import uuid
 import zipfile
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyarrow import fs
 from pyspark.sql import Row
@@ -687,6 +689,32 @@ def test_a_cutoff_over_shuffled_batches_is_that_of_the_batch_query(spark, tmp_pa
     assert {(x.run, x.seq) for x in out if x.run not in ("a", "b", "c", "end")} == {(None, 1), (None, None), ("d", 1)}
 
 
+def test_archives_are_listed_once_and_opened_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "TASK_BYTES", 4000)
+    for n in range(8):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
+            for i in range(40):
+                z.writestr(f"{i}.txt", f"{n} {i}".ljust(100))
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def make(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                (made / uuid.uuid4().hex).touch()
+                yield pd.DataFrame({"path": [path]})
+
+    paths = spark.createDataFrame([(f"{tmp_path}/{n}.zip",) for n in range(8)], "path string").mapInPandas(make, "path string")
+    found = archives.dealt(archives.members(paths))
+    parts = found.select("archive", "member", F.spark_partition_id().alias("part")).collect()
+    assert len(list(made.iterdir())) == 8 and len({(r.archive, r.member) for r in parts}) == 320
+    # eight parts: each archive lies in four runs of ten entries, not in every part
+    assert found.rdd.getNumPartitions() == 8 and len({(r.archive, r.part) for r in parts}) <= 8 * 4
+    listed = archives.members(paths)
+    got = {(r.archive[-5:-4], r.member): bytes(r.content).decode().strip() for r in archives.contents(listed).collect()}
+    assert got == {(str(n), f"{i}.txt"): f"{n} {i}" for n in range(8) for i in range(40)}
+
+
 class Kept:
     """A state of a stream in memory."""
 
